@@ -77,3 +77,81 @@ def cumulative_step_share(hist: DataFrame, cap: int = 20) -> DataFrame:
                .withColumn("cumulative_percentage", F.sum("percentage").over(w)))
     return pct.where(F.col("steps") <= cap).select(
         "steps", "frequency", "percentage", "cumulative_percentage")
+
+
+# ---------------------------------------------------------------- tokens
+
+def token_counts(df: DataFrame, text: str) -> DataFrame:
+    """Whitespace-token frequencies (explode + partial/final count; a
+    frequent token is combined map-side, so hot tokens cost no skew)."""
+    from tactica.functions.text import py_words
+    return (df.select(F.explode(py_words(F.col(text))).alias("token"))
+              .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
+
+
+def top_tokens(counts: DataFrame, k: int) -> DataFrame:
+    """Tokens by descending frequency (ties by token), first k."""
+    return counts.orderBy(F.desc("count"), "token").limit(k)
+
+
+def vocab_size_at_coverage(counts: DataFrame, threshold: float = 0.95) -> DataFrame:
+    """Smallest k such that the k most frequent tokens cover >= threshold
+    of all tokens; 0 if never reached.
+
+    The token table is first collapsed to (freq, n_tokens) - at most a few
+    thousand rows even for huge corpora - and the ordered scan runs there;
+    the crossing group is solved in integer arithmetic (threshold as an
+    exact fraction), so no float accumulation error decides the answer.
+    """
+    from fractions import Fraction
+    q = Fraction(str(threshold))
+    num, den = q.numerator, q.denominator
+    h = counts.groupBy(F.col("count").alias("freq")).agg(F.count(F.lit(1)).alias("n_tok"))
+    w = Window.orderBy(F.desc("freq")).rowsBetween(Window.unboundedPreceding, -1)
+    c = h.select(
+        "freq", "n_tok",
+        F.coalesce(F.sum(F.col("freq") * F.col("n_tok")).over(w), F.lit(0)).alias("cum_before"),
+        F.coalesce(F.sum("n_tok").over(w), F.lit(0)).alias("tok_before"),
+        F.sum(F.col("freq") * F.col("n_tok")).over(Window.partitionBy()).alias("total"))
+    hit = c.where(F.lit(den) * (F.col("cum_before") + F.col("freq") * F.col("n_tok"))
+                  >= F.lit(num) * F.col("total"))
+    need = (F.lit(num) * F.col("total") - F.lit(den) * F.col("cum_before")
+            + F.lit(den) * F.col("freq") - 1) / (F.lit(den) * F.col("freq"))
+    k = hit.select(F.max_by(F.col("tok_before") + F.floor(need).cast("long"), F.col("freq")).alias("k"))
+    return k.select(F.coalesce("k", F.lit(0)).cast("long").alias("vocab_size"))
+
+
+# ---------------------------------------------------------------- lengths
+
+def _dist(c: str, prefix: str) -> list[Column]:
+    x = F.col(c)
+    return [F.coalesce(F.avg(x), F.lit(0.0)).alias(f"{prefix}_avg"),
+            F.coalesce(F.max(x), F.lit(0)).alias(f"{prefix}_max"),
+            F.coalesce(F.min(x), F.lit(0)).alias(f"{prefix}_min"),
+            F.coalesce(F.median(x), F.lit(0.0)).alias(f"{prefix}_median"),
+            F.coalesce(F.mode(x, True), F.lit(0)).alias(f"{prefix}_mode")]
+
+
+def length_stats(lens: DataFrame, x: str = "x", y: str = "y") -> DataFrame:
+    """avg/max/min/median/mode of input and target lengths, total count;
+    zeros on empty input. Mode ties resolve to the smallest value."""
+    out = lens.agg(*_dist(x, "x"), *_dist(y, "y"), F.count(F.lit(1)).alias("total_datapoints"))
+    return out.select(*[F.round(c, 6).alias(c) if c.endswith(("_avg", "_median")) else F.col(c)
+                        for c in out.columns])
+
+
+THRESHOLDS = (512, 1024, 2048, 4096, 8192)
+
+
+def length_stats_with_thresholds(lens: DataFrame, x: str = "x", y: str = "y",
+                                 thresholds: Sequence[int] = THRESHOLDS) -> DataFrame:
+    """Token sums, means and the share of samples with x + y >= t, one pass."""
+    tot = F.col(x) + F.col(y)
+    aggs = [F.coalesce(F.sum(x), F.lit(0)).alias("x_total_toks"),
+            F.coalesce(F.sum(y), F.lit(0)).alias("y_total_toks"),
+            F.round(F.coalesce(F.avg(x), F.lit(0.0)), 6).alias("x_avg"),
+            F.round(F.coalesce(F.avg(y), F.lit(0.0)), 6).alias("y_avg")]
+    aggs += [F.round(F.coalesce(F.avg(F.when(tot >= t, 1).otherwise(0)), F.lit(0.0)), 6)
+              .alias(f"geq_{t}") for t in thresholds]
+    aggs.append(F.count(F.lit(1)).alias("total_datapoints"))
+    return lens.agg(*aggs)
