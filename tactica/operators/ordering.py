@@ -5,10 +5,9 @@ task. When one logic, theory or session holds a third of the corpus, that
 task holds a third of the data. The helpers below give the same answers
 without ever routing a whole group through one task:
 
-* ``number_rows`` range-partitions on (group, order) so a hot group is cut
-  into many partitions, numbers rows locally with a monotonically increasing
-  id and adds a per-(partition, group) offset computed on a table whose size
-  is bounded by (#partitions + #groups).
+* ``number_rows`` cuts each group into buckets of its order key, numbers rows
+  per (group, bucket) and adds the sizes of the earlier buckets, so no task
+  holds more than one bucket of a hot group.
 * ``neighbour`` replaces ``lag``/``lead`` over dense positions with an
   equi-join on the unique composite key (group, pos +/- k), which hashes a hot
   group across all partitions.
@@ -20,6 +19,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
@@ -28,31 +28,42 @@ def _cols(names: Sequence[str | Column]) -> list[Column]:
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
                 name: str = "rn", base: int = 0,
-                count_name: str | None = None) -> DataFrame:
+                count_name: str | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``name`` = position of the row inside its ``by`` group.
 
     Equivalent to ``row_number() over (partition by by order by order) - 1 +
-    base`` for ascending, unique ``order`` keys, but skew-safe. Optionally also
-    adds ``count_name`` = size of the group. Group keys must be non-null.
+    base`` for ascending, unique ``order`` keys, but skew-safe: when the first
+    order key is numeric, the rows of a group are cut into equal-width
+    buckets of that key (``width_bucket`` over its global range), numbered
+    inside (group, bucket) by a window, and shifted by the sizes of the
+    earlier buckets of the group (a running sum over a table of at most
+    #groups x #buckets rows). Every step is a pure function of the data, so a
+    retried task reproduces the same numbers. Optionally adds ``count_name``
+    = size of the group. Group keys must be non-null.
     """
     spark = df.sparkSession
-    nparts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = _cols(list(by) + list(order))
-    ranged = (df.repartitionByRange(nparts, *keys)
-                .sortWithinPartitions(*keys)
-                .withColumn("_pid", F.spark_partition_id())
-                .withColumn("_mid", F.monotonically_increasing_id()))
-    blocks = ranged.groupBy("_pid", *by).agg(
-        F.min("_mid").alias("_first"), F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*by).orderBy("_pid").rowsBetween(
-        Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+    key = order[0]
+    numeric = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType,
+                                                     T.LongType, T.FloatType, T.DoubleType))
+    if numeric:
+        nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+        lo, hi = df.agg(F.min(key), F.max(key)).first()
+        lo = 0 if lo is None else lo
+        hi = lo if hi is None else hi
+        bucket = F.coalesce(F.width_bucket(F.col(key), F.lit(lo), F.lit(hi + 1), F.lit(nb)), F.lit(0))
+    else:
+        bucket = F.lit(0)
+    x = df.withColumn("_b", bucket)
+    inner = Window.partitionBy(*by, "_b").orderBy(*_cols(order))
+    local = x.withColumn("_lr", F.row_number().over(inner))
+    sizes = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
+    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_off", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     if count_name:
-        blocks = blocks.withColumn(count_name, F.sum("_cnt").over(Window.partitionBy(*by)))
-    blocks = blocks.drop("_cnt")
-    out = ranged.join(blocks, ["_pid", *by]).withColumn(
-        name, F.col("_off") + F.col("_mid") - F.col("_first") + F.lit(base))
-    return out.drop("_pid", "_mid", "_first", "_off")
+        sizes = sizes.withColumn(count_name, F.sum("_cnt").over(Window.partitionBy(*by)))
+    out = local.join(sizes.drop("_cnt"), [*by, "_b"]).withColumn(
+        name, F.col("_off") + F.col("_lr") - F.lit(1) + F.lit(base))
+    return out.drop("_b", "_lr", "_off")
 
 
 def neighbour(df: DataFrame, key: Sequence[str], pos: str, offset: int,
