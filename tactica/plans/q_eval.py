@@ -250,8 +250,8 @@ def _metric_rows(spark, sf_dir):
         UNION ALL SELECT proof, seq, 'duration', 'float', CAST(duration AS VARCHAR) FROM attempts
         UNION ALL SELECT proof, seq, 'last_kind', 'other', kind FROM attempts)
 SELECT run, key, first(kind) AS kind,
-       round(CASE WHEN first(kind) = 'int' THEN CAST(sum(CAST(value AS BIGINT)) AS DOUBLE)
-                  WHEN first(kind) = 'float' THEN sum(CAST(value AS DOUBLE)) END, 6) AS number,
+       round(CASE WHEN first(kind) = 'int' THEN CAST(sum(TRY_CAST(value AS BIGINT)) AS DOUBLE)
+                  WHEN first(kind) = 'float' THEN sum(TRY_CAST(value AS DOUBLE)) END, 6) AS number,
        CASE WHEN first(kind) NOT IN ('int', 'float') THEN arg_max(value, seq) END AS text,
        count(*) AS updates
 FROM m GROUP BY run, key""", ("attempts",))
