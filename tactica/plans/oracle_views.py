@@ -68,4 +68,4 @@ def with_views(body: str, *names: str) -> str:
         visit(n)
     if not order:
         return body
-    return "WITH " + ",\n".join(VIEWS[n][1] for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(VIEWS[n][1] for n in order) + "\n" + body
