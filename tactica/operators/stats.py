@@ -155,3 +155,44 @@ def length_stats_with_thresholds(lens: DataFrame, x: str = "x", y: str = "y",
               .alias(f"geq_{t}") for t in thresholds]
     aggs.append(F.count(F.lit(1)).alias("total_datapoints"))
     return lens.agg(*aggs)
+
+
+# ---------------------------------------------------------------- corpus layout
+
+def group_by_logic_theory(paths: DataFrame, path: str = "path", rel: str = "rel") -> DataFrame:
+    """(logic, theory, proof_num, path) for every ``proof<digits>.json``:
+    logic = first part of the relative path, theory = parent directory +
+    '.thy' (same-named theories in different folders merge). Other names are
+    skipped. The sorted list of the reference is this long table ordered by
+    (logic, theory, proof_num); ``theory_summary`` gives one row per group."""
+    parts = F.split(F.col(rel), "/")
+    num = F.regexp_extract(F.element_at(parts, -1), r"proof(\d+)\.json$", 1)
+    return (paths.where(num != "")
+                 .select(F.element_at(parts, 1).alias("logic"),
+                         F.concat(F.element_at(parts, -2), F.lit(".thy")).alias("theory"),
+                         num.cast("long").alias("proof_num"), F.col(path)))
+
+
+def theory_summary(grouped: DataFrame) -> DataFrame:
+    """Per (logic, theory) the number of proofs and first/last by number."""
+    return grouped.groupBy("logic", "theory").agg(
+        F.count(F.lit(1)).alias("n_proofs"), F.min("proof_num").alias("first_num"),
+        F.max("proof_num").alias("last_num"), F.min_by("path", "proof_num").alias("first_path"))
+
+
+def distinct_terms(df: DataFrame, key: Sequence[str], terms: Column, name: str = "term") -> DataFrame:
+    """Distinct terms per key (explode + distinct, no per-key collection)."""
+    return df.select(*key, F.explode(terms).alias(name)).distinct()
+
+
+def generic_fold(df: DataFrame, by: Sequence[str], mapped: Column, merge: str = "sum",
+                 source: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """fold = per-row map (a Column) + decomposable merge aggregate
+    ('sum', 'min', 'max', 'count', 'collect_set'). Rows whose map fails (null
+    result for a non-null ``source``) are reported in a side table, not
+    folded - like the reference's fold that skips and reports failing paths."""
+    x = df.withColumn("_m", mapped)
+    failed = x.where(F.col("_m").isNull() & (source.isNotNull() if source is not None else F.lit(True)))
+    ok = x.where(F.col("_m").isNotNull())
+    agg = {"sum": F.sum, "min": F.min, "max": F.max, "count": F.count, "collect_set": F.collect_set}[merge]
+    return ok.groupBy(*by).agg(agg("_m").alias("folded")), failed.drop("_m")
