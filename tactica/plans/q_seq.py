@@ -9,7 +9,10 @@ from tactica.plans.registry import query
 from tactica.sources import adapters as ad
 
 KEY = ["session"]
-USER = F.col("kind") == "user"
+
+
+def _user():
+    return F.col("kind") == "user"
 
 
 def _s(spark, sf_dir):
@@ -21,8 +24,8 @@ SELECT session, pos, pos = min(pos) OVER (PARTITION BY session) AS is_first
 FROM sessions WHERE kind = 'user'""", ("sessions",))
 def w03_positions_where(spark, sf_dir):
     s = _s(spark, sf_dir)
-    hits = S.positions_where(s, KEY, "pos", USER)
-    first = S.first_position(s, KEY, "pos", USER)
+    hits = S.positions_where(s, KEY, "pos", _user())
+    first = S.first_position(s, KEY, "pos", _user())
     return hits.join(first, KEY).select("session", "pos", (F.col("pos") == F.col("first_hit")).alias("is_first"))
 
 
@@ -32,7 +35,7 @@ def w03_positions_where(spark, sf_dir):
 SELECT session, flag, min(pos) AS start, max(pos) AS "end", count(*) AS length
 FROM g GROUP BY session, flag, grp""", ("sessions",))
 def w04_runs_by_predicate(spark, sf_dir):
-    return S.runs_by_predicate(_s(spark, sf_dir), KEY, "pos", USER)
+    return S.runs_by_predicate(_s(spark, sf_dir), KEY, "pos", _user())
 
 
 @query("w05_neighbourhoods", """
@@ -40,7 +43,7 @@ SELECT c.session, c.pos AS center, s.pos - c.pos AS "offset", s.pos, s.kind
 FROM sessions c JOIN sessions s ON s.session = c.session AND s.pos BETWEEN c.pos - 1 AND c.pos + 1
 WHERE c.kind = 'user'""", ("sessions",))
 def w05_neighbourhoods(spark, sf_dir):
-    return S.neighbourhoods(_s(spark, sf_dir), KEY, "pos", USER, 1, ["kind"]).select(
+    return S.neighbourhoods(_s(spark, sf_dir), KEY, "pos", _user(), 1, ["kind"]).select(
         "session", "center", "offset", "pos", "kind")
 
 
@@ -53,7 +56,7 @@ SELECT s.session, s.pos,
        miss IS NULL OR pos < miss AS take_while, miss IS NOT NULL AND pos >= miss AS drop_while
 FROM sessions s JOIN f USING (session)""", ("sessions",))
 def w06_until_while_cuts(spark, sf_dir):
-    return S.until_while_cuts(_s(spark, sf_dir), KEY, "pos", USER).select(
+    return S.until_while_cuts(_s(spark, sf_dir), KEY, "pos", _user()).select(
         "session", "pos", "take_until", "take_until_excl", "drop_until", "drop_until_excl",
         "take_while", "drop_while")
 
@@ -68,7 +71,7 @@ SELECT session, pos,
        CASE WHEN hit IS NULL OR pos < hit THEN 'before' WHEN pos = hit THEN 'at' ELSE 'after' END AS trisect
 FROM f JOIN h USING (session)""", ("sessions",))
 def w07_split_when(spark, sf_dir):
-    return S.split_when(_s(spark, sf_dir), KEY, "pos", USER).select(
+    return S.split_when(_s(spark, sf_dir), KEY, "pos", _user()).select(
         "session", "pos", "piece", "part", "trisect")
 
 
