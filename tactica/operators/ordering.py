@@ -67,10 +67,12 @@ def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
 
 
 def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
-                sums: dict[str, Column], buckets: int | None = None) -> DataFrame:
-    """Add running (inclusive) sums in ``order`` inside each ``by`` group,
-    skew-safe in the same way as ``number_rows``: a window per (group,
-    bucket of the first order key) plus the totals of the earlier buckets."""
+                sums: dict[str, Column], buckets: int | None = None, how: str = "sum") -> DataFrame:
+    """Add running (inclusive) sums - or maxima with ``how='max'`` - in
+    ``order`` inside each ``by`` group, skew-safe in the same way as
+    ``number_rows``: a window per (group, bucket of the first order key) plus
+    the totals of the earlier buckets (a table of #groups x #buckets rows)."""
+    agg = {"sum": F.sum, "max": F.max}[how]
     spark = df.sparkSession
     key = order[0]
     nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -83,13 +85,17 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
         x = x.withColumn(f"_v_{n}", c)
     inner = Window.partitionBy(*by, "_b").orderBy(*_cols(order)).rowsBetween(
         Window.unboundedPreceding, 0)
-    local = x.select("*", *[F.sum(f"_v_{n}").over(inner).alias(f"_l_{n}") for n in sums])
-    tot = x.groupBy(*by, "_b").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    local = x.select("*", *[agg(f"_v_{n}").over(inner).alias(f"_l_{n}") for n in sums])
+    tot = x.groupBy(*by, "_b").agg(*[agg(f"_v_{n}").alias(f"_t_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*by, "_b", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}")
+    zero = F.lit(0) if how == "sum" else F.lit(None)
+    tot = tot.select(*by, "_b", *[F.coalesce(agg(f"_t_{n}").over(before), zero).alias(f"_o_{n}")
                                   for n in sums])
     out = local.join(tot, [*by, "_b"])
-    out = out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in sums})
+    if how == "sum":
+        out = out.withColumns({n: F.col(f"_o_{n}") + F.col(f"_l_{n}") for n in sums})
+    else:
+        out = out.withColumns({n: F.greatest(F.col(f"_o_{n}"), F.col(f"_l_{n}")) for n in sums})
     return out.drop("_b", *[f"_{p}_{n}" for n in sums for p in ("v", "l", "o")])
 
 
