@@ -66,7 +66,7 @@ def token_accuracy_metrics(df: DataFrame, labels: str, predicted: str, loss: str
         *by, F.col(loss).alias("_loss"),
         F.aggregate(hits, F.lit(0), lambda a, x: a + x).alias("_hits"),
         F.aggregate(counted, F.lit(0), lambda a, x: a + x).alias("_toks"),
-        F.when(F.element_at(lab, 1) == F.element_at(pred, 1), 1).otherwise(0).alias("_first"))
+        F.when(F.try_element_at(lab, F.lit(1)) == F.try_element_at(pred, F.lit(1)), 1).otherwise(0).alias("_first"))
     return per.groupBy(*by).agg(
         F.count(F.lit(1)).alias("samples"),
         F.avg("_loss").alias("avg_loss"),
@@ -85,7 +85,7 @@ def match_classes(df: DataFrame, labels: str, predicted: str, batch: str = "batc
     pred = F.col(predicted)
     if pad is not None:
         starts = df.groupBy(batch).agg(
-            F.min(F.when(F.element_at(pred, 1) == F.lit(pad), 1).otherwise(0)).alias("_all_pad"))
+            F.min(F.when(F.try_element_at(pred, F.lit(1)) == F.lit(pad), 1).otherwise(0)).alias("_all_pad"))
         df = df.join(starts, batch).withColumn(
             predicted, F.when(F.col("_all_pad") == 1, F.slice(pred, 2, 1 << 30)).otherwise(pred)
         ).drop("_all_pad")
@@ -95,7 +95,7 @@ def match_classes(df: DataFrame, labels: str, predicted: str, batch: str = "batc
     lt, pt = F.slice(lab, 1, m), F.slice(pred, 1, m)
     eq = F.zip_with(lt, pt, lambda a, b: a == b)
     exact = F.forall(eq, lambda e: e)
-    first = F.element_at(lab, 1) == F.element_at(pred, 1)
+    first = F.try_element_at(lab, F.lit(1)) == F.try_element_at(pred, F.lit(1))
     return df.withColumns({
         "exact": exact,
         "coincide": F.coalesce(first, F.lit(False)) & ~exact,

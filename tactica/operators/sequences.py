@@ -188,3 +188,16 @@ def trailing_run(df: DataFrame, key: Sequence[str], pos: str, in_proof: Column,
                       .join(df.select(*key, pos, F.col(item).alias("closing_action")), [*key, pos], "left") \
                       .drop(pos)
     return trailing.join(closing, list(key), "full")
+
+
+def ordered_distinct(df: DataFrame, key: Sequence[str], pos: str, value: str) -> DataFrame:
+    """Distinct values per group, first occurrence kept (its position
+    gives the order) - a partial ``min`` aggregate, nothing collected."""
+    return df.groupBy(*key, value).agg(F.min(pos).alias("first_pos"))
+
+
+def top_distinct(df: DataFrame, group: Sequence[str], name: str, rank: str, n: int) -> DataFrame:
+    """Ranked lists flattened in rank order, first occurrence per name,
+    first ``n`` per group (skew-safe numbering of the distinct names)."""
+    first = df.groupBy(*group, name).agg(F.min(rank).alias(rank))
+    return number_rows(first, list(group), [rank], "position").where(F.col("position") < n)

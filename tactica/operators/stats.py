@@ -166,10 +166,10 @@ def group_by_logic_theory(paths: DataFrame, path: str = "path", rel: str = "rel"
     skipped. The sorted list of the reference is this long table ordered by
     (logic, theory, proof_num); ``theory_summary`` gives one row per group."""
     parts = F.split(F.col(rel), "/")
-    num = F.regexp_extract(F.element_at(parts, -1), r"proof(\d+)\.json$", 1)
+    num = F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"proof(\d+)\.json$", 1)
     return (paths.where(num != "")
-                 .select(F.element_at(parts, 1).alias("logic"),
-                         F.concat(F.element_at(parts, -2), F.lit(".thy")).alias("theory"),
+                 .select(F.try_element_at(parts, F.lit(1)).alias("logic"),
+                         F.concat(F.try_element_at(parts, F.lit(-2)), F.lit(".thy")).alias("theory"),
                          num.cast("long").alias("proof_num"), F.col(path)))
 
 

@@ -59,7 +59,7 @@ def explode_steps(df: DataFrame, proof: str = "proof") -> DataFrame:
 
 def objective(proof: Column) -> Column:
     """Action of step 0."""
-    return F.element_at(proof, 1)["action"]
+    return F.try_element_at(proof, F.lit(1))["action"]
 
 
 def tactic_actions(proof: Column) -> Column:
@@ -211,3 +211,20 @@ def group_names_by_type(df: DataFrame, key: Sequence[str], type_col: str,
         *key, F.concat(F.lit("Type"), (F.row_number().over(w) - 1).cast("string")).alias("type_group"),
         F.concat(F.array_join(F.transform("_occ", lambda o: o["n"]), ", "), F.lit(" :: "),
                  F.col(type_col).cast("string")).alias("names"))
+
+
+def prompt_requests(requests: DataFrame, data_format: str = "state", prompt: str = CHAT_PROMPT,
+                    so_far: str = "proof_so_far", state: str = "user_state") -> DataFrame:
+    """Request rows -> prompt text: missing fields default to "", the
+    format's context fields are attached (``[]`` when absent), rendered as
+    Python JSON and put into the prompt template."""
+    cols = set(requests.columns)
+    parts = [F.lit('{"proof_so_far": '), json_str(F.coalesce(F.col(so_far), F.lit(""))),
+             F.lit(', "last_usr_state": '), json_str(F.coalesce(F.col(state), F.lit("")))]
+    for name in context_fields(data_format):
+        dt = requests.schema[name].dataType if name in cols else None
+        val = F.col(f"`{name}`") if name in cols else F.lit(None)
+        parts += [F.lit(f', "{name}": '), _json_or_empty(requests, val, dt)]
+    parts.append(F.lit("}"))
+    before, after = prompt.split("{context}")
+    return requests.withColumn("prompt", F.concat(F.lit(before), F.concat(*parts), F.lit(after)))

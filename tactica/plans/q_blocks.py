@@ -63,7 +63,7 @@ FROM (SELECT session, pos, a, unnest(range(1, len(a) + 1)) AS i FROM adds WHERE
 def w13_proven_so_far(spark, sf_dir):
     c = ad.table(spark, sf_dir, "conversations").select(
         F.col("conv_id").alias("session"), F.col("turn").alias("pos"),
-        (F.col("role") != "assistant").alias("ap"), F.element_at(F.split("text", " "), 1).alias("goal"),
+        (F.col("role") != "assistant").alias("ap"), F.try_element_at(F.split("text", " "), F.lit(1)).alias("goal"),
         (F.col("role") == "user").alias("cl"), F.slice(F.split("text", " "), 2, 2).alias("facts"))
     out = S.proven_so_far(c, ["session"], "pos", F.col("ap"), "goal", F.col("cl"), "facts")
     return out.select("session", F.col("_at").alias("at_pos"), F.col("_i").alias("i"), "term")

@@ -25,7 +25,7 @@ def _commands(spark, sf_dir):
     """(session, pos, command, role, kind): command = first word of a turn."""
     c = ad.table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("session"), F.col("turn").alias("pos"),
-                    F.element_at(F.split("text", " "), 1).alias("command"), "role",
+                    F.try_element_at(F.split("text", " "), F.lit(1)).alias("command"), "role",
                     _kind_of(F.col("role")).alias("kind"))
 
 

@@ -152,7 +152,7 @@ FROM proofs""", ("proofs",))
 def p14_proof_task_table(spark, sf_dir):
     p = ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir)))
     return p.select("proof_id", "logic", "theory", "proof_num", "path",
-                    X.balance_quotes(F.element_at("actions", 1)).alias("objective"))
+                    X.balance_quotes(F.try_element_at("actions", F.lit(1))).alias("objective"))
 
 
 # ----------------------------------------------------------------- P18, P19

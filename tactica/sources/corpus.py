@@ -63,12 +63,12 @@ def scan_corpus(spark: SparkSession, root: str, glob: str = PROOF_GLOB,
     rootp = re.escape(_root_path(root))
     rel = F.regexp_extract("path", f"{rootp}/(.*)$", 1)
     parts = F.split(rel, "/")
-    num = F.regexp_extract(F.element_at(parts, -1), r"proof(\d+)\.json$", 1)
+    num = F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"proof(\d+)\.json$", 1)
     ok = F.try_parse_json("raw").isNotNull() & F.ltrim(F.col("raw")).startswith("{")
     parsed = F.when(ok, F.from_json("raw", schema))
     return raw.select(
-        "path", rel.alias("rel"), F.element_at(parts, 1).alias("logic"),
-        F.element_at(parts, -2).alias("theory"),
+        "path", rel.alias("rel"), F.try_element_at(parts, F.lit(1)).alias("logic"),
+        F.try_element_at(parts, F.lit(-2)).alias("theory"),
         F.when(num != "", num.cast("int")).alias("proof_num"), "raw", ok.alias("ok"),
         parsed.alias("_p")).select("*", "_p.*").drop("_p")
 
@@ -164,7 +164,7 @@ def key_paths(df: DataFrame, raw: str = "raw", max_depth: int = 16) -> DataFrame
         objs = level.select("path", F.explode(obj).alias("k", "v")).select(
             F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), "v")
         arrs = level.where(arr.isNotNull()).select(
-            F.concat(F.col("path"), F.lit("[]")).alias("path"), F.element_at(arr, 1).alias("v"))
+            F.concat(F.col("path"), F.lit("[]")).alias("path"), F.try_element_at(arr, F.lit(1)).alias("v"))
         nxt = objs.unionByName(arrs)
         found = nxt.select("path")
         out = found if out is None else out.unionByName(found)
