@@ -24,6 +24,16 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+# The accumulated state is a union of checkpointed per-round pieces; it is
+# itself checkpointed every few rounds so plans stay small.
+STATE_CKPT_EVERY = 4
+
+
+def _grow(state: DataFrame, new: DataFrame, rnd: int) -> DataFrame:
+    out = state.unionByName(new)
+    return _ckpt(out) if rnd % STATE_CKPT_EVERY == 0 else out
+
+
 # ------------------------------------------------------------------ G01 - G03
 
 def build_graph(adjacency: DataFrame, key: str = "key", succs: str = "succs",
@@ -71,12 +81,14 @@ def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> Dat
                      F.col("src" if backward else "dst").alias("next"))
     reached = _ckpt(seeds.select("key").distinct())
     frontier = reached
+    rnd = 0
     while True:
+        rnd += 1
         step = frontier.join(e, "key").select(F.col("next").alias("key")).distinct()
         new = _ckpt(step.join(reached, "key", "left_anti"))
         if new.isEmpty():
             return reached
-        reached = _ckpt(reached.unionByName(new))
+        reached = _grow(reached, new, rnd)
         frontier = new
 
 
@@ -85,14 +97,16 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     e = edges.select("src", "dst").distinct()
     closure = _ckpt(e)
     delta = closure
+    rnd = 0
     while True:
+        rnd += 1
         step = (delta.select("src", F.col("dst").alias("mid"))
                      .join(e.select(F.col("src").alias("mid"), "dst"), "mid")
                      .select("src", "dst").distinct())
         new = _ckpt(step.join(closure, ["src", "dst"], "left_anti"))
         if new.isEmpty():
             return closure
-        closure = _ckpt(closure.unionByName(new))
+        closure = _grow(closure, new, rnd)
         delta = new
 
 
@@ -110,6 +124,7 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
     has_in = e.select(F.col("next").alias("key")).distinct()
     level = _ckpt(nodes.select("key").join(has_in, "key", "left_anti").withColumn(name, F.lit(0).cast("long")))
     frontier = level
+    rnd = 0
     while True:
         cand = (frontier.join(w, "key").join(e, "key")
                         .groupBy(F.col("next").alias("key"))
@@ -119,7 +134,9 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
         better = _ckpt(better)
         if better.isEmpty():
             return level
-        level = _ckpt(level.join(better.select("key"), "key", "left_anti").unionByName(better))
+        rnd += 1
+        level = level.join(better.select("key"), "key", "left_anti").unionByName(better)
+        level = _ckpt(level) if rnd % STATE_CKPT_EVERY == 0 else level
         frontier = better
 
 
@@ -138,13 +155,16 @@ def min_label(edges: DataFrame, labels: DataFrame, name: str = "label") -> DataF
     e = edges.select(F.col("src").alias("key"), F.col("dst").alias("next"))
     lab = _ckpt(labels.groupBy("key").agg(F.min(name).alias(name)))
     frontier = lab
+    rnd = 0
     while True:
         cand = frontier.join(e, "key").groupBy(F.col("next").alias("key")).agg(F.min(name).alias(name))
         better = _ckpt(cand.join(lab.withColumnRenamed(name, "_old"), "key", "left")
                            .where(F.col("_old").isNull() | (F.col(name) < F.col("_old"))).select("key", name))
         if better.isEmpty():
             return lab
-        lab = _ckpt(lab.join(better.select("key"), "key", "left_anti").unionByName(better))
+        rnd += 1
+        lab = lab.join(better.select("key"), "key", "left_anti").unionByName(better)
+        lab = _ckpt(lab) if rnd % STATE_CKPT_EVERY == 0 else lab
         frontier = better
 
 

@@ -228,3 +228,74 @@ def prompt_requests(requests: DataFrame, data_format: str = "state", prompt: str
     parts.append(F.lit("}"))
     before, after = prompt.split("{context}")
     return requests.withColumn("prompt", F.concat(F.lit(before), F.concat(*parts), F.lit(after)))
+
+
+# ------------------------------------------------------------------ P10 lengths
+
+def _space_stats(s: Column) -> tuple[Column, Column, Column, Column]:
+    """(runs of non-space characters, starts with non-space, ends with
+    non-space, is empty) where only U+0020 counts as space."""
+    return (F.coalesce(F.regexp_count(s, F.lit("[^ ]+")), F.lit(0)),
+            F.coalesce(s.rlike("^[^ ]"), F.lit(False)),
+            F.coalesce(s.rlike("[^ ]$"), F.lit(False)),
+            F.coalesce(F.length(s) == 0, F.lit(True)))
+
+
+def _lit_stats(text: str) -> tuple[Column, Column, Column, Column]:
+    runs = len(text.split(" ")) - text.split(" ").count("")
+    return (F.lit(runs), F.lit(bool(text) and text[0] != " "), F.lit(bool(text) and text[-1] != " "),
+            F.lit(text == ""))
+
+
+def _join_stats(a, b):
+    ra, sa, ea, za = a
+    rb, sb, eb, zb = b
+    merge = (~za & ~zb & ea & sb).cast("int")
+    return (ra + rb - merge, F.when(za, sb).otherwise(sa), F.when(zb, ea).otherwise(eb), za & zb)
+
+
+def input_word_counts(df: DataFrame, data_format: str = "state", proof: str = "proof",
+                      keep: Sequence[str] = ("proof_id",)) -> DataFrame:
+    """Whitespace-token counts of P10's (input, target) without building the
+    input text: (keep, step, n_x, n_y).
+
+    In Python-escaped JSON the only whitespace left is U+0020, so the tokens
+    of the input are the runs of non-space characters. The input is
+    ``P0 + join(line_1..line_i, '\\n') + Q + json(user_state) + ctx + '}'``;
+    token counts of a concatenation follow from (runs, starts non-space, ends
+    non-space, empty) of the parts, and the prefix part from running sums of
+    per-line figures. Work per proof is linear in its size instead of the
+    quadratic size of all its inputs. Equal to ``len(input.split())``.
+    """
+    from tactica.functions.text import py_word_count
+
+    acts = F.transform(proof, lambda s: s["action"])
+    runs = F.transform(acts, lambda a: F.coalesce(F.regexp_count(a, F.lit("[^ ]+")), F.lit(0)))
+    st = F.transform(acts, lambda a: F.coalesce(a.rlike("^[^ ]"), F.lit(False)).cast("int"))
+    en = F.transform(acts, lambda a: F.coalesce(a.rlike("[^ ]$"), F.lit(False)).cast("int"))
+    em = F.transform(acts, lambda a: (F.coalesce(F.length(a), F.lit(0)) == 0).cast("int"))
+    base = df.select(*keep, proof, runs.alias("_r"), st.alias("_s"), en.alias("_e"), em.alias("_z"))
+    x = base.select(*keep, "_r", "_s", "_e", "_z", F.posexplode(proof).alias("step", "_st")).where("step >= 1")
+
+    i = F.col("step")  # prefix holds lines 1..i (1-based), i.e. actions[0..i-1]
+    nz = F.zip_with("_e", "_z", lambda e, z: e * (1 - z))
+    sz = F.zip_with("_s", "_z", lambda s, z: s * (1 - z))
+    # W(J_i) = sum r + (i-1) - sum_{k<i, nonempty} e_k - sum_{2<=k<=i, nonempty} s_k - #{1<k<i empty}
+    sum_r = F.aggregate(F.slice("_r", 1, i), F.lit(0), lambda a, v: a + v)
+    sum_e = F.aggregate(F.slice(nz, 1, i - 1), F.lit(0), lambda a, v: a + v)
+    sum_s = F.aggregate(F.slice(sz, 2, i - 1), F.lit(0), lambda a, v: a + v)
+    mid_empty = F.aggregate(F.slice("_z", 2, i - 2), F.lit(0), lambda a, v: a + v)
+    runs_j = sum_r + (i - 1) - sum_e - sum_s - F.when(i > 2, mid_empty).otherwise(F.lit(0))
+    z1 = F.try_element_at("_z", F.lit(1)) == 1
+    zi = F.try_element_at("_z", i) == 1
+    starts_j = F.when(~z1, F.try_element_at("_s", F.lit(1)) == 1).otherwise(i > 1)
+    ends_j = F.when(~zi, F.try_element_at("_e", i) == 1).otherwise(i > 1)
+    empty_j = z1 & (i == 1)
+    us = F.coalesce(F.col("_st")["user_state"], F.lit(""))
+    ctx = "".join(f', "{n}": []' for n in context_fields(data_format))  # adapter: fields absent
+    pieces = [_lit_stats('{"proof_so_far": "'), (runs_j, starts_j, ends_j, empty_j),
+              _lit_stats('", "last_usr_state": "'), _space_stats(us), _lit_stats('"' + ctx + "}")]
+    acc = pieces[0]
+    for p in pieces[1:]:
+        acc = _join_stats(acc, p)
+    return x.select(*keep, "step", acc[0].alias("n_x"), py_word_count(F.col("_st")["action"]).alias("n_y"))

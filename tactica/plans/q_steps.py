@@ -193,8 +193,7 @@ SELECT proof_id, step, {words('input')} AS n_x, {words('target')} AS n_y FROM pa
 WHERE {words('input')} + {words('target')} <= 1024""", ("proofs",))
 def f02_context_length_filter(spark, sf_dir):
     from tactica.operators.filters import context_length_filter
-    pairs = _pairs(spark, sf_dir, "state").withColumns({
-        "n_x": X.py_word_count(F.col("input")), "n_y": X.py_word_count(F.col("target"))})
+    pairs = steps.input_word_counts(_records(spark, sf_dir), "state")
     return context_length_filter(pairs, "state", F.col("n_x") + F.col("n_y")).select(
         "proof_id", "step", "n_x", "n_y")
 
@@ -381,8 +380,8 @@ SELECT round(coalesce(avg(x), 0), 6) AS x_avg, round(coalesce(avg(y), 0), 6) AS
        coalesce({_mode_sql('x')}, 0) AS x_mode, coalesce({_mode_sql('y')}, 0) AS y_mode,
        count(*) AS total_datapoints FROM lens""", ("proofs",))
 def a03_length_stats(spark, sf_dir):
-    lens = _pairs(spark, sf_dir, "state").select(
-        X.py_word_count(F.col("input")).alias("x"), X.py_word_count(F.col("target")).alias("y"))
+    lens = steps.input_word_counts(_records(spark, sf_dir), "state").select(
+        F.col("n_x").alias("x"), F.col("n_y").alias("y"))
     return stats.length_stats(lens, "x", "y")
 
 
@@ -396,6 +395,6 @@ SELECT CAST(coalesce(sum(x), 0) AS BIGINT) AS x_total_toks, CAST(coalesce(sum(y)
        round(coalesce(avg(CASE WHEN x + y >= 8192 THEN 1 ELSE 0 END), 0), 6) AS geq_8192,
        count(*) AS total_datapoints FROM lens""", ("proofs",))
 def a04_length_stats_with_thresholds(spark, sf_dir):
-    lens = _pairs(spark, sf_dir, "state").select(
-        X.py_word_count(F.col("input")).alias("x"), X.py_word_count(F.col("target")).alias("y"))
+    lens = steps.input_word_counts(_records(spark, sf_dir), "state").select(
+        F.col("n_x").alias("x"), F.col("n_y").alias("y"))
     return stats.length_stats_with_thresholds(lens, "x", "y")

@@ -158,3 +158,49 @@ def bad_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         F.concat(F.lit("events/proof"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"),
         F.when(F.col("event_id") % 7 == 0, cut).otherwise(F.col("props")).alias("raw"))
+
+
+# --------------------------------------------------------------------------
+# imports: pages as theory folders, ROOT texts and import lists
+# --------------------------------------------------------------------------
+
+def _page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pg = table(spark, sf_dir, "pages")
+    host = F.regexp_extract("url", r"^[a-z]+://([^/:?#]+)", 1)
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]+(/[^?#]*)?", 1)
+    return pg.select("page_id", host.alias("host"), F.regexp_extract(host, r"^([^.]+)", 1).alias("label"),
+                     F.regexp_extract(path, r"^/([^/]+)", 1).alias("lang"),
+                     F.regexp_extract(path, r"([^/]+)$", 1).alias("leaf"),
+                     F.regexp_extract_all("html", F.lit(r'href="/([^"]*)"'), F.lit(1)).alias("links"))
+
+
+def root_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, lang, label, text): a ROOT text per page with two sessions."""
+    p = _page_parts(spark, sf_dir)
+    text = F.concat(F.lit("session "), F.col("label"), F.lit(" ("), F.col("lang"), F.lit(') in "'),
+                    F.col("lang"), F.lit("/"), F.col("leaf"), F.lit('" = HOL +\n  theories '), F.col("leaf"),
+                    F.lit('\nsession "'), F.col("label"), F.lit("-"), F.col("leaf"), F.lit('" = '),
+                    F.col("label"), F.lit("\n"))
+    return p.select("page_id", "lang", "label", text.alias("text"))
+
+
+def theory_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(dir, name, path): the link words of a page are theory files in the
+    folder named by its host."""
+    p = _page_parts(spark, sf_dir)
+    return (p.select(F.col("host").alias("dir"), F.explode("links").alias("w")).distinct()
+             .select("dir", F.concat("w", F.lit(".thy")).alias("name"),
+                     F.concat_ws("/", "dir", F.concat("w", F.lit(".thy"))).alias("path")))
+
+
+def theory_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(importer_dir, import_name): a page imports the link words of the next
+    page (joined on the unique page_id + 1) and its own leaf name, qualified
+    by its language (the leaf names are not theory files: unresolved)."""
+    p = _page_parts(spark, sf_dir)
+    nxt = p.select((F.col("page_id") - 1).alias("page_id"), F.col("links").alias("next_links"))
+    j = p.join(nxt, "page_id")
+    linked = j.select(F.col("host").alias("importer_dir"), "lang", F.explode("next_links").alias("w"))
+    own = p.select(F.col("host").alias("importer_dir"), "lang", F.col("leaf").alias("w"))
+    return (linked.unionByName(own)
+                  .select("importer_dir", F.concat_ws(".", "lang", "w").alias("import_name")).distinct())
