@@ -287,3 +287,59 @@ def local_in_dependency_order(nodes: DataFrame, edges: DataFrame, local: Column)
     """Local nodes in dependency order (G05 levels, then key)."""
     lv = longest_paths(nodes, edges)
     return lv.join(nodes.where(local).select("key"), "key", "left_semi")
+
+
+# ------------------------------------------------------------------ G11
+
+def irreducible_preds(edges: DataFrame, x_set: DataFrame) -> DataFrame:
+    """G11 helper: (z, p) = the irreducible predecessors of every node z:
+    predecessors reachable from the source set ``x_set`` that are not the
+    tail of an edge into another predecessor still in play. Predecessors are
+    visited in ascending key order like the reference, so a predecessor
+    dropped earlier no longer makes others reducible (a fold over the sorted
+    predecessor list of one node - bounded by its in-degree)."""
+    preds = edges.select(F.col("dst").alias("z"), F.col("src").alias("p"))
+    inx = x_set.select(F.col("key").alias("p")).withColumn("in_x", F.lit(True))
+    among = (preds.alias("a").join(edges.alias("e"), F.col("a.p") == F.col("e.src"))
+                  .join(preds.alias("b"), (F.col("b.z") == F.col("a.z")) & (F.col("b.p") == F.col("e.dst")))
+                  .where(F.col("e.dst") != F.col("a.z"))
+                  .select(F.col("a.z").alias("z"), F.col("a.p").alias("p"), F.col("e.dst").alias("q")))
+    succ = among.groupBy("z", "p").agg(F.collect_set("q").alias("succs"))
+    info = (preds.join(inx, "p", "left").join(succ, ["z", "p"], "left")
+                 .select("z", F.struct("p", F.coalesce("in_x", F.lit(False)).alias("in_x"),
+                                       F.coalesce("succs", F.array().cast("array<long>")).alias("succs")).alias("i")))
+    lists = info.groupBy("z").agg(F.array_sort(F.collect_list("i")).alias("ps"))
+    lists = lists.withColumn("ps", F.transform("ps", lambda e, j: F.struct(
+        e["p"].alias("p"), e["in_x"].alias("in_x"), e["succs"].alias("succs"),
+        F.transform(F.slice("ps", j + 2, 1 << 30), lambda r: r["p"]).alias("rest"))))
+
+    def keep_step(kept, e):
+        reducible = F.exists(e["succs"], lambda q: F.array_contains(e["rest"], q) | F.array_contains(kept, q))
+        drop = ~e["in_x"] | (e["p"] == F.col("z")) | reducible
+        return F.when(drop, kept).otherwise(F.array_append(kept, e["p"]))
+
+    kept = F.aggregate("ps", F.array().cast("array<long>"), keep_step)
+    return lists.select("z", F.explode(kept).alias("p"))
+
+
+def irreducible_paths(edges: DataFrame, x: int, y: int) -> DataFrame:
+    """Every Hasse-diagram path from ``x`` to ``y`` as (path_id, pos, key)
+    rows, built backwards from y through irreducible predecessors; a node
+    already on the path is never revisited."""
+    spark = edges.sparkSession
+    x_set = reachable(edges, spark.createDataFrame([(x,)], "key long"))
+    irr = _ckpt(irreducible_preds(edges, x_set))
+    frontier = _ckpt(spark.createDataFrame([([], y)], "path array<long>, z long"))
+    done = None
+    while True:
+        hit = frontier.where(F.col("z") == x).select(F.concat(F.array(F.col("z")), "path").alias("path"))
+        done = hit if done is None else done.unionByName(hit)
+        step = (frontier.where(F.col("z") != x).join(irr, "z")
+                        .where(~F.array_contains(F.col("path"), F.col("p")))
+                        .select(F.concat(F.array(F.col("z")), "path").alias("path"), F.col("p").alias("z")))
+        frontier = _ckpt(step)
+        if frontier.isEmpty():
+            break
+    paths = _ckpt(done).select(F.array_join(F.transform("path", lambda k: k.cast("string")), ">").alias("path_id"),
+                               "path")
+    return paths.select("path_id", F.posexplode("path").alias("pos", "key"))

@@ -192,3 +192,13 @@ def j05_local_in_dependency_order(spark, sf_dir):
     nodes, edges = _dag(spark, sf_dir)
     brand = ad.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_brand")
     return G.local_in_dependency_order(nodes.join(brand, "key"), edges, F.col("p_brand") == "Brand#1")
+
+
+@query("g11_irreducible_paths")
+def g11_irreducible_paths(spark, sf_dir):
+    """All Hasse-diagram paths from the largest part key down to key 1 (the
+    predecessor order rule is sequential per node; checked by a brute-force
+    test on a small graph rather than SQL)."""
+    nodes, edges = _dag(spark, sf_dir)
+    hi = nodes.agg(F.max("key")).first()[0]
+    return G.irreducible_paths(edges, int(hi), 1)
