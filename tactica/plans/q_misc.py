@@ -170,3 +170,10 @@ SELECT k AS path, count(*) AS count FROM (SELECT unnest(json_keys(raw)) AS k FRO
 GROUP BY k""", ("bad_json",))
 def p16_schema_key_paths(spark, sf_dir):
     return C.key_paths(ad.bad_json(spark, sf_dir))
+
+
+@query("p17_json_atom_paths", """
+SELECT seq, '$.' || k AS path, CAST(json_extract(raw, '$.' || k) AS VARCHAR) AS atom
+FROM (SELECT seq, raw, unnest(json_keys(raw)) AS k FROM bad_json WHERE json_valid(raw))""", ("bad_json",))
+def p17_json_atom_paths(spark, sf_dir):
+    return C.json_atoms(ad.bad_json(spark, sf_dir), ["seq"]).select("seq", "path", "atom")

@@ -173,3 +173,24 @@ def key_paths(df: DataFrame, raw: str = "raw", max_depth: int = 16) -> DataFrame
             break
     return out.groupBy("path").agg(F.count(F.lit(1)).alias("count"))
 
+
+
+def json_atoms(df: DataFrame, key: Sequence[str], raw: str = "raw", max_depth: int = 32) -> DataFrame:
+    """Flatten every JSON text to (key, path, atom) rows: objects add
+    ``.name``, lists add ``[i]`` (0-based, ascending), atoms are rendered as
+    JSON text. Level by level over variants; stops when nothing nests."""
+    level = df.select(*key, F.lit("$").alias("path"), F.try_parse_json(F.col(raw)).alias("v")).where("v IS NOT NULL")
+    out = None
+    for _ in range(max_depth):
+        obj = F.try_variant_get("v", "$", "map<string,variant>")
+        arr = F.try_variant_get("v", "$", "array<variant>")
+        atoms = level.where(obj.isNull() & arr.isNull()).select(*key, "path", F.to_json("v").alias("atom"))
+        out = atoms if out is None else out.unionByName(atoms)
+        objs = level.select(*key, "path", F.explode(obj).alias("k", "v")).select(
+            *key, F.concat(F.col("path"), F.lit("."), F.col("k")).alias("path"), "v")
+        arrs = level.select(*key, "path", F.posexplode(arr).alias("i", "v")).select(
+            *key, F.concat(F.col("path"), F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "v")
+        level = objs.unionByName(arrs)
+        if level.isEmpty():
+            break
+    return out
