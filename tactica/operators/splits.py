@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactica.operators.ordering import number_rows
@@ -31,17 +31,23 @@ def natural_order_key(df: DataFrame, dir_cols: Sequence[str], name_col: str = "n
               .drop("_all_numbered"))
 
 
-def assign_split(df: DataFrame, dir_cols: Sequence[str], order_cols: Sequence[str]) -> DataFrame:
+def split_label(rank: Column, n: Column) -> Column:
+    """W01 rule for the 0-based ``rank`` of a file in a directory of ``n``."""
+    nd = n.cast("double")
+    train = F.floor(nd * F.lit(TRAIN_FRACTION))
+    valid = train + F.floor(nd * F.lit(VALID_FRACTION))
+    return F.when(rank < train, "train").when(rank < valid, "valid").otherwise("test")
+
+
+def assign_split(df: DataFrame, dir_cols: Sequence[str], order_cols: Sequence[str],
+                 rank_name: str = "_rn") -> DataFrame:
     """Add ``split`` per directory: first int(0.64 n) train, next int(0.16 n)
-    valid, rest test, in ``order_cols`` order. Skew-safe numbering."""
-    numbered = number_rows(df, dir_cols, order_cols, "_rn", 0, count_name="_n")
-    n = F.col("_n").cast("double")
-    train = F.floor(n * F.lit(TRAIN_FRACTION))
-    valid = train + F.floor(n * F.lit(VALID_FRACTION))
-    return (numbered
-            .withColumn("split", F.when(F.col("_rn") < train, "train")
-                        .when(F.col("_rn") < valid, "valid").otherwise("test"))
-            .drop("_rn", "_n"))
+    valid, rest test, in ``order_cols`` order. One skew-safe numbering pass
+    gives both the rank and the directory size; pass ``rank_name`` to keep
+    the rank as a column."""
+    numbered = number_rows(df, dir_cols, order_cols, rank_name, 0, count_name="_n")
+    out = numbered.withColumn("split", split_label(F.col(rank_name), F.col("_n"))).drop("_n")
+    return out if rank_name != "_rn" else out.drop("_rn")
 
 
 def dataset_split(df: DataFrame, split: str, dir_cols: Sequence[str],
@@ -90,6 +96,3 @@ def random_element(df: DataFrame, by: Sequence[str], key: Sequence[str], seed: i
                .agg(F.min_by(F.struct(*cols), h).alias("_pick"))
                .select(*by, "_pick.*"))
 
-
-def window_rank(by: Sequence[str], order: Sequence[Column]) -> Window:
-    return Window.partitionBy(*by).orderBy(*order)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tactica.functions.pyjson import escape_inner, json_str, to_py_json
+from tactica.functions.pyjson import escape_array, json_str, to_py_json, to_py_json_record
 
 # Data formats of the reference (name -> format string).
 FORMATS = {
@@ -121,7 +121,7 @@ def input_target_pairs(df: DataFrame, data_format: str = "state", proof: str = "
     linear in its size plus the (inherent) size of the output.
     """
     cols = set(df.columns)
-    esc = F.transform(proof, lambda s: escape_inner(s["action"]))
+    esc = escape_array(F.transform(proof, lambda s: s["action"]))
     ctx = context_fields(data_format)
     # escape once per proof (a projection below the generator), not per step
     escaped = df.select(*keep, *[c for c in ("deps", "methods") if c in cols], proof,
@@ -177,7 +177,7 @@ def to_py_json_struct(df: DataFrame, cols: Sequence[str]) -> Column:
     """JSON text (Python spacing, ensure_ascii) of the record made of ``cols``."""
     st = F.struct(*[F.col(f"`{c}`") for c in cols])
     dt = df.select(st.alias("r")).schema["r"].dataType
-    return to_py_json(st, dt)
+    return to_py_json_record(st, dt)
 
 
 def tokenizer_corpus(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -9,14 +9,15 @@ from tactica.plans.registry import query, r6
 from tactica.sources import adapters as ad
 
 
-def _proofs_with_steps(spark, sf_dir):
-    p = ad.with_proof_num(ad.proofs(spark, sf_dir))
-    return stats.extend_proof_counts(p, "actions")
+def _split_with_steps(spark, sf_dir):
+    """Step counts first (so the text arrays never enter a shuffle), then one
+    numbering pass giving proof_num and the split label together."""
+    p = stats.extend_proof_counts(ad.proofs(spark, sf_dir), "actions").drop("actions")
+    return splits.assign_split(p, ["logic", "theory"], ["proof_id"], rank_name="proof_num")
 
 
 def _test_split(spark, sf_dir):
-    p = _proofs_with_steps(spark, sf_dir)
-    return splits.dataset_split(p, "test", ["logic", "theory"], ["proof_num"])
+    return _split_with_steps(spark, sf_dir).where(F.col("split") == "test")
 
 
 _SPLIT_SQL = """
@@ -35,8 +36,7 @@ _SPLIT_SQL = """
 SELECT proof_id, logic, theory, proof_num, num_steps, split FROM split""", ("proofs",))
 def w01_dataset_split(spark, sf_dir):
     """Train/valid/test label of every proof (64/16/rest per directory)."""
-    p = _proofs_with_steps(spark, sf_dir)
-    return splits.assign_split(p, ["logic", "theory"], ["proof_num"]).select(
+    return _split_with_steps(spark, sf_dir).select(
         "proof_id", "logic", "theory", "proof_num", "num_steps", "split")
 
 

@@ -102,8 +102,10 @@ _SPLIT = """
 
 
 def _split_records(spark, sf_dir, which):
-    p = ad.with_proof_num(ad.proofs(spark, sf_dir))
-    return ad.proof_records(splits.dataset_split(p, which, ["logic", "theory"], ["proof_num"]))
+    p = ad.proofs(spark, sf_dir)
+    keys = splits.assign_split(p.select("proof_id", "logic", "theory"), ["logic", "theory"], ["proof_id"])
+    chosen = keys.where(F.col("split") == which).select("proof_id")
+    return ad.proof_records(p.join(chosen, "proof_id", "left_semi"))
 
 
 @query("p11_seq2seq_samples_test", _SPLIT + pairs_cte("finetune_state", source="test_proofs") + """
@@ -284,9 +286,9 @@ SELECT proof_id, step, tier,
 FROM tiered""", ("steps",))
 def x03_extract_suggestion(spark, sf_dir):
     r = _raw_outputs(spark, sf_dir)
-    tier = X.suggestion_tier(F.col("out"))
-    return r.select("proof_id", "step", tier.alias("tier"),
-                    X.extract_suggestion(F.col("out")).alias("suggestion"))
+    tiered = r.withColumn("tier", X.suggestion_tier(F.col("out")))
+    return tiered.select("proof_id", "step", "tier",
+                         X.extract_suggestion(F.col("out"), F.col("tier")).alias("suggestion"))
 
 
 @query("x05_join_candidates", f"""
