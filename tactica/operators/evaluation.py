@@ -119,16 +119,16 @@ def match_ratios(classes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def match_examples(classes: DataFrame, batch: str, order: str, per_class: int = 20) -> DataFrame:
     """Up to ``per_class`` examples per class, at most one (the first) per batch.
 
-    First per (class, batch) is a ``min_by`` partial aggregate; the top
-    ``per_class`` batches per class is a bounded top-k over that small table.
+    First per (class, batch) is a partial ``min``; the first ``per_class``
+    batches per class come from the skew-safe numbering (a class is one of
+    three groups, so a plain window would put all batches of it in one task).
     """
     long = classes.select("*", F.explode(F.array(
         F.when(F.col("exact"), F.lit("exact")), F.when(F.col("coincide"), F.lit("coincide")),
         F.when(F.col("all_wrong"), F.lit("all_wrong")))).alias("class")).where(F.col("class").isNotNull())
     firsts = long.groupBy("class", batch).agg(F.min(order).alias(order))
-    w = Window.partitionBy("class").orderBy(batch)
-    return (firsts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_class)
-                  .drop("_r"))
+    from tactica.operators.ordering import number_rows
+    return number_rows(firsts, ["class"], [batch], "_r").where(F.col("_r") < per_class).drop("_r")
 
 
 # ------------------------------------------------------------------ attempts

@@ -144,8 +144,17 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(key, level, position): every edge goes from a lower to a higher
     level, so ordering by (level, key) is a topological order."""
     lv = longest_paths(nodes, edges)
+    from pyspark.sql import Window
+
     from tactica.operators.ordering import number_rows
-    return number_rows(lv.withColumn("_all", F.lit(0)), ["_all"], ["level", "key"], "position").drop("_all")
+    # position = nodes on lower levels + rank of the key inside its level;
+    # the level sizes are a small table, the rank is bucketed by key
+    sizes = lv.groupBy("level").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("level", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = number_rows(lv, ["level"], ["key"], "_rk")
+    return ranked.join(offsets, "level").withColumn("position", F.col("_off") + F.col("_rk")) \
+                 .drop("_off", "_rk")
 
 
 # ------------------------------------------------------------------ G07
@@ -172,19 +181,22 @@ def reachable_within_limit(edges: DataFrame, roots: DataFrame, limit: int) -> Da
     """Take roots in ``ordinal`` order, each adding every node it newly
     reaches; stop before the root that pushes the total over ``limit`` (the
     first root is always taken). Owner of a node = smallest root ordinal
-    reaching it; weights per ordinal are summed over the (small) root table."""
+    reaching it (min-label propagation); the running total over ordinals is
+    the skew-safe bucketed running sum and the cut a global ``min``."""
+    from tactica.operators.ordering import running_sum
     owners = min_label(edges, roots.select("key", F.col("ordinal").alias("label")))
     weight = owners.groupBy(F.col("label").alias("ordinal")).agg(F.count(F.lit(1)).alias("adds"))
-    from pyspark.sql import Window
-    w = Window.orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
-    r = roots.join(weight, "ordinal", "left").withColumn("adds", F.coalesce("adds", F.lit(0)))
-    r = r.withColumn("total", F.sum("adds").over(w))
-    everything = Window.partitionBy()
-    stop = F.min(F.when(F.col("total") > limit, F.col("ordinal"))).over(everything)
-    first = F.min("ordinal").over(everything)
-    return r.withColumn("_stop", stop).withColumn(
-        "taken", (F.col("ordinal") == first) | F.col("_stop").isNull() | (F.col("ordinal") < F.col("_stop"))
-    ).drop("_stop")
+    r = roots.join(weight, "ordinal", "left").withColumn("adds", F.coalesce("adds", F.lit(0)).cast("long"))
+    r = running_sum(r.withColumn("_all", F.lit(0)), ["_all"], ["ordinal"], {"total": F.col("adds")}).drop("_all")
+    # two scalars (a partial aggregate), fetched once and used as literals
+    stop, first = r.agg(F.min(F.when(F.col("total") > limit, F.col("ordinal"))),
+                        F.min("ordinal")).first()
+    taken = F.col("ordinal") == F.lit(first)
+    if stop is not None:
+        taken = taken | (F.col("ordinal") < F.lit(stop))
+    else:
+        taken = F.lit(True)
+    return r.withColumn("taken", taken)
 
 
 # ------------------------------------------------------------------ G08

@@ -270,22 +270,41 @@ def input_word_counts(df: DataFrame, data_format: str = "state", proof: str = "p
     from tactica.functions.text import py_word_count
 
     acts = F.transform(proof, lambda s: s["action"])
-    runs = F.transform(acts, lambda a: F.coalesce(F.regexp_count(a, F.lit("[^ ]+")), F.lit(0)))
-    st = F.transform(acts, lambda a: F.coalesce(a.rlike("^[^ ]"), F.lit(False)).cast("int"))
-    en = F.transform(acts, lambda a: F.coalesce(a.rlike("[^ ]$"), F.lit(False)).cast("int"))
+    runs = F.transform(acts, lambda a: F.coalesce(F.size(F.filter(F.split(a, " "), lambda t: t != "")),
+                                                  F.lit(0)))
+    st = F.transform(acts, lambda a: F.coalesce((F.length(a) > 0) & (F.substring(a, 1, 1) != " "),
+                                                F.lit(False)).cast("int"))
+    en = F.transform(acts, lambda a: F.coalesce((F.length(a) > 0) & (F.substring(a, -1, 1) != " "),
+                                                F.lit(False)).cast("int"))
     em = F.transform(acts, lambda a: (F.coalesce(F.length(a), F.lit(0)) == 0).cast("int"))
-    base = df.select(*keep, proof, runs.alias("_r"), st.alias("_s"), en.alias("_e"), em.alias("_z"))
-    x = base.select(*keep, "_r", "_s", "_e", "_z", F.posexplode(proof).alias("step", "_st")).where("step >= 1")
+
+    def prefix_sums(arr: Column) -> Column:
+        # cum[k + 1] = sum of the first k elements (1-based element_at); one
+        # pass per proof, so each step reads its sums in O(1)
+        return F.aggregate(arr, F.array(F.lit(0).cast("long")),
+                           lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
+
+    per_line = df.select(*keep, proof, runs.alias("_r"), st.alias("_s"), en.alias("_e"), em.alias("_z"))
+    base = per_line.select(
+        *keep, proof, "_s", "_e", "_z",
+        prefix_sums(F.col("_r")).alias("_cr"),
+        prefix_sums(F.zip_with("_e", "_z", lambda e, z: e * (1 - z))).alias("_cnz"),
+        prefix_sums(F.zip_with("_s", "_z", lambda s, z: s * (1 - z))).alias("_csz"),
+        prefix_sums(F.col("_z")).alias("_cz"))
+    x = base.select(*keep, "_s", "_e", "_z", "_cr", "_cnz", "_csz", "_cz",
+                    F.posexplode(proof).alias("step", "_st")).where("step >= 1")
 
     i = F.col("step")  # prefix holds lines 1..i (1-based), i.e. actions[0..i-1]
-    nz = F.zip_with("_e", "_z", lambda e, z: e * (1 - z))
-    sz = F.zip_with("_s", "_z", lambda s, z: s * (1 - z))
+
+    def cum(arr: str, k: Column) -> Column:
+        return F.element_at(arr, k + 1)
+
     # W(J_i) = sum r + (i-1) - sum_{k<i, nonempty} e_k - sum_{2<=k<=i, nonempty} s_k - #{1<k<i empty}
-    sum_r = F.aggregate(F.slice("_r", 1, i), F.lit(0), lambda a, v: a + v)
-    sum_e = F.aggregate(F.slice(nz, 1, i - 1), F.lit(0), lambda a, v: a + v)
-    sum_s = F.aggregate(F.slice(sz, 2, i - 1), F.lit(0), lambda a, v: a + v)
-    mid_empty = F.aggregate(F.slice("_z", 2, i - 2), F.lit(0), lambda a, v: a + v)
-    runs_j = sum_r + (i - 1) - sum_e - sum_s - F.when(i > 2, mid_empty).otherwise(F.lit(0))
+    sum_r = cum("_cr", i)
+    sum_e = cum("_cnz", i - 1)
+    sum_s = cum("_csz", i) - cum("_csz", F.lit(1))
+    mid_empty = F.when(i > 2, cum("_cz", i - 1) - cum("_cz", F.lit(1))).otherwise(F.lit(0))
+    runs_j = sum_r + (i - 1) - sum_e - sum_s - mid_empty
     z1 = F.try_element_at("_z", F.lit(1)) == 1
     zi = F.try_element_at("_z", i) == 1
     starts_j = F.when(~z1, F.try_element_at("_s", F.lit(1)) == 1).otherwise(i > 1)
