@@ -29,6 +29,14 @@ def _ckpt(df: DataFrame) -> DataFrame:
 STATE_CKPT_EVERY = 4
 
 
+def _keyed(df: DataFrame, key: str) -> DataFrame:
+    """Hash-partition a loop-invariant table on its join key once and
+    checkpoint it: the checkpoint keeps the partitioning, so every round's
+    join shuffles only the (small) frontier, never the edges again."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _ckpt(df.repartition(n, key))
+
+
 def _grow(state: DataFrame, new: DataFrame, rnd: int) -> DataFrame:
     out = state.unionByName(new)
     return _ckpt(out) if rnd % STATE_CKPT_EVERY == 0 else out
@@ -77,8 +85,8 @@ def extremal_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> DataFrame:
     """Every node reachable from the ``seeds`` (column ``key``), the
     seeds themselves included; ``backward`` follows edges in reverse."""
-    e = edges.select(F.col("dst" if backward else "src").alias("key"),
-                     F.col("src" if backward else "dst").alias("next"))
+    e = _keyed(edges.select(F.col("dst" if backward else "src").alias("key"),
+                            F.col("src" if backward else "dst").alias("next")), "key")
     reached = _ckpt(seeds.select("key").distinct())
     frontier = reached
     rnd = 0
@@ -96,12 +104,13 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) joined by a path of >= 1 edge (semi-naive)."""
     e = edges.select("src", "dst").distinct()
     closure = _ckpt(e)
+    by_src = _keyed(e.select(F.col("src").alias("mid"), "dst"), "mid")
     delta = closure
     rnd = 0
     while True:
         rnd += 1
         step = (delta.select("src", F.col("dst").alias("mid"))
-                     .join(e.select(F.col("src").alias("mid"), "dst"), "mid")
+                     .join(by_src, "mid")
                      .select("src", "dst").distinct())
         new = _ckpt(step.join(closure, ["src", "dst"], "left_anti"))
         if new.isEmpty():
@@ -119,8 +128,9 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
     edges). The weight of the node left behind counts (1 when ``weight`` is
     None). Bellman-Ford style relaxation; terminates on a DAG."""
     w = nodes.select("key", (weight if weight is not None else F.lit(1)).cast("long").alias("_w"))
-    e = edges.select(F.col("dst" if backward else "src").alias("key"),
-                     F.col("src" if backward else "dst").alias("next"))
+    e = _keyed(edges.select(F.col("dst" if backward else "src").alias("key"),
+                            F.col("src" if backward else "dst").alias("next")), "key")
+    w = _keyed(w, "key")
     has_in = e.select(F.col("next").alias("key")).distinct()
     level = _ckpt(nodes.select("key").join(has_in, "key", "left_anti").withColumn(name, F.lit(0).cast("long")))
     frontier = level
@@ -161,7 +171,7 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def min_label(edges: DataFrame, labels: DataFrame, name: str = "label") -> DataFrame:
     """Propagate the minimum ``name`` along edges to every reachable node."""
-    e = edges.select(F.col("src").alias("key"), F.col("dst").alias("next"))
+    e = _keyed(edges.select(F.col("src").alias("key"), F.col("dst").alias("next")), "key")
     lab = _ckpt(labels.groupBy("key").agg(F.min(name).alias(name)))
     frontier = lab
     rnd = 0
