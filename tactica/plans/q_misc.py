@@ -177,3 +177,42 @@ SELECT seq, '$.' || k AS path, CAST(json_extract(raw, '$.' || k) AS VARCHAR) AS
 FROM (SELECT seq, raw, unnest(json_keys(raw)) AS k FROM bad_json WHERE json_valid(raw))""", ("bad_json",))
 def p17_json_atom_paths(spark, sf_dir):
     return C.json_atoms(ad.bad_json(spark, sf_dir), ["seq"]).select("seq", "path", "atom")
+
+
+@query("s02_corpus_is_valid", """
+SELECT logic, count(*) FILTER (WHERE regexp_matches(logic || '/' || theory || '/proof' || CAST(proof_num AS VARCHAR)
+                                                    || '.json', 'proof[^/]*\\.json$')) > 0 AS valid
+FROM proofs GROUP BY logic""", ("proofs",))
+def s02_corpus_is_valid(spark, sf_dir):
+    p = ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir).select("proof_id", "logic", "theory")))
+    return p.groupBy("logic").agg((F.count(F.when(F.col("path").rlike(r"proof[^/]*\.json$"), 1)) > 0)
+                                  .alias("valid"))
+
+
+@query("s06_proof_json_sink_plan", """
+, existing AS (SELECT logic, theory, proof_num FROM proofs WHERE len(actions) - 1 <= 5)
+SELECT p.proof_id, p.logic, p.theory, p.proof_num FROM proofs p
+WHERE NOT EXISTS (SELECT 1 FROM existing e WHERE e.logic = p.logic AND e.theory = p.theory
+                  AND e.proof_num = p.proof_num)""", ("proofs",))
+def s06_proof_json_sink_plan(spark, sf_dir):
+    """Rows a numbered append would write when the short proofs already exist."""
+    p = ad.with_proof_num(ad.proofs(spark, sf_dir)).withColumn("num_steps", stats.count_steps(F.col("actions")))
+    existing = p.where(F.col("num_steps") <= 5)
+    return C.proofs_to_append(p, existing).select("proof_id", "logic", "theory", "proof_num")
+
+
+@query("s07_copy_subset_layout", """
+, chosen AS (SELECT proof_id, logic || '/' || theory || '/proof' || CAST(proof_num AS VARCHAR) || '.json' AS path
+             FROM proofs WHERE logic = 'src1')
+, b AS (SELECT min(path) AS lo, max(path) AS hi FROM chosen)
+, n AS (SELECT coalesce(max(i), 0) AS n FROM b, range(1, 1000) t(i)
+        WHERE i <= least(length(lo), length(hi)) AND substring(lo, 1, i) = substring(hi, 1, i))
+, root AS (SELECT substring(lo, 1, n) AS prefix FROM b, n)
+, r AS (SELECT CASE WHEN strpos(prefix, '/') = 0 THEN ''
+                    ELSE substring(prefix, 1, length(prefix) - strpos(reverse(prefix), '/') + 1) END AS root
+        FROM root)
+SELECT proof_id, path, substring(path, length(root) + 1) AS rel FROM chosen, r""", ("proofs",))
+def s07_copy_subset_layout(spark, sf_dir):
+    p = ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir).select("proof_id", "logic", "theory")))
+    chosen = p.where(F.col("logic") == "src1").select("proof_id", "path")
+    return C.relative_layout(chosen).select("proof_id", "path", "rel")

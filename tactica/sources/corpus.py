@@ -194,3 +194,29 @@ def json_atoms(df: DataFrame, key: Sequence[str], raw: str = "raw", max_depth: i
         if level.isEmpty():
             break
     return out
+
+
+def proofs_to_append(df: DataFrame, existing: DataFrame) -> DataFrame:
+    """S06 plan: the numbered proofs a write would append - those whose
+    (logic, theory, proof_num) is not yet present (never overwritten)."""
+    return df.join(existing.select("logic", "theory", "proof_num"), ["logic", "theory", "proof_num"], "left_anti")
+
+
+def common_root(paths: DataFrame, path: str = "path") -> str:
+    """The longest common folder prefix of the chosen paths: the common
+    prefix of the smallest and the largest path (string order), cut back to a
+    '/' - two values fetched from one partial aggregate."""
+    lo, hi = paths.agg(F.min(path), F.max(path)).first()
+    if lo is None:
+        return ""
+    n = 0
+    while n < min(len(lo), len(hi)) and lo[n] == hi[n]:
+        n += 1
+    prefix = lo[:n]
+    return prefix[:prefix.rfind("/") + 1]
+
+
+def relative_layout(chosen: DataFrame, path: str = "path") -> DataFrame:
+    """Chosen rows with ``rel`` = path below the common root."""
+    root = common_root(chosen, path)
+    return chosen.withColumn("rel", F.substring(F.col(path), len(root) + 1, 1 << 30))
