@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tactica.functions import text as X
 from tactica.operators import splits, stats, steps
 from tactica.plans.registry import query
-from tactica.plans.sqltext import balance, esc, jstr, pairs_cte, strip, user_state, words
+from tactica.plans.sqltext import balance, jstr, pairs_cte, strip, user_state, words
 from tactica.sources import adapters as ad
 
 
