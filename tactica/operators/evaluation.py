@@ -156,12 +156,13 @@ def mean_repeat_time(lines: DataFrame, event_text: str, line: str = "line", pos:
     null with fewer than two hits.
     """
     hits = lines.where(F.col(line).contains(event_text)).withColumn(
-        "_ts", F.to_timestamp(F.regexp_extract(line, pattern, 1), fmt)).where(F.col("_ts").isNotNull())
-    us = F.unix_micros("_ts")
+        "_ts", F.to_timestamp_ntz(F.regexp_extract(line, pattern, 1), F.lit(fmt))).where(F.col("_ts").isNotNull())
     agg = hits.groupBy(*by).agg(F.count(F.lit(1)).alias("hits"),
-                                F.max_by(us, pos).alias("_last"), F.min_by(us, pos).alias("_first"))
-    return agg.select(*by, "hits", F.when(F.col("hits") >= 2, (F.col("_last") - F.col("_first"))
-                                        / F.lit(1e6) / (F.col("hits") - 1)).alias("mean_repeat_s"))
+                                F.max_by("_ts", pos).alias("_last"), F.min_by("_ts", pos).alias("_first"))
+    # log times carry no zone: parse and subtract them zone-free (no DST shift)
+    diff = F.expr("timestampdiff(MICROSECOND, _first, _last)")
+    return agg.select(*by, "hits", F.when(F.col("hits") >= 2, diff / F.lit(1e6) / (F.col("hits") - 1))
+                      .alias("mean_repeat_s"))
 
 
 def training_curve(df: DataFrame, run: str, batch: str, loss: str, correct: str, total: str,

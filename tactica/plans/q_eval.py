@@ -151,8 +151,9 @@ def _per_proof(spark, sf_dir):
         F.count(F.when(F.col("kind") == "click", 1)).alias("progress"),
         F.count(F.when(F.col("kind") == "error", 1)).alias("no_progress"),
         (F.count(F.when(F.col("kind") == "purchase", 1)) > 0).alias("finished"),
-        ((F.unix_micros(F.max("ts").cast("timestamp")) - F.unix_micros(F.min("ts").cast("timestamp")))
-         / F.lit(1e6)).alias("elapsed_s"))
+        # wall-clock difference of zone-free timestamps: independent of the
+        # session time zone (no DST shift)
+        (F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))") / F.lit(1e6)).alias("elapsed_s"))
 
 
 @query("a18_search_outcomes", _PER_PROOF + f"""
