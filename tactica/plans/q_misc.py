@@ -216,3 +216,25 @@ def s07_copy_subset_layout(spark, sf_dir):
     p = ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir).select("proof_id", "logic", "theory")))
     chosen = p.where(F.col("logic") == "src1").select("proof_id", "path")
     return C.relative_layout(chosen).select("proof_id", "path", "rel")
+
+
+@query("s01_parse_corpus_records", """
+SELECT proof_id, len(actions) - 1 AS num_steps, actions[1] AS objective FROM proofs""", ("proofs",))
+def s01_parse_corpus_records(spark, sf_dir):
+    """S01's parsing half at full scale: every proof rendered as its JSON file
+    text (P13) and parsed back with the fixed PROOF_SCHEMA (never inferred)."""
+    from tactica.operators import steps as P
+    r = ad.proof_records(ad.proofs(spark, sf_dir))
+    text = r.select("proof_id", P.to_py_json_struct(r, ["proof"]).alias("raw"))
+    parsed = text.select("proof_id", F.from_json("raw", C.PROOF_SCHEMA).alias("rec"))
+    return parsed.select("proof_id", (F.coalesce(F.size("rec.proof"), F.lit(0)) - 1).alias("num_steps"),
+                         F.try_element_at("rec.proof", F.lit(1))["action"].alias("objective"))
+
+
+@query("s04_repair_corrupt_json", """
+SELECT seq, CASE WHEN json_valid(raw) THEN 'valid' ELSE 'failed' END AS status FROM bad_json""",
+       ("bad_json",))
+def s04_repair_corrupt_json(spark, sf_dir):
+    """Repair pass over the damaged records: cut records cannot be repaired
+    (status failed), intact ones are left alone (valid)."""
+    return C.repair_corrupt_json(ad.bad_json(spark, sf_dir)).select("seq", "status")

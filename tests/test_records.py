@@ -68,3 +68,15 @@ def test_dedup_and_fastest(spark):
                                ("h", "w", 1.0, False, 4)], "goal string, s string, t double, ok boolean, seq long")
     best = {r["goal"]: r["suggestion"] for r in ev.fastest_suggestion(s, "goal", "s", "t", "ok", "seq").collect()}
     assert best == {"g": "z", "h": "No proof found"}
+
+
+def test_flatten_trace_is_inverse(spark):
+    cmds = ["theory", "lemma", "apply", "done", "end", "x"]
+    df = spark.createDataFrame([(0, i, c) for i, c in enumerate(cmds)], "thy long, pos long, cmd string")
+    c = F.col("cmd")
+    events = B.segment_blocks(df, ["thy"], "pos", [("THEORY", c == "theory"), ("PROOF", c == "lemma")],
+                              c.isin("done", "end"))
+    back = [r["pos"] for r in B.flatten_trace(events, ["thy"], "pos").orderBy("pos").collect()]
+    assert back == list(range(len(cmds)))
+    # the trailing command after the theory closed is a top-level (OTHER) command
+    assert events.where("pos = 5").first()["block_id"] is None
