@@ -84,8 +84,11 @@ def cumulative_step_share(hist: DataFrame, cap: int = 20) -> DataFrame:
 def token_counts(df: DataFrame, text: str) -> DataFrame:
     """Whitespace-token frequencies (explode + partial/final count; a
     frequent token is combined map-side, so hot tokens cost no skew)."""
-    from tactica.functions.text import py_words
-    return (df.select(F.explode(py_words(F.col(text))).alias("token"))
+    from tactica.functions.text import py_spaces
+    # split on spaces, then drop the empty pieces as a row filter (stays in
+    # generated code instead of a per-array lambda)
+    return (df.select(F.explode(F.split(py_spaces(F.col(text)), " ")).alias("token"))
+              .where(F.col("token") != "")
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
 
 
