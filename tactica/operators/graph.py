@@ -41,6 +41,40 @@ def _grow(state: DataFrame, new: DataFrame, rnd: int) -> DataFrame:
     return _ckpt(out) if rnd % STATE_CKPT_EVERY == 0 else out
 
 
+class _KnownSet:
+    """The rows found so far, kept as hash-partitioned checkpointed pieces.
+
+    A union of pieces loses its partitioning, so anti-joining new rows
+    against it would reshuffle everything known in every round. Instead the
+    new rows are anti-joined against each piece (pieces never move) and the
+    pieces are merged into one every few rounds.
+    """
+
+    def __init__(self, first: DataFrame, keys: list[str]):
+        self.keys = keys
+        self.n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.pieces = [_ckpt(first.repartition(self.n, *keys))]
+
+    def unseen(self, rows: DataFrame) -> DataFrame:
+        for p in self.pieces:
+            rows = rows.join(p, self.keys, "left_anti")
+        return _ckpt(rows.repartition(self.n, *self.keys))
+
+    def add(self, new: DataFrame) -> None:
+        self.pieces.append(new)
+        if len(self.pieces) > STATE_CKPT_EVERY:
+            merged = self.pieces[0]
+            for p in self.pieces[1:]:
+                merged = merged.unionByName(p)
+            self.pieces = [_ckpt(merged.repartition(self.n, *self.keys))]
+
+    def all(self) -> DataFrame:
+        out = self.pieces[0]
+        for p in self.pieces[1:]:
+            out = out.unionByName(p)
+        return out
+
+
 # ------------------------------------------------------------------ G01 - G03
 
 def build_graph(adjacency: DataFrame, key: str = "key", succs: str = "succs",
@@ -86,35 +120,31 @@ def reachable(edges: DataFrame, seeds: DataFrame, backward: bool = False) -> Dat
     seeds themselves included; ``backward`` follows edges in reverse."""
     e = _keyed(edges.select(F.col("dst" if backward else "src").alias("key"),
                             F.col("src" if backward else "dst").alias("next")), "key")
-    reached = _ckpt(seeds.select("key").distinct())
-    frontier = reached
-    rnd = 0
+    known = _KnownSet(seeds.select("key").distinct(), ["key"])
+    frontier = known.pieces[0]
     while True:
-        rnd += 1
         step = frontier.join(e, "key").select(F.col("next").alias("key")).distinct()
-        new = _ckpt(step.join(reached, "key", "left_anti"))
+        new = known.unseen(step)
         if new.isEmpty():
-            return reached
-        reached = _grow(reached, new, rnd)
+            return known.all()
+        known.add(new)
         frontier = new
 
 
 def transitive_closure(edges: DataFrame) -> DataFrame:
     """All pairs (src, dst) joined by a path of >= 1 edge (semi-naive)."""
     e = edges.select("src", "dst").distinct()
-    closure = _ckpt(e)
+    known = _KnownSet(e, ["src", "dst"])
     by_src = _keyed(e.select(F.col("src").alias("mid"), "dst"), "mid")
-    delta = closure
-    rnd = 0
+    delta = known.pieces[0]
     while True:
-        rnd += 1
         step = (delta.select("src", F.col("dst").alias("mid"))
                      .join(by_src, "mid")
                      .select("src", "dst").distinct())
-        new = _ckpt(step.join(closure, ["src", "dst"], "left_anti"))
+        new = known.unseen(step)
         if new.isEmpty():
-            return closure
-        closure = _grow(closure, new, rnd)
+            return known.all()
+        known.add(new)
         delta = new
 
 
