@@ -25,7 +25,8 @@ def overlapping_chunks(df: DataFrame, tokens: str, max_length: int, pad, special
     stride = int(max_length * stride_fraction)
     content = max_length - len(special)
     n = F.size(tokens)
-    out = df.select("*", F.posexplode(chunk_starts(n, content, stride)).alias("chunk", "start"))
+    out = df.select("*", F.posexplode_outer(chunk_starts(n, content, stride)).alias("chunk", "start")) \
+            .where(F.col("chunk").isNotNull())
     body = F.concat(F.slice(tokens, F.col("start") + 1, content),
                     F.array(*[F.lit(s) for s in special]) if special else F.slice(tokens, 1, 0))
     n_real = F.least(F.lit(content), n - F.col("start"))

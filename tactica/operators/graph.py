@@ -370,7 +370,7 @@ def irreducible_preds(edges: DataFrame, x_set: DataFrame) -> DataFrame:
         return F.when(drop, kept).otherwise(F.array_append(kept, e["p"]))
 
     kept = F.aggregate("ps", F.array().cast("array<long>"), keep_step)
-    return lists.select("z", F.explode(kept).alias("p"))
+    return lists.select("z", F.explode_outer(kept).alias("p")).where(F.col("p").isNotNull())
 
 
 def irreducible_paths(edges: DataFrame, x: int, y: int) -> DataFrame:

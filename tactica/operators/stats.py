@@ -87,7 +87,9 @@ def token_counts(df: DataFrame, text: str) -> DataFrame:
     from tactica.functions.text import py_spaces
     # split on spaces, then drop the empty pieces as a row filter (stays in
     # generated code instead of a per-array lambda)
-    return (df.select(F.explode(F.split(py_spaces(F.col(text)), " ")).alias("token"))
+    # explode_outer: a plain explode makes Catalyst infer size(...) > 0 and
+    # evaluate the whole split twice; null/empty pieces are dropped here
+    return (df.select(F.explode_outer(F.split(py_spaces(F.col(text)), " ")).alias("token"))
               .where(F.col("token") != "")
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
 

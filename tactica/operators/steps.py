@@ -53,8 +53,11 @@ def _field(df: DataFrame, array_col: str, name: str) -> T.DataType | None:
 def explode_steps(df: DataFrame, proof: str = "proof") -> DataFrame:
     """One row per step with all step fields; key (proof_id, step)."""
     keep = [c for c in df.columns if c != proof]
-    return df.select(*keep, F.posexplode(proof).alias("step", "_s")).select(
-        *keep, "step", "_s.*")
+    # posexplode_outer + null filter: a plain posexplode makes Catalyst infer
+    # size(array) > 0 and push it to the scan, evaluating the (possibly
+    # computed) array twice
+    return (df.select(*keep, F.posexplode_outer(proof).alias("step", "_s")).where(F.col("step").isNotNull())
+              .select(*keep, "step", "_s.*"))
 
 
 def objective(proof: Column) -> Column:
@@ -127,7 +130,7 @@ def input_target_pairs(df: DataFrame, data_format: str = "state", proof: str = "
     escaped = df.select(*keep, *[c for c in ("deps", "methods") if c in cols], proof,
                         esc.alias("_esc"))
     out = escaped.select(*keep, *[c for c in ("deps", "methods") if c in cols], "_esc",
-                         F.posexplode(proof).alias("step", "_s"))
+                         F.posexplode_outer(proof).alias("step", "_s"))
     out = out.where(F.col("step") >= 1)
     parts = [F.lit('{"proof_so_far": "'),
              F.array_join(F.slice("_esc", 1, F.col("step")), "\\n"),
@@ -292,7 +295,7 @@ def input_word_counts(df: DataFrame, data_format: str = "state", proof: str = "p
         prefix_sums(F.zip_with("_s", "_z", lambda s, z: s * (1 - z))).alias("_csz"),
         prefix_sums(F.col("_z")).alias("_cz"))
     x = base.select(*keep, "_s", "_e", "_z", "_cr", "_cnz", "_csz", "_cz",
-                    F.posexplode(proof).alias("step", "_st")).where("step >= 1")
+                    F.posexplode_outer(proof).alias("step", "_st")).where("step >= 1")
 
     i = F.col("step")  # prefix holds lines 1..i (1-based), i.e. actions[0..i-1]
 
@@ -317,4 +320,8 @@ def input_word_counts(df: DataFrame, data_format: str = "state", proof: str = "p
     acc = pieces[0]
     for p in pieces[1:]:
         acc = _join_stats(acc, p)
-    return x.select(*keep, "step", acc[0].alias("n_x"), py_word_count(F.col("_st")["action"]).alias("n_y"))
+    # emitted through a one-element generator: a later filter on n_x/n_y
+    # cannot be pushed below it, so the counts are computed once (a pushed
+    # filter would inline and re-evaluate the whole expression)
+    counts = F.struct(acc[0].alias("n_x"), py_word_count(F.col("_st")["action"]).alias("n_y"))
+    return x.select(*keep, "step", F.inline(F.array(counts)))

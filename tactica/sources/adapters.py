@@ -68,7 +68,8 @@ def steps(proofs_df: DataFrame) -> DataFrame:
     keep = [c for c in proofs_df.columns if c != "actions"]
     return (proofs_df
             .select(*keep, F.size("actions").alias("n_lines"),
-                    F.posexplode("actions").alias("step", "action"))
+                    F.posexplode_outer("actions").alias("step", "action"))
+            .where(F.col("step").isNotNull())
             .withColumn("user_state", user_state_col(F.col("n_lines"), F.col("step")))
             .drop("n_lines"))
 
