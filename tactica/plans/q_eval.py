@@ -325,3 +325,18 @@ def x04_parse_prover_message(spark, sf_dir):
     m = a.select("seq", msg.alias("msg")).where(X.has_time(F.col("msg")))
     parsed = X.parse_prover_message(F.col("msg"))
     return m.select("seq", *[c.alias(n) for n, c in parsed.items()])
+
+
+@query("st2_running_eval_metrics", """
+SELECT kind AS run, count(*) AS steps, round(sum(duration) / count(*), 6) AS avg_loss,
+       round(sum(CASE WHEN duration > 50 THEN 1 ELSE 0 END) / count(*), 6) AS accuracy
+FROM attempts GROUP BY kind""", ("attempts",))
+def st2_running_eval_metrics(spark, sf_dir):
+    """ST2's aggregate over the whole attempt log (the streaming query runs the
+    same ``running_metrics`` with the state store keeping one row per run)."""
+    from tactica.streaming.ingest import running_metrics
+    a = ad.attempts(spark, sf_dir).select(
+        F.col("kind").alias("run"), F.col("duration").alias("loss"),
+        (F.col("duration") > 50).cast("long").alias("correct"), F.lit(1).cast("long").alias("total"))
+    m = running_metrics(a, "run", "loss", "correct", "total")
+    return m.select("run", "steps", r6("avg_loss").alias("avg_loss"), r6("accuracy").alias("accuracy"))
