@@ -238,9 +238,9 @@ def prompt_requests(requests: DataFrame, data_format: str = "state", prompt: str
 def _space_stats(s: Column) -> tuple[Column, Column, Column, Column]:
     """(runs of non-space characters, starts with non-space, ends with
     non-space, is empty) where only U+0020 counts as space."""
-    return (F.coalesce(F.regexp_count(s, F.lit("[^ ]+")), F.lit(0)),
-            F.coalesce(s.rlike("^[^ ]"), F.lit(False)),
-            F.coalesce(s.rlike("[^ ]$"), F.lit(False)),
+    return (F.coalesce(F.size(F.filter(F.split(s, " "), lambda t: t != "")), F.lit(0)),
+            F.coalesce((F.length(s) > 0) & (F.substring(s, 1, 1) != " "), F.lit(False)),
+            F.coalesce((F.length(s) > 0) & (F.substring(s, -1, 1) != " "), F.lit(False)),
             F.coalesce(F.length(s) == 0, F.lit(True)))
 
 
@@ -287,14 +287,20 @@ def input_word_counts(df: DataFrame, data_format: str = "state", proof: str = "p
         return F.aggregate(arr, F.array(F.lit(0).cast("long")),
                            lambda acc, v: F.array_append(acc, F.element_at(acc, -1) + v))
 
-    per_line = df.select(*keep, proof, runs.alias("_r"), st.alias("_s"), en.alias("_e"), em.alias("_z"))
+    cols = set(df.columns)
+    ctx_names = context_fields(data_format)
+    # record-level context (deps, methods): rendered once per proof
+    rec_json = {n: _json_or_empty(df, F.col(n), df.schema[n].dataType)
+                for n in ("deps", "methods") if n in ctx_names and n in cols}
+    per_line = df.select(*keep, proof, runs.alias("_r"), st.alias("_s"), en.alias("_e"), em.alias("_z"),
+                         *[c.alias(f"_j_{n}") for n, c in rec_json.items()])
     base = per_line.select(
-        *keep, proof, "_s", "_e", "_z",
+        *keep, proof, "_s", "_e", "_z", *[f"_j_{n}" for n in rec_json],
         prefix_sums(F.col("_r")).alias("_cr"),
         prefix_sums(F.zip_with("_e", "_z", lambda e, z: e * (1 - z))).alias("_cnz"),
         prefix_sums(F.zip_with("_s", "_z", lambda s, z: s * (1 - z))).alias("_csz"),
         prefix_sums(F.col("_z")).alias("_cz"))
-    x = base.select(*keep, "_s", "_e", "_z", "_cr", "_cnz", "_csz", "_cz",
+    x = base.select(*keep, "_s", "_e", "_z", "_cr", "_cnz", "_csz", "_cz", *[f"_j_{n}" for n in rec_json],
                     F.posexplode_outer(proof).alias("step", "_st")).where("step >= 1")
 
     i = F.col("step")  # prefix holds lines 1..i (1-based), i.e. actions[0..i-1]
@@ -314,9 +320,19 @@ def input_word_counts(df: DataFrame, data_format: str = "state", proof: str = "p
     ends_j = F.when(~zi, F.try_element_at("_e", i) == 1).otherwise(i > 1)
     empty_j = z1 & (i == 1)
     us = F.coalesce(F.col("_st")["user_state"], F.lit(""))
-    ctx = "".join(f', "{n}": []' for n in context_fields(data_format))  # adapter: fields absent
     pieces = [_lit_stats('{"proof_so_far": "'), (runs_j, starts_j, ends_j, empty_j),
-              _lit_stats('", "last_usr_state": "'), _space_stats(us), _lit_stats('"' + ctx + "}")]
+              _lit_stats('", "last_usr_state": "'), _space_stats(us), _lit_stats('"')]
+    for name in ctx_names:
+        pieces.append(_lit_stats(f', "{name}": '))
+        if name in rec_json:
+            pieces.append(_space_stats(F.col(f"_j_{name}")))
+        else:
+            dt = _field(df, proof, name)
+            if dt is None:
+                pieces.append(_lit_stats("[]"))
+            else:
+                pieces.append(_space_stats(_json_or_empty(x, F.col("_st")[name], dt)))
+    pieces.append(_lit_stats("}"))
     acc = pieces[0]
     for p in pieces[1:]:
         acc = _join_stats(acc, p)

@@ -80,3 +80,50 @@ def test_flatten_trace_is_inverse(spark):
     assert back == list(range(len(cmds)))
     # the trailing command after the theory closed is a top-level (OTHER) command
     assert events.where("pos = 5").first()["block_id"] is None
+
+
+def test_input_word_counts_with_context(spark):
+    """Token counts of P10 inputs equal len(input.split()) for records that
+    carry deps, methods and per-step terms (not only the adapter's shape)."""
+    schema = ("proof_id long, proof array<struct<action:string,user_state:string,"
+              "variables:map<string,string>,constants:map<string,string>,"
+              "`type variables`:map<string,string>>>, deps array<struct<name:string,term:string>>, "
+              "methods array<string>")
+    rows = [(1, [("lemma x:  é True", "goal a", {"Type0": "x :: nat"}, None, {}),
+                 (" by simp ", "", None, {"Type0": "f g :: 'a"}, None),
+                 ("", "  two  spaces ", {}, None, None),
+                 ("done", None, None, None, None)],
+             [("a b", "t  u"), ("c", "")], ["simp", "auto  x"]),
+            (2, [("only", "s", None, None, None)], None, None)]
+    df = spark.createDataFrame(rows, schema)
+    for fmt in ("state", "state_prems", "state_prems_kwrds", "state_prems_kwrds_terms"):
+        pairs = P.input_target_pairs(df, fmt).select("proof_id", "step", "input", "target")
+        counts = P.input_word_counts(df, fmt)
+        got = {(r["proof_id"], r["step"]): (r["n_x"], r["n_y"]) for r in counts.collect()}
+        want = {(r["proof_id"], r["step"]): (len(r["input"].split()), len(r["target"].split()))
+                for r in pairs.collect()}
+        assert got == want, fmt
+
+
+def test_input_target_pairs_match_python_json(spark):
+    import json as _json
+    schema = ("proof_id long, proof array<struct<action:string,user_state:string,"
+              "variables:map<string,string>>>, deps array<struct<name:string,term:string>>, methods array<string>")
+    proof = [("lemma \"q\": é", "g0", {"Type0": "x :: nat"}), ("apply\tsimp", "g1", None), ("done", None, {})]
+    deps = [("a b", "t")]
+    methods = ["simp"]
+    df = spark.createDataFrame([(7, proof, deps, methods)], schema)
+    for fmt in ("state", "state_prems_kwrds_terms"):
+        got = {r["step"]: (r["input"], r["target"]) for r in P.input_target_pairs(df, fmt).collect()}
+        for i in range(1, len(proof)):
+            x = {"proof_so_far": "\n".join([proof[0][0]] + [s[0] for s in proof[1:i]]),
+                 "last_usr_state": proof[i][1] if proof[i][1] is not None else ""}
+            if "state_prems" in fmt:
+                x["deps"] = [{"name": n, "term": t} for n, t in deps]
+            if "state_prems_kwrds" in fmt:
+                x["methods"] = methods
+            if "state_prems_kwrds_terms" in fmt:
+                x["variables"] = proof[i][2] if proof[i][2] is not None else []
+                x["constants"] = []
+                x["type variables"] = []
+            assert got[i] == (_json.dumps(x), proof[i][0]), (fmt, i)
