@@ -11,6 +11,8 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,28 +106,60 @@ def quarantine(df: DataFrame, raw: str = "raw", check: Column | None = None) ->
     return clean, bad
 
 
-def _escape_newlines_in_strings(raw: Column) -> Column:
-    """Raw line breaks inside quoted strings become ``\\n`` (quotes preceded
-    by a backslash do not toggle the string state)."""
-    pieces = F.split(raw, r'(?<!\\)"')
-    fixed = F.transform(pieces, lambda p, i: F.when(i % 2 == 1, F.regexp_replace(p, r"\r?\n", r"\\n"))
-                        .otherwise(p))
-    return F.array_join(fixed, '"')
+# Fixed value: a JSON string literal (escapes allowed), as the repair matches it.
+_QUOTED = r'"(?:[^"\\]|\\.)*?"'
+
+
+def _balance_strings(v):
+    if isinstance(v, str):
+        return v + '"' if v.count('"') % 2 else v
+    if isinstance(v, dict):
+        return {k: _balance_strings(x) for k, x in v.items()}
+    if isinstance(v, list):
+        return [_balance_strings(x) for x in v]
+    return v
+
+
+def _repair_one(raw):
+    import json
+    import re
+    if raw is None:
+        return None, "failed"
+    try:
+        json.loads(raw)
+        return raw, "valid"
+    except ValueError:
+        pass
+    cleaned = re.sub(_QUOTED, lambda m: m.group(0).replace("\n", "\\n"), raw, flags=re.DOTALL)
+    try:
+        parsed = json.loads(cleaned)
+    except ValueError:
+        return None, "failed"
+    fixed = _balance_strings(parsed)
+    if not fixed:                      # an empty repaired record counts as a failure
+        return None, "failed"
+    return json.dumps(fixed, indent=2, ensure_ascii=False), "repaired"
+
+
+@F.pandas_udf(T.StructType([T.StructField("fixed", T.StringType()), T.StructField("status", T.StringType())]))
+def _repair_udf(raw: pd.Series) -> pd.DataFrame:
+    out = [_repair_one(r) for r in raw]
+    return pd.DataFrame({"fixed": [o[0] for o in out], "status": [o[1] for o in out]})
 
 
 def repair_corrupt_json(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """Only for rows that do not parse: escape raw newlines inside
-    strings and re-parse; if that parses to a non-empty object the row is
-    ``repaired`` (original kept in ``raw``), else ``failed``. Valid rows are
-    left alone (status ``valid``)."""
-    r = F.col(raw)
-    fixed = _escape_newlines_in_strings(r)
-    parses = F.try_parse_json(fixed).isNotNull() & (F.regexp_replace(fixed, r"\s", "") != "{}")
-    valid = F.try_parse_json(r).isNotNull()
-    return df.withColumns({
-        "fixed": F.when(valid, r).when(parses, fixed),
-        "status": F.when(valid, "valid").when(parses, "repaired").otherwise("failed"),
-    })
+    """Repair only the rows that do not parse. Raw line breaks inside
+    quoted strings are escaped; if the text then parses, every string value
+    with an odd number of double quotes gets one appended and the record is
+    written back indented (``status`` repaired, original kept in ``raw`` in
+    place of a .bak file); otherwise, or when the result is empty, the row is
+    ``failed``. Valid rows are left alone (``valid``). The per-record repair is
+    an Arrow-batched helper that only ever sees the invalid rows."""
+    ok = F.try_parse_json(F.col(raw)).isNotNull()
+    valid = df.where(ok).withColumns({"fixed": F.col(raw), "status": F.lit("valid")})
+    bad = df.where(~ok | F.col(raw).isNull()).withColumn("_r", _repair_udf(F.col(raw)))
+    bad = bad.withColumns({"fixed": F.col("_r.fixed"), "status": F.col("_r.status")}).drop("_r")
+    return valid.unionByName(bad)
 
 
 def write_proofs(df: DataFrame, out: str, existing: DataFrame | None = None,

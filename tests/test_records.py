@@ -127,3 +127,13 @@ def test_input_target_pairs_match_python_json(spark):
                 x["constants"] = []
                 x["type variables"] = []
             assert got[i] == (_json.dumps(x), proof[i][0]), (fmt, i)
+
+
+def test_repair_balances_quotes_and_rejects_empty(spark):
+    rows = [('{"q": "x\n\\"y"}',), ("[\n]x",), ('{"a": "1\n", "b": ["c\n\\"d"]}',)]
+    out = {r["raw"]: r for r in C.repair_corrupt_json(spark.createDataFrame(rows, "raw string")).collect()}
+    first = out[rows[0][0]]
+    assert first["status"] == "repaired" and json.loads(first["fixed"]) == {"q": 'x\n"y"'}
+    assert out[rows[1][0]]["status"] == "failed"
+    third = json.loads(out[rows[2][0]]["fixed"])
+    assert third == {"a": "1\n", "b": ['c\n"d"']}
