@@ -37,6 +37,22 @@ PROOF_SCHEMA = T.StructType([
 ])
 PROOF_GLOB = "proof*.json"
 
+# Marker closing the wrapper used by ``json_text_valid``.
+_END = "\u0000tactica:end-of-record"
+
+
+def json_text_valid(raw: Column) -> Column:
+    """True when the whole text is one JSON value (surrounding whitespace
+    allowed), as Python's ``json.loads`` demands. ``try_parse_json`` alone
+    accepts any text that merely starts with a value (``{"a":1}x``), so the
+    text is parsed as ``[text, "<marker>"]`` and must give exactly those two
+    elements: trailing content breaks the parse or the count. NaN/Infinity
+    literals, which Python also accepts, are rejected."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), raw, F.lit(',"' + _END.replace("\u0000", "\\u0000") + '"]')))
+    items = F.try_variant_get(wrapped, "$", "array<variant>")
+    last = F.try_variant_get(wrapped, "$[1]", "string")
+    return F.coalesce((F.size(items) == 2) & (last == F.lit(_END)), F.lit(False))
+
 
 def _root_path(root: str) -> str:
     """Path part of a root URI (scheme and authority removed), no trailing /."""
@@ -66,7 +82,7 @@ def scan_corpus(spark: SparkSession, root: str, glob: str = PROOF_GLOB,
     rel = F.regexp_extract("path", f"{rootp}/(.*)$", 1)
     parts = F.split(rel, "/")
     num = F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"proof(\d+)\.json$", 1)
-    ok = F.try_parse_json("raw").isNotNull() & F.ltrim(F.col("raw")).startswith("{")
+    ok = json_text_valid(F.col("raw")) & F.ltrim(F.col("raw")).startswith("{")
     parsed = F.when(ok, F.from_json("raw", schema))
     return raw.select(
         "path", rel.alias("rel"), F.try_element_at(parts, F.lit(1)).alias("logic"),
@@ -91,7 +107,7 @@ def valid_per_logic(files: DataFrame) -> DataFrame:
 def find_erroneous(df: DataFrame, raw: str = "raw", check: Column | None = None) -> DataFrame:
     """Rows whose text does not parse as JSON, or on which the user
     check (a Column giving an error text or null) reports something."""
-    bad_json = F.try_parse_json(F.col(raw)).isNull()
+    bad_json = ~json_text_valid(F.col(raw))
     reason = F.when(bad_json, F.lit("invalid json"))
     if check is not None:
         reason = reason.otherwise(check)
@@ -101,7 +117,7 @@ def find_erroneous(df: DataFrame, raw: str = "raw", check: Column | None = None)
 def quarantine(df: DataFrame, raw: str = "raw", check: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(clean, quarantined-with-reason); input is never deleted."""
     bad = find_erroneous(df, raw, check)
-    clean = df.where(F.try_parse_json(F.col(raw)).isNotNull()
+    clean = df.where(json_text_valid(F.col(raw))
                      & (check.isNull() if check is not None else F.lit(True)))
     return clean, bad
 
@@ -155,9 +171,9 @@ def repair_corrupt_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     place of a .bak file); otherwise, or when the result is empty, the row is
     ``failed``. Valid rows are left alone (``valid``). The per-record repair is
     an Arrow-batched helper that only ever sees the invalid rows."""
-    ok = F.try_parse_json(F.col(raw)).isNotNull()
+    ok = json_text_valid(F.col(raw))
     valid = df.where(ok).withColumns({"fixed": F.col(raw), "status": F.lit("valid")})
-    bad = df.where(~ok | F.col(raw).isNull()).withColumn("_r", _repair_udf(F.col(raw)))
+    bad = df.where(~ok).withColumn("_r", _repair_udf(F.col(raw)))
     bad = bad.withColumns({"fixed": F.col("_r.fixed"), "status": F.col("_r.status")}).drop("_r")
     return valid.unionByName(bad)
 
@@ -190,7 +206,8 @@ def key_paths(df: DataFrame, raw: str = "raw", max_depth: int = 16) -> DataFrame
     """Dotted key paths of every JSON text (lists contribute ``[]`` and
     only their first element is inspected), with the number of texts showing
     each path. Level by level over variants, no Python."""
-    level = df.select(F.lit("").alias("path"), F.try_parse_json(F.col(raw)).alias("v")).where("v IS NOT NULL")
+    level = df.where(json_text_valid(F.col(raw))).select(F.lit("").alias("path"),
+                                                         F.try_parse_json(F.col(raw)).alias("v"))
     out = None
     for _ in range(max_depth):
         obj = F.try_variant_get("v", "$", "map<string,variant>")
@@ -213,7 +230,8 @@ def json_atoms(df: DataFrame, key: Sequence[str], raw: str = "raw", max_depth: i
     """Flatten every JSON text to (key, path, atom) rows: objects add
     ``.name``, lists add ``[i]`` (0-based, ascending), atoms are rendered as
     JSON text. Level by level over variants; stops when nothing nests."""
-    level = df.select(*key, F.lit("$").alias("path"), F.try_parse_json(F.col(raw)).alias("v")).where("v IS NOT NULL")
+    level = df.where(json_text_valid(F.col(raw))).select(*key, F.lit("$").alias("path"),
+                                                         F.try_parse_json(F.col(raw)).alias("v"))
     out = None
     for _ in range(max_depth):
         obj = F.try_variant_get("v", "$", "map<string,variant>")

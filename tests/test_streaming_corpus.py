@@ -121,3 +121,17 @@ def test_unit_timeouts_stream(spark):
     assert rows[1]["finished"] and not rows[1]["timed_out"]
     assert rows[2]["timed_out"] and not rows[2]["finished"]
     assert 3 not in rows
+
+
+def test_whole_text_json_validity(spark):
+    cases = ['{"a":1}x', '[1] 2', '1, 2', '{"a":1}  ', '  [1, {"b": [2]}] ', '"x"', '{"k": "a\nb"}', '']
+    df = spark.createDataFrame([(c,) for c in cases], "s string")
+    got = [r["ok"] for r in df.select(C.json_text_valid(F.col("s")).alias("ok")).collect()]
+    want = []
+    for c in cases:
+        try:
+            json.loads(c)
+            want.append(True)
+        except ValueError:
+            want.append(False)
+    assert got == want
