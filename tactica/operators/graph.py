@@ -394,3 +394,73 @@ def irreducible_paths(edges: DataFrame, x: int, y: int) -> DataFrame:
     paths = _ckpt(done).select(F.array_join(F.transform("path", lambda k: k.cast("string")), ">").alias("path_id"),
                                "path")
     return paths.select("path_id", F.posexplode("path").alias("pos", "key"))
+
+
+def cycle_checked_insert_sequential(edges: DataFrame, candidates: DataFrame,
+                                    closure: DataFrame | None = None) -> DataFrame:
+    """G12 with the reference's sequential meaning: candidates are inserted one
+    by one in (src, dst) order and each is refused when its target already
+    reaches its source through the graph plus the candidates accepted before it.
+
+    Reduction to a small candidate graph K: i -> j when candidate i's target
+    reaches candidate j's source in the graph (closure, or equal). A candidate
+    is refused iff it is refused by the graph alone (target reaches source) or
+    lies on a cycle of K made of earlier-accepted candidates. Candidates on no
+    cycle of K are always accepted; only the strongly connected components of
+    K need an ordered pass, done per component (the dependency is inherent).
+    """
+    import pandas as pd
+
+    from tactica.operators.ordering import number_rows
+
+    c = closure if closure is not None else transitive_closure(edges)
+    reach = c.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    cand = candidates.select("src", "dst").distinct()
+    cand = number_rows(cand.withColumn("_all", F.lit(0)), ["_all"], ["src", "dst"], "cid").drop("_all")
+    cand = _ckpt(cand)
+    refused = (cand.join(reach, (F.col("dst") == F.col("a")) & (F.col("src") == F.col("b")), "left_semi")
+                   .unionByName(cand.where(F.col("src") == F.col("dst"))).select("cid").distinct())
+    rest = _ckpt(cand.join(refused, "cid", "left_anti"))
+    ri = rest.select(F.col("cid").alias("i"), F.col("dst").alias("y"))
+    rj = rest.select(F.col("cid").alias("j"), F.col("src").alias("x"))
+    direct = ri.join(rj, F.col("y") == F.col("x")).select("i", "j")
+    via = (ri.join(reach, F.col("y") == F.col("a")).join(rj, F.col("b") == F.col("x")).select("i", "j"))
+    k_edges = _ckpt(direct.unionByName(via).distinct().where(F.col("i") != F.col("j")))
+    comp = strong_components(rest.select(F.col("cid").alias("key")),
+                             k_edges.select(F.col("i").alias("src"), F.col("j").alias("dst")))
+    size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    comp = comp.join(size, "component")
+    free = comp.where(F.col("_n") == 1).select(F.col("key").alias("cid"), F.lit(True).alias("accepted"))
+    tangled = comp.where(F.col("_n") > 1).select(F.col("key").alias("cid"), "component")
+    inner = (k_edges.join(tangled.select(F.col("cid").alias("i"), "component"), "i")
+                    .join(tangled.select(F.col("cid").alias("j"), F.col("component").alias("_c2")), "j")
+                    .where(F.col("component") == F.col("_c2")).select("component", "i", "j"))
+    rows = (tangled.select("component", F.col("cid").alias("i"), F.lit(None).cast("long").alias("j"))
+                   .unionByName(inner))
+
+    def ordered_pass(pdf: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted(set(pdf["i"].astype("int64")))
+        succ: dict[int, list[int]] = {}
+        for a, b in pdf.dropna(subset=["j"])[["i", "j"]].itertuples(index=False):
+            succ.setdefault(int(a), []).append(int(b))
+        accepted: set[int] = set()
+        out = []
+        for node in nodes:
+            seen, stack, cyc = set(), [node], False
+            while stack and not cyc:
+                u = stack.pop()
+                for v in succ.get(u, ()):
+                    if v == node:
+                        cyc = True
+                        break
+                    if v in accepted and v not in seen:
+                        seen.add(v)
+                        stack.append(v)
+            if not cyc:
+                accepted.add(node)
+            out.append((node, not cyc))
+        return pd.DataFrame(out, columns=["cid", "accepted"])
+
+    ordered = rows.groupBy("component").applyInPandas(ordered_pass, "cid long, accepted boolean")
+    verdict = (refused.withColumn("accepted", F.lit(False)).unionByName(free).unionByName(ordered))
+    return cand.join(verdict, "cid").select("src", "dst", "accepted")

@@ -202,3 +202,15 @@ def g11_irreducible_paths(spark, sf_dir):
     nodes, edges = _dag(spark, sf_dir)
     hi = nodes.agg(F.max("key")).first()[0]
     return G.irreducible_paths(edges, int(hi), 1)
+
+
+@query("g12_cycle_checked_insert_sequential")
+def g12_cycle_checked_insert_sequential(spark, sf_dir):
+    """The ring edges inserted one by one in key order into the part DAG; an
+    edge closing a cycle with the graph or with earlier-accepted ring edges
+    is refused (checked against brute force on small graphs; no SQL twin)."""
+    k = F.col("p_partkey")
+    blk = F.floor(k / 5).cast("long")
+    cand = ad.table(spark, sf_dir, "part").where(blk % 2 == 0).select(
+        k.alias("src"), (blk * 5 + (k + 1) % 5).alias("dst"))
+    return G.cycle_checked_insert_sequential(ad.dag_edges(spark, sf_dir), cand)

@@ -98,3 +98,43 @@ def test_reachable_within_limit(spark):
     assert out[6]["adds"] == 4 and out[6]["taken"]          # 6,3,2,1
     assert out[5]["adds"] == 1 and out[5]["taken"]          # total 5
     assert not out[4]["taken"]                              # pushes over 5
+
+
+def _sequential_insert(edges, candidates):
+    succ = {}
+    for a, b in edges:
+        succ.setdefault(a, set()).add(b)
+
+    def reaches(a, b):
+        seen, stack = {a}, [a]
+        while stack:
+            u = stack.pop()
+            if u == b:
+                return True
+            for v in succ.get(u, ()):
+                if v not in seen:
+                    seen.add(v)
+                    stack.append(v)
+        return False
+
+    out = {}
+    for x, y in sorted(set(candidates)):
+        ok = x != y and not reaches(y, x)
+        if ok:
+            succ.setdefault(x, set()).add(y)
+        out[(x, y)] = ok
+    return out
+
+
+def test_cycle_checked_insert_sequential_brute_force(spark):
+    import random
+    for seed in (5, 11, 23):
+        rnd = random.Random(seed)
+        n = 14
+        dag = sorted({(a, b) for a in range(n) for b in range(n) if a > b and rnd.random() < 0.15})
+        cands = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(25)] + [(0, 1), (1, 2), (2, 0)]
+        e = _edges(spark, dag)
+        cdf = spark.createDataFrame(cands, "src long, dst long")
+        got = {(r["src"], r["dst"]): r["accepted"]
+               for r in G.cycle_checked_insert_sequential(e, cdf).collect()}
+        assert got == _sequential_insert(dag, cands), seed
