@@ -90,3 +90,37 @@ def test_runs_and_cuts(spark):
     assert [r["take_while"] for r in cuts] == [False] * 6
     nh = S.neighbourhoods(df, ["s"], "pos", F.col("pos") == 0, 0)
     assert nh.count() == 0
+
+
+def _greedy_segments(items, pattern):
+    m, i, pieces, gap_start = len(pattern), 0, [], None
+    while i < len(items):
+        if items[i:i + m] == pattern:
+            if gap_start is not None:
+                pieces.append((gap_start, i - 1, False))
+                gap_start = None
+            pieces.append((i, i + m - 1, True))
+            i += m
+        else:
+            if gap_start is None:
+                gap_start = i
+            i += 1
+    if gap_start is not None:
+        pieces.append((gap_start, len(items) - 1, False))
+    return pieces
+
+
+def test_segment_by_overlapping_pattern_brute_force(spark):
+    import random
+    rnd = random.Random(3)
+    seqs = [list("aaabaaaa"), list("abababa")] + [[rnd.choice("ab") for _ in range(rnd.randrange(1, 30))]
+                                                   for _ in range(6)]
+    for pattern in (["a", "a"], ["a", "b", "a"], ["a", "a", "a"]):
+        rows = [(k, i, t) for k, seq in enumerate(seqs) for i, t in enumerate(seq)]
+        df = spark.createDataFrame(rows, "s long, pos long, item string")
+        out = S.segment_by_pattern(df, ["s"], "pos", "item", pattern).collect()
+        got = {}
+        for r in out:
+            got.setdefault(r["s"], []).append((r["start"], r["end"], r["is_match"]))
+        for k, seq in enumerate(seqs):
+            assert sorted(got.get(k, [])) == _greedy_segments(seq, pattern), (pattern, "".join(seq))
