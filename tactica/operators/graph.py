@@ -104,6 +104,28 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                       F.coalesce("preds", empty).alias("preds"))
 
 
+def edge_test(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``pairs`` (src, dst) with ``is_edge``."""
+    hit = edges.select("src", "dst").distinct().withColumn("is_edge", F.lit(True))
+    return pairs.join(hit, ["src", "dst"], "left").withColumn("is_edge", F.coalesce("is_edge", F.lit(False)))
+
+
+def update_nodes(nodes: DataFrame, updates: DataFrame, info: str = "info") -> DataFrame:
+    """Node info replaced where ``updates`` (key, info) has a row; node
+    lookup is a plain semi join on key."""
+    u = updates.select("key", F.col(info).alias("_new"))
+    return nodes.join(u, "key", "left").withColumn(info, F.coalesce("_new", F.col(info))).drop("_new")
+
+
+def graph_size(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Number of nodes and of distinct edges, one row (0, 0 when empty),
+    as one partial aggregate over tagged rows."""
+    n = nodes.select(F.lit(1).alias("_n"), F.lit(0).alias("_e"))
+    e = edges.select("src", "dst").distinct().select(F.lit(0).alias("_n"), F.lit(1).alias("_e"))
+    return n.unionByName(e).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("nodes"),
+                                F.coalesce(F.sum("_e"), F.lit(0)).alias("edges"))
+
+
 def extremal_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Flags minimal (no predecessor), maximal (no successor), isolated."""
     has_pred = edges.select(F.col("dst").alias("key")).distinct().withColumn("_p", F.lit(True))

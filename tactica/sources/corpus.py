@@ -197,6 +197,20 @@ def copy_subset(df: DataFrame, chosen: DataFrame, out: str, key: str = "path",
     df.join(chosen.select(key), key, "left_semi").write.mode("overwrite").partitionBy("logic").format(fmt).save(out)
 
 
+def record_done(units: DataFrame, ledger: str, key: Sequence[str]) -> None:
+    """Append finished units to the ledger (a Parquet folder in shared
+    storage) after their output was written; units already there are skipped,
+    so a retried job records each unit once."""
+    spark = units.sparkSession
+    new = units.select(*key).distinct()
+    try:
+        known = spark.read.parquet(ledger).select(*key)
+        new = new.join(known, list(key), "left_anti")
+    except Exception:  # noqa: BLE001 - no ledger yet
+        pass
+    new.write.mode("append").parquet(ledger)
+
+
 def resume_todo(todo: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
     """Units not yet recorded as done."""
     return todo.join(done.select(*key).distinct(), list(key), "left_anti")

@@ -138,3 +138,17 @@ def test_cycle_checked_insert_sequential_brute_force(spark):
         got = {(r["src"], r["dst"]): r["accepted"]
                for r in G.cycle_checked_insert_sequential(e, cdf).collect()}
         assert got == _sequential_insert(dag, cands), seed
+
+
+def test_edge_test_update_and_size(spark):
+    e = _edges(spark)
+    pairs = spark.createDataFrame([(6, 3), (3, 6)], "src long, dst long")
+    got = {(r["src"], r["dst"]): r["is_edge"] for r in G.edge_test(e, pairs).collect()}
+    assert got == {(6, 3): True, (3, 6): False}
+    nodes = spark.createDataFrame([(k, f"n{k}") for k in range(1, 7)], "key long, info string")
+    upd = G.update_nodes(nodes, spark.createDataFrame([(2, "two")], "key long, info string"))
+    assert {r["key"]: r["info"] for r in upd.collect()}[2] == "two"
+    size = G.graph_size(nodes, e).first()
+    assert (size["nodes"], size["edges"]) == (6, len(set(EDGES)))
+    empty = G.graph_size(nodes.limit(0), e.limit(0)).first()
+    assert (empty["nodes"], empty["edges"]) == (0, 0)

@@ -135,3 +135,14 @@ def test_whole_text_json_validity(spark):
         except ValueError:
             want.append(False)
     assert got == want
+
+
+def test_resume_ledger_records_once(spark):
+    ledger = os.path.join(tempfile.mkdtemp(), "ledger")
+    units = spark.createDataFrame([("HOL", "A"), ("HOL", "B")], "logic string, theory string")
+    C.record_done(units, ledger, ["logic", "theory"])
+    C.record_done(units, ledger, ["logic", "theory"])          # a retry records nothing new
+    done = spark.read.parquet(ledger)
+    assert done.count() == 2
+    todo = spark.createDataFrame([("HOL", "A"), ("HOL", "C")], "logic string, theory string")
+    assert [r["theory"] for r in C.resume_todo(todo, done, ["logic", "theory"]).collect()] == ["C"]
