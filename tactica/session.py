@@ -37,6 +37,9 @@ def get_spark(app: str = "tactica", cpus: int | str | None = None,
     builder = builder.config("spark.sql.shuffle.partitions",
                              str(shuffle_partitions or cpus))
     builder = builder.config("spark.driver.memory", driver_memory)
+    event_dir = os.environ.get("TACTICA_EVENT_LOG_DIR")
+    if event_dir:  # stage/task times for offline inspection (no UI, no server)
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", event_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
