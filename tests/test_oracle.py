@@ -1,6 +1,7 @@
 """Every registered query against its DuckDB oracle on the smallest tables."""
 
 import math
+import re
 
 import duckdb
 import pytest
@@ -40,7 +41,8 @@ ROWS_ONLY = {"t05_random_element", "x02_method_usage", "g11_irreducible_paths",
 
 
 def test_every_query_has_an_oracle_or_is_documented():
-    missing = set(E.queries()) - set(ORACLES)
+    # the numbered operators and the pipeline are tested in tests/llm
+    missing = {q for q in E.queries() if not re.match(r"op\d+_|pipeline$", q)} - set(ORACLES)
     assert missing <= ROWS_ONLY, missing
 
 
