@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactica.llm import ann, bpe, packing, token_count, urlfilter, warc
+from tactica.llm import ann, bpe, packing, token_count, urlfilter, warc, winnow
 from tactica.llm.common import documents
 
 
@@ -54,6 +54,15 @@ FROM fit
 """
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.fingerprint_pairs(documents(spark, sf_dir)).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        winnow.fingerprint_text("selected").alias("fingerprint"),
+        winnow.fingerprint_text("edited_selected").alias("edited_fingerprint"),
+        winnow.likeness("hashes", "edited_hashes").alias("near_edited"),
+        winnow.likeness("hashes", "next_hashes").alias("near_next"))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), length=1024, end_id=0)
 
@@ -62,5 +71,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_nearest_neighbours, op4_token_counts, op6_url_rules, op8_pack, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_nearest_neighbours, op4_token_counts, op6_url_rules, op7_winnowing, op8_pack, op10_warc)}
 ORACLES = {"op6_url_rules": OP6_SQL}
