@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactica.llm import ann, bpe, packing, token_count, urlfilter, warc, winnow
+from tactica.llm import ann, bpe, langid, packing, quality, token_count, urlfilter, warc, winnow
 from tactica.llm.common import documents
 
 
@@ -18,6 +18,14 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.roundtrip_digest(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.learn(langid.training_rows(docs.select("doc_id", "text", "lang")))
+    held_out = F.coalesce(langid.fold_of("doc_id", 4) == 2, F.lit(False))
+    return langid.classify(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -67,9 +75,18 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), length=1024, end_id=0)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = quality.learn(docs, quality.training_rows(labels))
+    held_out = F.coalesce(langid.fold_of("doc_id", 5) == 0, F.lit(False))
+    return quality.classify(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_nearest_neighbours, op4_token_counts, op6_url_rules, op7_winnowing, op8_pack, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_nearest_neighbours, op4_token_counts, op6_url_rules, op7_winnowing, op8_pack, op9_quality,
+                                   op10_warc)}
 ORACLES = {"op6_url_rules": OP6_SQL}
