@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactica.llm import ann, bpe, langid, packing, quality, token_count, urlfilter, warc, winnow
+from tactica.llm import ann, bpe, jaccard, langid, packing, quality, token_count, urlfilter, warc, winnow
 from tactica.llm.common import documents
 
 
@@ -35,6 +35,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir))
+
+
 #: The rules that the query applies.
 URL_RULES = [urlfilter.parse_rule(*x) for x in (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))]
@@ -87,6 +91,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"), min_bytes=0)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_nearest_neighbours, op4_token_counts, op6_url_rules, op7_winnowing, op8_pack, op9_quality,
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_language_id, op3_nearest_neighbours, op4_token_counts, op5_jaccard_join,
+                                   op6_url_rules, op7_winnowing, op8_pack, op9_quality,
                                    op10_warc)}
 ORACLES = {"op6_url_rules": OP6_SQL}
