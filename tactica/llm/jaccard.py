@@ -351,7 +351,8 @@ def join(docs: DataFrame, similar: int = SIMILAR, region_bytes: int = REGION_BYT
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     copied = written(classes.where("copies > 1").select("hi", "lo", "rep"), "copies")
     member = written(slim.join(copied, ["hi", "lo"], "left").select(
-        "doc_id", "n", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")).alias("rep")), "members")
+        "doc_id", "n", F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("rep", "doc_id"))
+        .otherwise(F.col("doc_id")).alias("rep")), "members")
     # a row is its class's own unless it is a copy of another document
     others = few(member.where("rep <> doc_id").select("doc_id").distinct())
     reps = table.where("n > 0 AND doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
