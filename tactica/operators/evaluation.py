@@ -129,21 +129,26 @@ def match_examples(classes: DataFrame, batch: str, order: str, per_class: int =
         F.when(F.col("all_wrong"), F.lit("all_wrong")))).alias("class")).where(F.col("class").isNotNull())
     firsts = long.groupBy("class", batch).agg(F.min(order).alias(order))
     from tactica.operators.ordering import number_rows
-    return number_rows(firsts, ["class"], [batch], "_r").where(F.col("_r") < per_class).drop("_r")
+    chosen = number_rows(firsts, ["class"], [batch], "_r").where(F.col("_r") < per_class).drop("_r")
+    # the examples themselves: at most 3 x per_class rows look up their sample
+    return chosen.join(long, ["class", batch, order])
 
 
 # ------------------------------------------------------------------ attempts
 
 def outcome_counts(df: DataFrame, by: Sequence[str], outcome: str, duration: str,
-                   outcomes: Sequence[str]) -> DataFrame:
-    """One pass of conditional counts per group plus duration summary."""
+                   outcomes: Sequence[str], timed: Sequence[str] | None = None) -> DataFrame:
+    """One pass of conditional counts per group plus a duration summary
+    over the attempts whose outcome is in ``timed`` (default: all); the median
+    is exact (``exact_median``)."""
+    from tactica.operators.ordering import exact_median
     o = F.col(outcome)
-    return df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("attempted"),
-        *[F.sum(F.when(o == k, 1).otherwise(0)).alias(k) for k in outcomes],
-        F.avg(duration).alias("avg_duration"),
-        F.median(duration).alias("median_duration"),
-        F.max(duration).alias("max_duration"))
+    x = df.withColumn("_d", F.when(o.isin(*timed), F.col(duration)) if timed else F.col(duration))
+    counts = x.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[F.count(F.when(o == k, 1)).alias(k) for k in outcomes],
+        F.avg("_d").alias("avg_duration"), F.max("_d").alias("max_duration"))
+    return counts.join(exact_median(x, by, "_d", "median_duration"), list(by), "left")
 
 
 def mean_repeat_time(lines: DataFrame, event_text: str, line: str = "line", pos: str = "pos",
@@ -166,6 +171,15 @@ def mean_repeat_time(lines: DataFrame, event_text: str, line: str = "line", pos:
                       .alias("mean_repeat_s"))
 
 
+def mean_repeat_times(lines: DataFrame, events: Sequence[str], line: str = "line", pos: str = "pos",
+                      name: str = "event", **log) -> DataFrame:
+    """A21 for several event texts in one pass: each line counts for every text
+    that it contains."""
+    texts = F.array(*[F.lit(e) for e in events])
+    hits = lines.withColumn(name, F.explode(F.filter(texts, lambda e: F.contains(F.col(line), e))))
+    return mean_repeat_time(hits, "", line, pos, by=[name], **log)
+
+
 def training_curve(df: DataFrame, run: str, batch: str, loss: str, correct: str, total: str,
                    every: int = 1000, start: int = 0) -> DataFrame:
     """Every ``every`` batches (and at the last batch) the cumulative mean
@@ -178,11 +192,10 @@ def training_curve(df: DataFrame, run: str, batch: str, loss: str, correct: str,
     blocks = df.groupBy(run, blk.alias("_blk")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(loss).alias("_loss"),
         F.sum(correct).alias("_c"), F.sum(total).alias("_t"), F.max(batch).alias("_last"))
-    w = Window.partitionBy(run).orderBy("_blk").rowsBetween(Window.unboundedPreceding, 0)
-    cum = blocks.select(
-        run, F.least(F.col("_blk") * every, F.col("_last")).alias("batch"),
-        F.sum("_n").over(w).alias("steps"), F.sum("_loss").over(w).alias("_cl"),
-        F.sum("_c").over(w).alias("_cc"), F.sum("_t").over(w).alias("_ct"))
+    from tactica.operators.ordering import running_sum
+    cum = running_sum(blocks, [run], ["_blk"], {"steps": F.col("_n"), "_cl": F.col("_loss"),
+                                                "_cc": F.col("_c"), "_ct": F.col("_t")})
+    cum = cum.withColumn("batch", F.least(F.col("_blk") * every, F.col("_last")))
     return cum.where(F.col("batch") >= start).select(
         run, "batch", "steps", (F.col("_cl") / F.col("steps")).alias("avg_loss"),
         F.coalesce(F.try_divide(F.col("_cc"), F.col("_ct")), F.lit(0.0)).alias("accuracy"))
@@ -201,7 +214,7 @@ def merge_metric_records(df: DataFrame, key: Sequence[str], kind: str = "kind",
     for the rest.
     """
     v = F.col(value)
-    k = F.first(kind)
+    k = F.max_by(kind, seq)  # the kind of the last update, when a key changes kind
     last = F.max_by(v, F.col(seq))
     floats = F.sum(v.try_cast("double")) if float_mode == "sum" else F.max_by(v.try_cast("double"), F.col(seq))
     return df.where(F.col(kind) != "list").groupBy(*key).agg(
@@ -225,17 +238,17 @@ def merge_metric_lists(df: DataFrame, key: Sequence[str], kind: str = "kind", va
 
 def dedup_attempts(df: DataFrame, goal: str, actions: str, proved: str,
                    so_far: str | None = None) -> DataFrame:
-    """Distinct attempts per goal by action sequence; attempts equal to the
-    proof so far dropped; when some attempt is proved only proved ones stay."""
+    """Distinct attempts per goal by action sequence; when some attempt is
+    proved only the proved ones stay, and nothing else is dropped; when none
+    is, those equal to the proof so far are dropped."""
     first = df.groupBy(goal, actions).agg(F.max(F.col(proved).cast("int")).alias("_proved"))
-    if so_far:
-        base = df.select(goal, so_far).distinct()
-        first = first.join(base, goal, "left").where(
-            F.col(so_far).isNull() | (F.col(actions) != F.col(so_far))).drop(so_far)
     gate = first.groupBy(goal).agg(F.max("_proved").alias("_any"))
-    return (first.join(gate, goal)
-                 .where((F.col("_any") == 0) | (F.col("_proved") == 1))
-                 .select(goal, actions, (F.col("_proved") == 1).alias(proved)))
+    x = first.join(gate, goal).where((F.col("_any") == 0) | (F.col("_proved") == 1))
+    if so_far:
+        known = df.select(goal, F.col(so_far).alias(actions)).where(F.col(actions).isNotNull()).distinct() \
+                  .withColumn("_known", F.lit(True))
+        x = x.join(known, [goal, actions], "left").where((F.col("_any") == 1) | F.col("_known").isNull())
+    return x.select(goal, actions, (F.col("_proved") == 1).alias(proved))
 
 
 def fastest_suggestion(df: DataFrame, goal: str, suggestion: str, time: str, valid: str,

@@ -41,6 +41,13 @@ def _grow(state: DataFrame, new: DataFrame, rnd: int) -> DataFrame:
     return _ckpt(out) if rnd % STATE_CKPT_EVERY == 0 else out
 
 
+def _union(pieces: list[DataFrame]) -> DataFrame:
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 class _KnownSet:
     """The rows found so far, kept as hash-partitioned checkpointed pieces.
 
@@ -104,6 +111,15 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                       F.coalesce("preds", empty).alias("preds"))
 
 
+def neighbours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """G02 in long form: (key, side, other), one row per neighbour, and degrees
+    by partial counts; nothing is gathered per node."""
+    e = edges.select("src", "dst").distinct()
+    rows = e.select(F.col("src").alias("key"), F.lit("succ").alias("side"), F.col("dst").alias("other")).unionByName(
+        e.select(F.col("dst").alias("key"), F.lit("pred").alias("side"), F.col("src").alias("other")))
+    return rows.join(nodes.select("key").distinct(), "key", "left_semi")
+
+
 def edge_test(edges: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` (src, dst) with ``is_edge``."""
     hit = edges.select("src", "dst").distinct().withColumn("is_edge", F.lit(True))
@@ -177,28 +193,35 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
     """Longest weighted path length to every node, starting at 0 at
     the minimal nodes (``backward``: from the maximal nodes against the
     edges). The weight of the node left behind counts (1 when ``weight`` is
-    None). Bellman-Ford style relaxation; terminates on a DAG."""
+    None).
+
+    Wave L holds the nodes that a path of exactly L edges reaches, with the
+    largest weight of such a path; the result is the maximum over the waves,
+    which are only ever appended. A wave that outlives the number of nodes,
+    or a node that no wave reaches, means a cycle: an error that names keys.
+    """
     w = nodes.select("key", (weight if weight is not None else F.lit(1)).cast("long").alias("_w"))
     e = _keyed(edges.select(F.col("dst" if backward else "src").alias("key"),
-                            F.col("src" if backward else "dst").alias("next")), "key")
-    w = _keyed(w, "key")
+                            F.col("src" if backward else "dst").alias("next")).join(w, "key"), "key")
     has_in = e.select(F.col("next").alias("key")).distinct()
-    level = _ckpt(nodes.select("key").join(has_in, "key", "left_anti").withColumn(name, F.lit(0).cast("long")))
-    frontier = level
-    rnd = 0
-    while True:
-        cand = (frontier.join(w, "key").join(e, "key")
-                        .groupBy(F.col("next").alias("key"))
-                        .agg(F.max(F.col(name) + F.col("_w")).alias(name)))
-        better = cand.join(level.withColumnRenamed(name, "_old"), "key", "left") \
-                     .where(F.col("_old").isNull() | (F.col(name) > F.col("_old"))).select("key", name)
-        better = _ckpt(better)
-        if better.isEmpty():
-            return level
-        rnd += 1
-        level = level.join(better.select("key"), "key", "left_anti").unionByName(better)
-        level = _ckpt(level) if rnd % STATE_CKPT_EVERY == 0 else level
-        frontier = better
+    wave = _ckpt(nodes.select("key").join(has_in, "key", "left_anti").withColumn(name, F.lit(0).cast("long")))
+    n = nodes.count()
+    waves, length = [wave], 0
+    while not wave.isEmpty():
+        length += 1
+        if length > n:
+            keys = [r["key"] for r in wave.limit(5).collect()]
+            raise ValueError(f"the graph has a cycle before {keys}")
+        wave = _ckpt(wave.join(e, "key").groupBy(F.col("next").alias("key"))
+                         .agg(F.max(F.col(name) + F.col("_w")).alias(name)))
+        waves.append(wave)
+        if len(waves) > STATE_CKPT_EVERY:
+            waves = [_ckpt(_union(waves).groupBy("key").agg(F.max(name).alias(name)))]
+    level = _ckpt(_union(waves).groupBy("key").agg(F.max(name).alias(name)))
+    lost = nodes.select("key").join(level, "key", "left_anti")
+    if level.count() < n and (keys := [r["key"] for r in lost.limit(5).collect()]):
+        raise ValueError(f"the graph has a cycle through or before {keys}")
+    return level
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -262,20 +285,39 @@ def reachable_within_limit(edges: DataFrame, roots: DataFrame, limit: int) -> Da
 
 # ------------------------------------------------------------------ G08
 
+def _trim(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Drop nodes without an edge in or without an edge out, wave by wave, each over
+    the edges that the last one left."""
+    inner = edges.where("src <> dst").join(nodes.withColumnRenamed("key", "src"), "src", "left_semi") \
+                 .join(nodes.withColumnRenamed("key", "dst"), "dst", "left_semi")
+    e = _keyed(inner, "src")
+    rest = nodes
+    while True:
+        both = e.select(F.col("src").alias("key")).distinct().join(e.select(F.col("dst").alias("key")).distinct(), "key", "left_semi")
+        kept = _ckpt(rest.join(both, "key", "left_semi"))
+        smaller = _ckpt(e.join(kept.withColumnRenamed("key", "src"), "src", "left_semi")
+                         .join(kept.withColumnRenamed("key", "dst"), "dst", "left_semi"))
+        if smaller.count() == e.count():
+            return kept, smaller
+        rest, e = kept, smaller
+
+
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Strongly connected components, id = smallest key (coloring method).
 
-    Round: forward min-key propagation colours every node; a node whose
+    Nodes without a predecessor or a successor among the rest are components
+    of their own and are trimmed first, wave by wave. Then, in rounds, forward
+    min-key propagation colours every node; a node whose
     colour is its own key is a root; its component is the set of same-colour
     nodes that reach it (backward propagation inside the colour). Those nodes
     are removed and the loop repeats on the rest.
     """
-    rest = _ckpt(nodes.select("key"))
-    e_all = edges.select("src", "dst")
-    done = None
+    known = nodes.select("key").distinct()
+    rest, e = _trim(known, edges.select("src", "dst").distinct())
+    done = _ckpt(known.join(rest, "key", "left_anti").withColumn("component", F.col("key")))
     while not rest.isEmpty():
-        e = (e_all.join(rest.withColumnRenamed("key", "src"), "src", "left_semi")
-                  .join(rest.withColumnRenamed("key", "dst"), "dst", "left_semi"))
+        e = _ckpt(e.join(rest.withColumnRenamed("key", "src"), "src", "left_semi")
+                   .join(rest.withColumnRenamed("key", "dst"), "dst", "left_semi"))
         color = min_label(e, rest.withColumn("label", F.col("key")))
         # backward inside colour classes, starting from the roots
         members = _ckpt(color.where(F.col("key") == F.col("label")).select("key", "label"))
@@ -290,37 +332,86 @@ def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
                 break
             members = _ckpt(members.unionByName(new))
             frontier = new
-        comp = members.select("key", F.col("label").alias("component"))
-        done = comp if done is None else _ckpt(done.unionByName(comp))
+        done = _ckpt(done.unionByName(members.select("key", F.col("label").alias("component"))))
         rest = _ckpt(rest.join(members, "key", "left_anti"))
-    if done is None:
-        return nodes.select("key").withColumn("component", F.col("key")).limit(0)
     return done
 
 
 # ------------------------------------------------------------------ G10 - G14
 
-def transitive_reduction(edges: DataFrame, closure: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def reach_from(edges: DataFrame, starts: DataFrame, keep: DataFrame | None = None) -> DataFrame:
+    """Pairs (seed, key): ``key`` is reached from a row (seed, key) of ``starts``
+    by any number of edges; semi-naive, keyed by both. ``keep`` (seed, last)
+    with ``key`` levels in ``edges`` column ``level`` stops a seed's search at
+    nodes above ``last``."""
+    e = _keyed(edges.select(F.col("src").alias("key"), F.col("dst").alias("next"),
+                            *([F.col("level")] if keep is not None else [])), "key")
+    known = _KnownSet(starts.select("seed", "key").distinct(), ["seed", "key"])
+    frontier = known.pieces[0]
+    while True:
+        step = frontier.join(e, "key")
+        if keep is not None:
+            step = step.join(keep, "seed").where(F.col("level") <= F.col("last"))
+        new = known.unseen(step.select("seed", F.col("next").alias("key")).distinct())
+        if new.isEmpty():
+            return known.all()
+        known.add(new)
+        frontier = new
+
+
+def transitive_reduction(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(reduced edges, cycle nodes). x -> y is dropped when some z has
-    x -> z and z -> y in the closure; nodes with closure(x, x) are cycles
-    (the reduction is only defined on acyclic graphs)."""
-    c = closure if closure is not None else transitive_closure(edges)
-    implied = (edges.select("src", F.col("dst").alias("mid"))
-                    .join(c.select(F.col("src").alias("mid"), "dst"), "mid")
-                    .select("src", "dst").distinct())
-    reduced = edges.select("src", "dst").distinct().join(implied, ["src", "dst"], "left_anti")
-    cycles = c.where(F.col("src") == F.col("dst")).select(F.col("src").alias("key"))
+    x -> z and a path z to y. On an acyclic graph only nodes with two or more
+    successors can lose an edge, and a path from them is followed only up to
+    the level of their highest successor (a path climbs in level). Nodes on a
+    cycle are returned; the reduction is only defined when there are none."""
+    e = _ckpt(edges.select("src", "dst").distinct())
+    nodes = e.select(F.col("src").alias("key")).unionByName(e.select(F.col("dst").alias("key"))).distinct()
+    comp = strong_components(nodes, e)
+    large = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component")
+    loops = e.where("src = dst").select(F.col("src").alias("key"))
+    cycles = _ckpt(comp.join(large, "component", "left_semi").select("key").unionByName(loops).distinct())
+    forked = e.groupBy(F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seed")
+    firsts = e.select(F.col("src").alias("seed"), F.col("dst").alias("key"))
+    if cycles.isEmpty():
+        level = longest_paths(nodes, e)
+        starts = firsts.join(forked, "seed", "left_semi")
+        last = starts.join(level, "key").groupBy("seed").agg(F.max("level").alias("last"))
+        lifted = e.join(level.withColumnRenamed("key", "dst"), "dst")
+        step = starts.join(lifted.select(F.col("src").alias("key"), F.col("dst").alias("next"), "level"), "key") \
+                     .join(last, "seed").where("level <= last").select("seed", F.col("next").alias("key"))
+        implied = reach_from(lifted, step, last)
+    else:
+        step = firsts.join(e.select(F.col("src").alias("key"), F.col("dst").alias("next")), "key")
+        implied = reach_from(e, step.select("seed", F.col("next").alias("key")))
+    reduced = e.join(implied.select(F.col("seed").alias("src"), F.col("key").alias("dst")), ["src", "dst"], "left_anti")
     return reduced, cycles
 
 
-def cycle_checked_insert(edges: DataFrame, candidates: DataFrame,
-                         closure: DataFrame | None = None) -> DataFrame:
+def cycle_checked_insert(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """Candidates (src, dst) with ``accepted`` = the edge closes no cycle
-    in the graph: rejected when dst reaches src (or src = dst)."""
-    c = closure if closure is not None else transitive_closure(edges)
-    back = c.select(F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("_cyc", F.lit(True))
-    x = candidates.select("src", "dst").distinct().join(back, ["src", "dst"], "left")
-    return x.select("src", "dst", (F.col("_cyc").isNull() & (F.col("src") != F.col("dst"))).alias("accepted"))
+    in the graph: rejected when dst reaches src (or src = dst). Searched only
+    from the targets of the candidates."""
+    cand = _ckpt(candidates.select("src", "dst").distinct())
+    starts = cand.select(F.col("dst").alias("seed"), F.col("dst").alias("key"))
+    back = reach_from(edges, starts).select(F.col("key").alias("src"), F.col("seed").alias("dst"))
+    bad = back.join(cand, ["src", "dst"], "left_semi").withColumn("_cyc", F.lit(True))
+    return cand.join(bad, ["src", "dst"], "left").select("src", "dst", F.col("_cyc").isNull().alias("accepted"))
+
+
+def closed_cycles(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The cycles that refused candidates would close: (src, dst, cycle_id,
+    pos, key), each an irreducible path from dst back to src behind src. One
+    search per refused candidate; the graph itself has no cycle."""
+    refused = cycle_checked_insert(edges, candidates).where(~F.col("accepted") & (F.col("src") != F.col("dst")))
+    paths = irreducible_path_set(edges, refused.select(F.col("dst").alias("x"), F.col("src").alias("y")))
+    cycle = F.concat(F.array("y"), F.col("path"))
+    loops = candidates.where("src = dst").distinct().select(F.col("src").alias("y"), F.col("src").alias("x"),
+                                                             F.array("src", "src").alias("cycle"))
+    out = paths.select("y", "x", cycle.alias("cycle")).unionByName(loops)
+    name = F.array_join(F.transform("cycle", lambda k: k.cast("string")), ">")
+    return out.select(F.col("y").alias("src"), F.col("x").alias("dst"), name.alias("cycle_id"),
+                      F.posexplode("cycle").alias("pos", "key"))
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
@@ -364,62 +455,54 @@ def local_in_dependency_order(nodes: DataFrame, edges: DataFrame, local: Column)
 
 # ------------------------------------------------------------------ G11
 
-def irreducible_preds(edges: DataFrame, x_set: DataFrame) -> DataFrame:
-    """G11 helper: (z, p) = the irreducible predecessors of every node z:
-    predecessors reachable from the source set ``x_set`` that are not the
-    tail of an edge into another predecessor still in play. Predecessors are
-    visited in ascending key order like the reference, so a predecessor
-    dropped earlier no longer makes others reducible (a fold over the sorted
-    predecessor list of one node - bounded by its in-degree)."""
-    preds = edges.select(F.col("dst").alias("z"), F.col("src").alias("p"))
-    inx = x_set.select(F.col("key").alias("p")).withColumn("in_x", F.lit(True))
-    among = (preds.alias("a").join(edges.alias("e"), F.col("a.p") == F.col("e.src"))
-                  .join(preds.alias("b"), (F.col("b.z") == F.col("a.z")) & (F.col("b.p") == F.col("e.dst")))
-                  .where(F.col("e.dst") != F.col("a.z"))
-                  .select(F.col("a.z").alias("z"), F.col("a.p").alias("p"), F.col("e.dst").alias("q")))
-    succ = among.groupBy("z", "p").agg(F.collect_set("q").alias("succs"))
-    info = (preds.join(inx, "p", "left").join(succ, ["z", "p"], "left")
-                 .select("z", F.struct("p", F.coalesce("in_x", F.lit(False)).alias("in_x"),
-                                       F.coalesce("succs", F.array().cast("array<long>")).alias("succs")).alias("i")))
-    lists = info.groupBy("z").agg(F.array_sort(F.collect_list("i")).alias("ps"))
-    lists = lists.withColumn("ps", F.transform("ps", lambda e, j: F.struct(
-        e["p"].alias("p"), e["in_x"].alias("in_x"), e["succs"].alias("succs"),
-        F.transform(F.slice("ps", j + 2, 1 << 30), lambda r: r["p"]).alias("rest"))))
-
-    def keep_step(kept, e):
-        reducible = F.exists(e["succs"], lambda q: F.array_contains(e["rest"], q) | F.array_contains(kept, q))
-        drop = ~e["in_x"] | (e["p"] == F.col("z")) | reducible
-        return F.when(drop, kept).otherwise(F.array_append(kept, e["p"]))
-
-    kept = F.aggregate("ps", F.array().cast("array<long>"), keep_step)
-    return lists.select("z", F.explode_outer(kept).alias("p")).where(F.col("p").isNotNull())
+def irreducible_edges(edges: DataFrame) -> DataFrame:
+    """Edges p -> z that no other predecessor q of z lies between: there is no
+    p -> q with q -> z. An anti-join of the edges with their two-step pairs."""
+    e = edges.select("src", "dst").distinct()
+    two = (e.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid")
+            .where((F.col("mid") != F.col("src")) & (F.col("mid") != F.col("dst"))).select("src", "dst"))
+    return e.join(two, ["src", "dst"], "left_anti")
+
+
+def irreducible_path_set(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """G11 for each row (x, y) of ``pairs``: (x, y, path), every path from x to
+    y over irreducible edges, built backwards from y among the nodes that x
+    reaches. A pair with x = y has one path, of that node alone. Between x and
+    y the graph has to be acyclic: a path that meets itself is an error."""
+    pairs = _ckpt(pairs.select("x", "y").distinct())
+    within = _keyed(reach_from(edges, pairs.select(F.col("x").alias("seed"), F.col("x").alias("key")).distinct())
+                    .select(F.col("seed").alias("x"), F.col("key").alias("src")), "src")
+    steps = _ckpt(irreducible_edges(edges).join(within, "src").select("x", F.col("dst").alias("z"), F.col("src").alias("p")))
+    front = pairs.select("x", "y", F.col("y").alias("z"), F.array("y").alias("path"))
+    front = _ckpt(front.join(within.withColumnRenamed("src", "z"), ["x", "z"], "left_semi"))
+    done = []
+    while True:
+        done.append(front.where("z = x").select("x", "y", "path"))
+        step = front.where("z <> x").join(steps, ["x", "z"])
+        front = _ckpt(step.select("x", "y", F.col("p").alias("z"), F.concat(F.array("p"), "path").alias("path"),
+                                  F.array_contains("path", F.col("p")).alias("_again")))
+        if front.isEmpty():
+            return _ckpt(_union(done))
+        met = front.where("_again").select("z").limit(1).collect()
+        if met:
+            raise ValueError(f"the graph has a cycle through {met[0][0]}")
+        front = front.drop("_again")
 
 
 def irreducible_paths(edges: DataFrame, x: int, y: int) -> DataFrame:
     """Every Hasse-diagram path from ``x`` to ``y`` as (path_id, pos, key)
-    rows, built backwards from y through irreducible predecessors; a node
-    already on the path is never revisited."""
+    rows. For x = y without a self-loop there is one path, which is empty: a
+    row with an empty id and null pos and key."""
     spark = edges.sparkSession
-    x_set = reachable(edges, spark.createDataFrame([(x,)], "key long"))
-    irr = _ckpt(irreducible_preds(edges, x_set))
-    frontier = _ckpt(spark.createDataFrame([([], y)], "path array<long>, z long"))
-    done = None
-    while True:
-        hit = frontier.where(F.col("z") == x).select(F.concat(F.array(F.col("z")), "path").alias("path"))
-        done = hit if done is None else done.unionByName(hit)
-        step = (frontier.where(F.col("z") != x).join(irr, "z")
-                        .where(~F.array_contains(F.col("path"), F.col("p")))
-                        .select(F.concat(F.array(F.col("z")), "path").alias("path"), F.col("p").alias("z")))
-        frontier = _ckpt(step)
-        if frontier.isEmpty():
-            break
-    paths = _ckpt(done).select(F.array_join(F.transform("path", lambda k: k.cast("string")), ">").alias("path_id"),
-                               "path")
-    return paths.select("path_id", F.posexplode("path").alias("pos", "key"))
+    if x == y:
+        loop = not edges.where((F.col("src") == x) & (F.col("dst") == x)).isEmpty()
+        return spark.createDataFrame([(str(x), 0, x) if loop else ("", None, None)], "path_id string, pos int, key long")
+    paths = irreducible_path_set(edges, spark.createDataFrame([(x, y)], "x long, y long"))
+    name = F.array_join(F.transform("path", lambda k: k.cast("string")), ">")
+    return paths.select(name.alias("path_id"), F.posexplode("path").alias("pos", "key"))
 
 
-def cycle_checked_insert_sequential(edges: DataFrame, candidates: DataFrame,
-                                    closure: DataFrame | None = None) -> DataFrame:
+def cycle_checked_insert_sequential(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """G12 with the reference's sequential meaning: candidates are inserted one
     by one in (src, dst) order and each is refused when its target already
     reaches its source through the graph plus the candidates accepted before it.
@@ -435,19 +518,20 @@ def cycle_checked_insert_sequential(edges: DataFrame, candidates: DataFrame,
 
     from tactica.operators.ordering import number_rows
 
-    c = closure if closure is not None else transitive_closure(edges)
-    reach = c.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     cand = candidates.select("src", "dst").distinct()
     cand = number_rows(cand.withColumn("_all", F.lit(0)), ["_all"], ["src", "dst"], "cid").drop("_all")
     cand = _ckpt(cand)
+    # from the targets of the candidates only, and only to their sources
+    found = reach_from(edges, cand.select(F.col("dst").alias("seed"), F.col("dst").alias("key")))
+    reach = _ckpt(found.join(cand.select(F.col("src").alias("key")).distinct(), "key", "left_semi")
+                  .select(F.col("seed").alias("a"), F.col("key").alias("b")))
     refused = (cand.join(reach, (F.col("dst") == F.col("a")) & (F.col("src") == F.col("b")), "left_semi")
                    .unionByName(cand.where(F.col("src") == F.col("dst"))).select("cid").distinct())
     rest = _ckpt(cand.join(refused, "cid", "left_anti"))
     ri = rest.select(F.col("cid").alias("i"), F.col("dst").alias("y"))
     rj = rest.select(F.col("cid").alias("j"), F.col("src").alias("x"))
-    direct = ri.join(rj, F.col("y") == F.col("x")).select("i", "j")
-    via = (ri.join(reach, F.col("y") == F.col("a")).join(rj, F.col("b") == F.col("x")).select("i", "j"))
-    k_edges = _ckpt(direct.unionByName(via).distinct().where(F.col("i") != F.col("j")))
+    via = ri.join(reach, F.col("y") == F.col("a")).join(rj, F.col("b") == F.col("x")).select("i", "j")
+    k_edges = _ckpt(via.distinct().where(F.col("i") != F.col("j")))
     comp = strong_components(rest.select(F.col("cid").alias("key")),
                              k_edges.select(F.col("i").alias("src"), F.col("j").alias("dst")))
     size = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))

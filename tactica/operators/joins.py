@@ -1,8 +1,7 @@
 """Lookups between tables (J01-J04) and keyword classification.
 
-All are equi-/semi-/anti-joins. A keyword dimension is small by nature and is
-broadcast only after its size is checked (``broadcast_if_small``); otherwise
-the planner's own choice (with AQE's runtime conversion) is kept.
+All are equi-/semi-/anti-joins; the planner and AQE choose broadcasts from
+sizes they know.
 """
 
 from __future__ import annotations
@@ -12,16 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when it provably has at most ``max_rows`` rows
-    (one bounded count), else return it unchanged for a shuffle join."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
-
-
 def new_facts(later: DataFrame, earlier: DataFrame, name: str = "name") -> DataFrame:
     """Facts of the later snapshot whose name is absent from the earlier."""
     return later.join(earlier.select(name).distinct(), name, "left_anti")
@@ -46,13 +35,15 @@ def all_facts(local: DataFrame, global_: DataFrame, name: str = "name") -> DataF
 
 def keyword_kind_lookup(df: DataFrame, keywords: DataFrame, command: str = "command") -> DataFrame:
     """Attach the keyword ``kind`` of each command (left join on command)."""
-    return df.join(broadcast_if_small(keywords.select(command, "kind")), command, "left")
+    return df.join(keywords.select(command, "kind"), command, "left")
 
 
 def commands_by_kind(keywords: DataFrame, pos: str) -> DataFrame:
-    """Per kind the number of commands and the newest one (by ``pos``)."""
-    return keywords.groupBy("kind").agg(F.countDistinct("command").alias("n_commands"),
-                                        F.max_by("command", pos).alias("newest_command"))
+    """(kind, n, command), the commands of each kind, the newest (by
+    ``pos``) first; numbered skew-safely, as a kind may hold most commands."""
+    from tactica.operators.ordering import number_rows
+    newest = keywords.groupBy("kind", "command").agg((-F.max(pos)).alias("_age"))
+    return number_rows(newest, ["kind"], ["_age", "command"], "n").select("kind", "n", "command")
 
 
 def keyword_class_flags(command: Column, kind: Column) -> dict[str, Column]:

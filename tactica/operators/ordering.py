@@ -5,7 +5,7 @@ task. When one logic, theory or session holds a third of the corpus, that
 task holds a third of the data. The helpers below give the same answers
 without ever routing a whole group through one task:
 
-* ``number_rows`` cuts each group into buckets of its order key, numbers rows
+* ``number_rows`` cuts each group into equally filled buckets of its order key, numbers rows
   per (group, bucket) and adds the sizes of the earlier buckets, so no task
   holds more than one bucket of a hot group.
 * ``neighbour`` replaces ``lag``/``lead`` over dense positions with an
@@ -19,41 +19,62 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in names]
 
 
+def _cut_points(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> list[tuple]:
+    """About ``n`` cut points of the order key: quantiles of a sample of 16 n
+    rows (those with the smallest hashes). Any cut points give right answers;
+    these make the buckets hold about equally many rows."""
+    keys = list(dict.fromkeys(order))
+    sample = df.select(*dict.fromkeys([*by, *keys])).orderBy(F.xxhash64(*by, *keys), *keys).limit(16 * n)
+    rows = sorted((tuple(r[k] for k in keys) for r in sample.collect()),
+                  key=lambda t: tuple((v is not None, v) for v in t))
+    return sorted(set(rows[i] for i in range(16, len(rows), 16)),
+                  key=lambda t: tuple((v is not None, v) for v in t))
+
+
+def bucket_of(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int | None = None) -> Column:
+    """A number that never falls along ``order`` (ascending, nulls first) and
+    splits the rows into about ``n`` (default: four per shuffle partition)
+    buckets of about equal size, whatever the type and the spread of the key.
+    A pure function of the row once the cut points are fetched."""
+    n = n or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = list(dict.fromkeys(order))
+    cuts = _cut_points(df, by, keys, n)
+    if not cuts:
+        return F.lit(0)
+    types = [df.schema[k].dataType for k in keys]
+    if len({c[0] for c in cuts}) == len(cuts) and cuts[0][0] is not None:
+        literal, own = (lambda c: F.lit(c[0]).cast(types[0])), F.col(keys[0])
+    else:  # ties in the first key: the others decide
+        literal = lambda c: F.struct(*[F.lit(v).cast(t).alias(k) for v, t, k in zip(c, types, keys)])
+        own = F.struct(*[F.col(k).alias(k) for k in keys])
+    side = max(1, int(len(cuts) ** 0.5))
+    rows = [F.array(*map(literal, cuts[i:i + side])) for i in range(0, len(cuts), side)]
+    below = lambda xs: F.size(F.filter(xs, lambda c: c <= own))
+    row = F.greatest(below(F.array(*map(literal, cuts[::side]))), F.lit(1))
+    return (row - 1) * side + below(F.element_at(F.array(*rows), row))
+
+
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
                 name: str = "rn", base: int = 0,
                 count_name: str | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``name`` = position of the row inside its ``by`` group.
 
     Equivalent to ``row_number() over (partition by by order by order) - 1 +
-    base`` for ascending, unique ``order`` keys, but skew-safe: when the first
-    order key is numeric, the rows of a group are cut into equal-width
-    buckets of that key (``width_bucket`` over its global range), numbered
-    inside (group, bucket) by a window, and shifted by the sizes of the
-    earlier buckets of the group (a running sum over a table of at most
-    #groups x #buckets rows). Every step is a pure function of the data, so a
-    retried task reproduces the same numbers. Optionally adds ``count_name``
-    = size of the group. Group keys must be non-null.
+    base`` for ascending, unique ``order`` keys of any type, but skew-safe:
+    rows are cut into buckets of about equal size along the order key
+    (``bucket_of``), numbered inside (group, bucket) by a window, and shifted
+    by the sizes of the earlier buckets of the group (a running sum over a
+    table of at most #groups x #buckets rows). Every step is a pure function
+    of the data, so a retried task reproduces the same numbers. Optionally
+    adds ``count_name`` = size of the group. Group keys must be non-null.
     """
-    spark = df.sparkSession
-    key = order[0]
-    numeric = isinstance(df.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType,
-                                                     T.LongType, T.FloatType, T.DoubleType))
-    if numeric:
-        nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-        lo, hi = df.agg(F.min(key), F.max(key)).first()
-        lo = 0 if lo is None else lo
-        hi = lo if hi is None else hi
-        bucket = F.coalesce(F.width_bucket(F.col(key), F.lit(lo), F.lit(hi + 1), F.lit(nb)), F.lit(0))
-    else:
-        bucket = F.lit(0)
-    x = df.withColumn("_b", bucket)
+    x = df.withColumn("_b", bucket_of(df, by, order, buckets))
     inner = Window.partitionBy(*by, "_b").orderBy(*_cols(order))
     local = x.withColumn("_lr", F.row_number().over(inner))
     sizes = x.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
@@ -70,17 +91,10 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
                 sums: dict[str, Column], buckets: int | None = None, how: str = "sum") -> DataFrame:
     """Add running (inclusive) sums - or maxima with ``how='max'`` - in
     ``order`` inside each ``by`` group, skew-safe in the same way as
-    ``number_rows``: a window per (group, bucket of the first order key) plus
-    the totals of the earlier buckets (a table of #groups x #buckets rows)."""
+    ``number_rows``: a window per (group, bucket) plus the totals of the
+    earlier buckets (a table of at most #groups x #buckets rows)."""
     agg = {"sum": F.sum, "max": F.max}[how]
-    spark = df.sparkSession
-    key = order[0]
-    nb = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    lo = 0 if lo is None else lo
-    hi = lo if hi is None else hi
-    x = df.withColumn("_b", F.coalesce(F.width_bucket(F.col(key), F.lit(lo), F.lit(hi + 1), F.lit(nb)),
-                                       F.lit(0)))
+    x = df.withColumn("_b", bucket_of(df, by, order, buckets))
     for n, c in sums.items():
         x = x.withColumn(f"_v_{n}", c)
     inner = Window.partitionBy(*by, "_b").orderBy(*_cols(order)).rowsBetween(
@@ -99,6 +113,20 @@ def running_sum(df: DataFrame, by: Sequence[str], order: Sequence[str],
     return out.drop("_b", *[f"_{p}_{n}" for n in sums for p in ("v", "l", "o")])
 
 
+def exact_median(df: DataFrame, by: Sequence[str], value: str, name: str = "median") -> DataFrame:
+    """Exact median per group by way of the histogram of its values: counts per
+    (group, value) are partial sums, and only the histogram is cumulated
+    (skew-safe); no task holds the values of a group."""
+    h = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    h = running_sum(h, by, [value], {"_upto": F.col("_n")})
+    total = h.groupBy(*by).agg(F.max("_upto").alias("_all"))
+    lo, hi = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    at = lambda k: (F.col("_upto") - F.col("_n") < k) & (k <= F.col("_upto"))
+    x = h.join(total, list(by)).where(at(lo) | at(hi))
+    mid = (F.max(F.when(at(lo), F.col(value))) + F.max(F.when(at(hi), F.col(value)))) / 2
+    return x.groupBy(*by).agg(mid.alias(name))
+
+
 def neighbour(df: DataFrame, key: Sequence[str], pos: str, offset: int,
               cols: Sequence[str], suffix: str) -> DataFrame:
     """Attach ``cols`` of the row at ``pos + offset`` in the same ``key`` group.

@@ -190,9 +190,9 @@ def proven_so_far(steps: DataFrame, key: Sequence[str], pos: str, is_apply: Colu
     Step i adds the previous goal when steps i and i-1 are both apply steps,
     and the previous step's new facts when step i is not an apply step and
     step i-1 closed a proof. The additions are computed per row from the
-    previous row (equi-join on pos - 1); the list before step i is the
-    additions of steps <= i in reverse order, numbered skew-safely. Returned
-    long: (key, pos, k, term) = k-th newest term known at step pos.
+    previous row (equi-join on pos - 1). Returned: (key, _at, _i, term), the
+    terms that step _at adds, the newest first (_i from 0); ``proven_lists``
+    makes the lists of all terms known at each step from them.
     """
     x = steps.select(*key, pos, is_apply.alias("_ap"), F.col(goal).alias("_goal"),
                      closes.alias("_cl"), F.col(facts).alias("_facts"))
@@ -205,6 +205,20 @@ def proven_so_far(steps: DataFrame, key: Sequence[str], pos: str, is_apply: Colu
     return added
 
 
+def proven_lists(added: DataFrame, steps: DataFrame, key: Sequence[str], pos: str) -> DataFrame:
+    """W13, the lists themselves: (key, pos, k, term) = the k-th newest term
+    (from 0) known at step ``pos``, for every step. The terms are numbered in
+    order once (skew-safe); a step knows the first m of them, with m a running
+    sum over the steps, and its k-th newest is number m - 1 - k. As many rows
+    as the lists hold together, which is the result."""
+    terms = number_rows(added.withColumn("_back", -F.col("_i")), key, ["_at", "_back"], "_n")
+    adds = added.groupBy(*key, F.col("_at").alias(pos)).agg(F.count(F.lit(1)).alias("_a"))
+    counts = steps.select(*key, pos).join(adds, [*key, pos], "left").withColumn("_a", F.coalesce("_a", F.lit(0)))
+    known = running_sum(counts, key, [pos], {"_m": F.col("_a")}).where("_m > 0")
+    places = known.select(*key, pos, F.posexplode(F.sequence(F.col("_m") - 1, F.lit(0).cast("long"), F.lit(-1).cast("long"))).alias("k", "_n"))
+    return places.join(terms.select(*key, "_n", "term"), [*key, "_n"]).select(*key, pos, "k", "term")
+
+
 def trailing_run(df: DataFrame, key: Sequence[str], pos: str, in_proof: Column,
                  item: str) -> DataFrame:
     """The trailing run of in-proof rows of each group, plus the action

@@ -120,9 +120,8 @@ def vocab_size_at_coverage(counts: DataFrame, threshold: float = 0.95) -> DataFr
         F.sum(F.col("freq") * F.col("n_tok")).over(Window.partitionBy()).alias("total"))
     hit = c.where(F.lit(den) * (F.col("cum_before") + F.col("freq") * F.col("n_tok"))
                   >= F.lit(num) * F.col("total"))
-    need = (F.lit(num) * F.col("total") - F.lit(den) * F.col("cum_before")
-            + F.lit(den) * F.col("freq") - 1) / (F.lit(den) * F.col("freq"))
-    k = hit.select(F.max_by(F.col("tok_before") + F.floor(need).cast("long"), F.col("freq")).alias("k"))
+    k = hit.select(F.max_by(F.col("tok_before") + F.expr(
+        f"({num} * total - {den} * cum_before + {den} * freq - 1) div ({den} * freq)"), F.col("freq")).alias("k"))
     return k.select(F.coalesce("k", F.lit(0)).cast("long").alias("vocab_size"))
 
 

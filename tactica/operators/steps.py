@@ -113,6 +113,22 @@ def _json_or_empty(df: DataFrame, col: Column, dtype: T.DataType | None) -> Colu
     return F.when(col.isNull(), F.lit("[]")).otherwise(to_py_json(col, dtype))
 
 
+def task_table(records: DataFrame, data_format: str, proof: str = "proof") -> DataFrame:
+    """The work list for evaluation: the record's own columns, the
+    objective with balanced quotes, and ``context``, the JSON text of the
+    record fields that the format attaches (P09)."""
+    from tactica.functions.text import balance_quotes
+    names = [n for n in context_fields(data_format) if n in ("deps", "methods")]
+    parts: list[Column] = []
+    for i, name in enumerate(names):
+        dt = records.schema[name].dataType if name in records.columns else None
+        val = F.col(name) if dt is not None else F.lit(None)
+        parts += [F.lit(("{" if i == 0 else ", ") + f'"{name}": '), _json_or_empty(records, val, dt)]
+    context = F.concat(*parts, F.lit("}")) if parts else F.lit("{}")
+    keep = [c for c in records.columns if c not in (proof, "deps", "methods")]
+    return records.select(*keep, balance_quotes(objective(F.col(proof))).alias("objective"), context.alias("context"))
+
+
 def input_target_pairs(df: DataFrame, data_format: str = "state", proof: str = "proof",
                        keep: Sequence[str] = ("proof_id",)) -> DataFrame:
     """P10: one (input, target) per step >= 1.
@@ -127,15 +143,14 @@ def input_target_pairs(df: DataFrame, data_format: str = "state", proof: str = "
     esc = escape_array(F.transform(proof, lambda s: s["action"]))
     ctx = context_fields(data_format)
     # escape once per proof (a projection below the generator), not per step
-    escaped = df.select(*keep, *[c for c in ("deps", "methods") if c in cols], proof,
-                        esc.alias("_esc"))
-    out = escaped.select(*keep, *[c for c in ("deps", "methods") if c in cols], "_esc",
+    escaped = df.select(*keep, *[c for c in ("deps", "methods") if c in cols], proof, esc.alias("_esc"),
+                        escape_array(F.transform(proof, lambda s: F.coalesce(s["user_state"], F.lit("")))).alias("_states"))
+    out = escaped.select(*keep, *[c for c in ("deps", "methods") if c in cols], "_esc", "_states",
                          F.posexplode_outer(proof).alias("step", "_s"))
     out = out.where(F.col("step") >= 1)
     parts = [F.lit('{"proof_so_far": "'),
              F.array_join(F.slice("_esc", 1, F.col("step")), "\\n"),
-             F.lit('", "last_usr_state": '),
-             json_str(F.coalesce(F.col("_s")["user_state"], F.lit("")))]
+             F.lit('", "last_usr_state": "'), F.get("_states", F.col("step")), F.lit('"')]
     for name in ctx:
         if name in ("deps", "methods"):
             dt = df.schema[name].dataType if name in cols else None

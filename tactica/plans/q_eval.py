@@ -80,11 +80,13 @@ def a15_match_classes(spark, sf_dir):
            UNION ALL SELECT batch, sample, 'coincide' FROM cls2 WHERE coincide
            UNION ALL SELECT batch, sample, 'all_wrong' FROM cls2 WHERE all_wrong)
 , firsts AS (SELECT class, batch, min(sample) AS sample FROM long GROUP BY ALL)
-SELECT class, batch, sample FROM firsts
-QUALIFY row_number() OVER (PARTITION BY class ORDER BY batch) <= 20""", ("predictions",))
+, chosen AS (SELECT class, batch, sample FROM firsts QUALIFY row_number() OVER (PARTITION BY class ORDER BY batch) <= 20)
+SELECT class, batch, sample, array_to_string(labels, ' ') AS labels, array_to_string(predicted, ' ') AS predicted
+FROM chosen JOIN predictions USING (batch, sample)""", ("predictions",))
 def a16_match_examples(spark, sf_dir):
     c = ev.match_classes(ad.predictions(spark, sf_dir), "labels", "predicted", "batch")
-    return ev.match_examples(c, "batch", "sample", 20).select("class", "batch", "sample")
+    return ev.match_examples(c, "batch", "sample", 20).select(
+        "class", "batch", "sample", F.array_join("labels", " ").alias("labels"), F.array_join("predicted", " ").alias("predicted"))
 
 
 @query("a19_count_samples", """
@@ -110,9 +112,8 @@ def f07_bad_sample_flags(spark, sf_dir):
 # ----------------------------------------------------------------- A17, A18, ST3
 
 @query("a17_prover_outcomes", f"""
-, o AS (SELECT proof, {_OUTCOME_SQL} AS outcome, duration FROM attempts)
-SELECT proof,
-       count(*) FILTER (WHERE outcome <> 'skipped') AS attempted,
+, o AS (SELECT 'L' || (proof % 7) AS logic, 'T' || (proof % 49) AS theory, {_OUTCOME_SQL} AS outcome, duration FROM attempts)
+SELECT logic, theory, count(*) FILTER (WHERE outcome <> 'skipped') AS attempted,
        count(*) FILTER (WHERE outcome = 'skipped') AS skipped,
        count(*) FILTER (WHERE outcome = 'unnecessary') AS unnecessary,
        count(*) FILTER (WHERE outcome IN ('successful', 'finished')) AS successful,
@@ -120,25 +121,26 @@ SELECT proof,
        count(*) FILTER (WHERE outcome = 'finished') AS finished,
        round(avg(duration) FILTER (WHERE outcome IN ('successful', 'finished', 'failed')), 6) AS avg_duration,
        round(median(duration) FILTER (WHERE outcome IN ('successful', 'finished', 'failed')), 6) AS median_duration
-FROM o GROUP BY proof""", ("attempts",))
+FROM o GROUP BY logic, theory""", ("attempts",))
 def a17_prover_outcomes(spark, sf_dir):
-    a = ad.attempts(spark, sf_dir).withColumn("outcome", _outcome(F.col("kind")))
-    o = F.col("outcome")
-    timed = o.isin("successful", "finished", "failed")
-    cnt = lambda cond: F.count(F.when(cond, 1))
-    return a.groupBy("proof").agg(
-        cnt(o != "skipped").alias("attempted"), cnt(o == "skipped").alias("skipped"),
-        cnt(o == "unnecessary").alias("unnecessary"),
-        cnt(o.isin("successful", "finished")).alias("successful"),
-        cnt(o == "failed").alias("failed"), cnt(o == "finished").alias("finished"),
-        r6(F.avg(F.when(timed, F.col("duration")))).alias("avg_duration"),
-        r6(F.median(F.when(timed, F.col("duration")))).alias("median_duration"))
+    """Per logic and theory; the attempts' proofs stand for theories of seven logics."""
+    a = ad.attempts(spark, sf_dir).select(
+        F.concat(F.lit("L"), (F.col("proof") % 7).cast("string")).alias("logic"),
+        F.concat(F.lit("T"), (F.col("proof") % 49).cast("string")).alias("theory"),
+        _outcome(F.col("kind")).alias("outcome"), "duration")
+    kinds = ("skipped", "unnecessary", "successful", "failed", "finished")
+    c = ev.outcome_counts(a, ["logic", "theory"], "outcome", "duration", kinds, timed=("successful", "finished", "failed"))
+    return c.select("logic", "theory", (F.col("rows") - F.col("skipped")).alias("attempted"), "skipped", "unnecessary",
+                    (F.col("successful") + F.col("finished")).alias("successful"), "failed", "finished",
+                    r6(F.col("avg_duration")).alias("avg_duration"), r6(F.col("median_duration")).alias("median_duration"))
 
 
 _PER_PROOF = """
 , per AS (SELECT proof, count(*) FILTER (WHERE kind = 'click') AS progress,
                  count(*) FILTER (WHERE kind = 'error') AS no_progress,
                  (count(*) FILTER (WHERE kind = 'purchase')) > 0 AS finished,
+                 count(*) FILTER (WHERE kind = 'view' AND duration <= 50) AS correct_by,
+                 count(*) FILTER (WHERE kind = 'view' AND duration > 50) AS incorrect_by,
                  (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS elapsed_s
           FROM attempts GROUP BY proof)
 """
@@ -151,6 +153,8 @@ def _per_proof(spark, sf_dir):
         F.count(F.when(F.col("kind") == "click", 1)).alias("progress"),
         F.count(F.when(F.col("kind") == "error", 1)).alias("no_progress"),
         (F.count(F.when(F.col("kind") == "purchase", 1)) > 0).alias("finished"),
+        F.count(F.when((F.col("kind") == "view") & (F.col("duration") <= 50), 1)).alias("correct_by"),
+        F.count(F.when((F.col("kind") == "view") & (F.col("duration") > 50), 1)).alias("incorrect_by"),
         # wall-clock difference of zone-free timestamps: independent of the
         # session time zone (no DST shift)
         (F.expr("timestampdiff(MICROSECOND, min(ts), max(ts))") / F.lit(1e6)).alias("elapsed_s"))
@@ -158,8 +162,8 @@ def _per_proof(spark, sf_dir):
 
 @query("a18_search_outcomes", _PER_PROOF + f"""
 SELECT count(*) AS total_proofs, CAST(sum(progress) AS BIGINT) AS progress,
-       CAST(sum(no_progress) AS BIGINT) AS no_progress,
-       count(*) FILTER (WHERE finished) AS finished_proofs,
+       CAST(sum(no_progress) AS BIGINT) AS no_progress, CAST(sum(correct_by) AS BIGINT) AS correct_by,
+       CAST(sum(incorrect_by) AS BIGINT) AS incorrect_by, count(*) FILTER (WHERE finished) AS finished_proofs,
        count(*) FILTER (WHERE NOT finished AND elapsed_s > {TIME_LIMIT_S}) AS timed_out_proofs,
        round(count(*) FILTER (WHERE finished) / count(*), 6) AS success_rate,
        round(avg(elapsed_s) FILTER (WHERE finished), 6) AS avg_finished_duration_s
@@ -168,8 +172,8 @@ def a18_search_outcomes(spark, sf_dir):
     p = _per_proof(spark, sf_dir)
     fin = F.col("finished")
     return p.agg(F.count(F.lit(1)).alias("total_proofs"), F.sum("progress").alias("progress"),
-                 F.sum("no_progress").alias("no_progress"),
-                 F.count(F.when(fin, 1)).alias("finished_proofs"),
+                 F.sum("no_progress").alias("no_progress"), F.sum("correct_by").alias("correct_by"),
+                 F.sum("incorrect_by").alias("incorrect_by"), F.count(F.when(fin, 1)).alias("finished_proofs"),
                  F.count(F.when(~fin & (F.col("elapsed_s") > TIME_LIMIT_S), 1)).alias("timed_out_proofs"),
                  r6(F.count(F.when(fin, 1)) / F.count(F.lit(1))).alias("success_rate"),
                  r6(F.avg(F.when(fin, F.col("elapsed_s")))).alias("avg_finished_duration_s"))
@@ -222,15 +226,9 @@ SELECT kind, count(*) AS hits,
          AS mean_repeat_s
 FROM hits GROUP BY kind""", ("attempts",))
 def a21_mean_repeat_time(spark, sf_dir):
-    lines = _log_lines(spark, sf_dir)
-    outs = []
-    for kind in ("signup", "view", "click", "purchase", "error"):
-        m = ev.mean_repeat_time(lines, kind, "line", "pos")
-        outs.append(m.select(F.lit(kind).alias("kind"), "hits", r6("mean_repeat_s").alias("mean_repeat_s")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out.where(F.col("hits") > 0)
+    kinds = ("signup", "view", "click", "purchase", "error")
+    m = ev.mean_repeat_times(_log_lines(spark, sf_dir).drop("kind"), kinds, "line", "pos", name="kind")
+    return m.select("kind", "hits", r6("mean_repeat_s").alias("mean_repeat_s"))
 
 
 # ----------------------------------------------------------------- S12, U02, T03, X04
@@ -250,10 +248,10 @@ def _metric_rows(spark, sf_dir):
 , m AS (SELECT proof AS run, seq, 'count' AS key, 'int' AS kind, '1' AS value FROM attempts
         UNION ALL SELECT proof, seq, 'duration', 'float', CAST(duration AS VARCHAR) FROM attempts
         UNION ALL SELECT proof, seq, 'last_kind', 'other', kind FROM attempts)
-SELECT run, key, first(kind) AS kind,
-       round(CASE WHEN first(kind) = 'int' THEN CAST(sum(TRY_CAST(value AS BIGINT)) AS DOUBLE)
-                  WHEN first(kind) = 'float' THEN sum(TRY_CAST(value AS DOUBLE)) END, 6) AS number,
-       CASE WHEN first(kind) NOT IN ('int', 'float') THEN arg_max(value, seq) END AS text,
+SELECT run, key, arg_max(kind, seq) AS kind,
+       round(CASE WHEN arg_max(kind, seq) = 'int' THEN CAST(sum(TRY_CAST(value AS BIGINT)) AS DOUBLE)
+                  WHEN arg_max(kind, seq) = 'float' THEN sum(TRY_CAST(value AS DOUBLE)) END, 6) AS number,
+       CASE WHEN arg_max(kind, seq) NOT IN ('int', 'float') THEN arg_max(value, seq) END AS text,
        count(*) AS updates
 FROM m GROUP BY run, key""", ("attempts",))
 def s12_merge_metric_records(spark, sf_dir):
@@ -272,9 +270,9 @@ def s12_merge_metric_lists(spark, sf_dir):
 @query("u02_dedup_attempts", """
 , base AS (SELECT proof, arg_min(detail, seq) AS so_far FROM attempts GROUP BY proof)
 , d AS (SELECT proof, detail, max(CASE WHEN kind = 'purchase' THEN 1 ELSE 0 END) AS p FROM attempts GROUP BY ALL)
-, kept AS (SELECT d.* FROM d JOIN base USING (proof) WHERE d.detail <> base.so_far)
-, gate AS (SELECT proof, max(p) AS any_p FROM kept GROUP BY proof)
-SELECT proof, detail, p = 1 AS proved FROM kept JOIN gate USING (proof) WHERE any_p = 0 OR p = 1""",
+, gate AS (SELECT proof, max(p) AS any_p FROM d GROUP BY proof)
+SELECT proof, detail, p = 1 AS proved FROM d JOIN gate USING (proof) JOIN base USING (proof)
+WHERE p = 1 OR (any_p = 0 AND detail <> so_far)""",
        ("attempts",))
 def u02_dedup_attempts(spark, sf_dir):
     a = ad.attempts(spark, sf_dir).withColumn("proved", F.col("kind") == "purchase")

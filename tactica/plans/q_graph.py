@@ -194,16 +194,42 @@ def j05_local_in_dependency_order(spark, sf_dir):
     return G.local_in_dependency_order(nodes.join(brand, "key"), edges, F.col("p_brand") == "Brand#1")
 
 
-@query("g11_irreducible_paths")
+@query("g11_irreducible_paths", """
+, irr AS (SELECT src, dst FROM dag_edges e WHERE NOT EXISTS (
+            SELECT 1 FROM dag_edges a JOIN dag_edges b ON b.src = a.dst WHERE a.src = e.src AND b.dst = e.dst AND a.dst <> e.src AND a.dst <> e.dst))
+, walk(z, path) AS (SELECT max(key), [max(key)] FROM dag_nodes
+                    UNION ALL SELECT irr.dst, list_append(walk.path, irr.dst) FROM walk JOIN irr ON irr.src = walk.z)
+, done AS (SELECT path FROM walk WHERE z = 1)
+SELECT array_to_string(path, '>') AS path_id, i - 1 AS pos, path[i] AS key
+FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM done)""", ("dag_nodes", "dag_edges"))
 def g11_irreducible_paths(spark, sf_dir):
-    """All Hasse-diagram paths from the largest part key down to key 1 (the
-    predecessor order rule is sequential per node; checked by a brute-force
-    test on a small graph rather than SQL)."""
+    """All Hasse-diagram paths from the largest part key down to key 1."""
     nodes, edges = _dag(spark, sf_dir)
     hi = nodes.agg(F.max("key")).first()[0]
     return G.irreducible_paths(edges, int(hi), 1)
 
 
+@query("g02_neighbours", """
+SELECT src AS key, 'succ' AS side, dst AS other FROM dag_edges UNION ALL SELECT dst, 'pred', src FROM dag_edges
+WHERE dst IN (SELECT key FROM dag_nodes)""", ("dag_nodes", "dag_edges"))
+def g02_neighbours(spark, sf_dir):
+    return G.neighbours(*_dag(spark, sf_dir))
+
+
+@query("g01_build_graph_dangling", """
+WITH adj AS (SELECT p_partkey AS key, [p_partkey + 1, p_partkey + 1, p_partkey * 3] AS succs FROM part
+             UNION ALL SELECT p_partkey, [p_partkey + 1] FROM part WHERE p_partkey % 10 = 0)
+, e AS (SELECT DISTINCT key AS src, unnest(succs) AS dst FROM adj)
+SELECT key, 'duplicate node' AS error FROM adj GROUP BY key HAVING count(*) > 1
+UNION ALL SELECT dst, 'edge to unknown node' FROM e WHERE dst NOT IN (SELECT key FROM adj)""", ())
+def g01_build_graph_dangling(spark, sf_dir):
+    """Every tenth node comes twice, and many edges leave the graph."""
+    k = F.col("p_partkey")
+    part = ad.table(spark, sf_dir, "part")
+    adj = part.select(k.alias("key"), F.array(k + 1, k + 1, k * 3).alias("succs"))
+    return G.build_graph(adj.unionByName(part.where(k % 10 == 0).select(k.alias("key"), F.array(k + 1).alias("succs"))))[2]
+
+
 @query("g12_cycle_checked_insert_sequential")
 def g12_cycle_checked_insert_sequential(spark, sf_dir):
     """The ring edges inserted one by one in key order into the part DAG; an

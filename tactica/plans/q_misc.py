@@ -52,8 +52,8 @@ def j04_keyword_kind_lookup(spark, sf_dir):
 
 
 @query("a12_commands_by_kind", "WITH dummy AS (SELECT 1)" + _KEYWORDS_SQL + """
-SELECT kind, count(DISTINCT command) AS n_commands, arg_max(command, last_seen) AS newest_command
-FROM keywords GROUP BY kind""")
+SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY last_seen DESC, command) - 1 AS n, command
+FROM keywords""")
 def a12_commands_by_kind(spark, sf_dir):
     return J.commands_by_kind(_keywords(spark, sf_dir), "last_seen")
 
@@ -117,14 +117,21 @@ def j03_local_facts(spark, sf_dir):
 
 
 @query("a11_group_by_logic_theory", """
+SELECT logic, theory || '.thy' AS theory, proof_num,
+       logic || '/' || theory || '/proof' || CAST(proof_num AS VARCHAR) || '.json' AS path FROM proofs""", ("proofs",))
+def a11_group_by_logic_theory(spark, sf_dir):
+    p = ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir)))
+    return stats.group_by_logic_theory(p.withColumn("rel", F.col("path")))
+
+
+@query("a11_theory_summary", """
 , g AS (SELECT logic, theory || '.thy' AS theory, proof_num,
                logic || '/' || theory || '/proof' || CAST(proof_num AS VARCHAR) || '.json' AS path FROM proofs)
 SELECT logic, theory, count(*) AS n_proofs, min(proof_num) AS first_num, max(proof_num) AS last_num,
        arg_min(path, proof_num) AS first_path FROM g GROUP BY logic, theory""", ("proofs",))
-def a11_group_by_logic_theory(spark, sf_dir):
+def a11_theory_summary(spark, sf_dir):
     p = ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir)))
-    g = stats.group_by_logic_theory(p.withColumn("rel", F.col("path")))
-    return stats.theory_summary(g)
+    return stats.theory_summary(stats.group_by_logic_theory(p.withColumn("rel", F.col("path"))))
 
 
 @query("a13_distinct_terms", """
@@ -179,14 +186,70 @@ def p17_json_atom_paths(spark, sf_dir):
     return C.json_atoms(ad.bad_json(spark, sf_dir), ["seq"]).select("seq", "path", "atom")
 
 
-@query("s02_corpus_is_valid", """
-SELECT logic, count(*) FILTER (WHERE regexp_matches(logic || '/' || theory || '/proof' || CAST(proof_num AS VARCHAR)
-                                                    || '.json', 'proof[^/]*\\.json$')) > 0 AS valid
-FROM proofs GROUP BY logic""", ("proofs",))
+@query("s02_corpus_is_valid", "SELECT DISTINCT logic, true AS valid FROM proofs WHERE proof_num >= 0", ("proofs",))
 def s02_corpus_is_valid(spark, sf_dir):
     p = ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir).select("proof_id", "logic", "theory")))
-    return p.groupBy("logic").agg((F.count(F.when(F.col("path").rlike(r"proof[^/]*\.json$"), 1)) > 0)
-                                  .alias("valid"))
+    return C.valid_per_logic(p.withColumn("rel", F.col("path")))
+
+
+_DEEP_SQL = """
+, deep AS (SELECT proof_id, len(actions) AS n, unnest(range(1, len(actions) + 1)) AS i, unnest(actions) AS a FROM proofs)
+"""
+
+
+def _deep_json(spark, sf_dir):
+    from tactica.operators import steps as P
+    r = ad.proof_records(ad.proofs(spark, sf_dir))
+    return r.select("proof_id", P.to_py_json_struct(r, ["proof"]).alias("raw"))
+
+
+@query("p16_schema_key_paths_nested", _DEEP_SQL + """
+SELECT unnest(['proof', 'proof[]', 'proof[].action', 'proof[].user_state']) AS path, count(DISTINCT proof_id) AS count
+FROM deep""", ("proofs",))
+def p16_schema_key_paths_nested(spark, sf_dir):
+    return C.key_paths(_deep_json(spark, sf_dir))
+
+
+@query("p17_json_atom_paths_nested", _DEEP_SQL + f"""
+SELECT proof_id, '$.proof[' || CAST(i - 1 AS VARCHAR) || '].user_state' AS path,
+       '"' || CAST(n - i AS VARCHAR) || ' subgoals"' AS atom FROM deep
+UNION ALL SELECT proof_id, '$.proof[' || CAST(i - 1 AS VARCHAR) || '].action', CAST(to_json(a) AS VARCHAR) FROM deep""", ("proofs",))
+def p17_json_atom_paths_nested(spark, sf_dir):
+    return C.json_atoms(_deep_json(spark, sf_dir), ["proof_id"]).select("proof_id", "path", "atom")
+
+
+@query("s04_repair_line_breaks", """
+WITH t AS (SELECT doc_id, replace(replace(text, '"', ''), chr(92), '') AS text FROM documents)
+, j AS (SELECT doc_id, '{"id": ' || doc_id || ', "note": "' || CASE WHEN doc_id % 3 = 0 THEN chr(92) || '"' ELSE '' END
+               || '", "text": "' || text || CASE WHEN doc_id % 5 = 0 THEN '"' ELSE '"}' END AS raw FROM t)
+, c AS (SELECT *, replace(raw, chr(10), chr(92) || 'n') AS clean FROM j)
+SELECT doc_id, CASE WHEN json_valid(raw) THEN 'valid' WHEN json_valid(clean) THEN 'repaired' ELSE 'failed' END AS status,
+       CASE WHEN json_valid(raw) THEN raw WHEN json_valid(clean)
+            THEN replace(clean, '"note": "' || chr(92) || '"', '"note": "' || chr(92) || '"' || chr(92) || '"') END AS fixed
+FROM c""")
+def s04_repair_line_breaks(spark, sf_dir):
+    """Records with raw line breaks and odd quotes: repaired; cut ones fail."""
+    d = ad.table(spark, sf_dir, "documents")
+    text = F.translate("text", '"\\', "")
+    raw = F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "note": "'),
+                   F.when(F.col("doc_id") % 3 == 0, F.lit('\\"')).otherwise(F.lit("")), F.lit('", "text": "'), text,
+                   F.when(F.col("doc_id") % 5 == 0, F.lit('"')).otherwise(F.lit('"}')))
+    return C.repair_corrupt_json(d.select("doc_id", raw.alias("raw"))).select("doc_id", "status", "fixed")
+
+
+@query("st1_ingest_records", """
+SELECT proof_id, logic, theory, proof_num, proof_id % 4 <> 0 AS ok,
+       CASE WHEN proof_id % 4 <> 0 THEN len(actions) - 1 ELSE -1 END AS num_steps FROM proofs""", ("proofs",))
+def st1_ingest_records(spark, sf_dir):
+    """ST1's parser over every proof as a file: each fourth has text after its
+    JSON value and is an empty record (the stream itself runs in the tests)."""
+    from tactica.operators import steps as P
+    r = ad.proof_records(ad.with_path(ad.with_proof_num(ad.proofs(spark, sf_dir))))
+    text = F.concat(P.to_py_json_struct(r, ["proof"]), F.when(F.col("proof_id") % 4 == 0, F.lit("x")).otherwise(F.lit("")))
+    files = r.select(F.concat(F.lit("/corpus/"), "path").alias("path"), "proof_id", text.alias("raw"))
+    rec = C.with_record(C.with_place(files, "/corpus"))
+    return rec.select("proof_id", "logic", "theory", "proof_num", "ok",
+                      (F.coalesce(F.size("record.proof"), F.lit(0)) - 1).alias("num_steps"))
 
 
 @query("s06_proof_json_sink_plan", """
@@ -226,9 +289,9 @@ def s01_parse_corpus_records(spark, sf_dir):
     from tactica.operators import steps as P
     r = ad.proof_records(ad.proofs(spark, sf_dir))
     text = r.select("proof_id", P.to_py_json_struct(r, ["proof"]).alias("raw"))
-    parsed = text.select("proof_id", F.from_json("raw", C.PROOF_SCHEMA).alias("rec"))
-    return parsed.select("proof_id", (F.coalesce(F.size("rec.proof"), F.lit(0)) - 1).alias("num_steps"),
-                         F.try_element_at("rec.proof", F.lit(1))["action"].alias("objective"))
+    parsed = C.with_record(text)
+    return parsed.select("proof_id", (F.coalesce(F.size("record.proof"), F.lit(0)) - 1).alias("num_steps"),
+                         F.try_element_at("record.proof", F.lit(1))["action"].alias("objective"))
 
 
 @query("s04_repair_corrupt_json", """

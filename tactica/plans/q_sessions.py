@@ -44,9 +44,9 @@ def s08_session_catalog(spark, sf_dir):
 @query("s09_session_registry", _PAGES + _CATALOG + """
 , lines AS (SELECT label AS dir, CASE WHEN lang = 'en' THEN 1 ELSE 2 END AS priority, page_id AS line_no
             FROM parts)
-, j AS (SELECT l.dir, l.priority, l.line_no, c.location FROM lines l JOIN cat c ON c.session = l.dir)
-SELECT dir AS session, arg_max(location, (priority, line_no)) AS location,
-       arg_max(priority, (priority, line_no)) AS registry FROM j GROUP BY dir""")
+, best AS (SELECT dir, max(priority) AS priority FROM lines GROUP BY dir)
+, place AS (SELECT session, min(location) AS location FROM cat GROUP BY session)
+SELECT session, location, priority AS registry FROM best JOIN place ON session = dir""")
 def s09_session_registry(spark, sf_dir):
     roots = ad.root_texts(spark, sf_dir)
     cat = SS.session_catalog(roots, ["page_id"])
@@ -102,3 +102,28 @@ SELECT DISTINCT importer_dir, import_name FROM imports
 WHERE (importer_dir, import_name) NOT IN (SELECT (importer_dir, import_name) FROM resolved)""")
 def j02_unresolved_imports(spark, sf_dir):
     return _resolve(spark, sf_dir)[1]
+
+
+_ML = _PAGES + _RESOLVE.split(", cand AS")[0] + r"""
+, keyed AS (SELECT *, string_split(importer_dir, '/')[1] AS top,
+                   CASE WHEN ends_with(import_name, '.thy') THEN import_name ELSE import_name || '.thy' END AS direct FROM imp)
+, cand AS (SELECT k.importer_dir, k.import_name, 1 AS rank, l.path FROM keyed k JOIN loaded l ON l.name = k.base
+           UNION ALL SELECT k.importer_dir, k.import_name, 2, f.path FROM keyed k JOIN files f ON f.name = k.base
+           UNION ALL SELECT k.importer_dir, k.import_name, 3, f.path FROM keyed k JOIN files f
+             ON string_split(f.dir, '/')[1] = k.top AND f.name = k.base
+           UNION ALL SELECT k.importer_dir, k.import_name, 4, f.path FROM keyed k JOIN files f
+             ON f.dir = k.importer_dir AND f.name = k.base
+           UNION ALL SELECT k.importer_dir, k.import_name, 5, f.path FROM keyed k JOIN files f ON f.path = k.direct)
+, best AS (SELECT importer_dir, import_name, min(rank) AS rank FROM cand GROUP BY ALL)
+SELECT b.importer_dir, b.import_name, min(c.path) AS path, b.rank FROM best b JOIN cand c
+  USING (importer_dir, import_name, rank) GROUP BY ALL
+"""
+
+
+@query("j02_resolve_imports_ml", _ML)
+def j02_resolve_imports_ml(spark, sf_dir):
+    """The prover's own order: loaded, findable, importer's session, local, direct."""
+    files = ad.theory_files(spark, sf_dir)
+    loaded = files.where(F.col("dir").endswith(".org"))
+    found, _ = SS.resolve_imports(ad.theory_imports(spark, sf_dir), files, loaded, SS.ML_ORDER)
+    return found.select("importer_dir", "import_name", "path", "rank")

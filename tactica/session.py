@@ -50,8 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant
-    folder and is used as is. Only when nothing is configured (local tests)
-    a scratch folder is created.
+    folder and is used as is. Only a local master, where driver and executors
+    are one process, gets a scratch folder when nothing is configured; on a
+    cluster the missing setting is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -59,6 +60,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="tactica-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured

@@ -63,6 +63,21 @@ def proof_records(proofs_df: DataFrame) -> DataFrame:
                                          user_state_col(n, i).alias("user_state"))))
 
 
+def rich_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proof records with every context field: deps (first and last word of
+    each step), methods (first words), and per step the maps of names."""
+    p = proofs(spark, sf_dir)
+    n = F.size("actions")
+    word = lambda a, i: F.element_at(F.split(a, " "), i)
+    step = lambda a, i: F.struct(
+        a.alias("action"), user_state_col(n, i).alias("user_state"),
+        F.create_map(F.lit("Type0"), word(a, 1)).alias("variables"),
+        F.create_map(F.lit("Type0"), word(a, -1)).alias("constants"))
+    return p.select("proof_id", "logic", "theory", F.transform("actions", step).alias("proof"),
+                    F.transform("actions", lambda a: F.struct(word(a, 1).alias("name"), word(a, -1).alias("term"))).alias("deps"),
+                    F.transform("actions", lambda a: word(a, 1)).alias("methods"))
+
+
 def steps(proofs_df: DataFrame) -> DataFrame:
     """Flat step table: one row per (proof_id, step); step 0 is the objective."""
     keep = [c for c in proofs_df.columns if c != "actions"]

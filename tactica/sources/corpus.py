@@ -8,10 +8,12 @@ Bad files never abort a scan: they are kept as rows with a reason.
 
 from __future__ import annotations
 
+import json
 import re
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,12 @@ def _root_path(root: str) -> str:
     return p.rstrip("/")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path is there; any other trouble with the storage is an error."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
 def list_files(spark: SparkSession, root: str, glob: str = PROOF_GLOB) -> DataFrame:
     """All files under ``root`` matching ``glob`` at any depth: (path, rel).
     Listing only (binaryFile with the content column pruned away)."""
@@ -78,25 +86,30 @@ def scan_corpus(spark: SparkSession, root: str, glob: str = PROOF_GLOB,
     raw = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob)
                 .option("wholetext", "true").text(root)
                 .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw")))
-    rootp = re.escape(_root_path(root))
-    rel = F.regexp_extract("path", f"{rootp}/(.*)$", 1)
-    parts = F.split(rel, "/")
+    return with_record(with_place(raw, root), schema).select("*", "record.*").drop("record")
+
+
+def with_place(files: DataFrame, root: str) -> DataFrame:
+    """S01/ST1: rel, logic, theory and proof_num from ``path`` below ``root``."""
+    rel = F.regexp_extract("path", f"{re.escape(_root_path(root))}/(.*)$", 1)
+    parts = F.split("rel", "/")
     num = F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"proof(\d+)\.json$", 1)
-    ok = json_text_valid(F.col("raw")) & F.ltrim(F.col("raw")).startswith("{")
-    parsed = F.when(ok, F.from_json("raw", schema))
-    return raw.select(
-        "path", rel.alias("rel"), F.try_element_at(parts, F.lit(1)).alias("logic"),
-        F.try_element_at(parts, F.lit(-2)).alias("theory"),
-        F.when(num != "", num.cast("int")).alias("proof_num"), "raw", ok.alias("ok"),
-        parsed.alias("_p")).select("*", "_p.*").drop("_p")
+    others = [c for c in files.columns if c != "path"]
+    return files.withColumn("rel", rel).select(
+        "path", "rel", F.try_element_at(parts, F.lit(1)).alias("logic"),
+        F.try_element_at(parts, F.lit(-2)).alias("theory"), F.when(num != "", num.cast("int")).alias("proof_num"), *others)
+
+
+def with_record(df: DataFrame, schema: T.StructType = PROOF_SCHEMA, raw: str = "raw") -> DataFrame:
+    """S01/ST1: ``ok`` (the whole text is one JSON object) and ``record``, its
+    parsed form, null when not ok."""
+    ok = json_text_valid(F.col(raw)) & F.ltrim(F.col(raw)).startswith("{")
+    return df.withColumn("ok", ok).withColumn("record", F.when(F.col("ok"), F.from_json(raw, schema)))
 
 
 def corpus_is_valid(spark: SparkSession, root: str) -> bool:
     """The root holds at least one ``proof*.json`` file at any depth."""
-    try:
-        return not list_files(spark, root).isEmpty()
-    except Exception:  # noqa: BLE001 - a missing root is simply not valid
-        return False
+    return _exists(spark, root) and not list_files(spark, root).isEmpty()
 
 
 def valid_per_logic(files: DataFrame) -> DataFrame:
@@ -122,59 +135,45 @@ def quarantine(df: DataFrame, raw: str = "raw", check: Column | None = None) ->
     return clean, bad
 
 
-# Fixed value: a JSON string literal (escapes allowed), as the repair matches it.
-_QUOTED = r'"(?:[^"\\]|\\.)*?"'
-
+# A JSON string literal, up to the first quote that no backslash escapes. The
+# loops never go back (possessive), so long texts need no deep match stack.
+_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_PIECE = rf'(?s){_QUOTED}|[^"]++|"'
+_FALSY = r'(?s)^\s*(\{\s*\}|\[\s*\]|""|-?0(\.0+)?([eE][+-]?\d+)?|false|null)\s*$'
 
-def _balance_strings(v):
-    if isinstance(v, str):
-        return v + '"' if v.count('"') % 2 else v
-    if isinstance(v, dict):
-        return {k: _balance_strings(x) for k, x in v.items()}
-    if isinstance(v, list):
-        return [_balance_strings(x) for x in v]
-    return v
 
+def _pieces(text: Column) -> Column:
+    """A text as the list of its string literals and of what lies between."""
+    return F.regexp_extract_all(text, F.lit(_PIECE), F.lit(0))
 
-def _repair_one(raw):
-    import json
-    import re
-    if raw is None:
-        return None, "failed"
-    try:
-        json.loads(raw)
-        return raw, "valid"
-    except ValueError:
-        pass
-    cleaned = re.sub(_QUOTED, lambda m: m.group(0).replace("\n", "\\n"), raw, flags=re.DOTALL)
-    try:
-        parsed = json.loads(cleaned)
-    except ValueError:
-        return None, "failed"
-    fixed = _balance_strings(parsed)
-    if not fixed:                      # an empty repaired record counts as a failure
-        return None, "failed"
-    return json.dumps(fixed, indent=2, ensure_ascii=False), "repaired"
 
-
-@F.pandas_udf(T.StructType([T.StructField("fixed", T.StringType()), T.StructField("status", T.StringType())]))
-def _repair_udf(raw: pd.Series) -> pd.DataFrame:
-    out = [_repair_one(r) for r in raw]
-    return pd.DataFrame({"fixed": [o[0] for o in out], "status": [o[1] for o in out]})
+def _quotes_in(literal: Column) -> Column:
+    """Double quotes in the value of a string literal: its escaped ones."""
+    return F.size(F.filter(F.regexp_extract_all(literal, F.lit(r'(?s)\\(u0022|.)'), F.lit(1)),
+                           lambda e: e.isin('"', "u0022")))
 
 
 def repair_corrupt_json(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Repair only the rows that do not parse. Raw line breaks inside
     quoted strings are escaped; if the text then parses, every string value
-    with an odd number of double quotes gets one appended and the record is
-    written back indented (``status`` repaired, original kept in ``raw`` in
-    place of a .bak file); otherwise, or when the result is empty, the row is
-    ``failed``. Valid rows are left alone (``valid``). The per-record repair is
-    an Arrow-batched helper that only ever sees the invalid rows."""
+    with an odd number of double quotes gets one appended (``status``
+    repaired, original kept in ``raw`` in place of a .bak file); otherwise, or
+    when the result is empty, the row is ``failed``. Valid rows are left alone
+    (``valid``). The layout of the text is kept. Built-in expressions over the
+    list of literals, linear in the text; a key is a literal that a colon
+    follows."""
     ok = json_text_valid(F.col(raw))
     valid = df.where(ok).withColumns({"fixed": F.col(raw), "status": F.lit("valid")})
-    bad = df.where(~ok).withColumn("_r", _repair_udf(F.col(raw)))
-    bad = bad.withColumns({"fixed": F.col("_r.fixed"), "status": F.col("_r.status")}).drop("_r")
+    literal = lambda p: p.startswith('"') & (F.length(p) > 1)
+    bad = df.where(~ok).withColumn("_p", F.transform(
+        _pieces(F.col(raw)), lambda p: F.when(literal(p), F.replace(p, F.lit("\n"), F.lit("\\n"))).otherwise(p)))
+    is_key = lambda i: F.coalesce(F.ltrim(F.get("_p", i + 1)).startswith(":"), F.lit(False))
+    bad = bad.withColumn("_f", F.array_join(F.transform("_p", lambda p, i: F.when(
+        literal(p) & ~is_key(i) & (_quotes_in(p) % 2 == 1),
+        F.concat(F.substring(p, 1, F.length(p) - 1), F.lit('\\""'))).otherwise(p)), ""))
+    good = json_text_valid(F.array_join("_p", "")) & ~F.col("_f").rlike(_FALSY)
+    bad = bad.withColumns({"fixed": F.when(good, F.col("_f")),
+                           "status": F.when(good, "repaired").otherwise("failed")}).drop("_p", "_f")
     return valid.unionByName(bad)
 
 
@@ -192,9 +191,12 @@ def write_proofs(df: DataFrame, out: str, existing: DataFrame | None = None,
 
 def copy_subset(df: DataFrame, chosen: DataFrame, out: str, key: str = "path",
                 fmt: str = "parquet") -> None:
-    """Copy the chosen rows keeping each path relative to the common root
-    (``rel``) as partition layout."""
-    df.join(chosen.select(key), key, "left_semi").write.mode("overwrite").partitionBy("logic").format(fmt).save(out)
+    """Add the chosen rows to ``out``, each with ``rel``, its path below
+    the common root of the chosen ones, laid out by the folder of that path.
+    What is already there stays."""
+    rows = relative_layout(df.join(chosen.select(key), key, "left_semi"), key)
+    folder = F.regexp_extract("rel", "^(.*)/[^/]*$", 1)
+    rows.withColumn("folder", folder).write.mode("append").partitionBy("folder").format(fmt).save(out)
 
 
 def record_done(units: DataFrame, ledger: str, key: Sequence[str]) -> None:
@@ -203,11 +205,8 @@ def record_done(units: DataFrame, ledger: str, key: Sequence[str]) -> None:
     so a retried job records each unit once."""
     spark = units.sparkSession
     new = units.select(*key).distinct()
-    try:
-        known = spark.read.parquet(ledger).select(*key)
-        new = new.join(known, list(key), "left_anti")
-    except Exception:  # noqa: BLE001 - no ledger yet
-        pass
+    if _exists(spark, ledger):
+        new = new.join(spark.read.parquet(ledger).select(*key), list(key), "left_anti")
     new.write.mode("append").parquet(ledger)
 
 
@@ -216,50 +215,79 @@ def resume_todo(todo: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFra
     return todo.join(done.select(*key).distinct(), list(key), "left_anti")
 
 
-def key_paths(df: DataFrame, raw: str = "raw", max_depth: int = 16) -> DataFrame:
+class _Literal(str):
+    """A number as it is written."""
+
+
+def _parsed(text: str):
+    return json.loads(text, parse_float=_Literal, parse_int=_Literal)
+
+
+def _key_paths(value) -> Iterator[str]:
+    todo = [("", value)]
+    while todo:
+        path, v = todo.pop()
+        below = []
+        if isinstance(v, dict):
+            below = [(f"{path}.{k}" if path else k, x) for k, x in v.items()]
+        elif isinstance(v, list):
+            below = [(path + "[]", v[0] if v else None)]
+        for p, _ in below:
+            yield p
+        todo += below
+
+
+def _atoms(value) -> Iterator[tuple[str, str]]:
+    todo = [("$", value)]
+    while todo:
+        path, v = todo.pop()
+        if isinstance(v, dict):
+            todo += [(f"{path}.{k}", x) for k, x in v.items()]
+        elif isinstance(v, list):
+            todo += [(f"{path}[{i}]", x) for i, x in enumerate(v)]
+        else:
+            yield path, str(v) if isinstance(v, _Literal) else json.dumps(v, ensure_ascii=False)
+
+
+def key_paths(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Dotted key paths of every JSON text (lists contribute ``[]`` and
     only their first element is inspected), with the number of texts showing
-    each path. Level by level over variants, no Python."""
-    level = df.where(json_text_valid(F.col(raw))).select(F.lit("").alias("path"),
-                                                         F.try_parse_json(F.col(raw)).alias("v"))
-    out = None
-    for _ in range(max_depth):
-        obj = F.try_variant_get("v", "$", "map<string,variant>")
-        arr = F.try_variant_get("v", "$", "array<variant>")
-        objs = level.select("path", F.explode(obj).alias("k", "v")).select(
-            F.when(F.col("path") == "", F.col("k")).otherwise(F.concat_ws(".", "path", "k")).alias("path"), "v")
-        arrs = level.where(arr.isNotNull()).select(
-            F.concat(F.col("path"), F.lit("[]")).alias("path"), F.try_element_at(arr, F.lit(1)).alias("v"))
-        nxt = objs.unionByName(arrs)
-        found = nxt.select("path")
-        out = found if out is None else out.unionByName(found)
-        level = nxt.where(F.col("v").isNotNull())
-        if level.isEmpty():
-            break
-    return out.groupBy("path").agg(F.count(F.lit(1)).alias("count"))
-
-
-
-def json_atoms(df: DataFrame, key: Sequence[str], raw: str = "raw", max_depth: int = 32) -> DataFrame:
+    each path. Each text is walked once, to any depth; a batch sends its
+    counts, which are summed."""
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for text in batch.column(0).to_pylist():
+                counts.update(_key_paths(_parsed(text)))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
+                                              pa.array(list(counts.values()), pa.int64())], ["path", "n"])
+
+    valid = df.where(json_text_valid(F.col(raw))).select(raw)
+    return valid.mapInArrow(run, "path string, n long").groupBy("path").agg(F.sum("n").alias("count"))
+
+
+def json_atoms(df: DataFrame, key: Sequence[str], raw: str = "raw") -> DataFrame:
     """Flatten every JSON text to (key, path, atom) rows: objects add
     ``.name``, lists add ``[i]`` (0-based, ascending), atoms are rendered as
-    JSON text. Level by level over variants; stops when nothing nests."""
-    level = df.where(json_text_valid(F.col(raw))).select(*key, F.lit("$").alias("path"),
-                                                         F.try_parse_json(F.col(raw)).alias("v"))
-    out = None
-    for _ in range(max_depth):
-        obj = F.try_variant_get("v", "$", "map<string,variant>")
-        arr = F.try_variant_get("v", "$", "array<variant>")
-        atoms = level.where(obj.isNull() & arr.isNull()).select(*key, "path", F.to_json("v").alias("atom"))
-        out = atoms if out is None else out.unionByName(atoms)
-        objs = level.select(*key, "path", F.explode(obj).alias("k", "v")).select(
-            *key, F.concat(F.col("path"), F.lit("."), F.col("k")).alias("path"), "v")
-        arrs = level.select(*key, "path", F.posexplode(arr).alias("i", "v")).select(
-            *key, F.concat(F.col("path"), F.lit("["), F.col("i").cast("string"), F.lit("]")).alias("path"), "v")
-        level = objs.unionByName(arrs)
-        if level.isEmpty():
-            break
-    return out
+    JSON text, numbers as they are written. Each text is walked once, to any
+    depth, with no shuffle."""
+    valid = df.where(json_text_valid(F.col(raw))).select(*key, F.col(raw).alias("_raw"))
+
+    def run(batches):
+        for batch in batches:
+            rows, paths, atoms = [], [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                for path, atom in _atoms(_parsed(text)):
+                    rows.append(i)
+                    paths.append(path)
+                    atoms.append(atom)
+            kept = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(paths, pa.string()), pa.array(atoms, pa.string())],
+                                             [*key, "path", "atom"])
+
+    schema = T.StructType([*valid.schema.fields[:-1], T.StructField("path", T.StringType()),
+                           T.StructField("atom", T.StringType())])
+    return valid.mapInArrow(run, schema)
 
 
 def proofs_to_append(df: DataFrame, existing: DataFrame) -> DataFrame:

@@ -30,12 +30,13 @@ def session_catalog(roots: DataFrame, key: Sequence[str], text: str = "text") ->
 def session_registry(lines: DataFrame, catalog: DataFrame, priority: str = "priority",
                      order: str = "line_no") -> DataFrame:
     """ROOTS lines (dir, priority, line_no) joined to the catalog on
-    session = dir; on a name clash the higher ``priority`` registry wins and,
-    inside one registry, the later line. A partial ``max_by`` per session."""
-    j = lines.join(catalog.select(F.col("session").alias("dir"), "location"), "dir")
-    best = F.max_by(F.struct("location", priority), F.struct(priority, order))
-    return j.groupBy(F.col("dir").alias("session")).agg(best.alias("_b")).select(
-        "session", F.col("_b.location").alias("location"), F.col(f"_b.{priority}").alias("registry"))
+    session = dir; on a name clash the higher ``priority`` registry wins. Both
+    sides are reduced to one row per session before the join (the line of the
+    best registry; the smallest location of the name, no location last), so
+    the join grows with the sessions, not with lines times entries."""
+    best = lines.groupBy(F.col("dir").alias("session")).agg(F.max(F.struct(priority, order)).alias("_b"))
+    place = catalog.groupBy("session").agg(F.min("location").alias("location"))
+    return best.join(place, "session").select("session", "location", F.col(f"_b.{priority}").alias("registry"))
 
 
 def import_base_name(name: Column) -> Column:
@@ -49,28 +50,56 @@ def import_base_name(name: Column) -> Column:
 
 
 def theory_lookup(files: DataFrame, names: DataFrame, name: str = "base") -> DataFrame:
-    """First file (smallest path) whose file name is ``name``."""
-    return (names.select(name).distinct()
-                 .join(files.select(F.col("name").alias(name), "path"), name)
-                 .groupBy(name).agg(F.min("path").alias("path")))
-
-
-def resolve_imports(imports: DataFrame, files: DataFrame, loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Resolve (importer_dir, import_name) by priority: 1 a file of that
-    base name in the importer's own folder, 2 a loaded theory of that name,
-    3 any file of that name (smallest path). Returns (resolved, unresolved).
-    The candidates of all ranks are unioned and the best kept with a partial
-    ``min_by`` per import - no chain of dependent lookups."""
-    imp = imports.withColumn("base", import_base_name(F.col("import_name")))
-    local = imp.join(files.select(F.col("dir").alias("importer_dir"), F.col("name").alias("base"), "path"),
-                     ["importer_dir", "base"]).withColumn("rank", F.lit(1))
-    ld = imp.join(loaded.select(F.col("name").alias("base"), "path"), "base").withColumn("rank", F.lit(2))
-    remote = imp.join(files.select(F.col("name").alias("base"), "path"), "base").withColumn("rank", F.lit(3))
-    cand = local.unionByName(ld).unionByName(remote)
-    best = cand.groupBy("importer_dir", "import_name").agg(
-        F.min_by(F.struct("rank", "path"), F.struct("rank", "path")).alias("_b"))
-    resolved = best.select("importer_dir", "import_name", F.col("_b.path").alias("path"),
-                           F.col("_b.rank").alias("rank"))
-    unresolved = imp.select("importer_dir", "import_name").distinct().join(
-        resolved.select("importer_dir", "import_name"), ["importer_dir", "import_name"], "left_anti")
-    return resolved, unresolved
+    """First file (smallest path) whose path ends with ``name``. The path
+    from each of its places on where a name may begin (the start, or after a
+    slash) is a key, so the suffix test is an equi-join."""
+    parts = F.split("path", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)),
+                       lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))
+    by_end = files.select("path", F.explode(ends).alias(name)).groupBy(name).agg(F.min("path").alias("path"))
+    return names.select(name).distinct().join(by_end, name)
+
+
+# The ranks of the two lookups, in their order.
+SCALA_ORDER = ("local", "loaded", "remote")
+ML_ORDER = ("loaded", "findable", "session", "local", "direct")
+
+
+def resolve_imports(imports: DataFrame, files: DataFrame, loaded: DataFrame,
+                    order: Sequence[str] = SCALA_ORDER) -> tuple[DataFrame, DataFrame]:
+    """Resolve (importer_dir, import_name) by the first rank of ``order``
+    that knows the name. Returns (resolved, unresolved).
+
+    * local: a file of that base name in the importer's own folder;
+    * loaded: a loaded theory of that name;
+    * remote, findable: any file of that name;
+    * session: a file of that name under the importer's top folder;
+    * direct: a file whose path is the import name itself, ``.thy`` added.
+
+    Of several files the smallest path counts. Files and loaded theories are
+    reduced to one path per lookup key first, so each join adds at most one
+    row per import.
+    """
+    imp = imports.select("importer_dir", "import_name").distinct().withColumns({
+        "base": import_base_name(F.col("import_name")),
+        "top": F.split("importer_dir", "/")[0],
+        "direct": F.when(F.col("import_name").endswith(".thy"), F.col("import_name"))
+                   .otherwise(F.concat("import_name", F.lit(".thy")))})
+    least = F.min("path").alias("path")
+    tops = files.withColumn("top", F.split("dir", "/")[0])
+    lookups = {
+        "local": files.groupBy(F.col("dir").alias("importer_dir"), F.col("name").alias("base")).agg(least),
+        "loaded": loaded.groupBy(F.col("name").alias("base")).agg(least),
+        "remote": files.groupBy(F.col("name").alias("base")).agg(least),
+        "session": tops.groupBy("top", F.col("name").alias("base")).agg(least),
+        "direct": files.groupBy(F.col("path").alias("direct")).agg(least)}
+    lookups["findable"] = lookups["remote"]
+    x = imp
+    for i, kind in enumerate(order, 1):
+        found = lookups[kind].withColumnRenamed("path", f"_{i}")
+        x = x.join(found, [c for c in found.columns if c != f"_{i}"], "left")
+    ranks = range(1, len(order) + 1)
+    rank = F.coalesce(*[F.when(F.col(f"_{i}").isNotNull(), F.lit(i)) for i in ranks])
+    out = x.select("importer_dir", "import_name", F.coalesce(*[F.col(f"_{i}") for i in ranks]).alias("path"),
+                   rank.alias("rank"))
+    return out.where(F.col("rank").isNotNull()), out.where(F.col("rank").isNull()).select("importer_dir", "import_name")

@@ -14,7 +14,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tactica.sources.corpus import PROOF_GLOB, PROOF_SCHEMA, _root_path
+from tactica.sources.corpus import PROOF_GLOB, with_place, with_record
 
 
 def corpus_stream(spark: SparkSession, root: str, glob: str = PROOF_GLOB,
@@ -34,16 +33,7 @@ def corpus_stream(spark: SparkSession, root: str, glob: str = PROOF_GLOB,
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
-    rootp = re.escape(_root_path(root))
-    rel = F.regexp_extract("path", f"{rootp}/(.*)$", 1)
-    parts = F.split(rel, "/")
-    num = F.regexp_extract(F.try_element_at(parts, F.lit(-1)), r"proof(\d+)\.json$", 1)
-    ok = F.try_parse_json("raw").isNotNull()
-    return raw.select(
-        "path", F.try_element_at(parts, F.lit(1)).alias("logic"),
-        F.try_element_at(parts, F.lit(-2)).alias("theory"),
-        F.when(num != "", num.cast("int")).alias("proof_num"), ok.alias("ok"),
-        F.when(ok, F.from_json("raw", PROOF_SCHEMA)).alias("record"))
+    return with_record(with_place(raw, root)).select("path", "logic", "theory", "proof_num", "ok", "record")
 
 
 def ingest_corpus(spark: SparkSession, root: str, out: str, checkpoint: str,
@@ -96,12 +86,21 @@ def unit_timeouts(events: DataFrame, unit: str, ts: str, finished, limit: str =
             last = hi if last is None else max(last, hi)
             fin = fin or bool(pdf["fin"].any())
         if fin:
-            state.remove()
+            if state.exists:
+                state.remove()
             yield pd.DataFrame({"proof": [proof], "first_ts": [first], "last_ts": [last],
                                 "finished": [True], "timed_out": [bool((last - first).total_seconds() > limit_s)]})
             return
+        deadline = int(pd.Timestamp(first).timestamp() * 1000 + limit_s * 1000)
+        if deadline <= state.getCurrentWatermarkMs():
+            # a backlog: the watermark passed the deadline before this data came
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"proof": [proof], "first_ts": [first], "last_ts": [last],
+                                "finished": [False], "timed_out": [True]})
+            return
         state.update((first, last, fin))
-        state.setTimeoutTimestamp(int(pd.Timestamp(first).timestamp() * 1000 + limit_s * 1000))
+        state.setTimeoutTimestamp(deadline)
 
     return x.groupBy("proof").applyInPandasWithState(
         step, _TIMEOUT_OUT, _TIMEOUT_STATE, "append", GroupStateTimeout.EventTimeTimeout)

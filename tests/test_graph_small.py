@@ -4,6 +4,8 @@ import itertools
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from tactica.operators import graph as G
 
 EDGES = [(6, 3), (6, 2), (3, 1), (2, 1), (6, 1), (5, 2), (4, 2), (4, 1)]
@@ -45,51 +47,53 @@ def test_strong_components(spark):
     assert comp == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7}
 
 
-def _hasse_paths(edges, x, y):
-    succ = {}
-    for a, b in edges:
-        succ.setdefault(a, set()).add(b)
-    reach = {x}
-    frontier = [x]
-    while frontier:
-        n = frontier.pop()
-        for m in succ.get(n, ()):
-            if m not in reach:
-                reach.add(m)
-                frontier.append(m)
-
-    def is_edge(a, b):
-        return b in succ.get(a, ())
-
-    def irr(path, z):
-        preds = sorted(a for a, b in edges if b == z)
-        kept = []
-        for i, p in enumerate(preds):
-            rest = preds[i + 1:]
-            if p not in reach or p == z or p in path or any(is_edge(p, q) and q != z for q in rest + kept):
-                continue
-            kept.append(p)
-        return kept
-
-    out = []
-
-    def paths(path, z):
-        if z == x:
-            out.append([z] + path)
-            return
-        for p in irr(path, z):
-            paths([z] + path, p)
-
-    paths([], y)
-    return sorted(out)
-
-
-def test_irreducible_paths_brute_force(spark):
-    got = G.irreducible_paths(_edges(spark), 6, 1).groupBy("path_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "key"))).alias("p")).collect()
-    paths = sorted([[s["key"] for s in r["p"]] for r in got])
-    assert paths == _hasse_paths(EDGES, 6, 1)
-    assert paths  # non-empty: 6>3>1 and 6>2>1
+def _paths(spark, edges, x, y):
+    rows = G.irreducible_paths(_edges(spark, edges), x, y).collect()
+    out = {}
+    for r in rows:
+        out.setdefault(r["path_id"], []).append((r["pos"], r["key"]))
+    return sorted([k for _, k in sorted(p)] if p != [(None, None)] else [] for p in out.values())
+
+
+def test_irreducible_paths_by_hand(spark):
+    # a diamond with a shortcut: 1 -> 4 is implied by 1 -> 2 -> 4
+    diamond = [(1, 2), (1, 3), (2, 4), (3, 4), (1, 4)]
+    assert _paths(spark, diamond, 1, 4) == [[1, 2, 4], [1, 3, 4]]
+    # a chain with both shortcuts keeps the chain
+    assert _paths(spark, [(1, 2), (2, 3), (3, 4), (1, 3), (2, 4)], 1, 4) == [[1, 2, 3, 4]]
+    # two diamonds in a row: two times two paths
+    twice = [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (4, 6), (5, 7), (6, 7)]
+    assert _paths(spark, twice, 1, 7) == [[1, 2, 4, 5, 7], [1, 2, 4, 6, 7], [1, 3, 4, 5, 7], [1, 3, 4, 6, 7]]
+    # nodes that 1 does not reach give nothing
+    assert _paths(spark, [*diamond, (9, 4)], 1, 4) == [[1, 2, 4], [1, 3, 4]]
+    assert _paths(spark, diamond, 4, 1) == []
+    assert _paths(spark, diamond, 2, 2) == [[]]
+    assert _paths(spark, [*diamond, (2, 2)], 2, 2) == [[2]]
+
+
+def test_cycles_are_refused_or_reported(spark):
+    ring = [(1, 2), (2, 3), (3, 2), (3, 4)]
+    nodes = spark.createDataFrame([(k,) for k in range(1, 5)], "key long")
+    for call in (lambda: G.longest_paths(nodes, _edges(spark, ring)), lambda: G.longest_paths(nodes, _edges(spark, [(1, 2), (2, 3), (3, 4), (4, 1)])),
+                 lambda: G.irreducible_paths(_edges(spark, ring), 1, 4)):
+        with pytest.raises(ValueError, match="cycle"):
+            call()
+    reduced, cycles = G.transitive_reduction(_edges(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (1, 4), (2, 4)]))
+    assert sorted(tuple(r) for r in reduced.collect()) == [(1, 2), (2, 3), (3, 4)] and cycles.count() == 0
+    assert sorted(r["key"] for r in G.transitive_reduction(_edges(spark, [*ring, (4, 4)]))[1].collect()) == [2, 3, 4]
+    cand = spark.createDataFrame([(4, 1), (1, 4), (5, 5)], "src long, dst long")
+    got = {}
+    for r in G.closed_cycles(_edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4)]), cand).collect():
+        got.setdefault((r["src"], r["dst"], r["cycle_id"]), []).append((r["pos"], r["key"]))
+    assert sorted(got) == [(4, 1, "4>1>2>4"), (4, 1, "4>1>3>4"), (5, 5, "5>5")]
+    assert [k for _, k in sorted(got[4, 1, "4>1>2>4"])] == [4, 1, 2, 4]
+
+
+def test_trimmed_components_of_a_chain(spark):
+    edges = [(i, i + 1) for i in range(12)] + [(20, 21), (21, 22), (22, 20), (22, 5), (11, 30)]
+    nodes = spark.createDataFrame([(k,) for k in [*range(13), 20, 21, 22, 30, 40]], "key long")
+    comp = {r["key"]: r["component"] for r in G.strong_components(nodes, _edges(spark, edges)).collect()}
+    assert comp == {**{k: k for k in [*range(13), 30, 40]}, 20: 20, 21: 20, 22: 20}
 
 
 def test_reachable_within_limit(spark):

@@ -35,9 +35,8 @@ def duck(sf_small):
 
 
 # Queries without a SQL twin; each is covered by a literal or brute-force test:
-# T05 (tests/test_splits_sequences.py), X02 (tests/test_text.py), G11 (tests/test_graph_small.py).
-ROWS_ONLY = {"t05_random_element", "x02_method_usage", "g11_irreducible_paths",
-             "g12_cycle_checked_insert_sequential"}
+# T05 (tests/test_splits_sequences.py), the sequential G12 (tests/test_graph_small.py).
+ROWS_ONLY = {"t05_random_element", "g12_cycle_checked_insert_sequential"}
 
 
 def test_every_query_has_an_oracle_or_is_documented():
@@ -48,7 +47,7 @@ def test_every_query_has_an_oracle_or_is_documented():
 
 def test_rows_only_queries_run(spark, sf_small):
     qs = E.queries()
-    for name in sorted(ROWS_ONLY - {"g11_irreducible_paths", "g12_cycle_checked_insert_sequential"}):
+    for name in sorted(ROWS_ONLY):
         assert qs[name](spark, sf_small).count() > 0
 
 

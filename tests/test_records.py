@@ -37,7 +37,7 @@ def test_blocks_theory_lemma(spark):
     df = spark.createDataFrame([(0, i, c) for i, c in enumerate(cmds)], "thy long, pos long, cmd string")
     c = F.col("cmd")
     events = B.segment_blocks(df, ["thy"], "pos", [("THEORY", c == "theory"), ("PROOF", c == "lemma")],
-                              c.isin("done", "end"))
+                              [("THEORY", c == "end"), ("PROOF", c == "done")])
     rows = {r["block_id"]: r for r in B.blocks(events, ["thy"], "pos").collect()}
     assert rows[0]["tag"] == "THEORY" and rows[0]["closed"] and rows[0]["level"] == 1
     assert rows[1]["tag"] == "PROOF" and rows[1]["closed"] and rows[1]["n_events"] == 3
@@ -76,8 +76,8 @@ def test_flatten_trace_is_inverse(spark):
     c = F.col("cmd")
     events = B.segment_blocks(df, ["thy"], "pos", [("THEORY", c == "theory"), ("PROOF", c == "lemma")],
                               c.isin("done", "end"))
-    back = [r["pos"] for r in B.flatten_trace(events, ["thy"], "pos").orderBy("pos").collect()]
-    assert back == list(range(len(cmds)))
+    back = B.flatten_trace(events, df, ["thy"], "pos", "cmd").orderBy("n").collect()
+    assert [r["action"] for r in back] == cmds and [r["n"] for r in back] == list(range(len(cmds)))
     # the trailing command after the theory closed is a top-level (OTHER) command
     assert events.where("pos = 5").first()["block_id"] is None
 
@@ -137,3 +137,77 @@ def test_repair_balances_quotes_and_rejects_empty(spark):
     assert out[rows[1][0]]["status"] == "failed"
     third = json.loads(out[rows[2][0]]["fixed"])
     assert third == {"a": "1\n", "b": ['c\n"d"']}
+
+
+def test_json_of_depth_40(spark):
+    value = {"leaf": 1.50}
+    for i in range(40):
+        value = [value, i] if i % 3 == 0 else {f"k{i}": value}
+    df = spark.createDataFrame([(1, json.dumps(value))], "id long, raw string")
+    paths = {r["path"]: r["count"] for r in C.key_paths(df).collect()}
+    assert len(paths) == 41 and max(p.count("[]") + p.count(".") for p in paths) >= 30 and set(paths.values()) == {1}
+    atoms = [(r["path"], r["atom"]) for r in C.json_atoms(df, ["id"]).collect()]
+    assert len(atoms) == 15 and sum(p.endswith(".leaf") and a == "1.5" for p, a in atoms) == 1
+    raw = spark.createDataFrame([(1, '{"a": 1.50, "b": [true, null, "x\\u00e9"]}')], "id long, raw string")
+    assert sorted((r["path"], r["atom"]) for r in C.json_atoms(raw, ["id"]).collect()) == [
+        ("$.a", "1.50"), ("$.b[0]", "true"), ("$.b[1]", "null"), ("$.b[2]", '"xé"')]
+
+
+def _read_in_order(commands, rules_start, rules_end):
+    """Segmentation straight from its rules: (pos, delta, level, block, tag, error)."""
+    out, open_ = [], []
+    for pos, c in enumerate(commands):
+        starts = [t for t, cs in rules_start if c in cs]
+        ends = [t for t, cs in rules_end if c in cs]
+        top = open_[-1] if open_ else None
+        if starts:
+            tags = [t for t, _ in open_]
+            if ends and ends[0] in tags:
+                while len(open_) > tags.index(ends[0]):
+                    t, b = open_.pop()
+                    out.append((pos, -1, len(open_) + 1, b, t, None))
+            open_.append((starts[0], pos))
+            out.append((pos, 1, len(open_), pos, starts[0], None))
+        elif not ends:
+            out.append((pos, 0, len(open_), top[1] if top else None, top[0] if top else "OTHER", None))
+        elif top and top[0] in ends:
+            out.append((pos, -1, len(open_), top[1], top[0], None))
+            open_.pop()
+        else:
+            error = f"{top[0]} closed by {ends[0]}" if top else "unbalanced close"
+            out.append((pos, 0, len(open_), top[1] if top else None, top[0] if top else "OTHER", error))
+    return out
+
+
+def test_blocks_on_random_sequences(spark):
+    import random
+    rng = random.Random(11)
+    starts = [("A", "ax"), ("B", "by"), ("C", "c")]
+    ends = [("A", "Axz"), ("B", "By"), ("C", "Cz")]
+    groups = {g: [rng.choice("abcABCxyz.") for _ in range(n)] for g, n in enumerate([1, 2, 5, 40, 40, 400, 1500])}
+    groups[99] = list(".o.") and list("A.a.AaA")
+    rows = [(g, i, c) for g, cs in groups.items() for i, c in enumerate(cs)]
+    df = spark.createDataFrame(rows, "g long, p long, c string").repartition(7)
+    pred = lambda rules: [(t, F.col("c").isin(*cs)) for t, cs in rules]
+    events = B.segment_blocks(df, ["g"], "p", pred(starts), pred(ends))
+    got = {}
+    for r in events.orderBy("g", "p", "sub").collect():
+        got.setdefault(r["g"], []).append((r["p"], r["delta"], r["level"], r["block_id"], r["tag"], r["error"]))
+    assert got == {g: _read_in_order(cs, starts, ends) for g, cs in groups.items()}
+    # closings before any opening are errors and leave later blocks alone
+    assert [e[1] for e in got[99] if e[1]] == [1, -1, 1, -1]
+
+
+def test_kind_of_the_last_update_counts(spark):
+    rows = [("r", i, "k", "int" if i < 3 else "other", str(i)) for i in range(5)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "run string, seq long, key string, kind string, value string")
+        m = ev.merge_metric_records(df, ["run", "key"]).first()
+        assert (m["kind"], m["text"], m["number"]) == ("other", "4", None)
+
+
+def test_proved_attempt_equal_to_the_proof_so_far_stays(spark):
+    df = spark.createDataFrame([("g", "a", True, "a"), ("g", "b", False, "a"), ("h", "a", False, "a"), ("h", "b", False, "a")],
+                               "goal string, acts string, proved boolean, so_far string")
+    got = sorted((r["goal"], r["acts"]) for r in ev.dedup_attempts(df, "goal", "acts", "proved", "so_far").collect())
+    assert got == [("g", "a"), ("h", "b")]

@@ -124,3 +124,37 @@ def test_segment_by_overlapping_pattern_brute_force(spark):
             got.setdefault(r["s"], []).append((r["start"], r["end"], r["is_match"]))
         for k, seq in enumerate(seqs):
             assert sorted(got.get(k, [])) == _greedy_segments(seq, pattern), (pattern, "".join(seq))
+
+
+def test_number_rows_of_any_key(spark):
+    import random
+
+    from tactica.operators.ordering import bucket_of, exact_median
+    rng = random.Random(3)
+    words = [None if rng.random() < 0.1 else "".join(rng.choices("abc", k=rng.randint(0, 6))) for _ in range(3000)]
+    rows = [("hot" if i % 20 else "cold", w, 10 ** 15 if i == 7 else i % 50, i) for i, w in enumerate(words)]
+    df = spark.createDataFrame(rows, "g string, w string, n long, i long")
+    for order in (["w", "i"], ["n", "i"], ["i"]):
+        got = {(r["g"], r["i"]): r["rn"] for r in number_rows(df, ["g"], order, "rn").collect()}
+        key = lambda r: tuple((v is not None, v) for v in (r[{"g": 0, "w": 1, "n": 2, "i": 3}[c]] for c in order))
+        want = {}
+        for g in ("hot", "cold"):
+            for k, r in enumerate(sorted((r for r in rows if r[0] == g), key=key)):
+                want[g, r[3]] = k
+        assert got == want, order
+        sizes = [r["count"] for r in df.groupBy(bucket_of(df, ["g"], order).alias("b")).count().collect()]
+        assert max(sizes) <= 5 * sum(sizes) / len(sizes) and len(sizes) > 10
+    med = {r["g"]: r["median"] for r in exact_median(df, ["g"], "n").collect()}
+    import statistics
+    assert med == {g: statistics.median(r[2] for r in rows if r[0] == g) for g in ("hot", "cold")}
+    assert number_rows(df.limit(0), ["g"], ["w"], "rn").count() == 0
+
+
+def test_proven_lists(spark):
+    from tactica.operators import sequences as S
+    steps = spark.createDataFrame([("s", i) for i in range(4)], "session string, pos long")
+    added = spark.createDataFrame([("s", 1, 0, "a"), ("s", 3, 0, "c"), ("s", 3, 1, "b")], "session string, _at long, _i int, term string")
+    got = {}
+    for r in S.proven_lists(added, steps, ["session"], "pos").orderBy("pos", "k").collect():
+        got.setdefault(r["pos"], []).append(r["term"])
+    assert got == {1: ["a"], 2: ["a"], 3: ["c", "b", "a"]}

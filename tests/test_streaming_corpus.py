@@ -146,3 +146,38 @@ def test_resume_ledger_records_once(spark):
     assert done.count() == 2
     todo = spark.createDataFrame([("HOL", "A"), ("HOL", "C")], "logic string, theory string")
     assert [r["theory"] for r in C.resume_todo(todo, done, ["logic", "theory"]).collect()] == ["C"]
+
+
+def test_backlog_past_the_deadline(spark):
+    """A unit that gets data after the watermark passed its deadline times out at once."""
+    src = tempfile.mkdtemp()
+    parts = [[(1, "2024-06-01 00:00:00", "view")], [(2, "2024-05-31 23:30:00", "view"), (9, "2024-06-02 00:00:00", "view")],
+             [(3, "2024-06-01 23:59:00", "view")]]
+    for i, rows in enumerate(parts):
+        spark.createDataFrame(rows, "user_id long, ts string, event_type string").select(
+            "user_id", F.to_timestamp("ts").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema("user_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(src)
+    out = ST.unit_timeouts(stream, "user_id", "ts", F.col("event_type") == "purchase", limit="1 minute", watermark="2 hours")
+    q = out.writeStream.format("memory").queryName("backlog_t").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    assert q.exception() is None
+    assert all(r["timed_out"] for r in spark.table("backlog_t").collect())
+
+
+def test_copy_subset_adds_and_keeps_paths(spark):
+    df = spark.createDataFrame([("/r/a/x.json", 1), ("/r/a/b/y.json", 2), ("/r/c/z.json", 3)], "path string, v int")
+    out = os.path.join(tempfile.mkdtemp(), "copy")
+    C.copy_subset(df, df.where("v < 3"), out)
+    C.copy_subset(df, df.where("v = 3"), out)
+    got = {(r["rel"], r["folder"]) for r in spark.read.parquet(out).collect()}
+    assert got == {("x.json", ""), ("b/y.json", "b"), ("z.json", "")} or got == {("x.json", None), ("b/y.json", "b"), ("z.json", None)}
+
+
+def test_stream_and_scan_agree_on_bad_files(spark):
+    root = _tree({"HOL/M/proof0.json": json.dumps(SKELETON), "HOL/M/proof1.json": '{"proof":[]}x', "HOL/M/proof2.json": "[1]"})
+    out, ckpt = tempfile.mkdtemp(), tempfile.mkdtemp()
+    ST.ingest_corpus(spark, root, out, ckpt).awaitTermination(120)
+    stream = {r["proof_num"]: r["ok"] for r in spark.read.parquet(out).collect()}
+    scan = {r["proof_num"]: r["ok"] for r in C.scan_corpus(spark, root).collect()}
+    assert stream == scan == {0: True, 1: False, 2: False}
