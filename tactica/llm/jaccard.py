@@ -18,12 +18,8 @@ within the distance together in some region; none is dropped.
    pivots; a pair is compared only if it is not yet connected and the distances
    of both to earlier pivots don't exclude it by the triangle inequality.
 
-A region of step 3 or 4 that is too large for one task is divided: pivots drawn
-from it form Voronoi regions, and a document is sent to the region of its
-nearest pivot and to all whose pivot is at most twice the join distance
-further (the window in which the partner of a boundary document may live);
-these regions are divided again. A region that pivots don't make smaller is cut
-into blocks that meet two by two.
+A region of step 3 or 4 that is too large for one task is divided by pivots of
+its own into Voronoi cells with windows of boundary documents (``divide``).
 
 Sets hold 64-bit hashes of shingles.
 """
@@ -47,9 +43,9 @@ SIMILAR = 80
 #: frequent) go to the tasks. This only sets the order of the first pivots; the result is exact for any.
 SAMPLE_SHARE, FREQUENT = 16, 1_000_000
 #: Bytes of sketches or sets that one task joins in memory.
-REGION_BYTES = 48 << 20
+REGION_BYTES = 16 << 20
 #: Lists of ids up to this length are broadcast (16 MB); longer ones are joined by a shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
@@ -122,7 +118,7 @@ def measure(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
 
 
 def few(ids: DataFrame) -> DataFrame:
-    """``ids`` (one long column), with the hint to broadcast it if its counted length allows that."""
+    """``ids`` (one or two long columns), with the hint to broadcast it if its counted length allows that."""
     return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
 
 
@@ -176,23 +172,53 @@ def first_regions(rows: DataFrame) -> DataFrame:
     return rows.repartition("s").sortWithinPartitions("s", "key").mapInArrow(run, "region long, key long")
 
 
+def _folded(x: np.ndarray, buckets: int) -> np.ndarray:
+    """Counts (a row each) in fewer buckets: neighbours are added up."""
+    return x if x.shape[1] == buckets else x.reshape(len(x), buckets, -1).sum(2, dtype=np.uint32)
+
+
 class Sketches:
-    """Intersections and unions of multisets in common buckets: never less similar than the sets."""
+    """Intersections and unions of multisets: never less similar than the sets.
+
+    A pair is compared in the buckets of its smaller sketch; distances that are
+    set against each other (``all``) are taken in ``least`` buckets for all.
+    """
 
-    def __init__(self, blobs: list[bytes]):
-        least = min(map(len, blobs))
-        self.x = np.array([np.frombuffer(b, np.uint8).astype(np.int32).reshape(least, -1).sum(1) for b in blobs])
-        self.n = self.x.sum(1)
+    def __init__(self, blobs: list[bytes], least: int | None = None):
+        self.width = np.array([len(b) for b in blobs])
+        self.least = least or int(self.width.min())
+        self.place = np.empty(len(blobs), np.int64)
+        self.x = {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width == w)
+            self.place[rows] = np.arange(len(rows))
+            self.x[w] = np.frombuffer(b"".join(blobs[i] for i in rows.tolist()), np.uint8).reshape(len(rows), w)
+        self.n = np.array([self.x[w][i].sum(dtype=np.int64) for w, i in zip(self.width.tolist(), self.place.tolist())])
+
+    def _shared(self, p: int, rows: np.ndarray, least: int) -> np.ndarray:
+        shared = np.empty(len(rows), np.int64)
+        for w in np.unique(self.width[rows]).tolist():
+            at = np.flatnonzero(self.width[rows] == w)
+            m = min(w, int(self.width[p]), least)
+            own = _folded(self.x[int(self.width[p])][self.place[p]:self.place[p] + 1], m)
+            for i in range(0, len(at), 1024):
+                part = at[i:i + 1024]
+                shared[part] = np.minimum(_folded(self.x[w][self.place[rows[part]]], m), own).sum(1, dtype=np.int64)
+        return shared
 
     def both(self, p: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        shared = np.minimum(self.x[rows], self.x[p]).sum(1)
+        shared = self._shared(p, rows, 1 << 40)
         return shared, self.n[rows] + self.n[p] - shared
 
+    def all(self, p: int) -> np.ndarray:
+        shared = self._shared(p, np.arange(len(self.n)), self.least)
+        return 1 - shared / (self.n + self.n[p] - shared)
+
 
 class Sets:
     """Intersections and unions of whole sets."""
 
-    def __init__(self, blobs: list[bytes]):
+    def __init__(self, blobs: list[bytes], least: int | None = None):
         self.x = [np.frombuffer(b, np.uint64) for b in blobs]
         self.n = np.array([len(x) for x in self.x])
 
@@ -206,15 +232,24 @@ class Sets:
             shared[i] = np.count_nonzero(own[at] == other)
         return shared, self.n[rows] + self.n[p] - shared
 
+    def all(self, p: int) -> np.ndarray:
+        shared, union = self.both(p, np.arange(len(self.x)))
+        return 1 - shared / union
+
 
-def linked(space, similar: int) -> np.ndarray:
-    """For each point the smallest point of its component under the links of ``space``.
+def linked(space, similar: int, labels: list | None = None) -> np.ndarray:
+    """For each point the smallest point of its component under the links of ``space``; points of one
+    label (not None) are connected from the start.
 
     Points serve as pivots in turn. Two points of one component are not compared,
     nor two whose distances to an earlier pivot differ by more than a link's.
     """
     m = len(space.n)
     root = np.arange(m)
+    first: dict = {}
+    for i, label in enumerate(labels or ()):
+        if label is not None:
+            root[i] = first.setdefault(label, i)
     known = np.empty((0, m))
     reach = 1 - similar / 100 + 1e-9
     for p in range(m - 1):
@@ -226,16 +261,14 @@ def linked(space, similar: int) -> np.ndarray:
             continue
         if len(known):
             rest = rest[(np.abs(known[:, rest] - known[:, [p]]) <= reach).all(0)]
+        if len(rest) > 64 and len(known) < 4:
+            known = np.vstack([known, space.all(p)])  # a pivot whose distances to all are kept
+            rest = rest[known[-1][rest] <= reach]
         small, large = np.minimum(space.n[rest], space.n[p]), np.maximum(space.n[rest], space.n[p])
-        if len(known) < 4 and m > 16:
-            rest = np.arange(m)  # a pivot whose distances to all are kept
-        else:
-            rest = rest[100 * small >= similar * large]
+        rest = rest[100 * small >= similar * large]
         if not len(rest):
             continue
         shared, union = space.both(p, rest)
-        if len(rest) == m and m > 16 and len(known) < 4:
-            known = np.vstack([known, 1 - shared / union])
         hit = rest[100 * shared >= similar * union]
         if len(hit):
             joined = np.unique(np.append(root[hit], root[p]))
@@ -244,29 +277,31 @@ def linked(space, similar: int) -> np.ndarray:
 
 
 def _groups(batches):
-    """(region, keys, blobs) of each run of equal regions, across batches."""
-    region, keys, blobs = None, [], []
+    """(keys, blobs, labels) of each run of equal regions, across batches; repeated rows once."""
+    region, rows = None, {}
     for batch in batches:
-        for r, k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            if r != region:
-                if len(keys) > 1:
-                    yield region, keys, blobs
-                region, keys, blobs = r, [], []
-            keys.append(k)
-            blobs.append(b)
-    if len(keys) > 1:
-        yield region, keys, blobs
+        for at in range(0, batch.num_rows, 512):
+            for r, *row in zip(*(c.to_pylist() for c in batch.slice(at, 512).columns)):
+                if r != region:
+                    if len(rows) > 1:
+                        yield tuple(zip(*rows))
+                    region, rows = r, {}
+                rows[tuple(row)] = None
+    if len(rows) > 1:
+        yield tuple(zip(*rows))
+
+
+def _space(exact: bool):
+    return Sets if exact else Sketches
 
 
 def join_regions(rows: DataFrame, exact: bool, similar: int) -> DataFrame:
-    """Links a, b that connect what is connected within the regions of ``rows`` (region, key, blob)."""
+    """Links a, b that connect what is connected within the regions of ``rows`` (region, key, blob, label)."""
     def run(batches):
         a: list[int] = []
         b: list[int] = []
-        for _, keys, blobs in _groups(batches):
-            if len(set(keys)) < len(keys):  # rows that are repeated
-                keys, blobs = map(list, zip(*dict.fromkeys(zip(keys, blobs))))
-            root = linked((Sets if exact else Sketches)(blobs), similar)
+        for keys, blobs, labels in _groups(batches):
+            root = linked(_space(exact)(list(blobs)), similar, list(labels))
             for i in np.flatnonzero(root != np.arange(len(root))).tolist():
                 a.append(keys[i])
                 b.append(keys[root[i]])
@@ -275,65 +310,78 @@ def join_regions(rows: DataFrame, exact: bool, similar: int) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return rows.repartition("region").sortWithinPartitions("region", "key").mapInArrow(run, "a long, b long")
+    return (rows.select("region", "key", "blob", "label").repartition("region").sortWithinPartitions("region", "key")
+            .mapInArrow(run, "a long, b long"))
 
 
-def divide(rows: DataFrame, exact: bool, similar: int, limit: int = REGION_BYTES) -> DataFrame:
-    """``rows`` (region, key, blob) with every region of more than ``limit`` bytes divided, so that each
-    pair within the join distance still shares a region."""
-    done: list[DataFrame] = []
-    twice = 2 * (1 - similar / 100) + 1e-9
-    round_ = 0
-    rows = rows.withColumn("parent", F.lit(None).cast("long"))
-    while True:
-        sizes = (rows.groupBy("region").agg(F.sum(F.octet_length("blob") + 64).alias("bytes"), F.count("*").alias("members"),
-                                            F.max("parent").alias("parent")).where(F.col("bytes") > limit))
-        sizes = written(sizes, "regions")
-        if sizes.isEmpty():
-            break
-        round_ += 1
-        done.append(rows.join(sizes.select("region"), "region", "left_anti").select("region", "key", "blob"))
-        large = rows.drop("parent").join(sizes, "region")
-        # pivots help where the last division made a region clearly smaller; else it goes by blocks
-        stuck = F.col("parent").isNotNull() & (F.col("bytes") > 0.7 * F.col("parent"))
-        blocks = F.ceil(2 * F.col("bytes") / limit).cast("int") + 1
-        own = F.pmod(F.xxhash64("key", F.lit(round_)), blocks).cast("int")
-        cut = (large.where(stuck).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-               .select(F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other")).alias("region"), "key", "blob"))
-        done.append(cut)
-        open_ = large.where(~stuck)
-        wanted = F.least(F.lit(48), F.greatest(F.lit(12), F.ceil(4 * F.col("bytes") / limit)))
-        pivots = (open_.where(F.pmod(F.xxhash64("key", F.lit(-round_)), F.col("members")) < wanted)
-                  .groupBy("region").agg(F.sort_array(F.collect_list(F.struct("key", "blob"))).alias("pivots")))
-
-        def send(batches, salt=round_):
-            for batch in batches:
-                out = []
-                for region, key, blob, parent, pivots in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                    if not pivots:  # none was drawn: try again with others
-                        out.append((region, key, blob, None))
-                        continue
-                    space = (Sets if exact else Sketches)([blob, *(p["blob"] for p in pivots)])
-                    shared, union = space.both(0, np.arange(1, len(pivots) + 1))
-                    d = 1 - shared / union
-                    for i in np.flatnonzero(d <= d.min() + twice).tolist():
-                        name = np.array([region, pivots[i]["key"], salt], np.int64).view(np.uint64)
-                        made = mix(mix(mix(name[:1]) ^ name[1:2]) ^ name[2:]).view(np.int64)[0]
-                        out.append((int(made), key, blob, parent))
-                    if len(out) > 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))],
-                                                         ["region", "key", "blob", "parent"])
-                        out = []
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary(), pa.int64()))],
-                                                     ["region", "key", "blob", "parent"])
-
-        rows = written(open_.select("region", "key", "blob", F.col("bytes").alias("parent")).join(pivots, "region", "left")
-                       .mapInArrow(send, "region long, key long, blob binary, parent long"), "voronoi")
-    out = rows.select("region", "key", "blob")
-    for more in done:
-        out = out.unionByName(more)
-    return out
+#: Pivots of a region that is divided.
+PIVOTS = 48
+
+
+def divide(slim: DataFrame, blobs: DataFrame, exact: bool, similar: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """Regions of at most about ``limit`` bytes for ``join_regions``, and links found on the way.
+
+    ``slim``: region, key, bytes; ``blobs``: key, blob. A larger region is measured against pivots
+    drawn from it, a chunk of rows at a time. Rows near one pivot are linked; with these links the
+    rows fall into components, and only pairs across components are still open. Each row lives in
+    the Voronoi cell of its nearest pivot. Rows outside the region's largest component also visit
+    the cells whose pivot is at most twice the join distance further than their own: the window in
+    which their partners live. A cell with its visitors that is too large is cut into blocks of
+    residents and of visitors that meet two by two. Cells without visitors are done.
+    """
+    sizes = slim.groupBy("region").agg(F.sum("bytes").alias("total"), F.count("*").alias("members"), F.min("key").alias("first"),
+                                         (F.min("bytes") - 64).alias("least"))
+    sizes = written(sizes.where(F.col("total") > limit), "large-regions")
+    whole = slim.select("region", "key").withColumn("label", F.lit(None).cast("long"))
+    if sizes.isEmpty():
+        return whole.join(blobs, "key").select("region", "key", "blob", "label"), None
+    rest = whole.join(sizes.select("region"), "region", "left_anti")
+    large = slim.join(sizes, "region")
+    wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(12), F.ceil(4 * F.col("total") / limit)))
+    chunks = F.ceil(F.col("total") / limit).cast("int")
+    drawn = (F.col("key") == F.col("first")) | (F.pmod(F.xxhash64("key", F.lit(1)), F.col("members")) < wanted)
+    pivots = written(large.where(drawn).select("region", "key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+                     .join(blobs, "key").select("region", "chunk", "key", "blob"), "pivots")
+    rows = (large.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(2)), chunks).cast("int"))
+            .join(blobs, "key").select("region", "chunk", "key", "bytes", "blob", "least"))
+    near, twice = 1 - similar / 100, 2 * (1 - similar / 100) + 1e-9
+
+    def measured(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, others = left.column("blob").to_pylist(), right.sort_by("key").column("blob").to_pylist()
+        names = right.sort_by("key").column("key").to_pylist()
+        k = len(others)
+        space = _space(exact)(others + own, left.column("least")[0].as_py() if len(own) else None)
+        d, linked_to = np.empty((k, len(own))), np.zeros((k, len(own)), bool)
+        for i in range(k if own else 0):
+            d[i] = space.all(i)[k:]
+            close = np.flatnonzero(d[i] <= near + 1e-9)
+            shared, union = space.both(i, k + close)
+            linked_to[i, close] = 100 * shared >= similar * union
+        home = d.argmin(0) if len(own) else np.empty(0, np.int64)
+        return pa.table({
+            "region": left.column("region"), "key": left.column("key"), "bytes": left.column("bytes"),
+            "home": pa.array(home.astype(np.int32)),
+            "window": pa.array([np.flatnonzero(x <= x.min() + twice).astype(np.int32) for x in d.T], pa.list_(pa.int32())),
+            "links": pa.array([[names[i] for i in np.flatnonzero(x)] for x in linked_to.T], pa.list_(pa.int64()))})
+
+    schema = "region long, key long, bytes long, home int, window array<int>, links array<long>"
+    seen = written(rows.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInArrow(measured, schema), "measured")
+    links = seen.select(F.col("key").alias("a"), F.explode("links").alias("b")).where("a <> b")
+    comps = components(links).withColumnRenamed("node", "key")
+    seen = seen.drop("links").join(comps, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
+    weights = seen.groupBy("region", "label").agg(F.sum("bytes").alias("w"))
+    main = weights.groupBy("region").agg(F.max_by("label", F.struct("w", "label")).alias("main"))
+    seen = written(seen.join(main, "region").withColumn("open", F.col("label") != F.col("main")).drop("main"), "cells")
+    residents = seen.select("region", F.col("home").alias("cell"), "key", "bytes", "label")
+    visitors = seen.where("open").select("region", F.explode("window").alias("cell"), "key", "bytes", "label")
+    blocks = lambda d, name: d.groupBy("region", "cell").agg(F.ceil(2 * F.sum("bytes") / limit).cast("int").alias(name))
+    plan = blocks(residents, "n_res").join(blocks(visitors, "n_vis"), ["region", "cell"])
+    mark = lambda d, own, seed, other, fixed, free: (
+        d.join(plan, ["region", "cell"]).withColumn(fixed, F.pmod(F.xxhash64("key", F.lit(seed)), F.col(own)).cast("int"))
+        .withColumn(free, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
+        .select(F.xxhash64("region", "cell", "res", "vis").alias("region"), "key", "label"))
+    cells = mark(residents, "n_res", 3, "n_vis", "res", "vis").unionByName(mark(visitors, "n_vis", 4, "n_res", "vis", "res")).distinct()
+    return rest.unionByName(cells).join(blobs, "key").select("region", "key", "blob", "label"), links
 
 
 def join(docs: DataFrame, similar: int = SIMILAR, region_bytes: int = REGION_BYTES) -> DataFrame:
@@ -356,11 +404,13 @@ def join(docs: DataFrame, similar: int = SIMILAR, region_bytes: int = REGION_BYT
     # a row is its class's own unless it is a copy of another document
     others = few(member.where("rep <> doc_id").select("doc_id").distinct())
     reps = table.where("n > 0 AND doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
-    regions = written(first_regions(reps.select(F.explode("window").alias("s"), F.col("doc_id").alias("key"))), "first-regions")
+    regions = written(first_regions(reps.select(F.explode("window").alias("s"), F.col("doc_id").alias("key"))).distinct(), "first-regions")
     sketches = reps.select(F.col("doc_id").alias("key"), F.col("sketch").alias("blob"))
-    rows = regions.repartition("key").dropDuplicates(["region", "key"]).join(sketches, "key").select("region", "key", "blob")
-    near = components(join_regions(divide(written(rows, "sketches"), False, similar, region_bytes), False, similar))
-    near = written(near, "near")
+    bytes_ = reps.select(F.col("doc_id").alias("key"), (F.octet_length("sketch") + 64).cast("long").alias("bytes"))
+    rows, found = divide(regions.join(bytes_, "key"), sketches, False, similar, region_bytes)
+    close = join_regions(rows, False, similar)
+    near = written(components(close if found is None else close.unionByName(found)), "near")
+    # each document of a region brings its whole set
     texts = docs.join(few(near.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
 
     def sets(batches):
@@ -368,9 +418,18 @@ def join(docs: DataFrame, similar: int = SIMILAR, region_bytes: int = REGION_BYT
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["key", "blob"])
 
-    whole = (texts.select("doc_id", "text").mapInArrow(sets, "key long, blob binary").where(F.octet_length("blob") > 0)
-             .join(near.withColumnRenamed("node", "key"), "key").select(F.col("root").alias("region"), "key", "blob"))
-    links = join_regions(divide(written(whole, "sets"), True, similar, region_bytes), True, similar)
+    whole = texts.select("doc_id", "text").mapInArrow(sets, "key long, blob binary").where(F.octet_length("blob") > 0)
+    slim_near = near.select(F.col("root").alias("region"), F.col("node").alias("doc_id")).join(
+        slim.where("n > 0"), "doc_id").select("region", F.col("doc_id").alias("key"), (F.col("n") * 8 + 64).alias("bytes"))
+    if slim_near.groupBy("region").agg(F.sum("bytes").alias("b")).where(F.col("b") > region_bytes).isEmpty():
+        # every document is in one region: its name goes with the text, and the set is sent once
+        named = few(near.withColumnRenamed("node", "key"))
+        rows, found = whole.join(named, "key").select(F.col("root").alias("region"), "key", "blob", F.lit(None).cast("long").alias("label")), None
+    else:
+        rows, found = divide(slim_near, written(whole, "sets"), True, similar, region_bytes)
+    links = join_regions(rows, True, similar)
+    if found is not None:
+        links = links.unionByName(found)
     # rows that share an id
     twice = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
     same = twice.select("a", "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b"))
