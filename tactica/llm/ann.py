@@ -134,34 +134,78 @@ class Tree:
         self.high = np.array([points[b].max(0) for b in blocks])
 
 
-def search(space: Space, ids: np.ndarray, x: np.ndarray, query_ids, queries: np.ndarray, kth: np.ndarray,
-           k: int, factor: float) -> list[tuple[int, int, float]]:
-    """(query_id, vec_id, score) of up to ``k`` nearest of each query. ``kth``: scores that a row has to reach."""
-    tree = Tree(points := space.project(x))
-    del points
-    out: list[tuple[int, int, float]] = []
-    for query_id, q, p, least in zip(query_ids, queries, space.project(queries, query=True), kth):
+def _first_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
+    """Rows by id, of equal vectors the first ``k + 1``: no query can have more of them among its ``k``."""
+    seen: dict[bytes, int] = {}
+    keep = []
+    for i in np.argsort(ids, kind="stable").tolist():
+        v = x[i].tobytes()
+        n = seen.get(v, 0)
+        if n <= k:
+            seen[v] = n + 1
+            keep.append(i)
+    return np.array(keep, np.int64)
+
+
+def _best(q: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The ``k`` best rows of each query, largest score first, ties by id."""
+    order = np.lexsort((ids, -score, q))
+    q, ids, score = q[order], ids[order], score[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.empty(0, np.int64)
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    keep = rank < k
+    return q[keep], ids[keep], score[keep]
+
+
+def search(space: Space, ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, kth: np.ndarray,
+           k: int, factor: float) -> tuple[np.ndarray, ...]:
+    """(query_id, vec_id, score) of up to ``k`` nearest of each query. ``kth``: scores that a row has to reach.
+
+    All queries go on together: in each round every query takes the next few
+    blocks in the order of their projected distance, as long as the stopping
+    test lets it, and a block is verified for all queries that reached it.
+    """
+    keep = _first_of_equals(ids, x, k)
+    ids, x = ids[keep], x[keep]
+    tree = Tree(space.project(x))
+    points = space.project(queries, query=True)
+    reach = np.empty((len(queries), len(tree.blocks)))
+    for i, p in enumerate(points):
         gap = np.maximum(np.maximum(tree.low - p, p - tree.high), 0)
-        reach = (gap * gap).sum(1)
-        order = np.argsort(reach, kind="stable")
-        base = float((q * q).sum()) + space.top ** 2
-        best_ids, best = np.empty(0, np.int64), np.empty(0)
-        at, step = 0, 4
-        while at < len(order):
-            bound = max(best[-1] if len(best) == k else -np.inf, least)
-            # the stopping test: nothing further on can be near enough, but for the chance allowed
-            if reach[order[at]] > max(base - 2 * bound, 0) * factor * (1 + 1e-9):
-                break
-            rows = np.concatenate([tree.blocks[b] for b in order[at:at + step]])
-            at, step = at + step, min(step * 2, 32)
-            rows = rows[ids[rows] != query_id]
-            score = (x[rows] * q).sum(1)
-            good = score >= max(bound, -np.inf)
-            best_ids, best = np.concatenate([best_ids, ids[rows[good]]]), np.concatenate([best, score[good]])
-            keep = np.lexsort((best_ids, -best))[:k]
-            best_ids, best = best_ids[keep], best[keep]
-        out += zip([query_id] * len(best), best_ids.tolist(), best.tolist())
-    return out
+        reach[i] = (gap * gap).sum(1)
+    order = np.argsort(reach, axis=1, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :], 1)
+    base = (queries * queries).sum(1) + space.top ** 2
+    slack = 1e-9 * (1 + space.top * np.sqrt((queries * queries).sum(1)))
+    bound = kth.astype(float).copy()
+    hits = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+    at, step = 0, 2
+    while at < order.shape[1]:
+        # the stopping test: what lies further can't be near enough, but for the chance allowed
+        limit = np.maximum(base - 2 * bound, 0) * factor * (1 + 1e-9)
+        wanted = (rank >= at) & (rank < at + step) & (reach <= limit[:, None])
+        if not (reach[rank >= at].size and (wanted.any() or ((rank >= at) & (reach <= limit[:, None])).any())):
+            break
+        found = [hits]
+        for block in np.flatnonzero(wanted.any(0)).tolist():
+            asks, rows = np.flatnonzero(wanted[:, block]), tree.blocks[block]
+            # a product of matrices finds the rows worth a look; their scores are summed one by one
+            i, j = np.nonzero(queries[asks] @ x[rows].T >= (bound - slack)[asks][:, None])
+            q, r = asks[i], rows[j]
+            other = ids[r] != query_ids[q]
+            q, r = q[other], r[other]
+            for part in range(0, len(q), 1 << 15):
+                pq, pr = q[part:part + (1 << 15)], r[part:part + (1 << 15)]
+                found.append((pq, ids[pr], (x[pr] * queries[pq]).sum(1)))
+        hits = _best(*(np.concatenate(c) for c in zip(*found)), k)
+        counts = np.bincount(hits[0], minlength=len(queries))
+        full = counts == k
+        last = np.cumsum(counts) - 1
+        bound[full] = np.maximum(bound[full], hits[2][last[full]])
+        at, step = at + step, min(2 * step, 16)
+    good = hits[2] >= kth[hits[0]]
+    return query_ids[hits[0][good]], hits[1][good], hits[2][good]
 
 
 RESULT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
@@ -176,9 +220,9 @@ def _searched(space, factor: float, k: int):
         if not left.num_rows or not right.num_rows:
             return RESULT.empty_table()
         col = lambda t, n: t.column(n).combine_chunks()
-        rows = search(space.value, col(left, "vec_id").to_numpy(), _matrix(col(left, "v")),
-                      col(right, "query_id").to_pylist(), _matrix(col(right, "q")), col(right, "kth").to_numpy(), k, factor)
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows), RESULT)], schema=RESULT) if rows else RESULT.empty_table()
+        found = search(space.value, col(left, "vec_id").to_numpy(), _matrix(col(left, "v")), col(right, "query_id").to_numpy(),
+                       _matrix(col(right, "q")), col(right, "kth").to_numpy(), k, factor)
+        return pa.table([pa.array(c, f.type) for c, f in zip(found, RESULT)], schema=RESULT)
 
     return run
 
