@@ -28,6 +28,8 @@ DIMS = 1 << BITS
 #: Labelled documents that the centroids are learned from, at most, for each language and in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
 CENTROIDS = 4
+#: The most frequent languages, of which at most so many are learned; their rates are broadcast.
+MAX_LANGUAGES = 1000
 #: A text is rejected below this share of the smallest cosine that the language's sample has;
 #: for texts of fewer letters than FULL, whose vectors are sparse, by the root of their share of FULL less.
 SLACK, FULL = 0.5, 200
@@ -140,12 +142,12 @@ def learn(labelled: DataFrame, seed: int = 1) -> Model:
     rejects every text.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    # one row per language
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
     few = F.least(F.lit(SAMPLE_PER_LANGUAGE), F.greatest(F.lit(8), F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy())))
     rates = sizes.select("lang", few.cast("int").alias("cap"), (F.lit(1.25e9) * few / F.col("n")).alias("rate"))
     mark = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000_000))
-    picked = (labelled.select("doc_id", "lang", "text").join(rates, "lang").where(mark <= F.col("rate"))
+    # rows are thinned where they are read; the window sees little more than the sample
+    picked = (labelled.select("doc_id", "lang", "text").join(F.broadcast(rates), "lang").where(mark <= F.col("rate"))
               .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(mark, F.xxhash64("text"))))
               .where(F.col("place") <= F.col("cap")).select("lang", "text"))
 
