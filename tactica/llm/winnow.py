@@ -123,14 +123,16 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
               .select("doc_id", "text", F.col("before").alias("bucket"), F.lit(1).alias("guest")))
     rows = docs.withColumn("guest", F.lit(0)).unionByName(guests)
     rows = add_fingerprint(rows, "text", "selected")
-    rows = rows.withColumn("hashes", hashes_of("selected").cast("array<int>"))
     order = Window.partitionBy("bucket").orderBy("guest", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = (rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_hashes", F.lead("hashes").over(order))
+    # a text and its selected hashes are shuffled once, together
+    rows = (rows.withColumn("next_text", F.lead("text").over(order)).withColumn("next_selected", F.lead("selected").over(order))
             .where("guest = 0"))
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half),
                                               F.substr("next_text", F.lit(1), half)))
     rows = add_fingerprint(rows, "edited", "edited_selected")
-    return rows.withColumn("edited_hashes", hashes_of("edited_selected").cast("array<int>")).select(
+    for name in ("", "edited_", "next_"):
+        rows = rows.withColumn(name + "hashes", hashes_of(name + "selected"))
+    return rows.select(
         "doc_id", "n_chars", "text", "edited", "selected", "edited_selected", "hashes", "edited_hashes", "next_hashes")
