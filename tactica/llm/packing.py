@@ -32,8 +32,9 @@ class LibraryIds:
     """Ids as the tokenizers library gives them, as little-endian uint16 (ids < 65536) or uint32.
 
     A byte-level vocabulary whose ids follow the order of its merges is run by
-    tiktoken, which gives the same ids several times faster; any other by
-    tokenizers itself.
+    tiktoken, which gives the same ids several times faster; any other, and a
+    text whose white space is too long for tiktoken's splitter, by tokenizers
+    itself.
     """
 
     def __init__(self, spec: str):
@@ -54,17 +55,21 @@ class LibraryIds:
             self.fast = tiktoken.Encoding("byte-level", pat_str=SPLIT.format(L=r"\p{L}", N=r"\p{N}", S=r"\s"),
                                           mergeable_ranks=ranks, special_tokens=added)
         else:
-            from tokenizers import Tokenizer
-            self.fast, self.tokenizer = None, Tokenizer.from_str(spec)
-            self.tokenizer.no_truncation()
-            self.tokenizer.no_padding()
+            self.fast = None
+        self.spec, self.tokenizer = spec, None
 
     def encode(self, text: str) -> bytes:
         if self.fast is not None:
-            ids = self.fast.encode_to_numpy(text, allowed_special="all")
-        else:
-            ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        return ids.astype(self.dtype).tobytes()
+            try:
+                return self.fast.encode_to_numpy(text, allowed_special="all").astype(self.dtype).tobytes()
+            except ValueError:  # the splitter's stack: runs of hundreds of thousands of blanks
+                pass
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+            self.tokenizer = Tokenizer.from_str(self.spec)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
 
 _libraries: dict[int, LibraryIds] = {}

@@ -141,7 +141,9 @@ def _count_long(long_docs: DataFrame, spec, chunk: int, overlap: int) -> DataFra
 
     # the salt spreads the copies of a text; chunks of one document go to many tasks
     pieces = _chunks(long_docs, chunk, overlap).withColumn("salt", F.xxhash64(F.length("piece"), F.spark_partition_id()))
-    counted = (pieces.repartition("key", "number", "salt").drop("salt").select("key", "number", "last", "piece")
+    # a fixed number: the chunks are few bytes but much work, so partitions must not be merged by size
+    width = int(long_docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = (pieces.repartition(width, "key", "number", "salt").drop("salt").select("key", "number", "last", "piece")
                .mapInArrow(run, "key string, number long, last boolean, n long, left long, right long"))
     counted = counted.groupBy("key", "number").agg(
         F.first("n").alias("n"), F.first("left").alias("left"), F.first("right").alias("right"))

@@ -122,6 +122,14 @@ def test_op8(spark, byte_library):
     check_pieces(E.queries()["op8_pack"](spark, SF).collect(), texts_of(), byte_library, 1024)
 
 
+def test_ids_of_very_long_runs(byte_library):
+    ids = packing.library(bpe.read_spec(vocabulary(BYTE)))
+    machine = bpe.automaton(bpe.read_spec(vocabulary(BYTE)))
+    for text in ("\n" * 700_000, "x" + " " * 800_000 + "y", "a" * 400_000, "ab1 " * 60_000):
+        want = byte_library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(ids.encode(text), "<u2").tolist() == want == machine.encode(text)
+
+
 def test_pack_edge_cases(spark, byte_library, tmp_path):
     df = docs(spark, enumerate(ODD), extra="ids part before").repartition(5)
     for length in (1, 7, 64):
