@@ -481,11 +481,11 @@ def irreducible_path_set(edges: DataFrame, pairs: DataFrame) -> DataFrame:
         step = front.where("z <> x").join(steps, ["x", "z"])
         front = _ckpt(step.select("x", "y", F.col("p").alias("z"), F.concat(F.array("p"), "path").alias("path"),
                                   F.array_contains("path", F.col("p")).alias("_again")))
-        if front.isEmpty():
+        seen = front.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_again"), F.col("z"))).alias("met")).first()
+        if not seen["n"]:
             return _ckpt(_union(done))
-        met = front.where("_again").select("z").limit(1).collect()
-        if met:
-            raise ValueError(f"the graph has a cycle through {met[0][0]}")
+        if seen["met"] is not None:
+            raise ValueError(f"the graph has a cycle through {seen['met']}")
         front = front.drop("_again")
 
 
