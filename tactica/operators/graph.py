@@ -427,24 +427,17 @@ def named_premises(edges: DataFrame, starts: DataFrame, named: DataFrame) -> Dat
     """From each start walk the dependencies; stop at named nodes (they
     are reported), go on through unnamed ones; each node visited once per
     start. Output distinct (start, key) with key named."""
-    e = edges.select(F.col("src").alias("key"), F.col("dst").alias("next"))
-    nm = named.select("key").distinct().withColumn("_named", F.lit(True))
-    seen = _ckpt(starts.select("start", "key").distinct())
-    frontier = seen
-    found = None
+    e = _keyed(edges.select(F.col("src").alias("key"), F.col("dst").alias("next")), "key")
+    nm = _keyed(named.select("key").distinct().withColumn("_named", F.lit(True)), "key")
+    known = _KnownSet(starts.select("start", "key").distinct(), ["start", "key"])
+    frontier, hits = known.pieces[0], [starts.select("start", "key").limit(0)]
     while True:
-        step = frontier.join(e, "key").select("start", F.col("next").alias("key")).distinct()
-        new = _ckpt(step.join(seen, ["start", "key"], "left_anti"))
+        new = known.unseen(frontier.join(e, "key").select("start", F.col("next").alias("key")).distinct())
         if new.isEmpty():
-            break
-        seen = _ckpt(seen.unionByName(new))
-        tagged = new.join(nm, "key", "left")
-        hits = tagged.where(F.col("_named")).select("start", "key")
-        found = hits if found is None else found.unionByName(hits)
-        frontier = _ckpt(tagged.where(F.col("_named").isNull()).select("start", "key"))
-    if found is None:
-        return starts.select("start", "key").limit(0)
-    return found.distinct()
+            return _union(hits)
+        known.add(new)
+        hits.append(new.join(nm, "key", "left_semi").select("start", "key"))
+        frontier = new.join(nm, "key", "left_anti")
 
 
 def local_in_dependency_order(nodes: DataFrame, edges: DataFrame, local: Column) -> DataFrame:
