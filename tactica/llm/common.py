@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tactica.session import ensure_checkpoint_dir
 
 #: Rows whose text bytes together stay under this go through Python at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def measure(docs: DataFrame, similar: int = SIMILAR) -> DataFrame:
     order = docs.sparkSession.sparkContext.broadcast(Order(frequent_shingles(docs)))
 
     def run(batches):
-        for batch, texts in slices(batches, "text", 1 << 20):
+        for batch, texts in slices(batches, "text", 1 << 19):
             sets = shingle_sets(texts)
             n = np.array([len(s) for s in sets], np.int64)
             ids = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]

@@ -79,7 +79,7 @@ def counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     codes = np.concatenate([*codes, gap])
     rows = np.repeat([i for i, _ in owner], [n for _, n in owner]).astype(np.int64) * DIMS
     flat = out.reshape(-1)
-    window = 1 << 20
+    window = 1 << 18
     for at in range(0, len(rows), window):
         r = rows[at:at + window]
         a, b, c = (codes[at + j:at + j + len(r)] for j in range(3))
