@@ -197,8 +197,10 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
 
     Wave L holds the nodes that a path of exactly L edges reaches, with the
     largest weight of such a path; the result is the maximum over the waves,
-    which are only ever appended. A wave that outlives the number of nodes,
-    or a node that no wave reaches, means a cycle: an error that names keys.
+    which are only ever appended. A cycle is an error that names keys: a node
+    that no wave reaches, or nodes that stay when all others are trimmed away,
+    which is looked at whenever the number of waves reaches a power of four
+    from 64 on.
     """
     w = nodes.select("key", (weight if weight is not None else F.lit(1)).cast("long").alias("_w"))
     e = _keyed(edges.select(F.col("dst" if backward else "src").alias("key"),
@@ -206,12 +208,16 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
     has_in = e.select(F.col("next").alias("key")).distinct()
     wave = _ckpt(nodes.select("key").join(has_in, "key", "left_anti").withColumn(name, F.lit(0).cast("long")))
     n = nodes.count()
-    waves, length = [wave], 0
+    waves, length, probe = [wave], 0, 64
     while not wave.isEmpty():
         length += 1
-        if length > n:
-            keys = [r["key"] for r in wave.limit(5).collect()]
-            raise ValueError(f"the graph has a cycle before {keys}")
+        if length == probe or length > n:
+            core, _ = _trim(nodes.select("key").distinct(), edges.select("src", "dst").distinct())
+            core = core.unionByName(edges.where("src = dst").select(F.col("src").alias("key")))
+            keys = [r["key"] for r in core.limit(5).collect()]
+            if keys or length > n:
+                raise ValueError(f"the graph has a cycle around {keys}")
+            probe *= 4
         wave = _ckpt(wave.join(e, "key").groupBy(F.col("next").alias("key"))
                          .agg(F.max(F.col(name) + F.col("_w")).alias(name)))
         waves.append(wave)
@@ -367,14 +373,18 @@ def transitive_reduction(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     cycle are returned; the reduction is only defined when there are none."""
     e = _ckpt(edges.select("src", "dst").distinct())
     nodes = e.select(F.col("src").alias("key")).unionByName(e.select(F.col("dst").alias("key"))).distinct()
-    comp = strong_components(nodes, e)
-    large = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component")
-    loops = e.where("src = dst").select(F.col("src").alias("key"))
-    cycles = _ckpt(comp.join(large, "component", "left_semi").select("key").unionByName(loops).distinct())
+    try:
+        level = longest_paths(nodes, e)
+        cycles = nodes.limit(0)
+    except ValueError:
+        comp = strong_components(nodes, e)
+        large = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component")
+        loops = e.where("src = dst").select(F.col("src").alias("key"))
+        level = None
+        cycles = _ckpt(comp.join(large, "component", "left_semi").select("key").unionByName(loops).distinct())
     forked = e.groupBy(F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seed")
     firsts = e.select(F.col("src").alias("seed"), F.col("dst").alias("key"))
-    if cycles.isEmpty():
-        level = longest_paths(nodes, e)
+    if level is not None:
         starts = firsts.join(forked, "seed", "left_semi")
         last = starts.join(level, "key").groupBy("seed").agg(F.max("level").alias("last"))
         lifted = e.join(level.withColumnRenamed("key", "dst"), "dst")

@@ -89,6 +89,15 @@ def test_cycles_are_refused_or_reported(spark):
     assert [k for _, k in sorted(got[4, 1, "4>1>2>4"])] == [4, 1, 2, 4]
 
 
+def test_cycle_in_a_long_graph_is_found_early(spark):
+    edges = [(i, i + 1) for i in range(30)] + [(20, 10), (30, 31)] + [(100 + i, 101 + i) for i in range(400)]
+    nodes = spark.createDataFrame([(k,) for k in {x for e in edges for x in e}], "key long")
+    with pytest.raises(ValueError, match="cycle"):
+        G.longest_paths(nodes, _edges(spark, edges[:32]).unionByName(_edges(spark, edges[32:40])))
+    with pytest.raises(ValueError, match="cycle"):
+        G.longest_paths(nodes.where("key < 3"), _edges(spark, [(0, 1), (1, 1), (1, 2)]))
+
+
 def test_trimmed_components_of_a_chain(spark):
     edges = [(i, i + 1) for i in range(12)] + [(20, 21), (21, 22), (22, 20), (22, 5), (11, 30)]
     nodes = spark.createDataFrame([(k,) for k in [*range(13), 20, 21, 22, 30, 40]], "key long")
