@@ -5,8 +5,8 @@ everything else a word end), weighted ``log(1 + count) * idf`` and scaled to
 length one. Each language has several centroids, clustered by cosine from a
 bounded sample of labelled documents. A text gets the language of the centroid
 with the largest cosine, which is its score; it is rejected if it has no
-letters or lies further from all centroids than the learned documents of that
-language do.
+letters or lies further from all centroids than documents of that language and
+length do. How far those lie is measured on sample rows that taught nothing.
 """
 
 from __future__ import annotations
@@ -30,9 +30,16 @@ SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
 CENTROIDS = 4
 #: The most frequent languages, of which at most so many are learned; their rates are broadcast.
 MAX_LANGUAGES = 1000
-#: A text is rejected below this share of the smallest cosine that the language's sample has;
-#: for texts of fewer letters than FULL, whose vectors are sparse, by the root of their share of FULL less.
-SLACK, FULL = 0.5, 200
+#: Of the sample one row in so many teaches nothing; the floors of the cosines are measured on it.
+MEASURED = 3
+#: Numbers of letters that floors are measured for, on the first so many letters of a text (the last: on whole
+#: longer texts); between them a floor goes with the logarithm of the letters.
+LENGTHS = (1, 4, 16, 64, 256, 1024)
+#: A text is rejected below MARGIN times the quantile LOW of the cosines measured for its language and length, and
+#: never from SHARE of their median on (a small sample may hold none of the odd but clean texts).
+LOW, MARGIN, SHARE = 0.02, 0.85, 0.38
+#: Measured rows from which a language has a median, and a quantile, of its own.
+OWN_MEDIAN, OWN_LOW = 20, 100
 
 _fold: np.ndarray | None = None
 
@@ -98,8 +105,8 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.where(norm > 0, norm, 1)
 
 
-def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Centroids of unit vectors by cosine, from starts that lie far apart; and each row's best cosine."""
+def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
+    """Centroids of unit vectors by cosine, from starts that lie far apart."""
     centres = [unit(x.sum(0, keepdims=True))[0]]
     near = x @ centres[0]
     while len(centres) < min(k, len(x)):
@@ -109,23 +116,66 @@ def cluster(x: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.nda
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
         c = unit(np.array([x[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))]))
-    return c, (x @ c.T).max(1)
+    return c
+
+
+def starts(text: str) -> list[tuple[int, str]]:
+    """(n, the text up to its n-th letter) for each of LENGTHS that the text has; for the last the whole text."""
+    at = np.flatnonzero(_letters(text))
+    return [(n, text if n == LENGTHS[-1] else text[:at[n - 1] + 1]) for n in LENGTHS if n <= len(at)]
+
+
+def floors_of(languages: list[str], found: list[str], lengths: np.ndarray, cosines: np.ndarray) -> np.ndarray:
+    """The floor of each of ``languages`` for each of LENGTHS, from measured texts: language found, length, cosine.
+
+    The low quantile is that of cosines over their language's median, of all
+    languages together, so that no single row sets it; a language with many
+    measured rows may have a lower one of its own.
+    """
+    found, floors = np.array(found), np.zeros((len(languages), len(LENGTHS)))
+    for j, n in enumerate(LENGTHS):
+        here = lengths == n
+        if not here.any():
+            # no text is as long
+            floors[:, j] = floors[:, j - 1]
+            continue
+        names, index, sizes = np.unique(found[here], return_inverse=True, return_counts=True)
+        x, all_ = cosines[here], float(np.median(cosines[here]))
+        own = {l: x[index == i] for i, l in enumerate(names.tolist()) if sizes[i] >= OWN_MEDIAN}
+        median = {l: float(np.median(v)) for l, v in own.items()}
+        low = float(np.quantile(x / np.maximum([median.get(l, all_) for l in names[index].tolist()], 1e-9), LOW))
+        for i, l in enumerate(languages):
+            floors[i, j] = median.get(l, all_) * min(MARGIN * low, SHARE)
+            if len(own.get(l, ())) >= OWN_LOW:
+                floors[i, j] = min(floors[i, j], MARGIN * float(np.quantile(own[l], LOW)))
+    return floors
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, languages: list[str], centroids: np.ndarray, floors: np.ndarray):
-        self.idf, self.languages, self.centroids, self.floors = idf, languages, centroids, floors
+    def __init__(self, idf: np.ndarray, languages: list[str], centroids: np.ndarray, floors: np.ndarray | None = None):
+        self.idf, self.languages, self.centroids = idf, languages, centroids
+        self.floors = np.zeros((len(languages), len(LENGTHS))) if floors is None else floors
+
+    def nearest(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest centroid of each row of log counts, and its cosine."""
+        cosine = unit(weights * self.idf) @ self.centroids.T
+        best = cosine.argmax(1)
+        return best, np.clip(cosine[np.arange(len(weights)), best].astype(float), 0, 1)
+
+    def floor(self, best: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        at = np.interp(np.log(np.maximum(letters, 1)), np.log(LENGTHS), np.arange(len(LENGTHS)))
+        below = at.astype(int)
+        above = np.minimum(below + 1, len(LENGTHS) - 1)
+        return self.floors[best, below] + (at - below) * (self.floors[best, above] - self.floors[best, below])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         raw, letters = counts(texts)
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cosine = unit(np.log1p(raw) * self.idf) @ self.centroids.T
-        best = cosine.argmax(1)
-        score = np.clip(cosine[np.arange(len(texts)), best].astype(float), 0, 1)
+        best, score = self.nearest(np.log1p(raw))
         known = letters > 0
         score[~known] = 0
-        rejected = ~known | (score < self.floors[best] * np.sqrt(np.minimum(1, letters / FULL)))
+        rejected = ~known | (score < self.floor(best, letters))
         return [self.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known.tolist())], score, rejected
 
 
@@ -137,9 +187,10 @@ def learn(labelled: DataFrame, seed: int = 1) -> Model:
     """A model from rows of (doc_id, text, lang): those with a null lang or no text teach nothing.
 
     Of each language a sample of about SAMPLE_PER_LANGUAGE rows is taken, by a
-    hash of id and text (fewer if there are very many languages); inverse
-    document frequencies and centroids come from it. No rows give a model that
-    rejects every text.
+    hash of id and text (fewer if there are very many languages). Inverse
+    document frequencies and centroids come from two thirds of it, the floors
+    of the cosines from the rest; of a language with fewer than 3 * MEASURED
+    rows each row serves both. No rows give a model that rejects every text.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
@@ -149,17 +200,24 @@ def learn(labelled: DataFrame, seed: int = 1) -> Model:
     # rows are thinned where they are read; the window sees little more than the sample
     picked = (labelled.select("doc_id", "lang", "text").join(F.broadcast(rates), "lang").where(mark <= F.col("rate"))
               .withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(mark, F.xxhash64("text"))))
-              .where(F.col("place") <= F.col("cap")).select("lang", "text"))
+              .where(F.col("place") <= F.col("cap")))
+    rest, few_rows = F.col("place") % MEASURED == 0, F.count("*").over(Window.partitionBy("lang")) < 3 * MEASURED
+    picked = picked.select("lang", "text", (~rest | few_rows).alias("teaches"), (rest | few_rows).alias("measured"))
 
     def features(batches):
         for batch, texts in slices(batches, "text", 1 << 20):
-            raw, letters = counts(texts)
-            keep = letters > 0
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).filter(pa.array(keep)), pa.array([x.astype("<f4").tobytes() for x in np.log1p(raw[keep])], pa.binary())],
-                ["lang", "vector"])
-
-    sample = written(picked.mapInArrow(features, "lang string, vector binary"), "langid")
+            lang, _, teaches, measured = (c.to_pylist() for c in batch.columns)
+            # a teaching text has length 0
+            rows = [(l, 0, t) for l, t, yes in zip(lang, texts, teaches) if yes]
+            rows += [(l, n, t) for l, text, yes in zip(lang, texts, measured) if yes for n, t in starts(text)]
+            for at in range(0, len(rows), 256):
+                raw, letters = counts([t for _, _, t in rows[at:at + 256]])
+                kept = [(l, n, x.astype("<f4").tobytes()) for (l, n, _), x, k in zip(rows[at:at + 256], np.log1p(raw), letters) if k]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in kept], k) for i, k in enumerate(
+                    (pa.string(), pa.int32(), pa.binary()))], ["lang", "length", "vector"])
+
+    rows = written(picked.mapInArrow(features, "lang string, length int, vector binary"), "langid")
+    sample = rows.where("length = 0").select("lang", "vector")
 
     def seen(batches):
         n, df = 0, np.zeros(DIMS)
@@ -173,22 +231,35 @@ def learn(labelled: DataFrame, seed: int = 1) -> Model:
     sums = sample.select("vector").mapInArrow(seen, "n long, df binary").collect()
     n = sum(r["n"] for r in sums)
     if not n:
-        return Model(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32), np.zeros(0))
+        return Model(np.ones(DIMS, np.float32), [], np.zeros((0, DIMS), np.float32))
     df = sum(np.frombuffer(bytes(r["df"])) for r in sums)
     idf = np.array([math.log((1 + n) / (1 + x)) + 1 for x in df], np.float32)
 
     def centroids(rows: pa.Table) -> pa.Table:
         x = np.array([np.frombuffer(v.as_buffer(), "<f4") for v in rows.column("vector").combine_chunks()])
         x = unit(x[np.lexsort(x[:, :8].T)] * idf)
-        c, best = cluster(x, CENTROIDS)
+        c = cluster(x, CENTROIDS)
         return pa.table({"lang": pa.array([rows.column("lang")[0].as_py()] * len(c)),
-                         "centroid": pa.array([v.astype("<f4").tobytes() for v in c], pa.binary()),
-                         "floor": pa.array([float(best.min())] * len(c))})
+                         "centroid": pa.array([v.astype("<f4").tobytes() for v in c], pa.binary())})
 
-    made = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary, floor double").collect()
+    made = sample.groupBy("lang").applyInArrow(centroids, "lang string, centroid binary").collect()
     made = sorted(made, key=lambda r: (r["lang"], bytes(r["centroid"])))
-    return Model(idf, [r["lang"] for r in made], np.array([np.frombuffer(bytes(r["centroid"]), "<f4") for r in made]),
-                 SLACK * np.array([r["floor"] for r in made]))
+    model = Model(idf, [r["lang"] for r in made], np.array([np.frombuffer(bytes(r["centroid"]), "<f4") for r in made]))
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def distances(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                best, score = shared.value.nearest(np.array([np.frombuffer(v.as_buffer(), "<f4") for v in part.column(1)]))
+                yield pa.RecordBatch.from_arrays([pa.array([shared.value.languages[b] for b in best]), part.column(0), pa.array(score)],
+                                                 ["lang", "length", "score"])
+
+    # a few numbers for each measured row of the bounded sample
+    seen = rows.where("length > 0").select("length", "vector").mapInArrow(distances, "lang string, length int, score double").collect()
+    model.floors = floors_of(model.languages, [r["lang"] for r in seen], np.array([r["length"] for r in seen]),
+                             np.array([r["score"] for r in seen]))
+    return model
 
 
 def classify(df: DataFrame, model: Model, text_col: str = "text", prefix: str = "") -> DataFrame:

@@ -46,6 +46,36 @@ def test_language_edge_cases(spark, tmp_path):
     assert E.queries()["op2_language_id"](spark, folder).count() == 0
 
 
+def test_foreign_and_random_texts_are_rejected(spark):
+    rng = np.random.default_rng(7)
+    drawn = lambda letters, n: "".join(rng.choice(list(letters), n))
+    planted = {
+        "polish": "W ogrodzie przy domu było wiele kwiatów, a pani szła powoli w stronę bramy, podczas gdy dzieci bawiły się z psem. ",
+        "finnish": "Talon puutarha oli täynnä kukkia ja rouva käveli hitaasti kohti porttia, kun lapset leikkivät koiran kanssa. ",
+        "code": "static int foo(struct bar *p, size_t n) { for (int i = 0; i < n; i++) { if (p[i].len > MAX) return -EINVAL; } } ",
+        "letters": drawn("abcdefghijklmnopqrstuvwxyz", 2000), "hex": drawn("0123456789abcdef", 2000),
+        "base64": drawn("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", 2000)}
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.learn(langid.training_rows(given.select("doc_id", "text", "lang")))
+    for name, text in planted.items():
+        for n in (60, 200, 600, 2000):
+            assert model.predict([(text * 20)[:n]])[2][0], (name, n)
+    near = "Il giardino della casa era pieno di fiori e la signora camminava lentamente verso il cancello mentre i bambini giocavano. "
+    assert model.predict([near * 15])[2][0]
+    clean = [t for i, t in column("documents", "doc_id", "text") if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert not model.predict(clean)[2].any()
+
+
+def test_one_odd_row_does_not_set_the_floor():
+    rng = np.random.default_rng(3)
+    lengths = np.repeat(langid.LENGTHS, 300)
+    cosines = rng.uniform(0.8, 0.9, len(lengths))
+    floors = langid.floors_of(["a", "b"], ["a"] * len(cosines), lengths, cosines)
+    assert (floors > 0.25).all()
+    cosines[::300] = 0.01
+    assert np.allclose(langid.floors_of(["a", "b"], ["a"] * len(cosines), lengths, cosines), floors, atol=0.02)
+
+
 def test_ngram_counts_of_long_and_joined_texts():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abé .日🙂"), 700)), "", None, "A", "x" * 100, "".join(rng.choice(list("ab c"), 1 << 20))]
