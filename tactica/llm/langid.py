@@ -28,6 +28,8 @@ DIMS = 1 << BITS
 #: Labelled documents that the centroids are learned from, at most, for each language and in all.
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
 CENTROIDS = 4
+#: A centroid stands for so many rows at least.
+LEAST = 12
 #: The most frequent languages, of which at most so many are learned; their rates are broadcast.
 MAX_LANGUAGES = 1000
 #: Of the sample one row in so many teaches nothing; the floors of the cosines are measured on it.
@@ -106,17 +108,29 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Centroids of unit vectors by cosine, from starts that lie far apart."""
-    centres = [unit(x.sum(0, keepdims=True))[0]]
-    near = x @ centres[0]
-    while len(centres) < min(k, len(x)):
-        centres.append(x[int(near.argmin())])
-        near = np.maximum(near, x @ centres[-1])
-    c = np.array(centres)
+    """Up to ``k`` centroids of unit vectors by cosine, each of LEAST rows or more (one, if there are fewer rows).
+
+    Starts are drawn by k-means++. A centroid of fewer rows starts again at a
+    row of the largest cluster; one that stays small is left out at the end.
+    """
+    rng = np.random.default_rng(1)
+    k = max(1, min(k, len(x) // LEAST))
+    chosen = [int(rng.integers(len(x)))]
+    while len(chosen) < k:
+        far = np.maximum(1 - (x @ x[chosen].T).max(1), 0).astype(float) + 1e-12
+        chosen.append(int(rng.choice(len(x), p=far / far.sum())))
+    c = x[chosen]
     for _ in range(rounds):
         own = (x @ c.T).argmax(1)
-        c = unit(np.array([x[own == j].sum(0) if (own == j).any() else c[j] for j in range(len(c))]))
-    return c
+        sizes = np.bincount(own, minlength=k)
+        largest = np.flatnonzero(own == sizes.argmax())
+        c = unit(np.array([x[own == j].sum(0) if sizes[j] >= LEAST else x[rng.choice(largest)] for j in range(len(c))]))
+    while True:
+        own = (x @ c.T).argmax(1)
+        sizes = np.bincount(own, minlength=len(c))
+        if len(c) == 1 or sizes.min() >= LEAST:
+            return unit(np.array([x[own == j].sum(0) for j in range(len(c))]))
+        c = np.delete(c, sizes.argmin(), 0)
 
 
 def starts(text: str) -> list[tuple[int, str]]:

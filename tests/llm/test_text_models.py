@@ -76,6 +76,19 @@ def test_one_odd_row_does_not_set_the_floor():
     assert np.allclose(langid.floors_of(["a", "b"], ["a"] * len(cosines), lengths, cosines), floors, atol=0.02)
 
 
+def test_no_centroid_stands_for_a_single_row(spark):
+    rng = np.random.default_rng(11)
+    # two kinds of rows and three odd ones
+    kinds = np.eye(langid.DIMS, dtype=np.float32)[:5]
+    x = np.repeat(kinds[:2], 300, 0) + 0.02 * rng.random((600, langid.DIMS), dtype=np.float32)
+    x = langid.unit(np.vstack([x, kinds[2:]]))
+    c = langid.cluster(x, langid.CENTROIDS)
+    own = np.bincount((x @ c.T).argmax(1), minlength=len(c))
+    assert len(c) >= 2 and own.min() >= langid.LEAST
+    assert all((x[:600] @ c.T).argmax(1)[i] != (x[:600] @ c.T).argmax(1)[i + 300] for i in range(300))
+    assert len(langid.cluster(x[:3], langid.CENTROIDS)) == 1
+
+
 def test_ngram_counts_of_long_and_joined_texts():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abé .日🙂"), 700)), "", None, "A", "x" * 100, "".join(rng.choice(list("ab c"), 1 << 20))]
