@@ -30,8 +30,8 @@ SAMPLE_PER_LANGUAGE, SAMPLE_ROWS = 600, 12_000
 CENTROIDS = 4
 #: A centroid stands for so many rows at least.
 LEAST = 12
-#: The most frequent languages, of which at most so many are learned; their rates are broadcast.
-MAX_LANGUAGES = 1000
+#: Every language is learned; a model of more than this many would be too large to broadcast, and is refused.
+MAX_LANGUAGES = 8192
 #: Of the sample one row in so many teaches nothing; the floors of the cosines are measured on it.
 MEASURED = 3
 #: Numbers of letters that floors are measured for, on the first so many letters of a text (the last: on whole
@@ -200,14 +200,17 @@ def fold_of(doc_id, folds: int):
 def learn(labelled: DataFrame, seed: int = 1) -> Model:
     """A model from rows of (doc_id, text, lang): those with a null lang or no text teach nothing.
 
-    Of each language a sample of about SAMPLE_PER_LANGUAGE rows is taken, by a
-    hash of id and text (fewer if there are very many languages). Inverse
+    Every language is learned; more than MAX_LANGUAGES fail. Of each a sample
+    of about SAMPLE_PER_LANGUAGE rows is taken, by a hash of id and text (fewer
+    if there are very many languages). Inverse
     document frequencies and centroids come from two thirds of it, the floors
     of the cosines from the rest; of a language with fewer than 3 * MEASURED
     rows each row serves both. No rows give a model that rejects every text.
     """
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = written(labelled.groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    if (n := sizes.count()) > MAX_LANGUAGES:
+        raise ValueError(f"{n} languages; a model of at most {MAX_LANGUAGES} is broadcast")
     few = F.least(F.lit(SAMPLE_PER_LANGUAGE), F.greatest(F.lit(8), F.lit(SAMPLE_ROWS) / F.count("*").over(Window.partitionBy())))
     rates = sizes.select("lang", few.cast("int").alias("cap"), (F.lit(1.25e9) * few / F.col("n")).alias("rate"))
     mark = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000_000))

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pyarrow.parquet as pq
+import pytest
 from helpers import ODD, docs, save
 
 import __spark_entry__ as E
@@ -89,6 +90,19 @@ def test_no_centroid_stands_for_a_single_row(spark):
     assert len(langid.cluster(x[:3], langid.CENTROIDS)) == 1
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    # each language has words of its own letters
+    chars = [chr(0x4E00 + i) for i in range(1300)]
+    df = spark.createDataFrame([(i, " ".join([c * 3] * 5), f"l{i}") for i, c in enumerate(chars)], "doc_id long, text string, lang string")
+    model = langid.learn(df)
+    assert set(model.languages) == {f"l{i}" for i in range(1300)}
+    lang = model.predict([f"{c * 3} {c * 3}" for c in chars[::50]])[0]
+    assert sum(l == f"l{50 * i}" for i, l in enumerate(lang)) >= 0.9 * len(lang)
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 1000)
+    with pytest.raises(ValueError, match="1300 languages"):
+        langid.learn(df)
+
+
 def test_ngram_counts_of_long_and_joined_texts():
     rng = np.random.default_rng(1)
     texts = ["".join(rng.choice(list("abé .日🙂"), 700)), "", None, "A", "x" * 100, "".join(rng.choice(list("ab c"), 1 << 20))]
