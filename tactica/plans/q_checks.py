@@ -115,3 +115,20 @@ def g12_closed_cycles(spark, sf_dir):
     edges = ad.dag_edges(spark, sf_dir)
     cand = edges.where("src <= 60").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     return G.closed_cycles(edges, cand)
+
+
+_ALL_REVERSED = """
+, irr AS (SELECT src, dst FROM dag_edges e WHERE NOT EXISTS (
+            SELECT 1 FROM dag_edges a JOIN dag_edges b ON b.src = a.dst WHERE a.src = e.src AND b.dst = e.dst))
+, walk(x, y, z, path) AS (SELECT src, dst, src, [dst, src] FROM dag_edges
+                          UNION ALL SELECT w.x, w.y, irr.dst, list_append(w.path, irr.dst) FROM walk w JOIN irr ON irr.src = w.z WHERE w.z > w.y)
+"""
+
+
+@query("g12_closed_cycles_all", _ALL_REVERSED + """
+SELECT y AS src, x AS dst, array_to_string(path, '>') AS cycle_id, i - 1 AS pos, path[i] AS key
+FROM (SELECT x, y, path, unnest(range(1, len(path) + 1)) AS i FROM walk WHERE z = y)""", ("dag_edges",))
+def g12_closed_cycles_all(spark, sf_dir):
+    """Every edge turned round closes at least one cycle. (Edges lead to smaller keys, so the twin's walk stops below its end.)"""
+    edges = ad.dag_edges(spark, sf_dir)
+    return G.closed_cycles(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

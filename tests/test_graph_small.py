@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
+import __spark_entry__ as E
 from tactica.operators import graph as G
 
 EDGES = [(6, 3), (6, 2), (3, 1), (2, 1), (6, 1), (5, 2), (4, 2), (4, 1)]
@@ -89,6 +90,22 @@ def test_cycles_are_refused_or_reported(spark):
     assert [k for _, k in sorted(got[4, 1, "4>1>2>4"])] == [4, 1, 2, 4]
 
 
+def test_every_edge_turned_round_closes_its_cycles(spark, sf_small):
+    nodes = {r[0] for r in spark.read.parquet(f"{sf_small}/part.parquet").select("p_partkey").collect()}
+    edges = {(k, k // d) for k in nodes for d in (2, 3) if 1 <= k // d != k}
+    after = {k: [b for a, b in edges if a == k] for k in nodes}
+    irreducible = {(a, b) for a, b in edges if not any(b in after.get(m, ()) for m in after[a])}
+
+    def paths(x, y):
+        return [[x]] if x == y else [[x, *p] for a, b in irreducible if a == x and b >= y for p in paths(b, y)]
+
+    want = {(b, a, ">".join(map(str, [b, *p]))): [b, *p] for a, b in edges for p in paths(a, b)}
+    got = {}
+    for r in sorted(E.queries()["g12_closed_cycles_all"](spark, sf_small).collect(), key=lambda r: r["pos"]):
+        got.setdefault((r["src"], r["dst"], r["cycle_id"]), []).append(r["key"])
+    assert got == want and {(b, a) for a, b in edges} == {k[:2] for k in got}
+
+
 def test_cycle_in_a_long_graph_is_found_early(spark):
     edges = [(i, i + 1) for i in range(30)] + [(20, 10), (30, 31)] + [(100 + i, 101 + i) for i in range(400)]
     nodes = spark.createDataFrame([(k,) for k in {x for e in edges for x in e}], "key long")
