@@ -135,14 +135,20 @@ class Tree:
 
 
 def _first_of_equals(ids: np.ndarray, x: np.ndarray, k: int) -> np.ndarray:
-    """Rows by id, of equal vectors the first ``k + 1``: no query can have more of them among its ``k``."""
-    seen: dict[bytes, int] = {}
+    """Rows by id, of equal vectors the first ``2 * k`` of those with at most ``k`` to an id.
+
+    Whichever id a query leaves out, the first ``k`` of the others are there.
+    """
+    seen: dict[bytes, list[int]] = {}
     keep = []
     for i in np.argsort(ids, kind="stable").tolist():
-        v = x[i].tobytes()
-        n = seen.get(v, 0)
-        if n <= k:
-            seen[v] = n + 1
+        # rows kept, the last id, its rows kept
+        n = seen.setdefault(x[i].tobytes(), [0, 0, 0])
+        if n[1] != ids[i]:
+            n[1:] = int(ids[i]), 0
+        if n[0] < 2 * k and n[2] < k:
+            n[0] += 1
+            n[2] += 1
             keep.append(i)
     return np.array(keep, np.int64)
 

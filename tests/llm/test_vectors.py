@@ -75,6 +75,18 @@ def test_ties_and_bad_vectors(spark, tmp_path):
     assert E.queries()["op3_nearest_neighbours"](spark, folder).columns == ["query_id", "rank", "vec_id", "score"]
 
 
+def test_query_row_repeated_beside_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    same = [3.0, 1.0, 2.0]
+    rows = [(20, same)] * 30 + [(i, same) for i in (21, 22, 22, 22, 23, 40)] + [(41, same)] * 9
+    rows += [(i, (rng.standard_normal(3) / 4).tolist()) for i in range(101, 140) if i % 20]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = result(ann.nearest(df, F.col("vec_id") % 20 == 0, k=5))
+    want = brute(rows, lambda i: i % 20 == 0, 5)
+    assert [i for i, _ in got[20]] == [21, 22, 22, 22, 23] and [i for i, _ in got[40]] == [20] * 5
+    assert got == want
+
+
 def test_op3_small(spark):
     table = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
     want = brute(list(zip(table["vec_id"], table["embedding"])), lambda i: i % 20 == 0, 20)
