@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from tactica.llm.common import slices, written
 
 FILTERS = "ABCDE"
 #: Bytes of text in a shard at most (or one document).
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 16 << 20
 #: The characters of filter D.
 SIGNS = "#$%&*|"
 
@@ -79,56 +80,83 @@ def document_terms(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     return rows.mapInArrow(run, _SHARD)
 
 
+def _numbered(shards: DataFrame, run, schema: str) -> DataFrame:
+    """``run(number of the partition, batches)`` over (shard, at, word) of all shards, equal words side by side.
+
+    One shuffle of the different words of each shard. The number of partitions
+    is stated, so every use of the same shards deals and numbers words alike."""
+    parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = shards.select("shard", F.posexplode("words").alias("at", "word")).where("word <> X''")
+    return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(
+        lambda batches: run(TaskContext.get().partitionId(), batches), schema)
+
+
+def _numbers(part: int, batches):
+    """(batch, whether a row is the first of its word, the word's number): numbers rise from ``part`` << 40."""
+    last, number = None, (part << 40) - 1
+    for batch in batches:
+        if batch.num_rows:
+            words = batch.column(2)
+            new = np.ones(batch.num_rows, bool)
+            new[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+            new[0] = words[0].as_py() != last
+            numbers = number + np.cumsum(new)
+            last, number = words[-1].as_py(), int(numbers[-1])
+            yield batch, new, numbers
+
+
 def global_dictionary(shards: DataFrame) -> DataFrame:
-    """word, number: every word of all shards once, numbered from 0 without gaps.
-
-    The words lie in partitions by hash; the sizes of the partitions (one row
-    each) give a partition its first number."""
-    words = written(shards.select(F.explode("words").alias("word")).where("word <> X''").distinct()
-                    .withColumn("range", F.spark_partition_id())
-                    .withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)), "words")
-    sizes = words.groupBy("range").agg(F.count("*").alias("n")).collect()
-    first, begin = {}, 0
-    for r in sorted(sizes, key=lambda r: r["range"]):
-        first[r["range"]], begin = begin, begin + r["n"]
-    firsts = shards.sparkSession.createDataFrame(sorted(first.items()), "range int, first long")
-    return words.join(F.broadcast(firsts), "range").select("word", (F.col("first") + F.col("at")).alias("number"))
-
-
-def rows_of_matrix(shards: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """word, number: every word of all shards once. Numbers follow on each other inside a partition of the words'
+    hashes; partitions begin 2^40 apart."""
+
+    def run(part, batches):
+        for batch, new, numbers in _numbers(part, batches):
+            yield pa.RecordBatch.from_arrays([batch.column(2).filter(pa.array(new)), pa.array(numbers[new])], ["word", "number"])
+
+    return _numbered(shards, run, "word binary, number long")
+
+
+def column_numbers(shards: DataFrame) -> DataFrame:
+    """shard, at, number: the dictionary's number of each word of each shard."""
+
+    def run(part, batches):
+        for batch, _, numbers in _numbers(part, batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers)], ["of", "at", "number"])
+
+    return _numbered(shards, run, "of long, at int, number long")
+
+
+def rows_of_matrix(shards: DataFrame) -> DataFrame:
     """doc_id, part, digest, n_words, n_distinct, flags, columns, counts: the rows of the globally numbered matrix.
 
     Each shard gets the numbers of its words: a shuffle of one pair for each
-    different word of a shard, beside which the shards are dealt once. In a row
-    ``columns`` rises.
+    different word of a shard, beside which the shards (without their words)
+    are dealt once. In a row ``columns`` rises.
     """
-    own = shards.select(F.col("shard").alias("of"), F.posexplode("words").alias("at", "word"))
-    numbers = own.join(dictionary, "word").select("of", "at", "number")
+    plain = shards.select("shard", F.size("words").alias("n"), "starts", "columns", "counts", "doc_id", "part", "digest", "flags")
 
     def run(shard: pa.Table, numbers: pa.Table) -> pa.Table:
-        s = {n: shard.column(n)[0].values for n in shard.column_names if n != "shard"}
+        s = {n: shard.column(n)[0].values for n in shard.column_names if n not in ("shard", "n")}
         starts = s["starts"].to_numpy().astype(np.int64)
-        n = len(starts) - 1
-        number = np.full(max(1, len(s["words"])), -1, np.int64)  # the empty string has no number
+        number = np.full(max(1, shard.column("n")[0].as_py()), -1, np.int64)  # the empty string has no number
         number[numbers.column("at").to_numpy()] = numbers.column("number").to_numpy()
-        columns, counts = number[s["columns"].to_numpy()], s["counts"].to_numpy().astype(np.int64)
-        order = np.lexsort((columns, np.repeat(np.arange(n), np.diff(starts))))
-        total = np.concatenate([[0], np.cumsum(counts)])
+        columns, counts = number[s["columns"].to_numpy()], s["counts"].to_numpy()
+        order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+        total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
         lists = lambda values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values[order]))
         return pa.table([s["doc_id"], s["part"], s["digest"], pa.array(total[starts[1:]] - total[starts[:-1]]),
                          pa.array(np.diff(starts)), s["flags"], lists(columns), lists(counts)],
                         names=["doc_id", "part", "digest", "n_words", "n_distinct", "flags", "columns", "counts"])
 
-    return shards.groupBy("shard").cogroup(numbers.groupBy("of")).applyInArrow(
-        run, "doc_id long, part string, digest binary, n_words long, n_distinct long, flags int, columns array<long>, counts array<long>")
+    return plain.groupBy("shard").cogroup(column_numbers(shards).groupBy("of")).applyInArrow(
+        run, "doc_id long, part string, digest binary, n_words long, n_distinct long, flags int, columns array<long>, counts array<int>")
 
 
 def document_flags(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, part, flags (a bit for each of ABCDE, A the lowest), n (rows with the same id and text).
 
     Rows without id are not copies of others, and others not of them."""
-    shards = written(document_terms(docs, shard_bytes), "shards")
-    matrix = rows_of_matrix(shards, global_dictionary(shards))
+    matrix = rows_of_matrix(written(document_terms(docs, shard_bytes), "shards", compression="zstd"))
     a, b = F.col("n_words") < 100, 100 * F.col("n_distinct") < 80 * F.col("n_words")
     rows = matrix.select("doc_id", "part", "digest", (F.col("flags") + a.cast("int") + 2 * b.cast("int")).alias("flags"))
     # copies that share an id are one row from here on, so no id or text is a hot key below
@@ -158,8 +186,8 @@ def audit(docs: DataFrame, labels: DataFrame, shard_bytes: int = SHARD_BYTES) ->
                     .agg(F.sum("n").alias("n")), "cells")
     steps = [("".join(order), k + 1, 1 << FILTERS.index(order[k]), sum(1 << FILTERS.index(f) for f in order[:k]))
              for order in itertools.permutations(FILTERS) for k in range(len(FILTERS))]
-    plan = F.array(*[F.struct(F.lit(o).alias("filter_order"), F.lit(k).alias("step"), F.lit(own).alias("own"), F.lit(before).alias("before"))
-                     for o, k, own, before in steps])
+    plan = F.from_json(F.lit(json.dumps([dict(zip(("filter_order", "step", "own", "before"), s)) for s in steps])),
+                       "array<struct<filter_order string, step int, own int, before int>>")
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0)).cast("long")
     fails, earlier = F.col("flags").bitwiseAND(F.col("own")) != 0, F.col("flags").bitwiseAND(F.col("before")) != 0
     removed = fails & ~earlier
