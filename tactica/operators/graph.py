@@ -398,32 +398,6 @@ def transitive_reduction(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reduced, cycles
 
 
-def cycle_checked_insert(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Candidates (src, dst) with ``accepted`` = the edge closes no cycle
-    in the graph: rejected when dst reaches src (or src = dst). Searched only
-    from the targets of the candidates."""
-    cand = _ckpt(candidates.select("src", "dst").distinct())
-    starts = cand.select(F.col("dst").alias("seed"), F.col("dst").alias("key"))
-    back = reach_from(edges, starts).select(F.col("key").alias("src"), F.col("seed").alias("dst"))
-    bad = back.join(cand, ["src", "dst"], "left_semi").withColumn("_cyc", F.lit(True))
-    return cand.join(bad, ["src", "dst"], "left").select("src", "dst", F.col("_cyc").isNull().alias("accepted"))
-
-
-def closed_cycles(edges: DataFrame, candidates: DataFrame) -> DataFrame:
-    """The cycles that refused candidates would close: (src, dst, cycle_id,
-    pos, key), each an irreducible path from dst back to src behind src. One
-    search per refused candidate; the graph itself has no cycle."""
-    refused = cycle_checked_insert(edges, candidates).where(~F.col("accepted") & (F.col("src") != F.col("dst")))
-    paths = irreducible_path_set(edges, refused.select(F.col("dst").alias("x"), F.col("src").alias("y")))
-    cycle = F.concat(F.array("y"), F.col("path"))
-    loops = candidates.where("src = dst").distinct().select(F.col("src").alias("y"), F.col("src").alias("x"),
-                                                             F.array("src", "src").alias("cycle"))
-    out = paths.select("y", "x", cycle.alias("cycle")).unionByName(loops)
-    name = F.array_join(F.transform("cycle", lambda k: k.cast("string")), ">")
-    return out.select(F.col("y").alias("src"), F.col("x").alias("dst"), name.alias("cycle_id"),
-                      F.posexplode("cycle").alias("pos", "key"))
-
-
 def subgraph(nodes: DataFrame, edges: DataFrame, keep: Column) -> tuple[DataFrame, DataFrame]:
     """Keep nodes satisfying ``keep`` and the edges between kept nodes."""
     n = nodes.where(keep)
@@ -456,54 +430,7 @@ def local_in_dependency_order(nodes: DataFrame, edges: DataFrame, local: Column)
     return lv.join(nodes.where(local).select("key"), "key", "left_semi")
 
 
-# ------------------------------------------------------------------ G11
-
-def irreducible_edges(edges: DataFrame) -> DataFrame:
-    """Edges p -> z that no other predecessor q of z lies between: there is no
-    p -> q with q -> z. An anti-join of the edges with their two-step pairs."""
-    e = edges.select("src", "dst").distinct()
-    two = (e.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid")
-            .where((F.col("mid") != F.col("src")) & (F.col("mid") != F.col("dst"))).select("src", "dst"))
-    return e.join(two, ["src", "dst"], "left_anti")
-
-
-def irreducible_path_set(edges: DataFrame, pairs: DataFrame) -> DataFrame:
-    """G11 for each row (x, y) of ``pairs``: (x, y, path), every path from x to
-    y over irreducible edges, built backwards from y among the nodes that x
-    reaches. A pair with x = y has one path, of that node alone. Between x and
-    y the graph has to be acyclic: a path that meets itself is an error."""
-    pairs = _ckpt(pairs.select("x", "y").distinct())
-    within = _keyed(reach_from(edges, pairs.select(F.col("x").alias("seed"), F.col("x").alias("key")).distinct())
-                    .select(F.col("seed").alias("x"), F.col("key").alias("src")), "src")
-    steps = _ckpt(irreducible_edges(edges).join(within, "src").select("x", F.col("dst").alias("z"), F.col("src").alias("p")))
-    front = pairs.select("x", "y", F.col("y").alias("z"), F.array("y").alias("path"))
-    front = _ckpt(front.join(within.withColumnRenamed("src", "z"), ["x", "z"], "left_semi"))
-    done = []
-    while True:
-        done.append(front.where("z = x").select("x", "y", "path"))
-        step = front.where("z <> x").join(steps, ["x", "z"])
-        front = _ckpt(step.select("x", "y", F.col("p").alias("z"), F.concat(F.array("p"), "path").alias("path"),
-                                  F.array_contains("path", F.col("p")).alias("_again")))
-        seen = front.agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("_again"), F.col("z"))).alias("met")).first()
-        if not seen["n"]:
-            return _ckpt(_union(done))
-        if seen["met"] is not None:
-            raise ValueError(f"the graph has a cycle through {seen['met']}")
-        front = front.drop("_again")
-
-
-def irreducible_paths(edges: DataFrame, x: int, y: int) -> DataFrame:
-    """Every Hasse-diagram path from ``x`` to ``y`` as (path_id, pos, key)
-    rows. For x = y without a self-loop there is one path, which is empty: a
-    row with an empty id and null pos and key."""
-    spark = edges.sparkSession
-    if x == y:
-        loop = not edges.where((F.col("src") == x) & (F.col("dst") == x)).isEmpty()
-        return spark.createDataFrame([(str(x), 0, x) if loop else ("", None, None)], "path_id string, pos int, key long")
-    paths = irreducible_path_set(edges, spark.createDataFrame([(x, y)], "x long, y long"))
-    name = F.array_join(F.transform("path", lambda k: k.cast("string")), ">")
-    return paths.select(name.alias("path_id"), F.posexplode("path").alias("pos", "key"))
-
+# ------------------------------------------------------------------ G12, one by one
 
 def cycle_checked_insert_sequential(edges: DataFrame, candidates: DataFrame) -> DataFrame:
     """G12 with the reference's sequential meaning: candidates are inserted one

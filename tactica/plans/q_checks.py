@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tactica.operators import evaluation as ev
-from tactica.operators import graph as G
+from tactica.operators import paths as P
 from tactica.operators import stats, steps
 from tactica.operators.filters import bad_sample_flags
 from tactica.plans.registry import query, r6
@@ -98,23 +98,21 @@ def p18_number_fact_lists(spark, sf_dir):
     return steps.number_facts(f, "rank", "theorems")
 
 
-_REVERSED = """
-, cand AS (SELECT dst AS src, src AS dst FROM dag_edges WHERE src <= 60)
+_SIXTH = """
 , irr AS (SELECT src, dst FROM dag_edges e WHERE NOT EXISTS (
             SELECT 1 FROM dag_edges a JOIN dag_edges b ON b.src = a.dst WHERE a.src = e.src AND b.dst = e.dst))
-, walk(x, y, z, path) AS (SELECT dst, src, dst, [src, dst] FROM cand
-                          UNION ALL SELECT w.x, w.y, irr.dst, list_append(w.path, irr.dst) FROM walk w JOIN irr ON irr.src = w.z WHERE w.z <> w.y)
+, walk(x, y, z, path) AS (SELECT p_partkey, p_partkey // 6, p_partkey, [p_partkey // 6, p_partkey] FROM part WHERE p_partkey >= 6
+                          UNION ALL SELECT w.x, w.y, irr.dst, list_append(w.path, irr.dst) FROM walk w JOIN irr ON irr.src = w.z WHERE w.z > w.y)
 """
 
 
-@query("g12_closed_cycles", _REVERSED + """
+@query("g12_closed_cycles", _SIXTH + """
 SELECT y AS src, x AS dst, array_to_string(path, '>') AS cycle_id, i - 1 AS pos, path[i] AS key
 FROM (SELECT x, y, path, unnest(range(1, len(path) + 1)) AS i FROM walk WHERE z = y)""", ("dag_edges",))
 def g12_closed_cycles(spark, sf_dir):
-    """Each edge of the first 60 keys turned round closes at least one cycle."""
-    edges = ad.dag_edges(spark, sf_dir)
-    cand = edges.where("src <= 60").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return G.closed_cycles(edges, cand)
+    """An edge from a sixth of every key back to the key closes a cycle for each way down to the sixth."""
+    keys = ad.table(spark, sf_dir, "part").where("p_partkey >= 6").select(F.col("p_partkey").alias("dst"))
+    return P.closed_cycles(ad.dag_edges(spark, sf_dir), keys.select(F.floor(F.col("dst") / 6).alias("src"), "dst"))
 
 
 _ALL_REVERSED = """
@@ -131,4 +129,4 @@ FROM (SELECT x, y, path, unnest(range(1, len(path) + 1)) AS i FROM walk WHERE z
 def g12_closed_cycles_all(spark, sf_dir):
     """Every edge turned round closes at least one cycle. (Edges lead to smaller keys, so the twin's walk stops below its end.)"""
     edges = ad.dag_edges(spark, sf_dir)
-    return G.closed_cycles(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    return P.closed_cycles(edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))

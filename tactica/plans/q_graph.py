@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tactica.operators import graph as G
+from tactica.operators import paths as P
 from tactica.operators.ordering import number_rows
 from tactica.plans.registry import query
 from tactica.sources import adapters as ad
@@ -155,7 +156,7 @@ def g12_cycle_checked_insert(spark, sf_dir):
     blk = F.floor(k / 5).cast("long")
     cand = ad.table(spark, sf_dir, "part").where(blk % 2 == 0).select(
         k.alias("src"), (blk * 5 + (k + 1) % 5).alias("dst"))
-    return G.cycle_checked_insert(ad.dag_edges(spark, sf_dir), cand)
+    return P.cycle_checked_insert(ad.dag_edges(spark, sf_dir), cand)
 
 
 @query("g13_subgraph", """
@@ -206,7 +207,38 @@ def g11_irreducible_paths(spark, sf_dir):
     """All Hasse-diagram paths from the largest part key down to key 1."""
     nodes, edges = _dag(spark, sf_dir)
     hi = nodes.agg(F.max("key")).first()[0]
-    return G.irreducible_paths(edges, int(hi), 1)
+    return P.irreducible_paths(edges, int(hi), 1)
+
+
+_IRREDUCIBLE_WALKS = """
+, irr AS (SELECT src, dst FROM dag_edges e WHERE NOT EXISTS (
+            SELECT 1 FROM dag_edges a JOIN dag_edges b ON b.src = a.dst WHERE a.src = e.src AND b.dst = e.dst AND a.dst <> e.src AND a.dst <> e.dst))
+, walk(x, y, z, path) AS (SELECT key, key // 36, key, [key] FROM dag_nodes WHERE key >= 36
+                          UNION ALL SELECT x, y, irr.dst, list_append(path, irr.dst) FROM walk JOIN irr ON irr.src = z WHERE irr.dst >= y)
+, done AS (SELECT x, y, path, row_number() OVER (PARTITION BY x, y ORDER BY len(path), path) - 1 AS rank FROM walk WHERE z = y)
+"""
+
+
+def _distant(spark, sf_dir):
+    """Every node and the one that two halvings and two thirdings lead to."""
+    return ad.dag_nodes(spark, sf_dir).where("key >= 36").select(F.col("key").alias("x"), F.floor(F.col("key") / 36).alias("y"))
+
+
+@query("g11_irreducible_paths_limited", _IRREDUCIBLE_WALKS + """
+SELECT x, y, rank AS path, len(path) - 1 AS length, i - 1 AS pos, path[i] AS key
+FROM (SELECT x, y, rank, path, unnest(range(1, len(path) + 1)) AS i FROM done WHERE rank < 4)""", ("dag_nodes", "dag_edges"))
+def g11_irreducible_paths_limited(spark, sf_dir):
+    """The first four paths from every node to a distant one."""
+    edges = ad.dag_edges(spark, sf_dir)
+    return P.paths_by_rank(edges, _distant(spark, sf_dir), limit=4, index=P.reachability_index(edges))
+
+
+@query("g11_path_counts", _IRREDUCIBLE_WALKS + """
+SELECT x, y, count(*) AS paths, min(len(path)) - 1 AS shortest, max(len(path)) - 1 AS longest FROM done GROUP BY x, y""", ("dag_nodes", "dag_edges"))
+def g11_path_counts(spark, sf_dir):
+    """How many paths lead from every node to a distant one, counted without making them."""
+    edges = ad.dag_edges(spark, sf_dir)
+    return P.path_counts(edges, _distant(spark, sf_dir), P.reachability_index(edges))
 
 
 @query("g02_neighbours", """

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from tactica.operators import graph as G
+from tactica.operators import paths as P
 
 EDGES = [(6, 3), (6, 2), (3, 1), (2, 1), (6, 1), (5, 2), (4, 2), (4, 1)]
 
@@ -49,7 +50,7 @@ def test_strong_components(spark):
 
 
 def _paths(spark, edges, x, y):
-    rows = G.irreducible_paths(_edges(spark, edges), x, y).collect()
+    rows = P.irreducible_paths(_edges(spark, edges), x, y).collect()
     out = {}
     for r in rows:
         out.setdefault(r["path_id"], []).append((r["pos"], r["key"]))
@@ -76,7 +77,7 @@ def test_cycles_are_refused_or_reported(spark):
     ring = [(1, 2), (2, 3), (3, 2), (3, 4)]
     nodes = spark.createDataFrame([(k,) for k in range(1, 5)], "key long")
     for call in (lambda: G.longest_paths(nodes, _edges(spark, ring)), lambda: G.longest_paths(nodes, _edges(spark, [(1, 2), (2, 3), (3, 4), (4, 1)])),
-                 lambda: G.irreducible_paths(_edges(spark, ring), 1, 4)):
+                 lambda: P.irreducible_paths(_edges(spark, ring), 1, 4)):
         with pytest.raises(ValueError, match="cycle"):
             call()
     reduced, cycles = G.transitive_reduction(_edges(spark, [(1, 2), (2, 3), (1, 3), (3, 4), (1, 4), (2, 4)]))
@@ -84,7 +85,7 @@ def test_cycles_are_refused_or_reported(spark):
     assert sorted(r["key"] for r in G.transitive_reduction(_edges(spark, [*ring, (4, 4)]))[1].collect()) == [2, 3, 4]
     cand = spark.createDataFrame([(4, 1), (1, 4), (5, 5)], "src long, dst long")
     got = {}
-    for r in G.closed_cycles(_edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4)]), cand).collect():
+    for r in P.closed_cycles(_edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4)]), cand).collect():
         got.setdefault((r["src"], r["dst"], r["cycle_id"]), []).append((r["pos"], r["key"]))
     assert sorted(got) == [(4, 1, "4>1>2>4"), (4, 1, "4>1>3>4"), (5, 5, "5>5")]
     assert [k for _, k in sorted(got[4, 1, "4>1>2>4"])] == [4, 1, 2, 4]
@@ -182,3 +183,57 @@ def test_edge_test_update_and_size(spark):
     assert (size["nodes"], size["edges"]) == (6, len(set(EDGES)))
     empty = G.graph_size(nodes.limit(0), e.limit(0)).first()
     assert (empty["nodes"], empty["edges"]) == (0, 0)
+
+
+def _all_paths(edges, x, y):
+    """Irreducible paths of an acyclic graph, by length and then by keys."""
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    irreducible = {(a, b) for a, b in edges if not any(b in after.get(m, ()) for m in after[a] if m not in (a, b))}
+
+    def walk(z):
+        return [[z]] if z == y else [[z, *p] for a, b in irreducible if a == z for p in walk(b)]
+
+    return sorted(walk(x), key=lambda p: (len(p), p))
+
+
+def test_paths_by_rank_with_limits(spark):
+    import random
+    r = random.Random(2)
+    edges = [(a, b) for a in range(14) for b in range(14) if a > b and r.random() < 0.3]
+    pairs = [(a, b) for a in range(14) for b in range(14) if a >= b]
+    df, e = spark.createDataFrame(pairs, "x long, y long"), _edges(spark, edges)
+    want = {p: _all_paths(edges, *p) for p in pairs}
+    index = P.reachability_index(e)
+    assert index[1]
+    counts = {(c.x, c.y): (c.paths, c.shortest, c.longest) for c in P.path_counts(e, df, index).collect()}
+    assert counts == {p: (len(w), len(w[0]) - 1, len(w[-1]) - 1) for p, w in want.items() if w}
+    for limit, by in ((None, index), (2, None)):
+        got = {}
+        for row in sorted(P.paths_by_rank(e, df, limit, by).collect(), key=lambda q: (q.x, q.y, q.path, q.pos)):
+            got.setdefault((row.x, row.y), {}).setdefault(row.path, []).append(row.key)
+        assert {p: [g[i] for i in range(len(g))] for p, g in got.items()} == {p: w[:limit] for p, w in want.items() if w}
+
+
+def test_a_limit_cuts_what_could_not_be_listed(spark, monkeypatch):
+    # 9 diamonds in a row: 512 paths
+    monkeypatch.setattr(P, "MOST_PATHS", 100)
+    edges = [(3 * i + a, 3 * i + b) for i in range(9) for a, b in ((0, 1), (0, 2), (1, 3), (2, 3))]
+    pair = spark.createDataFrame([(0, 27)], "x long, y long")
+    got = {}
+    for r in P.paths_by_rank(_edges(spark, edges), pair, limit=5).orderBy("path", "pos").collect():
+        got.setdefault(r.path, []).append(r.key)
+    assert list(got.values()) == [[3 * i + d for i in range(9) for d in (0, 1 + (i >= 6 and n >> (8 - i) & 1))] + [27] for n in range(5)]
+    with pytest.raises(ValueError, match="limit"):
+        P.paths_by_rank(_edges(spark, edges), pair)
+
+
+def test_insert_check_equals_search_on_any_graph(spark):
+    import random
+    r = random.Random(9)
+    for share in (0.06,):
+        edges = [(a, b) for a in range(30) for b in range(30) if a != b and r.random() < share] + [(40, 41), (41, 42), (42, 42)]
+        cand = [(a, b) for a in range(30) for b in range(30) if r.random() < 0.3] + [(42, 40), (40, 42), (99, 98), (5, 5)]
+        got = {(c["src"], c["dst"]): c["accepted"] for c in P.cycle_checked_insert(_edges(spark, edges), spark.createDataFrame(cand, "src long, dst long")).collect()}
+        assert got == {c: _sequential_insert(edges, [c])[c] for c in cand}
