@@ -264,6 +264,32 @@ def s06_proof_json_sink_plan(spark, sf_dir):
     return C.proofs_to_append(p, existing).select("proof_id", "logic", "theory", "proof_num")
 
 
+@query("s06_proof_files_round_trip", """
+SELECT proof_id, logic, theory, proof_num, len(actions) - 1 AS num_steps, actions[1] AS objective,
+       CASE WHEN len(actions) - 1 <= 5 THEN 'first' ELSE 'second' END AS job FROM proofs""", ("proofs",))
+def s06_proof_files_round_trip(spark, sf_dir):
+    """Every proof as a file of its own: the short ones by a first job, then all
+    of them by a second one, which leaves what is there; read back and parsed."""
+    import uuid
+
+    from tactica.operators import steps as P
+    from tactica.session import ensure_checkpoint_dir
+    from tactica.sources import proof_files
+
+    proof_files.register(spark)
+    root = f"{ensure_checkpoint_dir(spark)}/proofs-{uuid.uuid4().hex}"
+    r = ad.proof_records(ad.with_proof_num(ad.proofs(spark, sf_dir)))
+    files = r.select("logic", "theory", F.col("proof_num").cast("int").alias("proof_num"), F.size("proof").alias("n"),
+                     P.to_py_json_struct(r, ["proof"]).alias("raw"), "proof_id")
+    for job, part in (("first", files.where("n <= 6")), ("second", files)):
+        mark = F.concat(F.expr("substring(raw, 1, length(raw) - 1)"), F.lit(f', "methods": ["{job}", "'), F.col("proof_id"), F.lit('"]}'))
+        part.withColumn("raw", mark).write.format("prooffiles").mode("append").save(root)
+    back = C.with_record(spark.read.format("prooffiles").load(root))
+    return back.select(F.element_at("record.methods", 2).cast("long").alias("proof_id"), "logic", "theory", "proof_num",
+                       (F.size("record.proof") - 1).alias("num_steps"), F.element_at("record.proof", 1)["action"].alias("objective"),
+                       F.element_at("record.methods", 1).alias("job"))
+
+
 @query("s07_copy_subset_layout", """
 , chosen AS (SELECT proof_id, logic || '/' || theory || '/proof' || CAST(proof_num AS VARCHAR) || '.json' AS path
              FROM proofs WHERE logic = 'src1')
