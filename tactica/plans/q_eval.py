@@ -9,7 +9,7 @@ from tactica.functions import text as X
 from tactica.operators import evaluation as ev
 from tactica.operators.filters import bad_sample_flags
 from tactica.operators.ordering import number_rows
-from tactica.plans.registry import query, r6
+from tactica.plans.registry import ORACLES, query, r6
 from tactica.sources import adapters as ad
 
 # Outcome of an attempt in the attempts adapter, by event kind (A17):
@@ -338,3 +338,47 @@ def st2_running_eval_metrics(spark, sf_dir):
         (F.col("duration") > 50).cast("long").alias("correct"), F.lit(1).cast("long").alias("total"))
     m = running_metrics(a, "run", "loss", "correct", "total")
     return m.select("run", "steps", r6("avg_loss").alias("avg_loss"), r6("accuracy").alias("accuracy"))
+
+
+def _streamed(df, build, name):
+    """``build`` of ``df`` as a file stream, run to the end of what is there; the sink's rows."""
+    import uuid
+
+    from tactica.session import ensure_checkpoint_dir
+    from tactica.streaming.stateful import state_store
+
+    spark = df.sparkSession
+    root = f"{ensure_checkpoint_dir(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/in")
+    state_store(spark)
+    out = build(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(f"{root}/in"))
+    q = (out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).outputMode("append").start())
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query("st2_metrics_every_n", ORACLES["a20_training_curve"])
+def st2_metrics_every_n(spark, sf_dir):
+    """ST2 as a stream over the attempt log in micro-batches of four files: the rows of A20."""
+    from tactica.streaming.stateful import metrics_every
+
+    a = ad.attempts(spark, sf_dir).select("kind", "seq", "duration", (F.col("duration") > 50).cast("long").alias("correct"))
+    a = number_rows(a, ["kind"], ["seq"], "batch", base=1, count_name="n").select(
+        "kind", "batch", "duration", "correct", F.lit(1).alias("one"), (F.col("batch") == F.col("n")).alias("ends"))
+    out = _streamed(a, lambda s: metrics_every(s, "kind", "batch", "duration", "correct", "one", F.col("ends"), every=500), "st2")
+    return out.select("run", "batch", "steps", r6("avg_loss").alias("avg_loss"), r6("accuracy").alias("accuracy"))
+
+
+@query("st3_unit_timeout_stream", """
+, per AS (SELECT proof, min(ts) AS first, max(ts) AS last, bool_or(kind = 'purchase') AS finished FROM attempts WHERE ts IS NOT NULL GROUP BY proof)
+, clock AS (SELECT max(ts) - INTERVAL 1 DAY AS now FROM attempts)
+SELECT proof, finished, CASE WHEN finished THEN last - first > INTERVAL 2 DAY ELSE true END AS timed_out
+FROM per, clock WHERE finished OR first + INTERVAL 2 DAY <= now""", ("attempts",))
+def st3_unit_timeout_stream(spark, sf_dir):
+    """ST3 as a stream: all rows in one micro-batch, then the watermark's timers."""
+    from tactica.streaming.stateful import unit_timeouts
+
+    a = ad.attempts(spark, sf_dir).select("proof", "ts", "kind").coalesce(4)
+    out = _streamed(a, lambda s: unit_timeouts(s, "proof", "ts", F.col("kind") == "purchase", limit="2 days", watermark="1 day"), "st3")
+    return out.select("proof", "finished", "timed_out")

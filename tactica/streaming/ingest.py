@@ -1,26 +1,19 @@
-"""Structured Streaming forms of the incremental behaviours (ST1-ST3).
+"""Structured Streaming forms of the incremental behaviours (ST1, ST2).
 
 * ST1 ``ingest_corpus``: new proof files under a root are picked up by the
   file source, parsed like S01 and appended to a table partitioned by logic;
   the checkpoint makes every file processed exactly once across restarts
   (it replaces the reference's progress file).
 * ST2 ``running_metrics``: cumulative metric sums per run, kept in Spark's
-  state store and emitted in update mode.
-* ST3 ``unit_timeouts``: per unit (proof) the first and last event time are
-  kept in state; once the watermark passes first + limit without the unit
-  finishing, it is emitted as timed out (event-time timeout of
-  ``applyInPandasWithState``).
+  state store and emitted in update mode. Reports every N batches are in
+  ``streaming.stateful``, as are ST3's timeouts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tactica.sources.corpus import PROOF_GLOB, with_place, with_record
 
@@ -56,51 +49,3 @@ def running_metrics(events: DataFrame, run: str, loss: str, correct: str, total:
         F.sum(correct).alias("correct"), F.sum(total).alias("total")).select(
         run, "steps", (F.col("loss_sum") / F.col("steps")).alias("avg_loss"),
         F.coalesce(F.try_divide(F.col("correct"), F.col("total")), F.lit(0.0)).alias("accuracy"))
-
-
-_TIMEOUT_OUT = "proof long, first_ts timestamp, last_ts timestamp, finished boolean, timed_out boolean"
-_TIMEOUT_STATE = "first_ts timestamp, last_ts timestamp, finished boolean"
-
-
-def unit_timeouts(events: DataFrame, unit: str, ts: str, finished, limit: str = "30 days",
-                  watermark: str = "1 day") -> DataFrame:
-    """ST3: emit each unit once it finishes (timed_out false) or once the
-    watermark passes its first event + ``limit`` unfinished (timed_out true).
-    ``finished`` is a boolean Column marking the finishing event."""
-    limit_s = pd.Timedelta(limit).total_seconds()
-    x = events.select(F.col(unit).alias("proof"), F.col(ts).cast("timestamp").alias("ts"),
-                      finished.alias("fin")).withWatermark("ts", watermark)
-
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (proof,) = key
-        if state.hasTimedOut:
-            first, last, fin = state.get
-            state.remove()
-            yield pd.DataFrame({"proof": [proof], "first_ts": [first], "last_ts": [last],
-                                "finished": [False], "timed_out": [True]})
-            return
-        first, last, fin = state.get if state.exists else (None, None, False)
-        for pdf in pdfs:
-            lo, hi = pdf["ts"].min(), pdf["ts"].max()
-            first = lo if first is None else min(first, lo)
-            last = hi if last is None else max(last, hi)
-            fin = fin or bool(pdf["fin"].any())
-        if fin:
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"proof": [proof], "first_ts": [first], "last_ts": [last],
-                                "finished": [True], "timed_out": [bool((last - first).total_seconds() > limit_s)]})
-            return
-        deadline = int(pd.Timestamp(first).timestamp() * 1000 + limit_s * 1000)
-        if deadline <= state.getCurrentWatermarkMs():
-            # a backlog: the watermark passed the deadline before this data came
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"proof": [proof], "first_ts": [first], "last_ts": [last],
-                                "finished": [False], "timed_out": [True]})
-            return
-        state.update((first, last, fin))
-        state.setTimeoutTimestamp(deadline)
-
-    return x.groupBy("proof").applyInPandasWithState(
-        step, _TIMEOUT_OUT, _TIMEOUT_STATE, "append", GroupStateTimeout.EventTimeTimeout)

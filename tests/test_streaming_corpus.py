@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tactica.sources import corpus as C
 from tactica.streaming import ingest as ST
+from tactica.streaming import stateful as SF
 
 SKELETON = {"proof": [{"action": "lemma x: True", "user_state": "goal"},
                       {"action": "by simp", "user_state": "1 subgoal"}],
@@ -104,6 +105,7 @@ def test_running_metrics_stream(spark):
 
 
 def test_unit_timeouts_stream(spark):
+    SF.state_store(spark)
     src = tempfile.mkdtemp()
     spark.createDataFrame([
         (1, "2024-01-01 00:00:00", "view"), (1, "2024-01-02 00:00:00", "purchase"),
@@ -111,7 +113,7 @@ def test_unit_timeouts_stream(spark):
         "user_id long, ts string, event_type string").select(
         "user_id", F.to_timestamp("ts").alias("ts"), "event_type").write.mode("overwrite").parquet(src)
     stream = spark.readStream.schema("user_id long, ts timestamp, event_type string").parquet(src)
-    out = ST.unit_timeouts(stream, "user_id", "ts", F.col("event_type") == "purchase", limit="30 days",
+    out = SF.unit_timeouts(stream, "user_id", "ts", F.col("event_type") == "purchase", limit="30 days",
                            watermark="1 hour")
     q = out.writeStream.format("memory").queryName("timeouts_t").outputMode("append").start()
     q.processAllAvailable()
@@ -150,6 +152,7 @@ def test_resume_ledger_records_once(spark):
 
 def test_backlog_past_the_deadline(spark):
     """A unit that gets data after the watermark passed its deadline times out at once."""
+    SF.state_store(spark)
     src = tempfile.mkdtemp()
     parts = [[(1, "2024-06-01 00:00:00", "view")], [(2, "2024-05-31 23:30:00", "view"), (9, "2024-06-02 00:00:00", "view")],
              [(3, "2024-06-01 23:59:00", "view")]]
@@ -157,7 +160,7 @@ def test_backlog_past_the_deadline(spark):
         spark.createDataFrame(rows, "user_id long, ts string, event_type string").select(
             "user_id", F.to_timestamp("ts").alias("ts"), "event_type").coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema("user_id long, ts timestamp, event_type string").option("maxFilesPerTrigger", 1).parquet(src)
-    out = ST.unit_timeouts(stream, "user_id", "ts", F.col("event_type") == "purchase", limit="1 minute", watermark="2 hours")
+    out = SF.unit_timeouts(stream, "user_id", "ts", F.col("event_type") == "purchase", limit="1 minute", watermark="2 hours")
     q = out.writeStream.format("memory").queryName("backlog_t").outputMode("append").start()
     q.processAllAvailable()
     q.stop()
