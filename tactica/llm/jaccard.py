@@ -389,10 +389,35 @@ def join(docs: DataFrame, similar: int = SIMILAR, region_bytes: int = REGION_BYT
 
     Null, empty and blank texts have an empty set and are linked with nothing.
     Equal texts are linked. Rows that share a doc_id are one document: their
-    component is one. Rows without doc_id take no part and have a null
-    component. Further columns are ignored. An empty table gives no rows.
+    component is one, and whatever one of their texts is linked with is linked
+    with all. Rows without doc_id take no part and have a null component.
+    Further columns are ignored. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.xxhash64("text")
+    mixed = written(docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(text).alias("a"), F.max(text).alias("b"))
+                    .where("a <> b").select("doc_id", F.lit(True).alias("mixed")), "mixed")
+    if mixed.isEmpty():
+        return _join(docs, similar, region_bytes)
+    # ids with different texts: each text is a document of its own, and the documents of an id are tied afterwards
+    own = F.when(F.col("mixed"), F.xxhash64("doc_id", "text")).otherwise(F.col("doc_id"))
+    marked = docs.join(few(mixed), "doc_id", "left").withColumn("own", own)
+    found = written(_join(marked.select(F.col("own").alias("doc_id"), "text"), similar, region_bytes)
+                    .withColumnRenamed("doc_id", "own"), "parts")
+    names = written(marked.where("mixed").select("own", "doc_id").distinct(), "names")
+    parts = found.select("own", "component_id").distinct().join(names, "own").select("doc_id", "component_id").distinct()
+    first = parts.groupBy("doc_id").agg(F.min("component_id").alias("b"))
+    ties = written(components(parts.join(first, "doc_id").select(F.col("component_id").alias("a"), "b")), "ties")
+    found = (found.join(ties.withColumnRenamed("node", "component_id"), "component_id", "left")
+             .select("own", "n_shingles", F.coalesce("root", "component_id").alias("class")).join(names, "own", "left")
+             .select(F.coalesce("doc_id", "own").alias("doc_id"), "n_shingles", "class"))
+    # a class's smallest id, over its ids and not over the stand-ins
+    least = found.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+    return found.join(least, "class", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _join(docs: DataFrame, similar: int, region_bytes: int) -> DataFrame:
+    """``join`` of documents whose rows of one id all have the same text."""
     table = measure(docs, similar)
     slim = table.select("doc_id", "n", "hi", "lo")
     classes = slim.where("n > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(
@@ -430,9 +455,6 @@ def join(docs: DataFrame, similar: int = SIMILAR, region_bytes: int = REGION_BYT
     links = join_regions(rows, True, similar)
     if found is not None:
         links = links.unionByName(found)
-    # rows that share an id
-    twice = member.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b")
-    same = twice.select("a", "b").unionByName(twice.select(F.col("doc_id").alias("a"), "b"))
-    roots = components(links.unionByName(same))
+    roots = components(links)
     return (member.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id")))

@@ -88,3 +88,22 @@ def test_components(spark):
     got = {r.node: r.root for r in roots(spark.createDataFrame(links, "a long, b long")).collect()}
     want = {x: find(x) for x in root}
     assert got == {x: c for x, c in want.items() if sum(v == c for v in want.values()) > 1}
+
+
+def test_ids_with_several_texts(spark):
+    rng = random.Random(6)
+
+    def text(n):
+        return [f"w{rng.randrange(5000)}" for _ in range(n)]
+
+    a, b, c, d = (text(60) for _ in range(4))
+    near = lambda t: " ".join([*t[:30], "changed", *t[31:]])
+    whole = " ".join
+    # the second id copies the first one's text and brings another, near which the third one lies
+    rows = [(1, whole(a)), (2, whole(a)), (2, whole(b)), (3, near(b))]
+    assert rows_of(jaccard.join(docs(spark, rows))) == sorted(components(rows), key=str)
+    assert {x[2] for x in rows_of(jaccard.join(docs(spark, rows)))} == {1}
+    # three texts of one id, one blank, repeated rows, rows without id
+    rows = [(9, whole(a)), (9, whole(b)), (9, whole(c)), (9, whole(c)), (9, None), (20, near(c)), (8, near(a)), (30, whole(d)), (30, " "),
+            (31, near(d)), (40, "one two"), (41, "one two"), (41, "three"), (50, "three"), (None, whole(a)), (None, whole(b)), (60, whole(text(50)))]
+    assert rows_of(jaccard.join(docs(spark, rows))) == sorted(components(rows), key=str)
