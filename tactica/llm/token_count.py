@@ -10,7 +10,8 @@ and the same tokens from there to the last stable place of the overlap.
 Documents where one splice fails are done again with a wider overlap, up to
 the whole text.
 
-Equal long texts are counted once (keyed by SHA-256 of the text).
+Chunks of a long text are found again by the SHA-256 of the text; copies of a
+long text are each cut and encoded, and their equal counts merged.
 """
 
 from __future__ import annotations

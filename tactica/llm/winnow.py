@@ -6,6 +6,11 @@ every ``W`` such hashes in a row the smallest is selected, the rightmost of
 equals; its position is kept. Two texts that share ``W + K - 1`` tokens in a
 row share a selected hash, with the positions of the shared passage in both.
 
+The guarantee is one of tokens, so it needs white space: a run of more than 16
+characters without any (Chinese, Japanese or Thai text, base64) is cut from
+its beginning on, and a passage inside such runs is found only where it lies at
+the same distance from the beginning, up to a multiple of 16.
+
 A selected hash and its position are one long: the hash above, the position
 below, counted downwards, so that the smallest long of a window is the
 rightmost smallest hash. Minima over a window come from two doubling steps.
@@ -17,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K, W = 3, 4
-#: Matches of so many tokens are always found.
+#: Matches of so many tokens between white space (of 16 characters at most) are always found.
 GUARANTEE = K + W - 1
 # Base and modulus of the hash (the Mersenne prime 2^31 - 1).
 BASE, PRIME = 1_000_003, 2_147_483_647

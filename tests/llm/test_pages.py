@@ -124,6 +124,36 @@ def test_nested_captures_hold_the_payload(spark, tmp_path):
     assert sum(r.response is None for r in lone) == sum(r.response.record_type == "response" for r in got.values())
 
 
+def test_revisits_refer_to_records_that_are_there(spark, tmp_path):
+    rows = [(i, "http://h", h) for i, h in enumerate(["same", "same", "other", "same", "lone"])] + [(9, "u", "twice"), (9, "u", "twice"), (8, "u", "twice")]
+    path = str(tmp_path / "archives")
+    warc.write_archives(spark.createDataFrame(rows, PAGES), path)
+    records = warc.read_archives(spark, path).collect()
+    ids = {r.record_id: r for r in records}
+    assert len(ids) == len(records) == 3 * len(rows)
+    revisits = [r for r in records if r.record_type == "revisit"]
+    assert len(revisits) == 3
+    for r in revisits:
+        if r.refers_to:  # of a response that rows repeat no single record can be named
+            assert ids[r.refers_to].record_type == "response" and ids[r.refers_to].payload_digest == r.payload_digest
+    assert sum(r.refers_to is not None for r in revisits) == 2
+
+
+def test_very_many_separators_in_a_payload(spark):
+    rows = [(1, "u", (ENDS + "WARC/1.1\r\n") * 100_000), (2, "u", "after")]
+    assert rows_of(warc.archive_round_trip(spark.createDataFrame(rows, PAGES))) == captures(rows)
+
+
+def test_a_lost_response_is_an_error(spark, tmp_path):
+    rows = [(1, "u", "same"), (2, "u", "same")]
+    path = str(tmp_path / "archives")
+    warc.write_archives(spark.createDataFrame(rows, PAGES), path)
+    whole = warc.assemble(warc.read_archives(spark, path))
+    assert sorted((r.page_id, r.payload_bytes, r.refers_to) for r in warc.with_payload_facts(whole).collect()) == [(1, 4, 2), (2, 4, None)]
+    with pytest.raises(Exception, match="no response"):
+        warc.with_payload_facts(whole.where("page_id = 1")).collect()
+
+
 def test_empty_pages(spark, tmp_path):
     folder = save(spark, tmp_path, pages=spark.createDataFrame([], PAGES))
     assert E.queries()["op10_warc"](spark, folder).count() == 0
