@@ -16,6 +16,8 @@ without ever routing a whole group through one task:
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -55,9 +57,13 @@ def bucket_of(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int | N
         own = F.struct(*[F.col(k).alias(k) for k in keys])
     side = max(1, int(len(cuts) ** 0.5))
     rows = [F.array(*map(literal, cuts[i:i + side])) for i in range(0, len(cuts), side)]
-    below = lambda xs: F.size(F.filter(xs, lambda c: c <= own))
-    row = F.greatest(below(F.array(*map(literal, cuts[::side]))), F.lit(1))
-    return (row - 1) * side + below(F.element_at(F.array(*rows), row))
+    # no lambda holds a column of the row: the optimizer can overlook a column of the session's first
+    # table inside one, and then pushes a filter on it to the wrong side of a join
+    under = lambda c, x: F.coalesce((c <= x).cast("int"), F.lit(0))
+    row = F.greatest(reduce(add, [under(c, own) for c in map(literal, cuts[::side])]), F.lit(1))
+    count = F.aggregate(F.element_at(F.array(*rows), row), F.struct(own.alias("x"), F.lit(0).alias("n")),
+                        lambda s, c: F.struct(s["x"].alias("x"), (s["n"] + under(c, s["x"])).alias("n")), lambda s: s["n"])
+    return (row - 1) * side + count
 
 
 def number_rows(df: DataFrame, by: Sequence[str], order: Sequence[str],
