@@ -1,4 +1,4 @@
-"""Ordered-sequence operators over (group, pos) tables.
+"""Ordered-sequence operators over (group, pos) tables (W03-W07, W09, W13, W14; W08 is in ``patterns``).
 
 A sequence is the rows of one group (proof, session) ordered by a dense
 position. Predicates are boolean Columns. Nothing collects a group: run and
@@ -98,77 +98,6 @@ def split_when(df: DataFrame, key: Sequence[str], pos: str, pred: Column) -> Dat
     }).drop("_flag", "_rk", "_hit")
 
 
-def _greedy_starts(starts: DataFrame, key: Sequence[str], m: int) -> DataFrame:
-    """Leftmost-first non-overlapping choice among candidate match starts.
-
-    Candidates further than m - 1 apart never compete, so they are cut into
-    chains (a new chain starts when the gap to the previous candidate is at
-    least m: previous candidate by an equi-join on the rank, chain id by a
-    skew-safe running sum); each chain gets a small ordered pass.
-    """
-    import pandas as pd
-
-    c = number_rows(starts, list(key), ["_s"], "_r")
-    prev = c.select(*key, (F.col("_r") + 1).alias("_r"), F.col("_s").alias("_ps"))
-    c = c.join(prev, [*key, "_r"], "left")
-    c = c.withColumn("_new", (F.col("_ps").isNull() | (F.col("_s") - F.col("_ps") >= m)).cast("long"))
-    c = running_sum(c, list(key), ["_s"], {"_chain": F.col("_new")})
-    out_schema = c.select(*key, "_s").schema
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_s")
-        keep, last = [], None
-        for v in pdf["_s"]:
-            if last is None or v >= last + m:
-                keep.append(True)
-                last = v
-            else:
-                keep.append(False)
-        return pdf.loc[keep, [*key, "_s"]]
-
-    return c.select(*key, "_s", "_chain").groupBy(*key, "_chain").applyInPandas(greedy, out_schema)
-
-
-def _has_border(pattern: Sequence) -> bool:
-    m = len(pattern)
-    return any(list(pattern[:k]) == list(pattern[m - k:]) for k in range(1, m))
-
-
-def segment_by_pattern(df: DataFrame, key: Sequence[str], pos: str, item: str,
-                       pattern: Sequence[str]) -> DataFrame:
-    """Cut each sequence at non-overlapping occurrences of ``pattern``;
-    pieces between occurrences and the occurrences are kept, in order.
-
-    Output per piece: (key, start, end, is_match, length). Occurrences are
-    found with m equi-joins on (key, pos + j). For a pattern without a border
-    (no proper prefix equal to a suffix) occurrences cannot overlap, so every
-    occurrence is taken, which is what the greedy left-to-right cut does; for
-    a bordered pattern the leftmost-first choice runs per chain of
-    overlapping candidates (``_greedy_starts``).
-    """
-    m = len(pattern)
-    if m == 0:
-        return df.groupBy(*key).agg(F.min(pos).alias("start"), F.max(pos).alias("end"),
-                                    F.lit(False).alias("is_match"), F.count(F.lit(1)).alias("length"))
-    base = df.select(*key, pos, item)
-    starts = base.where(F.col(item) == F.lit(pattern[0])).select(*key, F.col(pos).alias("_s"))
-    for j in range(1, m):
-        nxt = base.where(F.col(item) == F.lit(pattern[j])).select(
-            *key, (F.col(pos) - F.lit(j)).alias("_s"))
-        starts = starts.join(nxt, [*key, "_s"], "left_semi")
-    if _has_border(pattern):
-        starts = _greedy_starts(starts, key, m)
-    covered = starts.select(*key, "_s", F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("_j")) \
-                    .select(*key, "_s", (F.col("_s") + F.col("_j")).alias(pos))
-    x = base.join(covered, [*key, pos], "left")
-    x = x.withColumn("_in", F.col("_s").isNotNull())
-    x = number_rows(x, [*key, "_in"], [pos], "_rk")
-    piece = F.when(F.col("_in"), F.col("_s")).otherwise(F.col(pos) - F.col("_rk"))
-    return (x.groupBy(*key, "_in", piece.alias("_piece"))
-             .agg(F.min(pos).alias("start"), F.max(pos).alias("end"), F.count(F.lit(1)).alias("length"))
-             .select(*key, "start", "end", F.col("_in").alias("is_match"), "length"))
-
-
 def running_fold(df: DataFrame, key: Sequence[str], pos: str, value: Column,
                  keep: Column | None = None, name: str = "state") -> DataFrame:
     """Every intermediate state of a sum fold (skew-safe running sum);

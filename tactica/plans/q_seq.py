@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tactica.operators import patterns
 from tactica.operators import sequences as S
 from tactica.plans.registry import query
 from tactica.sources import adapters as ad
@@ -87,7 +88,28 @@ def w07_split_when(spark, sf_dir):
 SELECT session, min(pos) AS start, max(pos) AS "end", in_m AS is_match, count(*) AS length
 FROM y GROUP BY session, in_m, piece""", ("sessions",))
 def w08_segment_by_pattern(spark, sf_dir):
-    return S.segment_by_pattern(_s(spark, sf_dir), KEY, "pos", "kind", ["user", "assistant"])
+    return patterns.segment_by_pattern(_s(spark, sf_dir), KEY, "pos", "kind", ["user", "assistant"])
+
+
+@query("w08_segment_overlapping", """
+, c AS (SELECT a.session, a.pos AS s FROM sessions a
+        JOIN sessions b ON b.session = a.session AND b.pos = a.pos + 1
+        JOIN sessions c ON c.session = a.session AND c.pos = a.pos + 2
+        WHERE a.kind = 'assistant' AND b.kind = 'user' AND c.kind = 'assistant')
+, d AS (SELECT *, lag(s) OVER (PARTITION BY session ORDER BY s) AS ps FROM c)
+, e AS (SELECT *, sum(CASE WHEN ps IS NULL OR s - ps >= 3 THEN 1 ELSE 0 END) OVER (PARTITION BY session ORDER BY s) AS chain FROM d)
+, f AS (SELECT *, s - min(s) OVER (PARTITION BY session, chain) AS off FROM e)
+, m AS (SELECT session, s FROM f WHERE off % 4 = 0)
+, cov AS (SELECT session, s, s + j AS pos FROM m, range(0, 3) t(j))
+, x AS (SELECT z.session, z.pos, cov.s, cov.s IS NOT NULL AS in_m FROM sessions z
+        LEFT JOIN cov ON cov.session = z.session AND cov.pos = z.pos)
+, y AS (SELECT *, CASE WHEN in_m THEN s
+                       ELSE pos - row_number() OVER (PARTITION BY session, in_m ORDER BY pos) END AS piece FROM x)
+SELECT session, min(pos) AS start, max(pos) AS "end", in_m AS is_match, count(*) AS length
+FROM y GROUP BY session, in_m, piece""", ("sessions",))
+def w08_segment_overlapping(spark, sf_dir):
+    """A pattern that overlaps with itself: candidates of a chain lie 2 apart, so every other one is taken."""
+    return patterns.segment_by_pattern(_s(spark, sf_dir), KEY, "pos", "kind", ["assistant", "user", "assistant"])
 
 
 @query("w09_running_fold", """

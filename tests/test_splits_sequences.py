@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tactica.operators import patterns
 from tactica.operators import sequences as S
 from tactica.operators import splits
 from tactica.operators.ordering import number_rows, running_sum
@@ -74,7 +75,7 @@ def test_random_element(spark):
 def test_segment_by_pattern(spark):
     items = ["x", "a", "b", "y", "a", "b"]
     df = spark.createDataFrame([(0, i, t) for i, t in enumerate(items)], "s long, pos long, item string")
-    out = S.segment_by_pattern(df, ["s"], "pos", "item", ["a", "b"]).orderBy("start").collect()
+    out = patterns.segment_by_pattern(df, ["s"], "pos", "item", ["a", "b"]).orderBy("start").collect()
     assert [(r["start"], r["end"], r["is_match"]) for r in out] == \
         [(0, 0, False), (1, 2, True), (3, 3, False), (4, 5, True)]
 
@@ -118,7 +119,7 @@ def test_segment_by_overlapping_pattern_brute_force(spark):
     for pattern in (["a", "a"], ["a", "b", "a"], ["a", "a", "a"]):
         rows = [(k, i, t) for k, seq in enumerate(seqs) for i, t in enumerate(seq)]
         df = spark.createDataFrame(rows, "s long, pos long, item string")
-        out = S.segment_by_pattern(df, ["s"], "pos", "item", pattern).collect()
+        out = patterns.segment_by_pattern(df, ["s"], "pos", "item", pattern).collect()
         got = {}
         for r in out:
             got.setdefault(r["s"], []).append((r["start"], r["end"], r["is_match"]))
@@ -126,6 +127,48 @@ def test_segment_by_overlapping_pattern_brute_force(spark):
             assert sorted(got.get(k, [])) == _greedy_segments(seq, pattern), (pattern, "".join(seq))
 
 
+def test_segment_by_pattern_across_chunks(spark):
+    import random
+    rnd = random.Random(8)
+    seqs = {"hot": rnd.choices(["a", "b"], k=3000), "runs": ["a"] * 700, "mixed": rnd.choices(["a", "b", "c", None], k=900),
+            "short": ["a"], "none": ["c"] * 40}
+    rows = [(k, i + 5, t) for k, seq in seqs.items() for i, t in enumerate(seq)]
+    df = spark.createDataFrame(rows, "s string, pos int, item string").repartition(7)
+    for pattern in (["a"], ["a", "b"], ["a", "a", "a"], ["a", "b", "a", "a", "b"], ["c"] * 7):
+        got = {}
+        for r in patterns.segment_by_pattern(df, ["s"], "pos", "item", pattern).collect():
+            assert r["length"] == r["end"] - r["start"] + 1
+            got.setdefault(r["s"], []).append((r["start"] - 5, r["end"] - 5, r["is_match"]))
+        for k, seq in seqs.items():
+            assert sorted(got.get(k, [])) == _greedy_segments(seq, pattern), (pattern, k)
+    assert patterns.segment_by_pattern(df.limit(0), ["s"], "pos", "item", ["a", "b"]).count() == 0
+    whole = patterns.segment_by_pattern(df, ["s"], "pos", "item", []).where("s = 'hot'").first()
+    assert (whole["start"], whole["end"], whole["is_match"], whole["length"]) == (5, 3004, False, 3000)
+
+
+def test_chunk_from_every_state(spark):
+    import random
+
+    import numpy as np
+    rnd = random.Random(2)
+    for pattern in ([0], [0, 1], [0, 0], [0, 1, 0], [0, 0, 1, 0, 0]):
+        table = patterns.automaton(pattern)
+        for _ in range(60):
+            codes = np.array(rnd.choices([-1, 0, 0, max(pattern)], k=rnd.randrange(0, 25)), np.int64)
+            chunk, cut = patterns.Chunk(table), rnd.randrange(0, len(codes) + 1)
+            chunk.read(codes[:cut], np.arange(cut))
+            chunk.read(codes[cut:], np.arange(cut, len(codes)))
+            exits, ends = chunk.result()
+            for entry in range(len(pattern)):
+                state, found = entry, []
+                for i, c in enumerate(codes.tolist()):
+                    state = table[state][c] if c >= 0 else 0
+                    if state == len(pattern):
+                        state = 0
+                        found.append(i)
+                assert (exits[entry], ends[entry]) == (state, found), (pattern, codes, entry)
+
+
 def test_number_rows_of_any_key(spark):
     import random
 
