@@ -142,23 +142,23 @@ def input_target_pairs(df: DataFrame, data_format: str = "state", proof: str = "
     cols = set(df.columns)
     esc = escape_array(F.transform(proof, lambda s: s["action"]))
     ctx = context_fields(data_format)
-    # escape once per proof (a projection below the generator), not per step
-    escaped = df.select(*keep, *[c for c in ("deps", "methods") if c in cols], proof, esc.alias("_esc"),
+    # escaped and rendered once per proof (a projection below the generator), not per step
+    of_record = {n: _json_or_empty(df, F.col(n), df.schema[n].dataType) for n in ("deps", "methods") if n in ctx and n in cols}
+    escaped = df.select(*keep, *[c.alias(f"_j_{n}") for n, c in of_record.items()], proof, esc.alias("_esc"),
                         escape_array(F.transform(proof, lambda s: F.coalesce(s["user_state"], F.lit("")))).alias("_states"))
-    out = escaped.select(*keep, *[c for c in ("deps", "methods") if c in cols], "_esc", "_states",
+    out = escaped.select(*keep, *[f"_j_{n}" for n in of_record], "_esc", "_states",
                          F.posexplode_outer(proof).alias("step", "_s"))
     out = out.where(F.col("step") >= 1)
     parts = [F.lit('{"proof_so_far": "'),
              F.array_join(F.slice("_esc", 1, F.col("step")), "\\n"),
              F.lit('", "last_usr_state": "'), F.get("_states", F.col("step")), F.lit('"')]
     for name in ctx:
-        if name in ("deps", "methods"):
-            dt = df.schema[name].dataType if name in cols else None
-            val = F.col(name) if name in cols else F.lit(None)
+        if name in of_record:
+            text = F.col(f"_j_{name}")
         else:
-            dt = _field(df, proof, name)
-            val = F.col("_s")[name] if dt is not None else F.lit(None)
-        parts += [F.lit(f', "{name}": '), _json_or_empty(out, val, dt)]
+            dt = None if name in ("deps", "methods") else _field(df, proof, name)
+            text = _json_or_empty(out, F.col("_s")[name] if dt is not None else F.lit(None), dt)
+        parts += [F.lit(f', "{name}": '), text]
     parts.append(F.lit("}"))
     return out.select(*keep, "step", F.concat(*parts).alias("input"),
                       F.col("_s")["action"].alias("target"))

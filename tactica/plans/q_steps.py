@@ -228,13 +228,10 @@ def t01_natural_file_order(spark, sf_dir):
 # ----------------------------------------------------------------- text functions
 
 @query("x01_balance_quotes", f"""
-SELECT proof_id, step, {balance('action')} AS fixed FROM steps
-WHERE (length(action) - length(replace(action, '"', ''))) % 2 = 1 OR step = 0""", ("steps",))
+SELECT proof_id, step, {balance('action')} AS fixed FROM steps""", ("steps",))
 def x01_balance_quotes(spark, sf_dir):
     s = ad.steps(ad.proofs(spark, sf_dir))
-    odd = X.quote_count(F.col("action")) % 2 == 1
-    return s.where(odd | (F.col("step") == 0)).select(
-        "proof_id", "step", X.balance_quotes(F.col("action")).alias("fixed"))
+    return s.select("proof_id", "step", X.balance_quotes(F.col("action")).alias("fixed"))
 
 
 _RAW = """
