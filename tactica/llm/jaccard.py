@@ -18,8 +18,11 @@ within the distance together in some region; none is dropped.
    pivots; a pair is compared only if it is not yet connected and the distances
    of both to earlier pivots don't exclude it by the triangle inequality.
 
-A region of step 3 or 4 that is too large for one task is divided by pivots of
-its own into Voronoi cells with windows of boundary documents (``divide``).
+A region of step 3 or 4 of more than ``MEMBERS`` documents or ``REGION_BYTES``
+bytes is divided by pivots of its own into Voronoi cells with windows of
+boundary documents, and a cell that is still too large is divided again by
+pivots of the cell (``divide``). So the pairs that one task compares are
+bounded, whatever the size of a group.
 
 Sets hold 64-bit hashes of shingles.
 """
@@ -42,8 +45,9 @@ SIMILAR = 80
 #: One document in so many is looked at for frequent shingles, of which at most FREQUENT (the most
 #: frequent) go to the tasks. This only sets the order of the first pivots; the result is exact for any.
 SAMPLE_SHARE, FREQUENT = 16, 1_000_000
-#: Bytes of sketches or sets that one task joins in memory.
+#: Bytes of sketches or sets, and documents, of a region that is joined in memory; larger ones are divided.
 REGION_BYTES = 16 << 20
+MEMBERS = 512
 #: Lists of ids up to this length are broadcast (16 MB); longer ones are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -314,36 +318,46 @@ def join_regions(rows: DataFrame, exact: bool, similar: int) -> DataFrame:
             .mapInArrow(run, "a long, b long"))
 
 
-#: Pivots of a region that is divided.
-PIVOTS = 48
+#: Pivots of a region that is divided, and how often its cells are divided again; what is still too
+#: large then, or no smaller than before, meets in blocks.
+PIVOTS, DEPTH = 48, 3
 
 
-def divide(slim: DataFrame, blobs: DataFrame, exact: bool, similar: int, limit: int) -> tuple[DataFrame, DataFrame | None]:
-    """Regions of at most about ``limit`` bytes for ``join_regions``, and links found on the way.
+def weight(bytes_, limit: int):
+    """Bytes of a document, but never so few that more than ``MEMBERS`` documents fit into ``limit``."""
+    return F.greatest(bytes_, F.lit(limit // MEMBERS)).cast("long")
 
-    ``slim``: region, key, bytes; ``blobs``: key, blob. A larger region is measured against pivots
-    drawn from it, a chunk of rows at a time. Rows near one pivot are linked; with these links the
-    rows fall into components, and only pairs across components are still open. Each row lives in
-    the Voronoi cell of its nearest pivot. Rows outside the region's largest component also visit
-    the cells whose pivot is at most twice the join distance further than their own: the window in
-    which their partners live. A cell with its visitors that is too large is cut into blocks of
-    residents and of visitors that meet two by two. Cells without visitors are done.
+
+def divide(slim: DataFrame, blobs: DataFrame, exact: bool, similar: int, limit: int, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """Regions of at most about ``limit`` for ``join_regions``, and links found on the way.
+
+    ``slim``: region, key, bytes, label (a key that this one is known to be connected with, or null);
+    ``blobs``: key, blob. A larger region is measured against pivots drawn from it, a chunk of rows
+    at a time. Rows near one pivot are linked; with these links the rows fall into components, and
+    only pairs across components are still open. Each row lives in the Voronoi cell of its nearest
+    pivot. Rows outside the region's largest component also visit the cells whose pivot is at most
+    twice the join distance further than their own: the window in which their partners live. Cells
+    without visitors are done. A cell that is too large, with its visitors, is a region again, if it
+    is a good deal smaller than the one that it comes from; else it is cut into blocks of residents
+    and of visitors that meet two by two.
     """
-    sizes = slim.groupBy("region").agg(F.sum("bytes").alias("total"), F.count("*").alias("members"), F.min("key").alias("first"),
+    slim = slim.withColumn("weight", weight(F.col("bytes"), limit))
+    sizes = slim.groupBy("region").agg(F.sum("weight").alias("total"), F.count("*").alias("members"), F.min("key").alias("first"),
                                          (F.min("bytes") - 64).alias("least"))
     sizes = written(sizes.where(F.col("total") > limit), "large-regions")
-    whole = slim.select("region", "key").withColumn("label", F.lit(None).cast("long"))
+    whole = slim.select("region", "key", "label")
     if sizes.isEmpty():
         return whole.join(blobs, "key").select("region", "key", "blob", "label"), None
     rest = whole.join(sizes.select("region"), "region", "left_anti")
     large = slim.join(sizes, "region")
     wanted = F.least(F.lit(PIVOTS), F.greatest(F.lit(12), F.ceil(4 * F.col("total") / limit)))
     chunks = F.ceil(F.col("total") / limit).cast("int")
-    drawn = (F.col("key") == F.col("first")) | (F.pmod(F.xxhash64("key", F.lit(1)), F.col("members")) < wanted)
+    # other pivots at every depth
+    drawn = (F.col("key") == F.col("first")) | (F.pmod(F.xxhash64("key", "region", F.lit(1)), F.col("members")) < wanted)
     pivots = written(large.where(drawn).select("region", "key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
                      .join(blobs, "key").select("region", "chunk", "key", "blob"), "pivots")
     rows = (large.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(2)), chunks).cast("int"))
-            .join(blobs, "key").select("region", "chunk", "key", "bytes", "blob", "least"))
+            .join(blobs, "key").select("region", "chunk", "key", "bytes", "weight", "blob", "least"))
     near, twice = 1 - similar / 100, 2 * (1 - similar / 100) + 1e-9
 
     def measured(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -359,29 +373,43 @@ def divide(slim: DataFrame, blobs: DataFrame, exact: bool, similar: int, limit:
             linked_to[i, close] = 100 * shared >= similar * union
         home = d.argmin(0) if len(own) else np.empty(0, np.int64)
         return pa.table({
-            "region": left.column("region"), "key": left.column("key"), "bytes": left.column("bytes"),
+            "region": left.column("region"), "key": left.column("key"), "bytes": left.column("bytes"), "weight": left.column("weight"),
             "home": pa.array(home.astype(np.int32)),
             "window": pa.array([np.flatnonzero(x <= x.min() + twice).astype(np.int32) for x in d.T], pa.list_(pa.int32())),
             "links": pa.array([[names[i] for i in np.flatnonzero(x)] for x in linked_to.T], pa.list_(pa.int64()))})
 
-    schema = "region long, key long, bytes long, home int, window array<int>, links array<long>"
+    schema = "region long, key long, bytes long, weight long, home int, window array<int>, links array<long>"
     seen = written(rows.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInArrow(measured, schema), "measured")
     links = seen.select(F.col("key").alias("a"), F.explode("links").alias("b")).where("a <> b")
-    comps = components(links).withColumnRenamed("node", "key")
+    known = large.where("label <> key").select(F.col("key").alias("a"), F.col("label").alias("b"))
+    comps = components(links.unionByName(known)).withColumnRenamed("node", "key")
     seen = seen.drop("links").join(comps, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
-    weights = seen.groupBy("region", "label").agg(F.sum("bytes").alias("w"))
-    main = weights.groupBy("region").agg(F.max_by("label", F.struct("w", "label")).alias("main"))
+    weights = seen.groupBy("region", "label").agg(F.sum("weight").alias("w"))
+    main = weights.groupBy("region").agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.sum("w").alias("total"))
     seen = written(seen.join(main, "region").withColumn("open", F.col("label") != F.col("main")).drop("main"), "cells")
-    residents = seen.select("region", F.col("home").alias("cell"), "key", "bytes", "label")
-    visitors = seen.where("open").select("region", F.explode("window").alias("cell"), "key", "bytes", "label")
-    blocks = lambda d, name: d.groupBy("region", "cell").agg(F.ceil(2 * F.sum("bytes") / limit).cast("int").alias(name))
-    plan = blocks(residents, "n_res").join(blocks(visitors, "n_vis"), ["region", "cell"])
+    slot = ["region", "total", "key", "bytes", "weight", "label"]
+    residents = seen.select(*slot, F.col("home").alias("cell"))
+    visitors = seen.where("open").select(*slot, F.explode("window").alias("cell"))
+    sums = lambda d, name, *more: d.groupBy("region", "cell").agg(F.sum("weight").alias(name), *more)
+    plan = sums(residents, "w_res", F.first("total").alias("total")).join(sums(visitors, "w_vis"), ["region", "cell"])
+    size = F.col("w_res") + F.col("w_vis")
+    deeper = (size > 2 * limit) & (4 * size <= 3 * F.col("total")) if depth else F.lit(False)
+    plan = written(plan.select("region", "cell", deeper.alias("deeper"), F.ceil(2 * F.col("w_res") / limit).cast("int").alias("n_res"),
+                               F.ceil(2 * F.col("w_vis") / limit).cast("int").alias("n_vis")), "plan")
+    blocks = plan.where("NOT deeper").drop("deeper")
     mark = lambda d, own, seed, other, fixed, free: (
-        d.join(plan, ["region", "cell"]).withColumn(fixed, F.pmod(F.xxhash64("key", F.lit(seed)), F.col(own)).cast("int"))
+        d.join(blocks, ["region", "cell"]).withColumn(fixed, F.pmod(F.xxhash64("key", F.lit(seed)), F.col(own)).cast("int"))
         .withColumn(free, F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
         .select(F.xxhash64("region", "cell", "res", "vis").alias("region"), "key", "label"))
     cells = mark(residents, "n_res", 3, "n_vis", "res", "vis").unionByName(mark(visitors, "n_vis", 4, "n_res", "vis", "res")).distinct()
-    return rest.unionByName(cells).join(blobs, "key").select("region", "key", "blob", "label"), links
+    out = rest.unionByName(cells).join(blobs, "key").select("region", "key", "blob", "label")
+    again = plan.where("deeper").select("region", "cell")
+    if not depth or again.isEmpty():
+        return out, links
+    inner = residents.unionByName(visitors).join(again, ["region", "cell"]).select(
+        F.xxhash64("region", "cell").alias("region"), "key", "bytes", "label").distinct()
+    below, found = divide(written(inner, "deeper"), blobs, exact, similar, limit, depth - 1)
+    return out.unionByName(below), links if found is None else links.unionByName(found)
 
 
 def join(docs: DataFrame, similar: int = SIMILAR, region_bytes: int = REGION_BYTES) -> DataFrame:
@@ -431,27 +459,35 @@ def _join(docs: DataFrame, similar: int, region_bytes: int) -> DataFrame:
     reps = table.where("n > 0 AND doc_id IS NOT NULL").join(others, "doc_id", "left_anti")
     regions = written(first_regions(reps.select(F.explode("window").alias("s"), F.col("doc_id").alias("key"))).distinct(), "first-regions")
     sketches = reps.select(F.col("doc_id").alias("key"), F.col("sketch").alias("blob"))
-    bytes_ = reps.select(F.col("doc_id").alias("key"), (F.octet_length("sketch") + 64).cast("long").alias("bytes"))
+    bytes_ = reps.select(F.col("doc_id").alias("key"), (F.octet_length("sketch") + 64).cast("long").alias("bytes"),
+                         F.lit(None).cast("long").alias("label"))
     rows, found = divide(regions.join(bytes_, "key"), sketches, False, similar, region_bytes)
     close = join_regions(rows, False, similar)
     near = written(components(close if found is None else close.unionByName(found)), "near")
-    # each document of a region brings its whole set
-    texts = docs.join(few(near.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
 
     def sets(batches):
         for batch, texts in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s.tobytes() for s in shingle_sets(texts)], pa.binary())], ["key", "blob"])
 
-    whole = texts.select("doc_id", "text").mapInArrow(sets, "key long, blob binary").where(F.octet_length("blob") > 0)
-    slim_near = near.select(F.col("root").alias("region"), F.col("node").alias("doc_id")).join(
-        slim.where("n > 0"), "doc_id").select("region", F.col("doc_id").alias("key"), (F.col("n") * 8 + 64).alias("bytes"))
-    if slim_near.groupBy("region").agg(F.sum("bytes").alias("b")).where(F.col("b") > region_bytes).isEmpty():
-        # every document is in one region: its name goes with the text, and the set is sent once
-        named = few(near.withColumnRenamed("node", "key"))
-        rows, found = whole.join(named, "key").select(F.col("root").alias("region"), "key", "blob", F.lit(None).cast("long").alias("label")), None
-    else:
-        rows, found = divide(slim_near, written(whole, "sets"), True, similar, region_bytes)
+    def whole(ids):
+        """key, blob: the whole sets of ``ids`` (doc_id)."""
+        texts = docs.join(few(ids), "doc_id", "left_semi").select("doc_id", "text")
+        return texts.mapInArrow(sets, "key long, blob binary").where(F.octet_length("blob") > 0)
+
+    slim_near = near.select(F.col("root").alias("region"), F.col("node").alias("doc_id")).join(slim.where("n > 0"), "doc_id").select(
+        "region", F.col("doc_id").alias("key"), (F.col("n") * 8 + 64).alias("bytes"), F.lit(None).cast("long").alias("label"))
+    large = written(slim_near.groupBy("region").agg(F.sum(weight(F.col("bytes"), region_bytes)).alias("w"))
+                    .where(F.col("w") > region_bytes).select(F.col("region").alias("root")), "large-near")
+    # every document is in one region: its name goes with the text, and the set is sent once
+    small = near.join(large, "root", "left_anti").select(F.col("node").alias("doc_id"), "root")
+    rows, found = (whole(small.select("doc_id")).join(few(small.withColumnRenamed("doc_id", "key")), "key")
+                   .select(F.col("root").alias("region"), "key", "blob", F.lit(None).cast("long").alias("label"))), None
+    if not large.isEmpty():
+        inside = near.join(large, "root", "left_semi").select(F.col("node").alias("doc_id"))
+        divided, found = divide(slim_near.join(large.withColumnRenamed("root", "region"), "region", "left_semi"),
+                                written(whole(inside), "sets"), True, similar, region_bytes)
+        rows = rows.unionByName(divided)
     links = join_regions(rows, True, similar)
     if found is not None:
         links = links.unionByName(found)

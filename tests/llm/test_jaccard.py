@@ -107,3 +107,29 @@ def test_ids_with_several_texts(spark):
     rows = [(9, whole(a)), (9, whole(b)), (9, whole(c)), (9, whole(c)), (9, None), (20, near(c)), (8, near(a)), (30, whole(d)), (30, " "),
             (31, near(d)), (40, "one two"), (41, "one two"), (41, "three"), (50, "three"), (None, whole(a)), (None, whole(b)), (60, whole(text(50)))]
     assert rows_of(jaccard.join(docs(spark, rows))) == sorted(components(rows), key=str)
+
+
+def test_regions_are_bounded_by_members_and_divided_again(spark, monkeypatch):
+    rng = random.Random(9)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    texts = []
+    # one long chain of documents, each near the next only, and others that share a passage with all
+    words = rng.choices(vocabulary, k=120)
+    for _ in range(400):
+        words = words[4:] + rng.choices(vocabulary, k=4)
+        texts.append(" ".join(words))
+    passage = rng.choices(vocabulary, k=90)
+    texts += [" ".join(passage + rng.choices(vocabulary, k=rng.randint(5, 60))) for _ in range(250)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    depths = []
+    divide = jaccard.divide
+
+    def watched(slim, blobs, exact, similar, limit, depth=jaccard.DEPTH):
+        depths.append((exact, depth))
+        return divide(slim, blobs, exact, similar, limit, depth)
+
+    monkeypatch.setattr(jaccard, "divide", watched)
+    monkeypatch.setattr(jaccard, "MEMBERS", 24)
+    assert rows_of(jaccard.join(docs(spark, rows))) == sorted(components(rows), key=str)
+    assert (True, jaccard.DEPTH) in depths and any(d < jaccard.DEPTH for _, d in depths)
