@@ -15,7 +15,7 @@ distance found: a true neighbour is then missed with a chance of
 The kd-tree has two levels. Its upper splits, fitted on a bounded sample, make
 cells that are spread over the cluster; every row is filed in its cell, and a
 cell with many rows (one vector may fill a third of the table) is dealt over
-several groups. Each group builds its own lower tree. Queries first search
+several groups, as are the queries of a cell that many are sent to. Each group builds its own lower tree. Queries first search
 their home cell; the k-th distance found there then tells which other cells the
 stopping test lets them reach.
 """
@@ -233,6 +233,17 @@ def _searched(space, factor: float, k: int):
     return run
 
 
+def meet(rows: DataFrame, asked: DataFrame, group_queries: int) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (cell, part, ...) and ``asked`` (query_id, cell, part, ...; a query is sent to all parts of
+    a cell), both with a turn: in a cell and turn are about ``group_queries`` queries at most. Rows are
+    copied only in cells that more queries are sent to; rows of cells without queries are left out."""
+    # one row per cell, at most MAX_CELLS
+    turns = F.broadcast(asked.where("part = 0").groupBy("cell").agg(F.ceil(F.count("*") / group_queries).cast("int").alias("turns")))
+    rows = rows.join(turns, "cell").withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1))).drop("turns")
+    asked = asked.join(turns, "cell").withColumn("turn", F.pmod(F.xxhash64("query_id"), F.col("turns")).cast("int")).drop("turns")
+    return rows, asked
+
+
 def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence: float = 0.98, cell_rows: int = 8192,
             group_queries: int = 20_000, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products found for each query row.
@@ -268,7 +279,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
         space.split(np.zeros((1, dims)), 1)
     shared = spark.sparkContext.broadcast(space)
     factor = chi_square_quantile(confidence, dims)
-    copies = -(-facts["asking"] // group_queries)  # groups of queries; each meets every row of a cell
 
     def file_rows(batches):
         for batch in batches:
@@ -282,12 +292,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
     wide = [c for c, n in parts.items() if n > 1]
     n_parts = F.coalesce(F.create_map(*[F.lit(x) for c in wide for x in (c, parts[c])])[F.col("cell")], F.lit(1)) if wide else F.lit(1)
     rows = filed.select("vec_id", "v", "cell", F.pmod(F.xxhash64("vec_id", F.lit(1)), n_parts).alias("part"))
-    if copies > 1:
-        rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    else:
-        rows = rows.withColumn("turn", F.lit(0))
     queries = filed.where("asks").groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))
-    queries = queries.withColumn("turn", F.pmod(F.xxhash64("query_id"), F.lit(copies)).cast("int"))
     keys = ["cell", "part", "turn"]
     look = _searched(shared, factor, k)
     schema = "query_id long, vec_id long, score double"
@@ -302,8 +307,7 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
                 qs = _matrix(batch.column(1))
                 points = space.project(qs, query=True)
                 home = space.cells_of(points)
-                ids, turns = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-                kths = batch.column(3).to_pylist()
+                ids, kths = batch.column(0).to_pylist(), batch.column(2).to_pylist()
                 out = []
                 for i, point in enumerate(points):
                     if first:
@@ -312,23 +316,24 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, dims: int = 8, confidence
                         kth = -math.inf if kths[i] is None else kths[i]
                         limit = (float((qs[i] * qs[i]).sum()) + space.top ** 2 - 2 * kth) * factor
                         to = [c for c in np.flatnonzero(space.reach(point) <= limit * (1 + 1e-9)).tolist() if c != home[i]]
-                    out += [(ids[i], qs[i], turns[i], kth, c, p) for c in to for p in range(parts.get(c, 0))]
+                    out += [(ids[i], qs[i], kth, c, p) for c in to for p in range(parts.get(c, 0))]
                 if out:
-                    a, b, t, s, c, p = zip(*out)
+                    a, b, s, c, p = zip(*out)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(a, pa.int64()), pa.array(list(b), pa.list_(pa.float64())), pa.array(t, pa.int32()),
+                        [pa.array(a, pa.int64()), pa.array(list(b), pa.list_(pa.float64())),
                          pa.array(s, pa.float64()), pa.array(c, pa.int64()), pa.array(p, pa.int64())],
-                        ["query_id", "q", "turn", "kth", "cell", "part"])
+                        ["query_id", "q", "kth", "cell", "part"])
         return run
 
-    sent = "query_id long, q array<double>, turn int, kth double, cell long, part long"
+    sent = "query_id long, q array<double>, kth double, cell long, part long"
 
     def searched(asked: DataFrame) -> DataFrame:
-        return rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(look, schema)
+        filed_rows, asks = meet(rows, written(asked, "ann-asked"), group_queries)
+        return filed_rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(look, schema)
 
     near = searched(queries.withColumn("kth", F.lit(None).cast("double")).mapInArrow(send(True), sent))
     near = written(near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-home")
     bounds = near.where(F.col("rank") == k).select("query_id", F.col("score").alias("kth"))
-    far = searched(queries.join(bounds, "query_id", "left").select("query_id", "q", "turn", "kth").mapInArrow(send(False), sent))
+    far = searched(queries.join(bounds, "query_id", "left").select("query_id", "q", "kth").mapInArrow(send(False), sent))
     both = near.drop("rank").unionByName(far)
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -91,3 +91,13 @@ def test_op3_small(spark):
     table = pq.read_table(f"{SF}/embeddings.parquet").to_pydict()
     want = brute(list(zip(table["vec_id"], table["embedding"])), lambda i: i % 20 == 0, 20)
     assert recall(result(E.queries()["op3_nearest_neighbours"](spark, SF)), want) >= 0.95
+
+
+def test_rows_are_copied_only_where_many_queries_go(spark):
+    rows = spark.createDataFrame([(i, i % 4, 0) for i in range(400)] + [(i, 2, 1) for i in range(400, 450)], "vec_id long, cell long, part long")
+    asked = spark.createDataFrame([(q, 1, 0) for q in range(5)] + [(q, 2, p) for q in range(1000) for p in (0, 1)], "query_id long, cell long, part long")
+    left, right = ann.meet(rows, asked, 250)
+    copies = {(r.cell, r.part): r["count"] for r in left.groupBy("cell", "part").count().collect()}
+    assert copies == {(1, 0): 100, (2, 0): 4 * 100, (2, 1): 4 * 50}
+    assert right.count() == 5 + 2 * 1000 and right.where("cell = 2").select("query_id", "turn").distinct().count() == 1000
+    assert max(r["count"] for r in right.groupBy("cell", "part", "turn").count().collect()) < 350
