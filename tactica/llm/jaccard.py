@@ -320,7 +320,7 @@ def join_regions(rows: DataFrame, exact: bool, similar: int) -> DataFrame:
 
 #: Pivots of a region that is divided, and how often its cells are divided again; what is still too
 #: large then, or no smaller than before, meets in blocks.
-PIVOTS, DEPTH = 48, 3
+PIVOTS, DEPTH = 48, 2
 
 
 def weight(bytes_, limit: int):
@@ -333,8 +333,8 @@ def divide(slim: DataFrame, blobs: DataFrame, exact: bool, similar: int, limit:
 
     ``slim``: region, key, bytes, label (a key that this one is known to be connected with, or null);
     ``blobs``: key, blob. A larger region is measured against pivots drawn from it, a chunk of rows
-    at a time. Rows near one pivot are linked; with these links the rows fall into components, and
-    only pairs across components are still open. Each row lives in the Voronoi cell of its nearest
+    at a time. Rows near one pivot are linked; pivots that rows connect are one component with their
+    rows, and only pairs across components are still open. Each row lives in the Voronoi cell of its nearest
     pivot. Rows outside the region's largest component also visit the cells whose pivot is at most
     twice the join distance further than their own: the window in which their partners live. Cells
     without visitors are done. A cell that is too large, with its visitors, is a region again, if it
@@ -357,7 +357,7 @@ def divide(slim: DataFrame, blobs: DataFrame, exact: bool, similar: int, limit:
     pivots = written(large.where(drawn).select("region", "key", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
                      .join(blobs, "key").select("region", "chunk", "key", "blob"), "pivots")
     rows = (large.withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(2)), chunks).cast("int"))
-            .join(blobs, "key").select("region", "chunk", "key", "bytes", "weight", "blob", "least"))
+            .join(blobs, "key").select("region", "chunk", "key", "bytes", "weight", "blob", "least", "label"))
     near, twice = 1 - similar / 100, 2 * (1 - similar / 100) + 1e-9
 
     def measured(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -372,18 +372,39 @@ def divide(slim: DataFrame, blobs: DataFrame, exact: bool, similar: int, limit:
             shared, union = space.both(i, k + close)
             linked_to[i, close] = 100 * shared >= similar * union
         home = d.argmin(0) if len(own) else np.empty(0, np.int64)
+        # a row's link to one pivot, and to others only where that connects pivots: links in proportion to the rows
+        root, first, ties = np.arange(k), [], []
+        for x in linked_to.T:
+            at = np.flatnonzero(x)
+            first.append(names[at[0]] if len(at) else None)
+            more = []
+            for i in at[1:].tolist():
+                if root[i] != root[at[0]]:
+                    root[root == root[i]] = root[at[0]]
+                    more.append(names[i])
+            ties.append(more)
         return pa.table({
             "region": left.column("region"), "key": left.column("key"), "bytes": left.column("bytes"), "weight": left.column("weight"),
             "home": pa.array(home.astype(np.int32)),
             "window": pa.array([np.flatnonzero(x <= x.min() + twice).astype(np.int32) for x in d.T], pa.list_(pa.int32())),
-            "links": pa.array([[names[i] for i in np.flatnonzero(x)] for x in linked_to.T], pa.list_(pa.int64()))})
-
-    schema = "region long, key long, bytes long, weight long, home int, window array<int>, links array<long>"
+            "pivot": pa.array(first, pa.int64()), "ties": pa.array(ties, pa.list_(pa.int64())), "label": left.column("label")})
+
+    def tied(pairs: pa.Table) -> pa.Table:
+        """The smallest pivot that each is connected with; a region has few pivots and pairs of them."""
+        root: dict[int, int] = {}
+        for a, b in zip(pairs.column("pivot").to_pylist(), pairs.column("tie").to_pylist()):
+            a, b = root.setdefault(a, a), root.setdefault(b, b)
+            for x in [x for x, r in root.items() if r == max(a, b)]:
+                root[x] = min(a, b)
+        return pa.table({"region": pa.array([pairs.column("region")[0].as_py()] * len(root), pa.int64()),
+                         "pivot": pa.array(list(root), pa.int64()), "root": pa.array(list(root.values()), pa.int64())})
+
+    schema = "region long, key long, bytes long, weight long, home int, window array<int>, pivot long, ties array<long>, label long"
     seen = written(rows.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInArrow(measured, schema), "measured")
-    links = seen.select(F.col("key").alias("a"), F.explode("links").alias("b")).where("a <> b")
-    known = large.where("label <> key").select(F.col("key").alias("a"), F.col("label").alias("b"))
-    comps = components(links.unionByName(known)).withColumnRenamed("node", "key")
-    seen = seen.drop("links").join(comps, "key", "left").withColumn("label", F.coalesce("root", "key")).drop("root")
+    links = seen.select(F.col("key").alias("a"), F.explode(F.concat(F.array("pivot"), "ties")).alias("b")).where("a <> b")
+    pairs = seen.select("region", "pivot", F.explode("ties").alias("tie")).distinct()
+    comps = pairs.groupBy("region").applyInArrow(tied, "region long, pivot long, root long")
+    seen = seen.join(comps, ["region", "pivot"], "left").withColumn("label", F.coalesce("root", "pivot", "label", "key")).drop("root", "pivot", "ties")
     weights = seen.groupBy("region", "label").agg(F.sum("weight").alias("w"))
     main = weights.groupBy("region").agg(F.max_by("label", F.struct("w", "label")).alias("main"), F.sum("w").alias("total"))
     seen = written(seen.join(main, "region").withColumn("open", F.col("label") != F.col("main")).drop("main"), "cells")
