@@ -46,7 +46,7 @@ SIMILAR = 80
 #: frequent) go to the tasks. This only sets the order of the first pivots; the result is exact for any.
 SAMPLE_SHARE, FREQUENT = 16, 1_000_000
 #: Bytes of sketches or sets, and documents, of a region that is joined in memory; larger ones are divided.
-#: A division is a row of jobs (about a minute); 4,096 documents, 8 million pairs, take a task no longer.
+#: A division is a row of jobs of its own, so it is left to regions beyond 4,096 documents (8 million pairs).
 REGION_BYTES = 16 << 20
 MEMBERS = 4096
 #: Lists of ids up to this length are broadcast (16 MB); longer ones are joined by a shuffle.
