@@ -178,7 +178,7 @@ def transitive_closure(edges: DataFrame) -> DataFrame:
     delta = known.pieces[0]
     while True:
         step = (delta.select("src", F.col("dst").alias("mid"))
-                     .join(by_src, "mid")
+                     .hint("merge").join(by_src, "mid")
                      .select("src", "dst").distinct())
         new = known.unseen(step)
         if new.isEmpty():
@@ -205,9 +205,9 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
     """
     w = nodes.select("key", (weight if weight is not None else F.lit(1)).cast("long").alias("_w"))
     e = _keyed(edges.select(F.col("dst" if backward else "src").alias("key"),
-                            F.col("src" if backward else "dst").alias("next")).join(w, "key"), "key")
+                            F.col("src" if backward else "dst").alias("next")).hint("merge").join(w, "key"), "key")
     has_in = e.select(F.col("next").alias("key")).distinct()
-    wave = _ckpt(nodes.select("key").join(has_in, "key", "left_anti").withColumn(name, F.lit(0).cast("long")))
+    wave = _ckpt(nodes.select("key").hint("merge").join(has_in, "key", "left_anti").withColumn(name, F.lit(0).cast("long")))
     n = nodes.count()
     waves, length, probe = [wave], 0, 64
     while not wave.isEmpty():
@@ -219,13 +219,13 @@ def longest_paths(nodes: DataFrame, edges: DataFrame, weight: Column | None = No
             if keys or length > n:
                 raise ValueError(f"the graph has a cycle around {keys}")
             probe *= 4
-        wave = _ckpt(wave.join(e, "key").groupBy(F.col("next").alias("key"))
+        wave = _ckpt(wave.hint("merge").join(e, "key").groupBy(F.col("next").alias("key"))
                          .agg(F.max(F.col(name) + F.col("_w")).alias(name)))
         waves.append(wave)
         if len(waves) > STATE_CKPT_EVERY:
             waves = [_ckpt(_union(waves).groupBy("key").agg(F.max(name).alias(name)))]
     level = _ckpt(_union(waves).groupBy("key").agg(F.max(name).alias(name)))
-    lost = nodes.select("key").join(level, "key", "left_anti")
+    lost = nodes.select("key").hint("merge").join(level, "key", "left_anti")
     if level.count() < n and (keys := [r["key"] for r in lost.limit(5).collect()]):
         raise ValueError(f"the graph has a cycle through or before {keys}")
     return level
@@ -382,20 +382,20 @@ def transitive_reduction(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         large = comp.groupBy("component").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("component")
         loops = e.where("src = dst").select(F.col("src").alias("key"))
         level = None
-        cycles = _ckpt(comp.join(large, "component", "left_semi").select("key").unionByName(loops).distinct())
+        cycles = _ckpt(comp.hint("merge").join(large, "component", "left_semi").select("key").unionByName(loops).distinct())
     forked = e.groupBy(F.col("src").alias("seed")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("seed")
     firsts = e.select(F.col("src").alias("seed"), F.col("dst").alias("key"))
     if level is not None:
-        starts = firsts.join(forked, "seed", "left_semi")
-        last = starts.join(level, "key").groupBy("seed").agg(F.max("level").alias("last"))
-        lifted = e.join(level.withColumnRenamed("key", "dst"), "dst")
-        step = starts.join(lifted.select(F.col("src").alias("key"), F.col("dst").alias("next"), "level"), "key") \
-                     .join(last, "seed").where("level <= last").select("seed", F.col("next").alias("key"))
+        starts = firsts.hint("merge").join(forked, "seed", "left_semi")
+        last = starts.hint("merge").join(level, "key").groupBy("seed").agg(F.max("level").alias("last"))
+        lifted = e.hint("merge").join(level.withColumnRenamed("key", "dst"), "dst")
+        step = starts.hint("merge").join(lifted.select(F.col("src").alias("key"), F.col("dst").alias("next"), "level"), "key") \
+                     .hint("merge").join(last, "seed").where("level <= last").select("seed", F.col("next").alias("key"))
         implied = reach_from(lifted, step, last)
     else:
-        step = firsts.join(e.select(F.col("src").alias("key"), F.col("dst").alias("next")), "key")
+        step = firsts.hint("merge").join(e.select(F.col("src").alias("key"), F.col("dst").alias("next")), "key")
         implied = reach_from(e, step.select("seed", F.col("next").alias("key")))
-    reduced = e.join(implied.select(F.col("seed").alias("src"), F.col("key").alias("dst")), ["src", "dst"], "left_anti")
+    reduced = e.hint("merge").join(implied.select(F.col("seed").alias("src"), F.col("key").alias("dst")), ["src", "dst"], "left_anti")
     return reduced, cycles
 
 

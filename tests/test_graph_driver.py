@@ -1,10 +1,35 @@
 """Loops over graphs send nothing but counts through the driver, and gather only what can matter."""
 
+import pytest
+
 from tactica.operators import graph as G
+from tactica.operators import paths as P
 
 DAG = [(k, k // d) for k in range(2, 60) for d in (2, 3) if 1 <= k // d]
 EDGES = sorted(set(DAG))
 
+CALLS = {
+    "g10_transitive_reduction": lambda e, c: G.transitive_reduction(e)[0],
+}
+
+
+@pytest.mark.parametrize("name", CALLS)
+def test_no_broadcast_in_a_loop(spark, monkeypatch, capsys, name):
+    plans, kept = [], G._ckpt
+
+    def explained(df):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return kept(df)
+
+    monkeypatch.setattr(G, "_ckpt", explained)
+    monkeypatch.setattr(P, "_ckpt", explained)
+    edges = spark.createDataFrame(EDGES, "src long, dst long")
+    cand = spark.createDataFrame([(k, 5 * (k // 5) + (k + 1) % 5) for k in range(60)], "src long, dst long")
+    explained(CALLS[name](edges, cand))
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [p for p in plans if "Broadcast" in p]
+
 
 def test_sequential_insert_searches_inside_components_only(spark, monkeypatch):
     """The rings close cycles inside their blocks; the closure of the graph, which is far larger, is not gathered."""
