@@ -11,6 +11,8 @@
   sums of the successors' counts say where the path goes on. All paths are
   walked side by side, a round for each position; a limit is exact, and no
   array of a path is carried along.
+
+Joins carry the hint ``merge``, as in ``graph``: nothing is broadcast through the driver.
 """
 
 from __future__ import annotations
@@ -45,13 +47,13 @@ def reachability_index(edges: DataFrame) -> tuple[DataFrame, bool]:
                                 F.lit(0).cast("long").alias("height"), F.lit(True).alias("_new")), "key")
     rounds, probe = 0, 24
     while True:
-        told = (state.where("_new").join(into, F.col("key") == F.col("dst")).groupBy(F.col("src").alias("key"))
+        told = (state.where("_new").hint("merge").join(into, F.col("key") == F.col("dst")).groupBy(F.col("src").alias("key"))
                 .agg(*[F.min(n).alias(f"_{n}") for n in names], (F.max("height") + 1).alias("_height")))
         better = F.lit(False)
         for n in names:
             better = better | F.coalesce(F.col(f"_{n}") < F.col(n), F.lit(False))
         higher = F.coalesce(F.col("_height") > F.col("height"), F.lit(False))
-        state = _ckpt(state.drop("_new").join(told, "key", "left").select(
+        state = _ckpt(state.drop("_new").hint("merge").join(told, "key", "left").select(
             "key", *[F.least(n, f"_{n}").alias(n) for n in names], F.greatest("height", "_height").alias("height"),
             (better | higher).alias("_new"), better.alias("_better")))
         left = state.agg(F.count_if("_new").alias("new"), F.count_if("_better").alias("better")).first()
@@ -84,15 +86,15 @@ def between(edges: DataFrame, pairs: DataFrame, index: DataFrame | None = None)
 
     goal = [f"y_{n}" for n in [*names, "height"]]
     pairs = pairs.select("x", "y").distinct()
-    marked = (pairs.where("x <> y").join(index.select(*mark("y")), F.col("y") == F.col("_y"))
-              .join(index.select(*mark("x")), F.col("x") == F.col("_x")).where(may("x", "y")))
+    marked = (pairs.where("x <> y").hint("merge").join(index.select(*mark("y")), F.col("y") == F.col("_y"))
+              .hint("merge").join(index.select(*mark("x")), F.col("x") == F.col("_x")).where(may("x", "y")))
     front = marked.select("x", "y", F.col("x").alias("z"), *goal)
-    ways = _keyed(edges.select("src", "dst").distinct().join(index.select(*mark("z")), F.col("dst") == F.col("_z"))
+    ways = _keyed(edges.select("src", "dst").distinct().hint("merge").join(index.select(*mark("z")), F.col("dst") == F.col("_z"))
                   .select("src", "dst", *[f"z_{n}" for n in [*names, "height"]]), "src")
     known = _KnownSet(front, ["x", "y", "z"])
     front = known.pieces[0]
     while True:
-        step = (front.where("z <> y").join(ways, F.col("z") == F.col("src")).where((F.col("dst") == F.col("y")) | may("z", "y"))
+        step = (front.where("z <> y").hint("merge").join(ways, F.col("z") == F.col("src")).where((F.col("dst") == F.col("y")) | may("z", "y"))
                 .select("x", "y", F.col("dst").alias("z"), *goal).distinct())
         front = known.unseen(step)
         if front.isEmpty():
@@ -222,7 +224,7 @@ def cycle_checked_insert(edges: DataFrame, candidates: DataFrame, index: tuple[D
     index = index or reachability_index(edges)
     back = between(edges, cand.select(F.col("dst").alias("x"), F.col("src").alias("y")), index[0]).where("z = y")
     bad = back.select(F.col("y").alias("src"), F.col("x").alias("dst"), F.lit(True).alias("_cyc"))
-    return cand.join(bad, ["src", "dst"], "left").select("src", "dst", F.col("_cyc").isNull().alias("accepted"))
+    return cand.hint("merge").join(bad, ["src", "dst"], "left").select("src", "dst", F.col("_cyc").isNull().alias("accepted"))
 
 
 def closed_cycles(edges: DataFrame, candidates: DataFrame, limit: int | None = None) -> DataFrame:

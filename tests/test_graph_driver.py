@@ -10,6 +10,7 @@ EDGES = sorted(set(DAG))
 
 CALLS = {
     "g10_transitive_reduction": lambda e, c: G.transitive_reduction(e)[0],
+    "g12_cycle_checked_insert": lambda e, c: P.cycle_checked_insert(e, c),
 }
 
 
