@@ -108,9 +108,9 @@ def irreducible_edges(edges: DataFrame) -> DataFrame:
     """Edges p -> z that no other predecessor q of z lies between: there is no
     p -> q with q -> z. An anti-join of the edges with their two-step pairs."""
     e = edges.select("src", "dst").distinct()
-    two = (e.select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid")
+    two = (e.select("src", F.col("dst").alias("mid")).hint("merge").join(e.select(F.col("src").alias("mid"), "dst"), "mid")
             .where((F.col("mid") != F.col("src")) & (F.col("mid") != F.col("dst"))).select("src", "dst"))
-    return e.join(two, ["src", "dst"], "left_anti")
+    return e.hint("merge").join(two, ["src", "dst"], "left_anti")
 
 
 def _counted_steps(edges: DataFrame, pairs: DataFrame, cap: int,
@@ -124,8 +124,8 @@ def _counted_steps(edges: DataFrame, pairs: DataFrame, cap: int,
     """
     nodes = _ckpt(between(edges, pairs, index[0] if index else None))
     at = nodes.select("x", "y", F.col("z").alias("w"))
-    steps = (nodes.where("z <> y").join(irreducible_edges(edges), F.col("z") == F.col("src"))
-             .select("x", "y", "z", F.col("dst").alias("w")).join(at, ["x", "y", "w"], "left_semi"))
+    steps = (nodes.where("z <> y").hint("merge").join(irreducible_edges(edges), F.col("z") == F.col("src"))
+             .select("x", "y", "z", F.col("dst").alias("w")).hint("merge").join(at, ["x", "y", "w"], "left_semi"))
     steps = _ckpt(steps.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y", "w"))
     met, n, probe = steps.where("z = w").limit(1).collect(), None if index and index[1] else steps.count(), 64
     if met:
@@ -135,7 +135,7 @@ def _counted_steps(edges: DataFrame, pairs: DataFrame, cap: int,
     before = Window.partitionBy("x", "y", "z").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
     while True:
         totals.append(count.where("w = x").select("x", "y", F.lit(length).alias("length"), "n"))
-        step = _ckpt(steps.join(count, ["x", "y", "w"]).select(
+        step = _ckpt(steps.hint("merge").join(count, ["x", "y", "w"]).select(
             "x", "y", "z", "w", F.lit(length + 1).alias("left"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("low"), "n"))
         if step.isEmpty():
             return _union(totals), _union(made) if made else None, length
@@ -143,7 +143,7 @@ def _counted_steps(edges: DataFrame, pairs: DataFrame, cap: int,
             place = lambda z: F.xxhash64("x", "y", z)
             own = steps.select(place("z").alias("src"), place("w").alias("dst")).distinct()
             core, _ = _trim(own.select(F.explode(F.array("src", "dst")).alias("key")).distinct(), own)
-            met = steps.join(core, place("z") == F.col("key"), "left_semi").limit(1).collect()
+            met = steps.hint("merge").join(core, place("z") == F.col("key"), "left_semi").limit(1).collect()
             if met:
                 raise ValueError(f"the graph has a cycle through {met[0]['z']}")
             probe *= 4
@@ -186,7 +186,7 @@ def paths_by_rank(edges: DataFrame, pairs: DataFrame, limit: int | None = None,
     if steps is not None:
         steps = _ckpt(steps.repartition(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), "x", "y", "z", "left"))
     for pos in range(1, longest + 1):
-        at = _ckpt(at.withColumnRenamed("key", "z").join(steps, ["x", "y", "z", "left"])
+        at = _ckpt(at.withColumnRenamed("key", "z").hint("merge").join(steps, ["x", "y", "z", "left"])
                    .where((F.col("low") <= F.col("rank")) & (F.col("rank") < F.col("low") + F.col("n")))
                    .select("x", "y", "path", "length", F.lit(pos).alias("pos"), F.col("w").alias("key"),
                            (F.col("left") - 1).alias("left"), (F.col("rank") - F.col("low")).alias("rank")))

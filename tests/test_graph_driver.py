@@ -11,6 +11,7 @@ EDGES = sorted(set(DAG))
 CALLS = {
     "g10_transitive_reduction": lambda e, c: G.transitive_reduction(e)[0],
     "g12_cycle_checked_insert": lambda e, c: P.cycle_checked_insert(e, c),
+    "g12_closed_cycles_all": lambda e, c: P.closed_cycles(e, e.selectExpr("dst AS src", "src AS dst")),
 }
 
 
