@@ -417,12 +417,12 @@ def named_premises(edges: DataFrame, starts: DataFrame, named: DataFrame) -> Dat
     known = _KnownSet(starts.select("start", "key").distinct(), ["start", "key"])
     frontier, hits = known.pieces[0], [starts.select("start", "key").limit(0)]
     while True:
-        new = known.unseen(frontier.join(e, "key").select("start", F.col("next").alias("key")).distinct())
+        new = known.unseen(frontier.hint("merge").join(e, "key").select("start", F.col("next").alias("key")).distinct())
         if new.isEmpty():
             return _union(hits)
         known.add(new)
-        hits.append(new.join(nm, "key", "left_semi").select("start", "key"))
-        frontier = new.join(nm, "key", "left_anti")
+        hits.append(new.hint("merge").join(nm, "key", "left_semi").select("start", "key"))
+        frontier = new.hint("merge").join(nm, "key", "left_anti")
 
 
 def local_in_dependency_order(nodes: DataFrame, edges: DataFrame, local: Column) -> DataFrame:

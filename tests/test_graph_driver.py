@@ -12,6 +12,7 @@ CALLS = {
     "g10_transitive_reduction": lambda e, c: G.transitive_reduction(e)[0],
     "g12_cycle_checked_insert": lambda e, c: P.cycle_checked_insert(e, c),
     "g12_closed_cycles_all": lambda e, c: P.closed_cycles(e, e.selectExpr("dst AS src", "src AS dst")),
+    "g14_named_premises": lambda e, c: G.named_premises(e, e.selectExpr("src AS start", "src AS key").distinct(), e.where("src % 3 = 0").selectExpr("src AS key")),
 }
 
 
