@@ -14,6 +14,7 @@ CALLS = {
     "g12_closed_cycles_all": lambda e, c: P.closed_cycles(e, e.selectExpr("dst AS src", "src AS dst")),
     "g14_named_premises": lambda e, c: G.named_premises(e, e.selectExpr("src AS start", "src AS key").distinct(), e.where("src % 3 = 0").selectExpr("src AS key")),
     "g11_irreducible_paths": lambda e, c: P.irreducible_paths(e, 59, 1),
+    "g11_path_counts": lambda e, c: P.path_counts(e, e.selectExpr("src AS x", "src div 36 AS y").where("y > 0"), P.reachability_index(e)),
 }
 
 
