@@ -16,6 +16,7 @@ CALLS = {
     "g11_irreducible_paths": lambda e, c: P.irreducible_paths(e, 59, 1),
     "g11_path_counts": lambda e, c: P.path_counts(e, e.selectExpr("src AS x", "src div 36 AS y").where("y > 0"), P.reachability_index(e)),
     "g12_closed_cycles": lambda e, c: P.closed_cycles(e, e.where("src >= 6").selectExpr("src div 6 AS src", "src AS dst")),
+    "g11_irreducible_paths_limited": lambda e, c: P.paths_by_rank(e, e.selectExpr("src AS x", "src div 36 AS y").where("y > 0"), 4),
 }
 
 
