@@ -2,6 +2,7 @@
 
 import json
 
+from tactica.functions import pyjson
 from tactica.operators import steps
 
 WORDS = ["plain", 'q"\\', "tab\t\n\r\b\f\x01\x7f", "é中\U0001f600", "", None]
@@ -16,3 +17,19 @@ def test_p10_pairs_without_python(spark, capsys):
     assert "ArrowEvalPython" not in plan
     got = {(r.proof_id, r.step): json.loads(r.input)["proof_so_far"] for r in pairs.collect()}
     assert got == {(i, k): "\n".join(WORDS[:k]) for i in range(5) for k in range(1, i + 1)}
+
+
+def test_p13_records_without_python(spark, capsys):
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    text = df.select("proof_id", steps.to_py_json_struct(df, ["proof_id", "proof", 't"é', "ok"]).alias("json"))
+    text.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out
+    for r in text.collect():
+        i, proof, names, ok = ROWS[r.proof_id]
+        assert r.json == json.dumps({"proof_id": i, "proof": [{"action": a, "user_state": s} for a, s in proof], 't"é': names, "ok": ok})
+
+
+def test_doubles_are_written_as_python_does(spark):
+    df = spark.createDataFrame([(i, 1e10 * i, [0.1 * i]) for i in range(2 * pyjson.SLICE + 3)] + [(-1, None, None)], "i long, x double, y array<double>")
+    got = df.select("i", steps.to_py_json_struct(df, ["x", "y"]).alias("json")).collect()
+    assert all(r.json == json.dumps({"x": 1e10 * r.i, "y": [0.1 * r.i]} if r.i >= 0 else {"x": None, "y": None}) for r in got)
