@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tactica.functions.pyjson import slices
+
 _STEP = T.StructType([
     T.StructField("action", T.StringType()),
     T.StructField("user_state", T.StringType()),
@@ -257,12 +259,14 @@ def key_paths(df: DataFrame, raw: str = "raw") -> DataFrame:
     def run(batches):
         for batch in batches:
             counts: Counter = Counter()
-            for text in batch.column(0).to_pylist():
-                counts.update(_key_paths(_parsed(text)))
+            for part in slices(batch.column(0)):
+                for text in filter(None, part.to_pylist()):
+                    counts.update(_key_paths(_parsed(text)))
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()),
                                               pa.array(list(counts.values()), pa.int64())], ["path", "n"])
 
-    valid = df.where(json_text_valid(F.col(raw))).select(raw)
+    # null if not valid; as a filter it would be pushed down and make the text a second time
+    valid = df.select(F.when(json_text_valid(F.col(raw)), F.col(raw)).alias(raw))
     return valid.mapInArrow(run, "path string, n long").groupBy("path").agg(F.sum("n").alias("count"))
 
 
@@ -271,13 +275,13 @@ def json_atoms(df: DataFrame, key: Sequence[str], raw: str = "raw") -> DataFrame
     ``.name``, lists add ``[i]`` (0-based, ascending), atoms are rendered as
     JSON text, numbers as they are written. Each text is walked once, to any
     depth, with no shuffle."""
-    valid = df.where(json_text_valid(F.col(raw))).select(*key, F.col(raw).alias("_raw"))
+    valid = df.select(*key, F.when(json_text_valid(F.col(raw)), F.col(raw)).alias("_raw"))
 
     def run(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             rows, paths, atoms = [], [], []
             for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                for path, atom in _atoms(_parsed(text)):
+                for path, atom in _atoms(_parsed(text)) if text else ():
                     rows.append(i)
                     paths.append(path)
                     atoms.append(atom)

@@ -2,8 +2,11 @@
 
 import json
 
+import pyarrow as pa
+
 from tactica.functions import pyjson
 from tactica.operators import steps
+from tactica.sources import corpus as C
 
 WORDS = ["plain", 'q"\\', "tab\t\n\r\b\f\x01\x7f", "é中\U0001f600", "", None]
 ROWS = [(i, [(a, "0 subgoals") for a in WORDS[: i + 1]], {"k\"é": WORDS[i]}, i % 2 == 0) for i in range(len(WORDS))]
@@ -29,6 +32,20 @@ def test_p13_records_without_python(spark, capsys):
         assert r.json == json.dumps({"proof_id": i, "proof": [{"action": a, "user_state": s} for a, s in proof], 't"é': names, "ok": ok})
 
 
+def test_p16_texts_a_few_at_a_time(spark, capsys):
+    """The text is made once, and Python holds a slice of a batch."""
+    assert [len(p) for p in pyjson.slices(pa.array(range(2 * pyjson.SLICE + 5)))] == [pyjson.SLICE, pyjson.SLICE, 5]
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    raw = df.select("proof_id", steps.to_py_json_struct(df, ["proof"]).alias("raw"))
+    paths = C.key_paths(raw)
+    paths.explain()
+    assert capsys.readouterr().out.count("regexp_extract_all") == 2  # an expression for each of two fields
+    bad = spark.createDataFrame([(9, '{"a": 1}x'), (10, None), (11, '{"z": []}')], "proof_id long, raw string")
+    got = {r.path: r["count"] for r in C.key_paths(raw.unionByName(bad)).collect()}
+    assert got == {"proof": 6, "proof[]": 6, "proof[].action": 6, "proof[].user_state": 6, "z": 1, "z[]": 1}
+    assert [r.path for r in C.json_atoms(bad, ["proof_id"]).collect()] == []
+
+
 def test_doubles_are_written_as_python_does(spark):
     df = spark.createDataFrame([(i, 1e10 * i, [0.1 * i]) for i in range(2 * pyjson.SLICE + 3)] + [(-1, None, None)], "i long, x double, y array<double>")
     got = df.select("i", steps.to_py_json_struct(df, ["x", "y"]).alias("json")).collect()
