@@ -28,6 +28,8 @@ from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourc
                                     WriterCommitMessage)
 from pyspark.sql.types import StructType
 
+from tactica.functions.pyjson import slices
+
 SCHEMA = "path string, logic string, theory string, proof_num int, raw string"
 WRITTEN = ("logic", "theory", "proof_num", "raw")
 #: Bytes of a partition, and what opening a file counts for.
@@ -121,7 +123,7 @@ class ProofWriter(DataSourceArrowWriter):
         staged = f"{_STAGING}/{self.job}/task-{task.partitionId()}-{task.taskAttemptId()}"
         store.create_dir(f"{root}/{staged}", recursive=True)
         folders = set()
-        for batch in iterator:
+        for batch in (part for whole in iterator for part in slices(whole)):
             columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in WRITTEN]
             for logic, theory, number, raw in zip(*columns):
                 place = _place(logic, theory, number)

@@ -7,6 +7,7 @@ import pyarrow as pa
 from tactica.functions import pyjson
 from tactica.operators import steps
 from tactica.sources import corpus as C
+from tactica.sources import proof_files
 
 WORDS = ["plain", 'q"\\', "tab\t\n\r\b\f\x01\x7f", "é中\U0001f600", "", None]
 ROWS = [(i, [(a, "0 subgoals") for a in WORDS[: i + 1]], {"k\"é": WORDS[i]}, i % 2 == 0) for i in range(len(WORDS))]
@@ -50,3 +51,29 @@ def test_doubles_are_written_as_python_does(spark):
     df = spark.createDataFrame([(i, 1e10 * i, [0.1 * i]) for i in range(2 * pyjson.SLICE + 3)] + [(-1, None, None)], "i long, x double, y array<double>")
     got = df.select("i", steps.to_py_json_struct(df, ["x", "y"]).alias("json")).collect()
     assert all(r.json == json.dumps({"x": 1e10 * r.i, "y": [0.1 * r.i]} if r.i >= 0 else {"x": None, "y": None}) for r in got)
+
+
+def test_s06_files_are_written_from_slices(tmp_path, monkeypatch):
+    n = 2 * pyjson.SLICE + 3
+    rows = pa.RecordBatch.from_pydict({"logic": ["HOL"] * n, "theory": ["T"] * n, "proof_num": list(range(n)), "raw": [f"{{{i}}}" for i in range(n)]})
+
+    class Whole:
+        schema = rows.schema
+
+        def __len__(self):
+            return n
+
+        def slice(self, *at):
+            return rows.slice(*at)
+
+        def column(self, i):
+            raise AssertionError("the whole batch becomes Python objects")
+
+    class Task:
+        get = classmethod(lambda cls: cls)
+        partitionId = taskAttemptId = staticmethod(lambda: 0)
+
+    monkeypatch.setattr(proof_files, "TaskContext", Task)
+    writer = proof_files.ProofWriter(str(tmp_path))
+    writer.commit([writer.write(iter([Whole()]))])
+    assert {p.name: p.read_text() for p in (tmp_path / "HOL" / "T").iterdir()} == {f"proof{i}.json": f"{{{i}}}" for i in range(n)}
