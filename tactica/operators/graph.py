@@ -24,17 +24,29 @@ def _ckpt(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _placed(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partitioned and sorted by ``keys`` in a checkpoint that says so: joins
+    on the keys neither shuffle nor sort it again. The plan of an adaptive query
+    has no partitioning that a checkpoint could keep, so this one is not adaptive."""
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return _ckpt(df.repartition(n, *keys).sortWithinPartitions(*keys))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 # The accumulated state is a union of checkpointed per-round pieces; it is
 # itself checkpointed every few rounds so plans stay small.
 STATE_CKPT_EVERY = 4
 
 
 def _keyed(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a loop-invariant table on its join key once and
-    checkpoint it: the checkpoint keeps the partitioning, so every round's
-    join shuffles only the (small) frontier, never the edges again."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return _ckpt(df.repartition(n, key))
+    """A loop-invariant table, placed by its join key once: every round's join
+    shuffles and sorts only the (small) frontier, never the edges again."""
+    return _placed(df, key)
 
 
 def _grow(state: DataFrame, new: DataFrame, rnd: int) -> DataFrame:
@@ -54,19 +66,18 @@ class _KnownSet:
 
     A union of pieces loses its partitioning, so anti-joining new rows
     against it would reshuffle everything known in every round. Instead the
-    new rows are anti-joined against each piece (pieces never move) and the
-    pieces are merged into one every few rounds.
+    new rows are anti-joined against each piece (pieces never move, and are
+    sorted once) and the pieces are merged into one every few rounds.
     """
 
     def __init__(self, first: DataFrame, keys: list[str]):
         self.keys = keys
-        self.n = int(first.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.pieces = [_ckpt(first.repartition(self.n, *keys))]
+        self.pieces = [_placed(first, *keys)]
 
     def unseen(self, rows: DataFrame) -> DataFrame:
         for p in self.pieces:
             rows = rows.hint("merge").join(p, self.keys, "left_anti")
-        return _ckpt(rows.repartition(self.n, *self.keys))
+        return _placed(rows, *self.keys)
 
     def add(self, new: DataFrame) -> None:
         self.pieces.append(new)
@@ -74,7 +85,7 @@ class _KnownSet:
             merged = self.pieces[0]
             for p in self.pieces[1:]:
                 merged = merged.unionByName(p)
-            self.pieces = [_ckpt(merged.repartition(self.n, *self.keys))]
+            self.pieces = [_placed(merged, *self.keys)]
 
     def all(self) -> DataFrame:
         out = self.pieces[0]

@@ -66,3 +66,17 @@ def test_sequential_insert_searches_inside_components_only(spark, monkeypatch):
             after.setdefault(a, set()).add(b)
     assert got == want
     assert sum(found) < 2 * len(cand)
+
+
+def test_what_is_known_moves_once(spark, capsys):
+    """The closure's known pairs and its edges keep partitioning and order in their checkpoints."""
+    edges = spark.createDataFrame(EDGES, "src long, dst long")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    known = G._KnownSet(edges.distinct(), ["src", "dst"])
+    known.add(known.unseen(edges.selectExpr("dst AS src", "src AS dst").distinct()))
+    rows = edges.selectExpr("dst AS src", "src + 1 AS dst")
+    for piece in known.pieces:
+        rows.hint("merge").join(piece, ["src", "dst"], "left_anti").explain()
+        plan = capsys.readouterr().out
+        assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1
+    assert known.all().count() == 2 * len(EDGES) and spark.conf.get("spark.sql.adaptive.enabled") == adaptive
