@@ -21,8 +21,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Printable ASCII other than '"' and '\': such strings need no escaping.
-_PLAIN = r"^[ !#-\[\]-~]*$"
+# Printable ASCII other than '"' and '\': such strings need no escaping. Not ``$``,
+# which also matches before a line break at the end.
+_PLAIN = r"^[ !#-\[\]-~]*\z"
 
 
 def _u(x: Column) -> Column:

@@ -33,6 +33,16 @@ def test_p13_records_without_python(spark, capsys):
         assert r.json == json.dumps({"proof_id": i, "proof": [{"action": a, "user_state": s} for a, s in proof], 't"é': names, "ok": ok})
 
 
+def test_p13_line_break_at_the_end_is_escaped(spark):
+    """``$`` matches before a last line break too: such a text is not plain."""
+    words = [a + b for a in ("", "plain", "caf\xe9") for b in ("\n", "\r", "\r\n", "\x0b", "\x85", "\u2028", "\u2029")]
+    df = spark.createDataFrame([(i, [(w, "")], {w: w}) for i, w in enumerate(words)],
+                               "proof_id long, proof array<struct<action string, user_state string>>, names map<string, string>")
+    got = df.select("proof_id", steps.to_py_json_struct(df, ["proof", "names"]).alias("json")).collect()
+    assert {r.proof_id: r.json for r in got} == {
+        i: json.dumps({"proof": [{"action": w, "user_state": ""}], "names": {w: w}}) for i, w in enumerate(words)}
+
+
 def test_p16_texts_a_few_at_a_time(spark, capsys):
     """The text is made once, and Python holds a slice of a batch."""
     assert [len(p) for p in pyjson.slices(pa.array(range(2 * pyjson.SLICE + 5)))] == [pyjson.SLICE, pyjson.SLICE, 5]
