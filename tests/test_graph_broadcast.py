@@ -7,7 +7,7 @@ import __spark_entry__
 SF_DIR = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["g11_irreducible_paths", "g11_path_counts", "g12_closed_cycles"])
+@pytest.mark.parametrize("name", ["g11_irreducible_paths", "g11_path_counts", "g12_closed_cycles", "g11_irreducible_paths_limited"])
 def test_runs_without_any_broadcast(spark, name):
     spark.conf.set("spark.sql.maxBroadcastTableSize", "1b")
     try:
