@@ -1,14 +1,16 @@
 """Operator 13: which filter removes what, in every order of the filters.
 
 The words of the documents become a sparse document-term matrix. A shard is a
-row that holds a few megabytes of documents as compressed sparse rows; its
-column numbers first refer to the shard's own words. The words of all shards
-are numbered once in a global dictionary, and each shard gets the numbers of
-its words back, so its columns are those of the whole corpus. Row sums are the
-documents' words and counts of non-zero columns their different words: they
-decide the filters A and B. The other flags are attached to the rows, equal
-texts are found by digest, and all orders are counted from one small table of
-(part, flags) sums.
+few megabytes of documents; the column numbers of its rows first refer to the
+shard's own words. It is kept in pieces, rows that hold about a megabyte of
+documents as packed compressed sparse rows, beside the words that the shard has
+first seen there, so neither Python nor the JVM holds a shard's text or a long
+row. The words of all shards are numbered once in a global dictionary, and each
+shard gets the numbers of its words back, so its columns are those of the whole
+corpus. Row sums are the documents' words and counts of non-zero columns their
+different words: they decide the filters A and B. The other flags are attached
+to the rows, equal texts are found by digest, and all orders are counted from
+one small table of (part, flags) sums.
 """
 
 from __future__ import annotations
@@ -27,57 +29,90 @@ from pyspark.sql import functions as F
 from tactica.llm.common import slices, written
 
 FILTERS = "ABCDE"
-#: Bytes of text in a shard at most (or one document).
+#: Bytes of text in a shard at most (or one document); each document counts 64 more.
 SHARD_BYTES = 16 << 20
+#: Bytes of text in a piece at most (or one document).
+PIECE_BYTES = 1 << 20
+#: Pieces in a row group of the file: a reader holds a row group at a time.
+_GROUP_PIECES = 16
 #: The characters of filter D.
 SIGNS = "#$%&*|"
 
-_SHARD = ("shard long, words array<binary>, starts array<int>, columns array<int>, counts array<int>, "
-          "doc_id array<long>, part array<string>, digest array<binary>, flags array<int>")
-_IS_SIGN = np.array([chr(b) in SIGNS for b in range(256)])
-_IS_UPPER = np.array([65 <= b <= 90 for b in range(256)])
-_IS_START = np.array([b & 0xC0 != 0x80 for b in range(256)])  # of a code point
-
-
-def _sums(marks: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Marks of each text, the texts lying one after the other up to ``ends``."""
-    total = np.concatenate([[0], np.cumsum(marks, dtype=np.int64)])
-    return np.diff(total[np.concatenate([[0], ends])])
+_PIECE = "shard long, first int, words array<binary>, rows binary"
+_SIGNS, _UPPER = SIGNS.encode(), bytes(range(65, 91))
+
+
+def _packed(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False)) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(rows: pa.BinaryScalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(rows.as_buffer(), options=pa.ipc.IpcReadOptions(use_threads=False)).read_next_batch()
+
+
+def _piece(batch: pa.RecordBatch, texts: list) -> tuple:
+    """The different words, where each row starts, its columns (numbers of these words), their counts, and the documents'
+    ids, parts, digests of the texts and flags of C and D (bits 2 and 3)."""
+    n, text = len(texts), batch.column(2).cast(pa.string())
+    upper = np.array([len(t) - len(t.translate(None, _UPPER)) for t in texts])
+    signs = np.array([len(t) > len(t.translate(None, _SIGNS)) for t in texts])
+    flags = (100 * upper > 10 * pc.utf8_length(text).to_numpy().astype(np.int64)) * 4 + signs * 8
+    split = pc.ascii_split_whitespace(text)
+    coded = split.flatten().dictionary_encode()
+    words, code = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64)
+    row = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy())
+    blank = pc.index(words, pa.scalar(b"", pa.binary())).as_py()  # white space at an end of a text
+    if blank >= 0:
+        row, code = row[code != blank], code[code != blank]
+    cell, counts = np.unique(row * len(words) + code, return_counts=True)
+    starts = np.searchsorted(cell, np.arange(n + 1) * len(words)) if len(words) else np.zeros(n + 1, np.int64)
+    columns = (cell % len(words) if len(words) else cell).astype(np.int32)
+    return words, starts, columns, counts.astype(np.int32), [
+        batch.column(0), batch.column(1), pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary()), pa.array(flags, pa.int32())]
+
+
+def _shard(shard: int, pieces: list):
+    """A row for each piece: columns get the numbers of the shard's words, rise in each document and are kept as differences."""
+    words = pa.concat_arrays([p[0] for p in pieces]).dictionary_encode()
+    numbers, at, first = words.indices.to_numpy(), 0, 0
+    for own, starts, columns, counts, others in pieces:
+        number = numbers[at:at + len(own)]
+        columns = number[columns]
+        order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values, pa.int32()))
+        rows = pa.RecordBatch.from_arrays([*others, lists(np.diff(columns[order], prepend=np.int32(0))), lists(counts[order])],
+                                          ["doc_id", "part", "digest", "flags", "steps", "counts"])
+        end = max(first, int(number.max(initial=-1)) + 1)
+        new = words.dictionary.slice(first, end - first)
+        yield pa.RecordBatch.from_arrays([
+            pa.array([shard]), pa.array([first], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new),
+            pa.array([_packed(rows)], pa.binary())], [f.split()[0] for f in _PIECE.split(", ")])
+        at, first = at + len(own), end
 
 
 def document_terms(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Shards: compressed sparse rows over the words (ASCII white space apart) of up to ``shard_bytes`` of text, with
-    each row's id, part, digest of the text and flags of C and D (bits 2 and 3)."""
+    """Pieces of shards: the words (ASCII white space apart) that are new to the shard, the number of those before, and packed
+    compressed sparse rows over the shard's words, up to ``shard_bytes`` of text in a shard, with each row's id, part, digest of
+    the text and flags of C and D."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("part"),
                        F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
-        shard = TaskContext.get().partitionId() << 32
-        for batch, texts in slices(batches, "text", shard_bytes):
-            n = len(texts)
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            ends = np.cumsum([len(t) for t in texts])
-            upper, points, signs = (_sums(m[data], ends) for m in (_IS_UPPER, _IS_START, _IS_SIGN))
-            flags = (100 * upper > 10 * points) * 4 + (signs > 0) * 8
-            split = pc.ascii_split_whitespace(batch.column(2).cast(pa.string()))
-            coded = split.flatten().dictionary_encode()
-            words, code = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(n), pc.list_value_length(split).to_numpy())
-            blank = pc.index(words, pa.scalar(b"", pa.binary())).as_py()  # white space at an end of a text
-            if blank >= 0:
-                row, code = row[code != blank], code[code != blank]
-            cell, counts = np.unique(row * len(words) + code, return_counts=True)
-            starts = np.searchsorted(cell, np.arange(n + 1) * len(words)) if len(words) else np.zeros(n + 1, np.int64)
-            columns = cell % len(words) if len(words) else cell
-            one = lambda values, kind: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
-            yield pa.RecordBatch.from_arrays([
-                pa.array([shard]), one(words, pa.binary()), one(starts, pa.int32()), one(columns, pa.int32()), one(counts, pa.int32()),
-                one(batch.column(0), pa.int64()), one(batch.column(1), pa.string()),
-                one([hashlib.sha256(t).digest() for t in texts], pa.binary()), one(flags, pa.int32())],
-                [f.split()[0] for f in _SHARD.split(", ")])
-            shard += 1
-
-    return rows.mapInArrow(run, _SHARD)
+        shard, pieces, held = TaskContext.get().partitionId() << 32, [], 0
+        for batch, texts in slices(batches, "text", min(PIECE_BYTES, shard_bytes)):
+            size = sum(map(len, texts)) + 64 * len(texts)
+            if pieces and held + size > shard_bytes:
+                yield from _shard(shard, pieces)
+                shard, pieces, held = shard + 1, [], 0
+            pieces.append(_piece(batch, texts))
+            held += size
+        if pieces:
+            yield from _shard(shard, pieces)
+
+    return rows.mapInArrow(run, _PIECE)
 
 
 def _numbered(shards: DataFrame, run, schema: str) -> DataFrame:
@@ -86,7 +121,8 @@ def _numbered(shards: DataFrame, run, schema: str) -> DataFrame:
     One shuffle of the different words of each shard. The number of partitions
     is stated, so every use of the same shards deals and numbers words alike."""
     parts = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = shards.select("shard", F.posexplode("words").alias("at", "word")).where("word <> X''")
+    words = shards.select("shard", "first", F.posexplode("words").alias("at", "word")).where("word <> X''")
+    words = words.select("shard", (F.col("first") + F.col("at")).alias("at"), "word")
     return words.repartition(parts, "word").sortWithinPartitions("word").mapInArrow(
         lambda batches: run(TaskContext.get().partitionId(), batches), schema)
 
@@ -130,25 +166,29 @@ def rows_of_matrix(shards: DataFrame) -> DataFrame:
     """doc_id, part, digest, n_words, n_distinct, flags, columns, counts: the rows of the globally numbered matrix.
 
     Each shard gets the numbers of its words: a shuffle of one pair for each
-    different word of a shard, beside which the shards (without their words)
+    different word of a shard, beside which the pieces (without their words)
     are dealt once. In a row ``columns`` rises.
     """
-    plain = shards.select("shard", F.size("words").alias("n"), "starts", "columns", "counts", "doc_id", "part", "digest", "flags")
-
-    def run(shard: pa.Table, numbers: pa.Table) -> pa.Table:
-        s = {n: shard.column(n)[0].values for n in shard.column_names if n not in ("shard", "n")}
-        starts = s["starts"].to_numpy().astype(np.int64)
-        number = np.full(max(1, shard.column("n")[0].as_py()), -1, np.int64)  # the empty string has no number
-        number[numbers.column("at").to_numpy()] = numbers.column("number").to_numpy()
-        columns, counts = number[s["columns"].to_numpy()], s["counts"].to_numpy()
-        order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
-        total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
-        lists = lambda values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values[order]))
-        return pa.table([s["doc_id"], s["part"], s["digest"], pa.array(total[starts[1:]] - total[starts[:-1]]),
-                         pa.array(np.diff(starts)), s["flags"], lists(columns), lists(counts)],
-                        names=["doc_id", "part", "digest", "n_words", "n_distinct", "flags", "columns", "counts"])
 
-    return plain.groupBy("shard").cogroup(column_numbers(shards).groupBy("of")).applyInArrow(
+    def run(pieces: pa.Table, numbers: pa.Table) -> pa.Table:
+        at = numbers.column("at").to_numpy()
+        number = np.empty(at.max(initial=-1) + 1, np.int64)  # the empty string has no number, and no column
+        number[at] = numbers.column("number").to_numpy()
+        out = []
+        for piece in pieces.column("rows"):
+            rows = _unpacked(piece)
+            starts, counts = rows.column("counts").offsets.to_numpy().astype(np.int64), rows.column("counts").values.to_numpy()
+            columns = number[np.cumsum(rows.column("steps").values.to_numpy(), dtype=np.int64)]
+            order = np.lexsort((columns, np.repeat(np.arange(len(starts) - 1), np.diff(starts))))
+            total = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+            lists = lambda values: pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(values[order]))
+            out.append(pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("part"), rows.column("digest"), pa.array(total[starts[1:]] - total[starts[:-1]]),
+                 pa.array(np.diff(starts)), rows.column("flags"), lists(columns), lists(counts)],
+                ["doc_id", "part", "digest", "n_words", "n_distinct", "flags", "columns", "counts"]))
+        return pa.Table.from_batches(out)
+
+    return shards.select("shard", "rows").groupBy("shard").cogroup(column_numbers(shards).groupBy("of")).applyInArrow(
         run, "doc_id long, part string, digest binary, n_words long, n_distinct long, flags int, columns array<long>, counts array<int>")
 
 
@@ -156,7 +196,8 @@ def document_flags(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame
     """doc_id, part, flags (a bit for each of ABCDE, A the lowest), n (rows with the same id and text).
 
     Rows without id are not copies of others, and others not of them."""
-    matrix = rows_of_matrix(written(document_terms(docs, shard_bytes), "shards", compression="zstd"))
+    matrix = rows_of_matrix(written(document_terms(docs, shard_bytes), "shards", compression="zstd",
+                                    **{"parquet.block.row.count.limit": str(_GROUP_PIECES)}))
     a, b = F.col("n_words") < 100, 100 * F.col("n_distinct") < 80 * F.col("n_words")
     rows = matrix.select("doc_id", "part", "digest", (F.col("flags") + a.cast("int") + 2 * b.cast("int")).alias("flags"))
     # copies that share an id are one row from here on, so no id or text is a hot key below
